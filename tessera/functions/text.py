@@ -262,3 +262,59 @@ def nterms(tokens, n: int, join: str = "_") -> Column:
     for k in range(2, n + 1):
         out = F.when(L > k - 1, _terms(t, k, join)).otherwise(out)
     return out
+
+
+# -- SQL twins of the n-gram builders (DuckDB lists are 1-based) ---------------
+
+def _cat(parts, join):
+    j = sql_str(join)
+    return f" || {j} || ".join(parts)
+
+
+def _grams_sql(t: str, n: int, join: str) -> str:
+    if n == 1:
+        return t
+    parts = [f"{t}[i + {k + 1}]" for k in range(n)]
+    return f"list_transform(range(0, len({t}) - {n - 1}), lambda i: {_cat(parts, join)})"
+
+
+def ngrams_sql(t: str, n: int, join: str = "_") -> str:
+    out = t
+    for k in range(2, n + 1):
+        out = f"(CASE WHEN len({t}) > {k - 1} THEN {_grams_sql(t, k, join)} ELSE {out} END)"
+    return out
+
+
+def ngrams_multi_sql(t: str, code: int, join: str = " ") -> str:
+    if code in (1, 2, 3, 4):
+        return ngrams_sql(t, code, join)
+    empty = "CAST([] AS VARCHAR[])"
+    parts = [t, f"(CASE WHEN len({t}) > 1 THEN {_grams_sql(t, 2, join)} ELSE {empty} END)"]
+    if code == 123:
+        parts.append(f"(CASE WHEN len({t}) > 2 THEN {_grams_sql(t, 3, join)} ELSE {empty} END)")
+    return "list_concat(" + ", ".join(parts) + ")" if len(parts) == 2 else \
+        f"list_concat(list_concat({parts[0]}, {parts[1]}), {parts[2]})"
+
+
+def _terms_sql(t: str, n: int, join: str) -> str:
+    j = sql_str(join)
+    if n == 2:
+        return (f"flatten(list_transform(range(0, len({t}) - 1), lambda a: list_transform("
+                f"range(a + 1, len({t})), lambda b: {t}[a + 1] || {j} || {t}[b + 1])))")
+    if n == 3:
+        return (f"flatten(list_transform(range(0, len({t}) - 2), lambda a: flatten(list_transform("
+                f"range(a + 1, len({t}) - 1), lambda b: list_transform(range(b + 1, len({t})), "
+                f"lambda c: {t}[a + 1] || {j} || {t}[b + 1] || {j} || {t}[c + 1])))))")
+    if n == 4:
+        return (f"flatten(list_transform(range(0, len({t}) - 3), lambda a: flatten(list_transform("
+                f"range(a + 1, len({t}) - 2), lambda b: flatten(list_transform(range(b + 1, len({t}) - 1), "
+                f"lambda c: list_transform(range(c + 1, len({t})), lambda d: {t}[a + 1] || {j} || "
+                f"{t}[b + 1] || {j} || {t}[c + 1] || {j} || {t}[d + 1])))))))")
+    raise ValueError(n)
+
+
+def nterms_sql(t: str, n: int, join: str = "_") -> str:
+    out = t
+    for k in range(2, n + 1):
+        out = f"(CASE WHEN len({t}) > {k - 1} THEN {_terms_sql(t, k, join)} ELSE {out} END)"
+    return out

@@ -48,3 +48,148 @@ def clean_document_q(spark, sf_dir):
                                                  F.sum("n_kept").cast("bigint").alias("n_words"))
     return (sents.join(per_doc, "doc_id", "left")
             .select("doc_id", "n_sent", "n_words", F.coalesce("text_out", F.lit("")).alias("text_out")))
+
+
+# ---------------------------------------------------------------------------
+# Row-wise cleaners and tokenisers on whole document texts.
+# ---------------------------------------------------------------------------
+from ..functions import text as T  # noqa: E402
+from ..tables import spread  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
+def _string_query(key, fn, sql_fn):
+    @register(key, sql=f"SELECT doc_id, {sql_fn('text')} AS text_out FROM documents")
+    def q(spark, sf_dir):
+        return _docs(spark, sf_dir).select("doc_id", fn("text").alias("text_out"))
+    return q
+
+
+_string_query("clean_str", T.clean_str, T.clean_str_sql)
+_string_query("clean_simple", T.clean_simple, T.clean_simple_sql)
+_string_query("clean_text", T.clean_text, T.clean_text_sql)
+_string_query("clean_email", T.clean_email, T.clean_email_sql)
+_string_query("remove_stopwords", T.remove_stopwords, T.remove_stopwords_sql)
+_string_query("remove_stopwords_short", lambda c: T.remove_stopwords(c, "short"),
+              lambda e: T.remove_stopwords_sql(e, "short"))
+
+
+def _token_query(key, fn, sql_fn):
+    @register(key, sql=f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS text_out
+                           FROM (SELECT doc_id, {sql_fn('text')} AS t FROM documents)""")
+    def q(spark, sf_dir):
+        t = fn("text")
+        return _docs(spark, sf_dir).select("doc_id", F.size(t).alias("n"), F.array_join(t, " ").alias("text_out"))
+    return q
+
+
+_token_query("tokenize_en", T.tokenize_en, T.tokenize_en_sql)
+_token_query("tokenize_preproc", T.tokenize_preproc, T.tokenize_preproc_sql)
+
+
+@register("split_sentences", sql=f"""
+SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent, unnest(s) AS sentence
+FROM (SELECT doc_id, {T.split_sentences_sql(T.clean_simple_sql('text', False))} AS s FROM documents)""")
+def split_sentences_q(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.posexplode(T.split_sentences(T.clean_simple("text", False))).alias("sent", "sentence"))
+
+
+@register("flatten_sentences", sql=f"""
+SELECT doc_id, CAST(len(f) AS INTEGER) AS n, array_to_string(f, ' ') AS text_out FROM (
+  SELECT doc_id, flatten(list_transform({T.split_sentences_sql(T.clean_simple_sql('text'))},
+                                       lambda s: {T.split_ws_sql(T.clean_str_sql('s'))})) AS f FROM documents)""")
+def flatten_sentences_q(spark, sf_dir):
+    nested = F.transform(T.split_sentences(T.clean_simple("text")), lambda s: T.split_ws(T.clean_str(s)))
+    f = F.flatten(nested)
+    return _docs(spark, sf_dir).select("doc_id", F.size(f).alias("n"), F.array_join(f, " ").alias("text_out"))
+
+
+# Lemma table derived from the corpus vocabulary: a token ending in "s" maps to the
+# token without it when that word is also in the vocabulary.
+def lemma_table(tokens):
+    vocab = tokens.select("word").distinct()
+    cand = (vocab.filter(F.col("word").endswith("s") & (F.length("word") > 1))
+            .select(F.col("word").alias("token"), F.expr("substring(word, 1, length(word) - 1)").alias("lemma")))
+    return cand.join(vocab.withColumnRenamed("word", "lemma"), "lemma", "left_semi")
+
+
+@register("normalize_tokens", sql=f"""
+WITH t AS (SELECT doc_id, generate_subscripts(tt, 1) AS pos, unnest(tt) AS word
+           FROM (SELECT doc_id, {T.tokenize_en_sql('text')} AS tt FROM documents)),
+v AS (SELECT DISTINCT word FROM t),
+lem AS (SELECT word AS token, substring(word, 1, length(word) - 1) AS lemma FROM v
+        WHERE suffix(word, 's') AND length(word) > 1 AND substring(word, 1, length(word) - 1) IN (SELECT word FROM v))
+SELECT t.doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(coalesce(lem.lemma, t.word), ' ' ORDER BY t.pos) AS text_out
+FROM t LEFT JOIN lem ON t.word = lem.token GROUP BY t.doc_id""")
+def normalize_tokens_q(spark, sf_dir):
+    from ..operators.tokens import explode_tokens
+    toks = explode_tokens(_docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
+    lem = lemma_table(toks)
+    mapped = (toks.join(lem.withColumnRenamed("token", "word"), "word", "left")
+              .withColumn("w2", F.coalesce("lemma", "word")))
+    return (mapped.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w2"))), lambda s: s["w2"]), " ")
+        .alias("text_out")))
+
+
+# ---------------------------------------------------------------------------
+# n-grams on whole documents; n-terms on whole part names.
+# ---------------------------------------------------------------------------
+
+def _gram_counts_sql(list_sql_by_n: dict, source_sql: str, key: str = "doc_id") -> str:
+    parts = []
+    for n, lst in list_sql_by_n.items():
+        parts.append(f"SELECT {key}, {n} AS n, unnest({lst}) AS gram FROM ({source_sql})")
+    body = " UNION ALL ".join(parts)
+    return f"SELECT {key}, CAST(n AS INTEGER) AS n, gram, count(*) AS cnt FROM ({body}) GROUP BY {key}, n, gram"
+
+
+_TOK_SRC = f"SELECT doc_id, {T.tokenize_en_sql('text')} AS t FROM documents"
+
+
+@register("ngrams", sql=_gram_counts_sql({n: T.ngrams_sql("t", n, "_") for n in (1, 2, 3, 4)}, _TOK_SRC))
+def ngrams_q(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
+    g = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams("t", n, "_").alias("g")) for n in (1, 2, 3, 4)])
+    ex = d.select("doc_id", F.explode(g).alias("s")).select("doc_id", "s.n", F.explode("s.g").alias("gram"))
+    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("ngrams_skip", sql=f"""
+SELECT doc_id, CAST(n AS INTEGER) AS n, gram, count(*) AS cnt FROM (
+  SELECT doc_id, 2 AS n, unnest(CASE WHEN len(t) > 1 THEN flatten(list_transform(range(0, len(t) - 1),
+     lambda i: list_filter([CASE WHEN i + 1 < len(t) THEN t[i + 1] || '_' || t[i + 2] END,
+                            CASE WHEN i + 2 < len(t) THEN t[i + 1] || '_' || t[i + 3] END], lambda x: x IS NOT NULL)))
+     ELSE t END) AS gram FROM ({_TOK_SRC}))
+GROUP BY doc_id, n, gram""")
+def ngrams_skip_q(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
+    ex = d.select("doc_id", F.lit(2).alias("n"), F.explode(T.ngrams("t", 2, "_", skip=1)).alias("gram"))
+    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@register("ngrams_multi", sql=_gram_counts_sql({c: T.ngrams_multi_sql("t", c, " ") for c in (12, 123)}, _TOK_SRC))
+def ngrams_multi_q(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
+    g = F.array(*[F.struct(F.lit(c).alias("n"), T.ngrams_multi("t", c, " ").alias("g")) for c in (12, 123)])
+    ex = d.select("doc_id", F.explode(g).alias("s")).select("doc_id", "s.n", F.explode("s.g").alias("gram"))
+    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+_NAME_SRC = f"SELECT p_partkey, {T.split_ws_sql('p_name')} AS t FROM part"
+
+
+@register("nterms", sql=f"""
+SELECT p_partkey, CAST(n AS INTEGER) AS n, CAST(generate_subscripts(g, 1) - 1 AS INTEGER) AS pos, unnest(g) AS term FROM (
+  {" UNION ALL ".join(f"SELECT p_partkey, {n} AS n, {T.nterms_sql('t', n, '_')} AS g FROM ({_NAME_SRC})" for n in (1, 2, 3, 4))})""")
+def nterms_q(spark, sf_dir):
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    p = p.select("p_partkey", T.split_ws("p_name").alias("t"))
+    g = F.array(*[F.struct(F.lit(n).alias("n"), T.nterms("t", n, "_").alias("g")) for n in (1, 2, 3, 4)])
+    ex = p.select("p_partkey", F.explode(g).alias("s"))
+    return ex.select("p_partkey", "s.n", F.posexplode("s.g").alias("pos", "term"))
