@@ -56,3 +56,30 @@ def top_n(df: DataFrame, order, n: int) -> DataFrame:
     """The n first rows under ``order`` (TakeOrderedAndProject: a per-partition top-n,
     then a merge of n rows per partition)."""
     return df.orderBy(*_cols(order)).limit(n)
+
+
+def prefix_sum(df: DataFrame, groups, order, values, suffix: str = "_before") -> DataFrame:
+    """Exclusive running sums of ``values`` along ``order`` inside each (low-cardinality)
+    group, without a single-task window: range partitions, in-partition running
+    sums, and offsets from a per-(partition, group) totals table (bounded by
+    partitions x groups, broadcast). ``order`` must be unique inside a group."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    groups = [groups] if isinstance(groups, str) else list(groups)
+    order = [order] if isinstance(order, str) else list(order)
+    values = [values] if isinstance(values, str) else list(values)
+    keys = groups + order
+    part = cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    w = (Window.partitionBy("_pid", *groups).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    local = part
+    for v in values:
+        local = local.withColumn(f"_l_{v}", F.coalesce(F.sum(v).over(w), F.lit(0)))
+    tot = part.groupBy("_pid", *groups).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    wp = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{v}").over(wp), F.lit(0)).alias(f"_o_{v}")
+                                          for v in values])
+    out = local.join(F.broadcast(offs), ["_pid"] + groups)
+    for v in values:
+        out = out.withColumn(f"{v}{suffix}", F.col(f"_l_{v}") + F.col(f"_o_{v}")).drop(f"_l_{v}", f"_o_{v}")
+    return out.drop("_pid")

@@ -69,3 +69,50 @@ def word_vectors(spark, sf_dir, tokens: DataFrame | None = None) -> DataFrame:
 WORD_VECTORS_SQL = ("wv AS (SELECT r.word, e.embedding AS vec, e.vec_id FROM (SELECT word, "
                     "row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS vec_id FROM ct GROUP BY word) r "
                     "JOIN embeddings e ON e.vec_id = r.vec_id)")
+
+
+# ---------------------------------------------------------------------------
+# Planted label noise on the training split, and stored deterministic scores.
+# ---------------------------------------------------------------------------
+NOISE_RATE = 0.2
+
+
+def noisy_train(spark, sf_dir, rate: float = NOISE_RATE) -> DataFrame:
+    """Training rows of the lang task with ``int(n * rate)`` flipped labels:
+    ``(row_id, text, y, y_clean, is_noisy)``."""
+    from ..operators.sampling import corrupt_label
+    tr = lang_task(spark, sf_dir).filter(F.col("split") == "train").drop("split")
+    return corrupt_label(tr, rate, SEED)
+
+
+def noisy_train_sql(rate: float = NOISE_RATE) -> str:
+    u42, u43 = uniform_sql(SEED, "row_id"), uniform_sql(SEED + 1, "row_id")
+    return f"""{LANG_TASK_SQL},
+tr AS (SELECT row_id, y FROM lang_task WHERE split = 'train'),
+cls AS (SELECT list_sort(list(DISTINCT y)) AS c FROM tr),
+nz0 AS (SELECT row_id, y AS y_clean, {u43} AS u43,
+        row_number() OVER (ORDER BY {u42}, row_id) - 1 < (SELECT floor(count(*) * {rate}) FROM tr) AS is_noisy FROM tr),
+noisy AS (SELECT row_id, y_clean, is_noisy,
+          CAST(CASE WHEN is_noisy THEN list_filter(cls.c, lambda x: x <> y_clean)[CAST(floor(u43 * (len(cls.c) - 1)) AS INTEGER) + 1]
+               ELSE y_clean END AS INTEGER) AS y FROM nz0, cls)"""
+
+
+def with_scores(df: DataFrame, key: str = "row_id", k: int = K_LANG) -> DataFrame:
+    """Stored class probabilities ``p`` (hash uniforms normalised over k) and a
+    stored data value ``value = u(7, id)``."""
+    us = [uniform(SEED + j, key) for j in range(k)]
+    total = us[0]
+    for u in us[1:]:
+        total = total + u
+    return (df.withColumn("p", F.array(*[u / total for u in us]))
+            .withColumn("value", uniform(7, key)))
+
+
+def scores_sql(src: str, key: str = "row_id", k: int = K_LANG) -> str:
+    """SELECT over ``src`` adding p and value (columns of src kept)."""
+    us = [uniform_sql(SEED + j, key) for j in range(k)]
+    cols = ", ".join(f"{u} AS _u{j}" for j, u in enumerate(us))
+    tot = " + ".join(f"_u{j}" for j in range(k))
+    plist = "[" + ", ".join(f"_u{j} / ({tot})" for j in range(k)) + "]"
+    return (f"SELECT * EXCLUDE ({', '.join(f'_u{j}' for j in range(k))}), {plist} AS p, "
+            f"{uniform_sql(7, key)} AS value FROM (SELECT *, {cols} FROM {src})")

@@ -14,6 +14,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 from tessera.tables import TABLES
 
@@ -31,7 +32,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, (float, np.floating)):
         if math.isnan(v):
