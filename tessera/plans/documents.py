@@ -57,7 +57,7 @@ def clean_document(docs: DataFrame, dataset: str = "20ng", key: str = "doc_id",
     if dataset == "20ng":
         sent_counts = TK.truncate_sentences(sent_counts, max_words, key)
         kept = kept.join(sent_counts.select(key, "sent"), [key, "sent"], "left_semi")
-    tokens = TK.flat_positions(kept, key)
+    tokens = TK.flat_positions(kept, key).persist(StorageLevel.MEMORY_AND_DISK)
     return CleanCorpus(sents, raw, freq, bar, sent_counts, tokens)
 
 
