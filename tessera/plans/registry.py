@@ -22,5 +22,5 @@ def register(key: str, sql: str | None = None):
 
 def load_all():
     """Import every catalogue module (they register on import)."""
-    from . import cat_graph, cat_pairs, cat_report, cat_tabular, cat_text, cat_vocab  # noqa: F401
+    from . import cat_graph, cat_pairs, cat_report, cat_tabular, cat_text, cat_values, cat_vocab  # noqa: F401
     return QUERIES, ORACLE
