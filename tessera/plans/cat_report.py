@@ -164,13 +164,15 @@ def argmax_pred(spark, sf_dir):
 
 
 _RANKS_SQL = ("rk AS (SELECT row_id, is_noisy, y, y_clean, p, value, row_number() OVER (ORDER BY value, row_id) - 1 AS rank_asc, "
-              "row_number() OVER (ORDER BY value DESC, row_id) - 1 AS rank_desc, count(*) OVER () AS n FROM ns)")
+              "row_number() OVER (ORDER BY value DESC, row_id DESC) - 1 AS rank_desc, count(*) OVER () AS n FROM ns)")
 
 
 def _ranked(spark, sf_dir):
+    """Ascending rank on (value, row_id); the descending order is its exact reverse."""
     ns = _noisy_scored(spark, sf_dir)
     r = global_rank(ns, [F.col("value"), F.col("row_id")], out="rank_asc")
-    return global_rank(r, [F.col("value").desc(), F.col("row_id")], out="rank_desc")
+    n = r.count()
+    return r.withColumn("rank_desc", F.lit(n - 1) - F.col("rank_asc"))
 
 
 @register("rank_values", sql=f"WITH {NOISY_SCORED_SQL}, {_RANKS_SQL} SELECT row_id, rank_asc, rank_desc FROM rk")
@@ -187,11 +189,11 @@ def bin_values(spark, sf_dir):
 
 
 @register("top_bottom_n", sql=f"""WITH {NOISY_SCORED_SQL}
-(SELECT row_id, 'high' AS which, round(value, 6) AS value, y FROM ns ORDER BY value DESC, row_id LIMIT 10)
+(SELECT row_id, 'high' AS which, round(value, 6) AS value, y FROM ns ORDER BY value DESC, row_id DESC LIMIT 10)
 UNION ALL (SELECT row_id, 'low' AS which, round(value, 6) AS value, y FROM ns ORDER BY value, row_id LIMIT 10)""")
 def top_bottom_n(spark, sf_dir, n: int = 10):
     ns = _noisy_scored(spark, sf_dir).select("row_id", "value", "y")
-    hi = ns.orderBy(F.col("value").desc(), "row_id").limit(n).withColumn("which", F.lit("high"))
+    hi = ns.orderBy(F.col("value").desc(), F.col("row_id").desc()).limit(n).withColumn("which", F.lit("high"))
     lo = ns.orderBy("value", "row_id").limit(n).withColumn("which", F.lit("low"))
     return hi.unionByName(lo).select("row_id", "which", F.round("value", 6).alias("value"), "y")
 
