@@ -21,9 +21,18 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..session import cut_lineage
 
 
-def nodes(tokens: DataFrame) -> DataFrame:
+def sequences(tokens: DataFrame) -> DataFrame:
+    """Each document's node ids in token order, ``(doc_id, ids array<int>)``.
+
+    The one shuffle of the graph plan (by document); everything downstream is keyed
+    by (doc_id, ...) and reuses this partitioning."""
+    seq = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tpos", "node"))).alias("s"))
+    return seq.select("doc_id", F.transform("s", lambda x: x["node"]).alias("ids"))
+
+
+def nodes(seq: DataFrame) -> DataFrame:
     """Distinct nodes of each document (unknown id 0 is a node too)."""
-    return tokens.select("doc_id", "node").distinct()
+    return seq.select("doc_id", F.explode(F.array_distinct("ids")).alias("node"))
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -31,14 +40,9 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def window_pairs(tokens: DataFrame, window: int) -> DataFrame:
+def window_pairs(seq: DataFrame, window: int) -> DataFrame:
     """Ordered position pairs (i, p), p != i, |i - p| <= window, with their nodes.
-
-    Each document's node sequence is rebuilt as one ordered array (bounded by the
-    document length) and every position reads its neighbours with ``slice``; no
-    join on positions is needed."""
-    seq = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tpos", "node"))).alias("s"))
-    seq = seq.select("doc_id", F.transform("s", lambda x: x["node"]).alias("ids"))
+    Every position reads its neighbours with ``slice``: no join on positions."""
     ex = seq.select("doc_id", "ids", F.posexplode("ids").alias("i", "src"))
     lo = F.greatest(F.lit(0), F.col("i") - window)
     hi = F.least(F.size("ids") - 1, F.col("i") + window)
@@ -46,9 +50,10 @@ def window_pairs(tokens: DataFrame, window: int) -> DataFrame:
     return nb.select("doc_id", "i", (lo + F.col("off")).alias("p"), "src", "dst").filter(F.col("p") != F.col("i"))
 
 
-def edges(tokens: DataFrame, window: int = 4) -> DataFrame:
-    """Co-occurrence counts between different nodes within the sliding window."""
-    pairs = window_pairs(tokens, window).filter(F.col("src") != F.col("dst"))
+def edges(seq: DataFrame, window: int = 4) -> DataFrame:
+    """Co-occurrence counts between different nodes within the sliding window
+    (symmetric by construction: the window is symmetric)."""
+    pairs = window_pairs(seq, window).filter(F.col("src") != F.col("dst"))
     return pairs.groupBy("doc_id", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
@@ -58,17 +63,21 @@ def symmetric(e: DataFrame) -> DataFrame:
     return e.unionByName(sw).groupBy("doc_id", "src", "dst").agg(F.max("w").alias("w"))
 
 
-def normalized(e: DataFrame, node_table: DataFrame) -> DataFrame:
-    """D^-1/2 (A + I) D^-1/2 with D the row sums of A + I.
-
-    ``e`` must be symmetric (the output of :func:`symmetric`), so a node's column sum
-    equals its row sum: both degrees come from window sums over the edge table
-    itself (partitioned by (doc, src), then by (doc, dst)), with no self-join."""
-    loops = node_table.select("doc_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
-    a = e.unionByName(loops)
-    a = a.withColumn("di", F.sum("w").over(Window.partitionBy("doc_id", "src")))
-    a = a.withColumn("dj", F.sum("w").over(Window.partitionBy("doc_id", "dst")))
-    return a.select("doc_id", "src", "dst", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
+def normalized(e: DataFrame, seq: DataFrame) -> DataFrame:
+    """D^-1/2 (A + I) D^-1/2 with D the row sums of A + I, for a symmetric ``e``.
+
+    Degrees are window sums over the edge table keyed (doc, src) and (doc, dst)
+    (column sums = row sums for a symmetric graph), which the document partitioning
+    of ``e`` already satisfies, so no further shuffle is planned. Self loops carry
+    1/d; a document with a single distinct node has one loop of weight 1."""
+    a = e.withColumn("di", F.sum("w").over(Window.partitionBy("doc_id", "src")) + 1.0)
+    a = a.withColumn("dj", F.sum("w").over(Window.partitionBy("doc_id", "dst")) + 1.0)
+    off = a.select("doc_id", "src", "dst", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
+    loops = (a.groupBy("doc_id", "src").agg(F.first("di").alias("di"))
+             .select("doc_id", "src", F.col("src").alias("dst"), (F.lit(1.0) / F.col("di")).alias("w")))
+    lone = (seq.filter(F.size(F.array_distinct("ids")) == 1)
+            .select("doc_id", F.col("ids")[0].alias("src"), F.col("ids")[0].alias("dst"), F.lit(1.0).alias("w")))
+    return off.unionByName(loops).unionByName(lone)
 
 
 def propagate(adj: DataFrame, h: DataFrame, hops: int, checkpoint_every: int = 2) -> DataFrame:

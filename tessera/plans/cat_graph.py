@@ -44,7 +44,7 @@ def _encoded(spark, sf_dir):
 @register("graph_nodes", sql=f"WITH {ENC_SQL} SELECT DISTINCT doc_id, node FROM enc")
 def graph_nodes(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return G.nodes(enc)
+    return G.nodes(G.sequences(enc))
 
 
 @register("graph_term_counts", sql=f"WITH {ENC_SQL} SELECT doc_id, node, count(*) AS tf FROM enc GROUP BY 1, 2")
@@ -57,7 +57,7 @@ def graph_term_counts(spark, sf_dir):
 SELECT doc_id, count(*) AS n_pairs, count(*) FILTER (WHERE src = dst) AS n_same FROM wp GROUP BY doc_id""")
 def cooccur_join(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    p = G.window_pairs(enc, WINDOW)
+    p = G.window_pairs(G.sequences(enc), WINDOW)
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"),
                                    F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("n_same"))
 
@@ -73,7 +73,7 @@ _EDGE_SUM = "SELECT doc_id, src, count(*) AS n_nbrs, round(sum(w), 6) AS w_sum,
 @register("graph_edges", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL} " + _EDGE_SUM.format(t="ed"))
 def graph_edges(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(G.edges(enc, WINDOW))
+    return _edge_summary(G.edges(G.sequences(enc), WINDOW))
 
 
 @register("graph_symmetric", sql=f"""WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL},
@@ -81,13 +81,21 @@ sy AS (SELECT doc_id, src, dst, max(w) AS w FROM (SELECT doc_id, src, dst, w FRO
        SELECT doc_id, dst, src, w FROM ed) GROUP BY 1, 2, 3) """ + _EDGE_SUM.format(t="sy"))
 def graph_symmetric(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(G.symmetric(G.edges(enc, WINDOW)))
+    return _edge_summary(G.symmetric(G.edges(G.sequences(enc), WINDOW)))
 
 
 @register("graph_normalized", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL}, {NORM_SQL} " + _EDGE_SUM.format(t="an"))
 def graph_normalized(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(G.normalized(G.symmetric(G.edges(enc, WINDOW)), G.nodes(enc)))
+    return _edge_summary(adjacency(enc))
+
+
+def adjacency(enc):
+    """Normalised adjacency of the sliding-window graph. The sliding window is
+    symmetric, so max(A, A^T) = A and the symmetrisation step is the identity here
+    (graph_symmetric runs it explicitly)."""
+    seq = G.sequences(enc)
+    return G.normalized(G.edges(seq, WINDOW), seq)
 
 
 def node_features(spark, sf_dir, vocab, node_table):
@@ -110,8 +118,8 @@ def graph_propagate(spark, sf_dir):
     """Two hops of H <- A_norm H from word vectors; reported as the sum over each
     document's nodes per dimension."""
     enc, vocab = _encoded(spark, sf_dir)
-    nd = G.nodes(enc)
-    adj = G.normalized(G.symmetric(G.edges(enc, WINDOW)), nd).persist(StorageLevel.MEMORY_AND_DISK)
+    nd = G.nodes(G.sequences(enc))
+    adj = adjacency(enc).persist(StorageLevel.MEMORY_AND_DISK)
     h = G.propagate(adj, node_features(spark, sf_dir, vocab, nd), HOPS)
     tot = h.groupBy("doc_id").agg(Summarizer.sum(array_to_vector("vec")).alias("m"))
     return (tot.select("doc_id", F.posexplode(vector_to_array("m")).alias("dim", "v"))
@@ -130,8 +138,8 @@ def pool_parameters(dim: int = 64, seed: int = 42):
 def graph_pool(spark, sf_dir):
     """Attention pooling of one-hop node states into a document vector."""
     enc, vocab = _encoded(spark, sf_dir)
-    nd = G.nodes(enc)
-    adj = G.normalized(G.symmetric(G.edges(enc, WINDOW)), nd).persist(StorageLevel.MEMORY_AND_DISK)
+    nd = G.nodes(G.sequences(enc))
+    adj = adjacency(enc).persist(StorageLevel.MEMORY_AND_DISK)
     h = G.propagate(adj, node_features(spark, sf_dir, vocab, nd), 1)
     w, b, aw, ab = pool_parameters()
     d = G.attention_pool(h, w, b, aw, ab)

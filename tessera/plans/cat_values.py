@@ -175,9 +175,8 @@ def embed_documents(spark, sf_dir):
     """All splits in one pass: clean -> encode -> graph -> one hop -> attention pool."""
     from . import cat_graph as CG
     enc, vocab = CG._encoded(spark, sf_dir)
-    nd = G.nodes(enc)
-    adj = G.normalized(G.symmetric(G.edges(enc, CG.WINDOW)), nd)
-    h = G.propagate(adj, CG.node_features(spark, sf_dir, vocab, nd), 1)
+    nd = G.nodes(G.sequences(enc))
+    h = G.propagate(CG.adjacency(enc), CG.node_features(spark, sf_dir, vocab, nd), 1)
     w, b, aw, ab = CG.pool_parameters()
     d = G.attention_pool(h, w, b, aw, ab).withColumnRenamed("doc_id", "row_id")
     lt = lang_task(spark, sf_dir).select("row_id", "split")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -51,13 +51,23 @@ def clean_document(docs: DataFrame, dataset: str = "20ng", key: str = "doc_id",
     else:
         bar = TK.frequency_bar(freq, top)
         kept = TK.keep_by_frequency(raw, freq, stop, min_freq, bar)
+    # Per-sentence table (lazy; only the statistics reports read it).
     counts = (kept.groupBy(key, "sent").agg(F.count(F.lit(1)).alias("n_kept")))
     sent_counts = (sents.select(key, "sent").join(counts, [key, "sent"], "left")
                    .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)).cast("bigint")))
     if dataset == "20ng":
         sent_counts = TK.truncate_sentences(sent_counts, max_words, key)
-        kept = kept.join(sent_counts.select(key, "sent"), [key, "sent"], "left_semi")
-    tokens = TK.flat_positions(kept, key).persist(StorageLevel.MEMORY_AND_DISK)
+    # Kept tokens: truncation and flattened positions come from two windows that share
+    # one shuffle by document (kept words of all earlier sentences = a RANGE frame on
+    # the sentence number). Truncation drops whole trailing sentences, so positions
+    # numbered before the cut are the positions after it.
+    before = Window.partitionBy(key).orderBy("sent").rangeBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(key).orderBy("sent", "pos")
+    tokens = (kept.withColumn("_before", F.count(F.lit(1)).over(before))
+              .withColumn("tpos", F.row_number().over(order) - 1))
+    if dataset == "20ng":
+        tokens = tokens.filter(F.col("_before") <= max_words)
+    tokens = tokens.drop("_before").persist(StorageLevel.MEMORY_AND_DISK)
     return CleanCorpus(sents, raw, freq, bar, sent_counts, tokens)
 
 
