@@ -125,3 +125,62 @@ def attention_pool(h: DataFrame, weights: np.ndarray, bias: np.ndarray, att_w: n
     agg = hp.groupBy("doc_id").agg(Summarizer.sum(array_to_vector("hp"), F.col("e")).alias("num"),
                                    F.sum("e").alias("den"))
     return agg.select("doc_id", F.transform(vector_to_array("num"), lambda x: x / F.col("den")).alias("vec"))
+
+
+# ---------------------------------------------------------------------------
+# Per-document fast path: documents are bounded groups (the cleaning plan caps
+# their kept words), so K hops run inside one task per document in NumPy with
+# sparse accumulation (O(edges x dim) per hop, no dense n x n matrix), and no
+# shuffle is needed between hops.
+# ---------------------------------------------------------------------------
+
+def _hops_fn(hops: int, dim: int):
+    def run(adj_pdf: pd.DataFrame, h_pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(h_pdf) == 0:
+            return pd.DataFrame({"doc_id": [], "node": [], "vec": []})
+        doc = int(h_pdf["doc_id"].iloc[0])
+        node_ids = h_pdf["node"].to_numpy()
+        index = {int(n): i for i, n in enumerate(node_ids)}
+        h = np.stack(h_pdf["vec"].to_numpy()).astype("float64")
+        if len(adj_pdf):
+            src = np.fromiter((index[int(x)] for x in adj_pdf["src"]), dtype=np.int64, count=len(adj_pdf))
+            dst = np.fromiter((index[int(x)] for x in adj_pdf["dst"]), dtype=np.int64, count=len(adj_pdf))
+            w = adj_pdf["w"].to_numpy()[:, None]
+            for _ in range(hops):
+                out = np.zeros_like(h)
+                np.add.at(out, src, w * h[dst])
+                h = out
+        else:
+            h = np.zeros_like(h)
+        return pd.DataFrame({"doc_id": np.full(len(node_ids), doc), "node": node_ids, "vec": list(h)})
+    return run
+
+
+def propagate_by_document(adj: DataFrame, h: DataFrame, hops: int) -> DataFrame:
+    """Same result as :func:`propagate`, computed per document (cogrouped by doc_id)."""
+    dim_schema = "doc_id long, node int, vec array<double>"
+    # fresh column identities on both sides (they share ancestry)
+    a = adj.select(F.col("doc_id").alias("doc_id"), F.col("src").cast("int").alias("src"),
+                   F.col("dst").cast("int").alias("dst"), F.col("w").alias("w"))
+    b = h.select(F.col("doc_id").alias("doc_id"), F.col("node").cast("int").alias("node"), F.col("vec").alias("vec"))
+    return a.groupBy(a["doc_id"]).cogroup(b.groupBy(b["doc_id"])).applyInPandas(_hops_fn(hops, 0), dim_schema)
+
+
+def _pool_fn(weights, bias, att_w, att_b):
+    w = np.asarray(weights, dtype="float64")
+    b = np.asarray(bias, dtype="float64")
+    a = np.asarray(att_w, dtype="float64")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.stack(pdf["vec"].to_numpy()) @ w + b
+        s = np.maximum(h @ a + att_b, 0.0)
+        e = np.exp(s - s.max())
+        vec = (e[:, None] * h).sum(axis=0) / e.sum()
+        return pd.DataFrame({"doc_id": [int(pdf["doc_id"].iloc[0])], "vec": [vec]})
+    return run
+
+
+def attention_pool_by_document(h: DataFrame, weights, bias, att_w, att_b) -> DataFrame:
+    """Attention pooling per document in one grouped pass (NumPy inside the task)."""
+    return (h.select("doc_id", "vec").groupBy("doc_id")
+            .applyInPandas(_pool_fn(weights, bias, att_w, att_b), "doc_id long, vec array<double>"))

@@ -119,8 +119,7 @@ def graph_propagate(spark, sf_dir):
     document's nodes per dimension."""
     enc, vocab = _encoded(spark, sf_dir)
     nd = G.nodes(G.sequences(enc))
-    adj = adjacency(enc).persist(StorageLevel.MEMORY_AND_DISK)
-    h = G.propagate(adj, node_features(spark, sf_dir, vocab, nd), HOPS)
+    h = G.propagate_by_document(adjacency(enc), node_features(spark, sf_dir, vocab, nd), HOPS)
     tot = h.groupBy("doc_id").agg(Summarizer.sum(array_to_vector("vec")).alias("m"))
     return (tot.select("doc_id", F.posexplode(vector_to_array("m")).alias("dim", "v"))
             .withColumn("v", F.round("v", 4)))
@@ -139,8 +138,7 @@ def graph_pool(spark, sf_dir):
     """Attention pooling of one-hop node states into a document vector."""
     enc, vocab = _encoded(spark, sf_dir)
     nd = G.nodes(G.sequences(enc))
-    adj = adjacency(enc).persist(StorageLevel.MEMORY_AND_DISK)
-    h = G.propagate(adj, node_features(spark, sf_dir, vocab, nd), 1)
+    h = G.propagate_by_document(adjacency(enc), node_features(spark, sf_dir, vocab, nd), 1)
     w, b, aw, ab = pool_parameters()
-    d = G.attention_pool(h, w, b, aw, ab)
+    d = G.attention_pool_by_document(h, w, b, aw, ab)
     return d.select("doc_id", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))

@@ -176,8 +176,8 @@ def embed_documents(spark, sf_dir):
     from . import cat_graph as CG
     enc, vocab = CG._encoded(spark, sf_dir)
     nd = G.nodes(G.sequences(enc))
-    h = G.propagate(CG.adjacency(enc), CG.node_features(spark, sf_dir, vocab, nd), 1)
+    h = G.propagate_by_document(CG.adjacency(enc), CG.node_features(spark, sf_dir, vocab, nd), 1)
     w, b, aw, ab = CG.pool_parameters()
-    d = G.attention_pool(h, w, b, aw, ab).withColumnRenamed("doc_id", "row_id")
+    d = G.attention_pool_by_document(h, w, b, aw, ab).withColumnRenamed("doc_id", "row_id")
     lt = lang_task(spark, sf_dir).select("row_id", "split")
     return lt.join(d, "row_id").select("row_id", "split", F.posexplode("vec").alias("dim", "v"))
