@@ -26,7 +26,7 @@ def stop_words_for(dataset: str):
 
 @dataclass
 class CleanCorpus:
-    sentences: DataFrame   # (doc_id, sent, sentence)
+    sentences: DataFrame   # (doc_id, sent)
     raw_tokens: DataFrame  # (doc_id, sent, pos, word) before the filter
     freq: DataFrame        # (word, n)
     bar: int
@@ -40,10 +40,17 @@ def clean_document(docs: DataFrame, dataset: str = "20ng", key: str = "doc_id",
     from pyspark import StorageLevel
     from ..tables import spread
     sents = TK.sentence_table(spread(docs, key), key, text, collapse_whitespace=(dataset == "20ng"))
-    # The token table feeds two corpus passes (counts, then the filter): keep it.
-    sents = sents.persist(StorageLevel.MEMORY_AND_DISK)
-    raw = TK.sentence_tokens(sents, key, lemma).persist(StorageLevel.MEMORY_AND_DISK)
-    freq = TK.word_freq(raw)
+    # One cached row per sentence holding its token array: both corpus passes
+    # (counts, then the filter) explode it again, which is cheaper than caching
+    # one row per token.
+    sent_toks = sents.select(key, "sent", T.split_ws(T.clean_str("sentence")).alias("t")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    raw = TK.explode_tokens(sent_toks, [key, "sent"], "t")
+    if lemma is not None:
+        raw = (raw.join(lemma.withColumnRenamed("token", "word"), "word", "left")
+               .withColumn("word", F.coalesce("lemma", "word")).drop("lemma"))
+    sents = sent_toks.select(key, "sent")
+    freq = TK.word_freq(raw).persist(StorageLevel.MEMORY_AND_DISK)  # one row per distinct word
     stop = stop_words_for(dataset)
     if dataset == "mr":
         kept = raw.filter(~F.col("word").isin(stop))
