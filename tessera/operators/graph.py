@@ -70,14 +70,19 @@ def normalized(e: DataFrame, seq: DataFrame) -> DataFrame:
     (column sums = row sums for a symmetric graph), which the document partitioning
     of ``e`` already satisfies, so no further shuffle is planned. Self loops carry
     1/d; a document with a single distinct node has one loop of weight 1."""
-    a = e.withColumn("di", F.sum("w").over(Window.partitionBy("doc_id", "src")) + 1.0)
-    a = a.withColumn("dj", F.sum("w").over(Window.partitionBy("doc_id", "dst")) + 1.0)
-    off = a.select("doc_id", "src", "dst", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
-    loops = (a.groupBy("doc_id", "src").agg(F.first("di").alias("di"))
-             .select("doc_id", "src", F.col("src").alias("dst"), (F.lit(1.0) / F.col("di")).alias("w")))
+    by_src = Window.partitionBy("doc_id", "src").orderBy("dst")
+    whole = by_src.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = (e.withColumn("di", F.sum("w").over(whole) + 1.0)
+         .withColumn("rn", F.row_number().over(by_src))
+         .withColumn("dj", F.sum("w").over(Window.partitionBy("doc_id", "dst")) + 1.0))
+    # one pass emits each edge and, on a node's first edge row, its self loop
+    edge = F.struct(F.col("dst").alias("dst"), (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
+    loop = F.struct(F.col("src").alias("dst"), (F.lit(1.0) / F.col("di")).alias("w"))
+    both = F.when(F.col("rn") == 1, F.array(edge, loop)).otherwise(F.array(edge))
+    out = a.select("doc_id", "src", F.explode(both).alias("x")).select("doc_id", "src", "x.dst", "x.w")
     lone = (seq.filter(F.size(F.array_distinct("ids")) == 1)
             .select("doc_id", F.col("ids")[0].alias("src"), F.col("ids")[0].alias("dst"), F.lit(1.0).alias("w")))
-    return off.unionByName(loops).unionByName(lone)
+    return out.unionByName(lone)
 
 
 def propagate(adj: DataFrame, h: DataFrame, hops: int, checkpoint_every: int = 2) -> DataFrame:
