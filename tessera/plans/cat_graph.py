@@ -101,10 +101,11 @@ def adjacency(enc):
 def node_features(spark, sf_dir, vocab, node_table):
     """Word vectors of the nodes; words without a vector take the vector of 'the',
     the unknown id 0 the zero vector."""
+    from .cat_vocab import fallback_vector
     wv = word_vectors(spark, sf_dir)
-    fb = wv.filter(F.col("word") == "the").select(F.col("vec").alias("fb"))
-    m = (vocab.join(wv.select("word", "vec"), "word", "left").join(F.broadcast(fb), how="left")
-         .select(F.col("word_id").alias("node"), F.coalesce("vec", "fb").cast("array<double>").alias("vec")))
+    fb = fallback_vector(wv)
+    m = (vocab.join(wv.select("word", "vec"), "word", "left")
+         .select(F.col("word_id").alias("node"), F.coalesce("vec", fb).cast("array<double>").alias("vec")))
     return node_table.join(m, "node")
 
 

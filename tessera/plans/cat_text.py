@@ -193,3 +193,24 @@ def nterms_q(spark, sf_dir):
     g = F.array(*[F.struct(F.lit(n).alias("n"), T.nterms("t", n, "_").alias("g")) for n in (1, 2, 3, 4)])
     ex = p.select("p_partkey", F.explode(g).alias("s"))
     return ex.select("p_partkey", "s.n", F.posexplode("s.g").alias("pos", "term"))
+
+
+@register("clean_document_mr", sql=f"""
+WITH {clean_document_sql('mr')}
+SELECT s.doc_id, CAST(count(DISTINCT s.sent) AS BIGINT) AS n_sent,
+       CAST(coalesce(sum(s.n_kept), 0) AS BIGINT) AS n_words,
+       coalesce((SELECT string_agg(t.word, ' ' ORDER BY t.tpos) FROM cd_tokens t WHERE t.doc_id = s.doc_id), '') AS text_out
+FROM cd_sent s GROUP BY s.doc_id
+""")
+def clean_document_mr(spark, sf_dir):
+    """The short-review variant: only stop words are removed (no frequency filter,
+    no truncation, whitespace kept for sentence splitting)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cc = clean_document(docs, dataset="mr")
+    per_doc = (cc.tokens.groupBy("doc_id")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "word"))),
+                                             lambda s: s["word"]), " ").alias("text_out")))
+    sents = cc.sent_counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sent"),
+                                                 F.sum("n_kept").cast("bigint").alias("n_words"))
+    return (sents.join(per_doc, "doc_id", "left")
+            .select("doc_id", "n_sent", "n_words", F.coalesce("text_out", F.lit("")).alias("text_out")))

@@ -73,7 +73,15 @@ def doc_stats_q(spark, sf_dir):
               F.round(F.avg("n_kept"), 6).alias("avg_sent_len"), F.count(F.lit(1)).alias("total_sents"))
     b = per_doc.agg(F.min("ns").alias("min_sents"), F.max("ns").alias("max_sents"),
                     F.round(F.avg("ns"), 6).alias("avg_sents"))
-    return a.join(b, how="cross")  # two single-row aggregates side by side
+    # two single-row aggregates merged into one row (no join)
+    cols_a = ["min_sent_len", "max_sent_len", "avg_sent_len", "total_sents"]
+    cols_b = ["min_sents", "max_sents", "avg_sents"]
+    ua = a.select(*cols_a, *[F.lit(None).cast(t).alias(c) for c, t in
+                             (("min_sents", "bigint"), ("max_sents", "bigint"), ("avg_sents", "double"))])
+    ub = b.select(*[F.lit(None).cast(t).alias(c) for c, t in
+                    (("min_sent_len", "bigint"), ("max_sent_len", "bigint"), ("avg_sent_len", "double"),
+                     ("total_sents", "bigint"))], *cols_b)
+    return ua.unionByName(ub).agg(*[F.max(c).alias(c) for c in cols_a + cols_b])
 
 
 @register("max_doc_len", sql=f"""WITH {LANG_TASK_SQL}
@@ -284,6 +292,15 @@ def join_vectors_q(spark, sf_dir):
     return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"), F.countDistinct("word").alias("n_distinct"))
 
 
+def fallback_vector(wv, word: str = "the"):
+    """The vector of the fallback word as a literal (one vector of fixed size reaches
+    the driver)."""
+    row = wv.filter(F.col("word") == word).select("vec").first()
+    if row is None:
+        return F.lit(None).cast("array<float>")
+    return F.array(*[F.lit(float(x)).cast("float") for x in row["vec"]])
+
+
 @register("embedding_matrix", sql=f"""WITH {CD}, {_CLEAN_VOCAB_SQL}, {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL},
 m AS (SELECT cv.word_id, wv.vec IS NOT NULL AS found, coalesce(wv.vec, (SELECT vec FROM wv WHERE word = 'the')) AS vec
       FROM cv LEFT JOIN wv ON cv.word = wv.word
@@ -294,10 +311,9 @@ def embedding_matrix_q(spark, sf_dir):
     vector of 'the', id 0 is the zero vector."""
     cc = clean_document(_docs(spark, sf_dir))
     wv = word_vectors(spark, sf_dir)
-    fallback = wv.filter(F.col("word") == "the").select(F.col("vec").alias("fb"))
+    fb = fallback_vector(wv)
     m = (_clean_vocab(cc).join(wv.select("word", "vec"), "word", "left")
-         .join(F.broadcast(fallback), how="left")  # one row
-         .select("word_id", F.col("vec").isNotNull().alias("found"), F.coalesce("vec", "fb").alias("vec")))
+         .select("word_id", F.col("vec").isNotNull().alias("found"), F.coalesce("vec", fb).alias("vec")))
     zero = spark.range(1).select(F.lit(0).cast("int").alias("word_id"), F.lit(False).alias("found"),
                                  F.array_repeat(F.lit(0.0).cast("float"), 64).alias("vec"))
     m = m.unionByName(zero)

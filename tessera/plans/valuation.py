@@ -196,30 +196,43 @@ def ranked_values(train: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def remove_high_low(data: TaskData, values: DataFrame, perf: str = "accuracy", bins: int = R.NUM_BINS,
-                    parallelism: int = 4, max_iter: int = 30) -> DataFrame:
+                    parallelism: int = 8, max_iter: int = 30) -> DataFrame:
     """For each bin b and mode low/high, drop the floor(b*n/bins) lowest (highest)
-    valued rows, refit, and score on valid and test. Fits run concurrently from
-    driver threads (as CrossValidator does); a subset left with one class is
-    skipped (metric 0)."""
+    valued rows, refit, and score on valid and test. Which subsets keep at least two
+    classes is known from one per-class aggregate (a class survives while its largest
+    rank reaches the cut); fits run concurrently from driver threads (as
+    CrossValidator does), and valid and test are scored in one job per fit. A subset
+    left with one class is skipped (metric 0)."""
     spark = data.train.sparkSession
     ranked = ranked_values(data.train, values).persist(StorageLevel.MEMORY_AND_DISK)
     n = ranked.count()
+    top = {r["y"]: (r["a"], r["d"]) for r in
+           ranked.groupBy("y").agg(F.max("rank_asc").alias("a"), F.max("rank_desc").alias("d")).collect()}
+    evals = data.valid.withColumn("_part", F.lit("valid")).unionByName(data.test.withColumn("_part", F.lit("test")))
+    evals = evals.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(job):
         mode, b = job
         cut = int(b * n / bins)
         rk = "rank_asc" if mode == "low" else "rank_desc"
-        sub = ranked.filter(F.col(rk) >= cut)
-        if sub.select("y").distinct().limit(2).count() < 2:
+        alive = sum(1 for a, d in top.values() if (a if mode == "low" else d) >= cut)
+        if alive < 2:
             return (mode, b, n - cut, 0.0, 0.0)
-        m = fit(sub, max_iter=max_iter)
-        return (mode, b, n - cut, metric(predict(m, data.valid), perf, data.k),
-                metric(predict(m, data.test), perf, data.k))
+        m = fit(ranked.filter(F.col(rk) >= cut), max_iter=max_iter)
+        sc = predict(m, evals)
+        if perf == "accuracy":
+            res = {r["_part"]: r["accuracy"] for r in MT.accuracy(sc, by="_part").collect()}
+        elif perf == "auc":
+            res = {r["_part"]: r["auc"] for r in MT.auc(sc, k=data.k, by="_part").collect()}
+        else:
+            res = {r["_part"]: r["neg_log_loss"] for r in MT.neg_log_loss(sc, by="_part").collect()}
+        return (mode, b, n - cut, float(res.get("valid", 0.0)), float(res.get("test", 0.0)))
 
     jobs = [(m, b) for m in ("low", "high") for b in range(bins)]
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(one, jobs))
     ranked.unpersist()
+    evals.unpersist()
     return spark.createDataFrame(rows, "mode string, bin int, n_rows long, valid_metric double, test_metric double")
 
 

@@ -84,3 +84,13 @@ def test_noise_found_better_than_random(spark, queries):
     q, _ = queries
     rows = {r["b"]: r for r in q["noise_discovery"](spark, MID).collect()}
     assert rows[4]["tpr"] > rows[4]["random"] + 0.2
+
+
+def test_run_manifest_round_trip(spark):
+    import json
+    from tessera.sources.writers import run_dir, write_manifest
+    path = run_dir(spark, "manifest-test")
+    entries = {"train": "a/train", "valid": "a/valid", "test": "a/test"}
+    write_manifest(spark, path, entries)
+    rows = spark.read.text(path).collect()
+    assert len(rows) == 1 and json.loads(rows[0]["value"]) == entries
