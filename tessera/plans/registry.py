@@ -3,6 +3,7 @@ result is expressible in SQL, an equivalent DuckDB statement over the same table
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -15,7 +16,9 @@ def register(key: str, sql: str | None = None):
             raise KeyError(f"duplicate query {key}")
         QUERIES[key] = fn
         if sql is not None:
-            ORACLE[key] = sql.strip()
+            # DuckDB's round() can return -0.0 where Spark's returns 0.0; adding 0.0
+            # maps -0.0 to 0.0 and leaves every other value unchanged.
+            ORACLE[key] = re.sub(r"\bround\(", "0.0 + round(", sql.strip())
         return fn
     return deco
 

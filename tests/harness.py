@@ -37,7 +37,7 @@ def _norm(v):
     if isinstance(v, (float, np.floating)):
         if math.isnan(v):
             return None
-        return round(float(v), 6) + 0.0
+        return round(float(v), 6)
     if isinstance(v, (np.integer,)):
         return int(v)
     if isinstance(v, (list, tuple, np.ndarray)):
