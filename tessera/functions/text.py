@@ -36,16 +36,48 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_META = set(".^$*+?()[]{}|\\")
+
+
+def literal_of(pattern: str):
+    """The plain text a pattern matches when it has no regex operators (escaped
+    punctuation counts as its character), else None."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            if i + 1 < len(pattern) and not pattern[i + 1].isalnum():
+                out.append(pattern[i + 1])
+                i += 2
+                continue
+            return None
+        if ch in _META:
+            return None
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def apply_rules(col, rules) -> Column:
+    """Fold rewrite rules in order. Rules whose pattern is plain text (most of them)
+    use literal replacement, which gives the same result without the regex engine."""
     c = _c(col)
     for pattern, repl in rules:
-        c = F.regexp_replace(c, pattern, _java_repl(repl))
+        lit = literal_of(pattern)
+        if lit is not None and "{1}" not in repl:
+            c = F.replace(c, F.lit(lit), F.lit(repl))
+        else:
+            c = F.regexp_replace(c, pattern, _java_repl(repl))
     return c
 
 
 def apply_rules_sql(expr: str, rules) -> str:
     for pattern, repl in rules:
-        expr = f"regexp_replace({expr}, {sql_str(pattern)}, {sql_str(_re2_repl(repl))}, 'g')"
+        lit = literal_of(pattern)
+        if lit is not None and "{1}" not in repl:
+            expr = f"replace({expr}, {sql_str(lit)}, {sql_str(repl)})"
+        else:
+            expr = f"regexp_replace({expr}, {sql_str(pattern)}, {sql_str(_re2_repl(repl))}, 'g')"
     return expr
 
 
