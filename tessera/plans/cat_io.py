@@ -183,6 +183,7 @@ def read_corpus(spark, sf_dir):
     lab = global_rank(first, ["f"], out="label_id").select("label", F.col("label_id").cast("int"))
     per = enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_ids"))
     part = F.when(F.instr("split", "test") > 0, "test").when(F.instr("split", "train") > 0, "train").otherwise("other")
+    # one row per label (the class set): bounded by the number of classes
     return al.join(F.broadcast(lab), "label").join(per, "doc_id", "left").select(
         "doc_id", part.alias("part"), "label_id", F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
 

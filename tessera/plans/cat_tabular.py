@@ -301,6 +301,7 @@ def map_labels(spark, sf_dir):
     first = meta.groupBy("lang").agg(F.min("row_id").alias("first"))
     ids = global_rank(first, ["first"], out="label_id").withColumn("label_id", F.col("label_id").cast("int"))
     part = F.when(F.instr("tag", "test") > 0, "test").when(F.instr("tag", "train") > 0, "train")
+    # one row per label (the class set): bounded by the number of classes
     return meta.join(F.broadcast(ids.select("lang", "label_id")), "lang").select("row_id", part.alias("part"), "label_id")
 
 
