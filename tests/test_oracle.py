@@ -13,7 +13,7 @@ from tests.harness import compare, duck
 FAST = ["top_words_by_lang", "clean_document", "clean_text", "tokenize_en", "ngrams", "nterms", "word_freq",
         "bow", "idf", "encode_ids", "avg_vector", "corrupt_label", "scale_standard", "domain_value",
         "metric_auc", "discover_corrupted", "best_bin", "graph_normalized", "graph_propagate", "jaccard",
-        "bow_char_pair", "fuzzy_join", "read_vocab", "stream_clean_str"]
+        "bow_char_pair", "fuzzy_join", "edit_dist", "str_match", "read_vocab", "stream_clean_str"]
 
 
 def _keys():
