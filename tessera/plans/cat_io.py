@@ -15,6 +15,7 @@ from ..sources import readers as RD
 from ..sources import writers as W
 from ..tables import spread, table
 from .registry import register
+from .documents import clean_document_sql
 from .tasks import CORPUS_TOKENS_SQL, LANG_TASK_SQL, WORD_VECTORS_SQL, lang_task, word_vectors
 
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -161,7 +162,12 @@ def read_matrix(spark, sf_dir):
         "v", F.round(F.col("v").cast("double"), 6))
 
 
-@register("read_corpus")
+@register("read_corpus", sql=f"""WITH {clean_document_sql()}, {LANG_TASK_SQL},
+meta AS (SELECT l.row_id + 1 AS doc_id, l.split, d.lang FROM lang_task l JOIN documents d ON d.doc_id = l.row_id),
+lab AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS label_id FROM meta GROUP BY lang),
+per AS (SELECT doc_id + 1 AS doc_id, count(*) AS n FROM cd_tokens GROUP BY doc_id)
+SELECT m.doc_id, CASE WHEN instr(m.split, 'test') > 0 THEN 'test' WHEN instr(m.split, 'train') > 0 THEN 'train' ELSE 'other' END AS part,
+lab.label_id, coalesce(per.n, 0) AS n_ids FROM meta m JOIN lab ON lab.lang = m.lang LEFT JOIN per ON per.doc_id = m.doc_id""")
 def read_corpus(spark, sf_dir):
     """Corpus lines + meta lines (name, split, label): clean, build the vocabulary,
     encode; labels get ids by first appearance and 'test' wins over 'train'."""
