@@ -44,7 +44,7 @@ def main():
         spark.catalog.clearCache()
     # one REINFORCE iteration (predictor fit in the loop) and scoring of every row
     data = VA.lang_features(spark, sf_dir)
-    tr = VA.ValuerTrainer(data)
+    tr = VA.ValuerTrainer(data, predictor="logistic", moving_baseline=0.9)
     t0 = time.time()
     tr.prepare()
     times["valuer_prepare"] = round(time.time() - t0, 3)

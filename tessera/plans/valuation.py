@@ -114,8 +114,12 @@ class ValuerTrainer:
     """REINFORCE data valuation with a Spark ML predictor in the loop."""
 
     def __init__(self, data: TaskData, hidden: int = 100, comb: int = 10, batch_size: int = 2000,
-                 lr: float = 0.01, seed: int = SEED, perf: str = "accuracy", predictor_iter: int = 30):
+                 lr: float = 0.01, seed: int = SEED, perf: str = "accuracy", predictor_iter: int = 30,
+                 predictor: str | None = None, moving_baseline: float | None = None):
+        """``moving_baseline`` (e.g. 0.9) subtracts an exponential moving average of
+        past rewards (variance reduction); None keeps the fixed baseline metric."""
         self.data, self.seed, self.perf, self.predictor_iter = data, seed, perf, predictor_iter
+        self.predictor, self.moving_baseline, self._avg_reward = predictor, moving_baseline, None
         self.params = VL.init_params(data.d, data.k, hidden, comb, seed)
         self.theta = VL.flatten(self.params)
         self.adam = VL.Adam(lr)
@@ -125,8 +129,8 @@ class ValuerTrainer:
 
     def prepare(self):
         d = self.data
-        self.base_model = fit(d.train, max_iter=self.predictor_iter)
-        self.valid_model = fit(d.valid, max_iter=self.predictor_iter)
+        self.base_model = fit(d.train, max_iter=self.predictor_iter, kind=self.predictor)
+        self.valid_model = fit(d.valid, max_iter=self.predictor_iter, kind=self.predictor)
         self.base_metric = metric(predict(self.base_model, d.valid), self.perf, d.k)
         scored = predict(self.valid_model, d.train)
         x = vector_to_array("features")
@@ -155,12 +159,18 @@ class ValuerTrainer:
         if not st["ns"]:  # nothing selected: redraw every row with probability one half
             chosen = rows.filter(uniform(self.seed + 10_000 + it, "row_id") < 0.5).select("row_id")
         sel = src.join(chosen, "row_id", "left_semi").select("features", "y")
-        model = fit(sel, max_iter=self.predictor_iter)
+        model = fit(sel, max_iter=self.predictor_iter, kind=self.predictor)
         reward = metric(predict(model, self.data.valid), self.perf, self.data.k) - self.base_metric
+        signal = reward
+        if self.moving_baseline is not None:
+            if self._avg_reward is None:
+                self._avg_reward = reward
+            signal = reward - self._avg_reward
+            self._avg_reward = self.moving_baseline * self._avg_reward + (1 - self.moving_baseline) * reward
         g = out.filter(F.col("row_id") < 0).agg(
             Summarizer.sum(array_to_vector("g_ll")).alias("a"), Summarizer.sum(array_to_vector("g_v")).alias("b")
         ).first()
-        grad = VL.loss_gradient(g["a"].toArray(), g["b"].toArray(), reward, st["mv"], st["n"])
+        grad = VL.loss_gradient(g["a"].toArray(), g["b"].toArray(), signal, st["mv"], st["n"])
         self.theta = self.adam.step(self.theta, grad)
         out.unpersist()
         self.history.append((it, reward, st["mv"]))
