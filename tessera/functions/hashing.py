@@ -31,9 +31,3 @@ def uniform_sql(seed, row_id_sql: str) -> str:
     """DuckDB / ANSI form of :func:`uniform`."""
     return (f"(CAST(('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({row_id_sql} AS VARCHAR)), 1, 8))"
             f" AS BIGINT) / {TWO_32})")
-
-
-def fast_uniform(*cols) -> Column:
-    """Cheaper uniform for inner training loops: xxhash64 of the key columns mapped to [0, 1)."""
-    h = F.xxhash64(*[_col(c) for c in cols])
-    return (F.pmod(h, F.lit(1 << 53)).cast("double")) / F.lit(float(1 << 53))

@@ -52,12 +52,6 @@ def argmax_index(arr: Column) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def top_n(df: DataFrame, order, n: int) -> DataFrame:
-    """The n first rows under ``order`` (TakeOrderedAndProject: a per-partition top-n,
-    then a merge of n rows per partition)."""
-    return df.orderBy(*_cols(order)).limit(n)
-
-
 def prefix_sum(df: DataFrame, groups, order, values, suffix: str = "_before") -> DataFrame:
     """Exclusive running sums of ``values`` along ``order`` inside each (low-cardinality)
     group, without a single-task window: range partitions, in-partition running

@@ -8,10 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sides below this many rows may be broadcast; anything else is shuffled.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "tessera", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench. On a cluster the launcher's settings win
@@ -50,13 +46,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only for a side whose row count is checked against ``limit``.
-
-    The count is one cheap aggregate job; above the bound the plain DataFrame is
-    returned and Catalyst/AQE pick a shuffle join.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
