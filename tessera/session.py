@@ -32,9 +32,35 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (once per application):
+    the package is zipped next to its source and registered with ``addPyFile``, which
+    is how Spark distributes Python code to executors."""
+    import zipfile
+    from pathlib import Path
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out_dir = pkg.parent / "build"
+    out_dir.mkdir(exist_ok=True)
+    out = out_dir / f"tessera-{app}.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir`` (a shared folder); only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
+    unset (local tests) fall back to a fresh scratch folder. Also ships the package
+    to the Python workers."""
+    ship_package(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
