@@ -33,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 _SHIPPED: set = set()
+_CHECKPOINTED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -46,9 +47,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = Path(__file__).resolve().parent
-    out_dir = pkg.parent / "build"
-    out_dir.mkdir(exist_ok=True)
-    out = out_dir / f"tessera-{app}.zip"
+    # the driver's own scratch folder: the source tree may be read-only, and Spark
+    # copies the file to the executors itself
+    out = Path(tempfile.mkdtemp(prefix="tessera-ship-")) / f"tessera-{app}.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(pkg.rglob("*.py")):
             z.write(f, f.relative_to(pkg.parent).as_posix())
@@ -57,18 +58,28 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir`` (a shared folder); only when it is
-    unset (local tests) fall back to a fresh scratch folder. Also ships the package
-    to the Python workers."""
+    """Use the cluster's ``spark.checkpoint.dir`` (a shared folder). A ``local[...]``
+    master without that setting (tests) gets a fresh scratch folder; on a cluster the
+    setting is required, because a machine-local folder is not shared. Also ships the
+    package to the Python workers."""
     ship_package(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.applicationId not in _CHECKPOINTED:
+        spark.sparkContext.setCheckpointDir(d)
+        _CHECKPOINTED.add(spark.sparkContext.applicationId)
     return d
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (``local``, ``local[n]``), not a cluster."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
