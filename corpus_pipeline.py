@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, simhash
-from tessera.llm.common import release, scratch_path
+from tessera.llm import decontaminate, mixing, quality, simhash, token_store
+from tessera.llm.common import scratch_path
+from tessera.llm.queries import TOKENIZER
 from tessera.tables import table
 
 
@@ -22,9 +23,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # the next stage puts documents in order of doc_id, so the shards' order isn't kept
+    return mixing.mixed_documents(docs, ordered=False)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.documents(spark, token_store.store(docs, TOKENIZER))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-ID / binary output", token_output),
 ]
 
 ORACLE_SQL = None  # SimHash, edit verification and the tokenizer have no SQL form
