@@ -52,6 +52,7 @@ KEEP_TAGS = frozenset("html body article main".split())
 GOOD_WORDS = frozenset("article body content entry main page post text blog story".split())
 START_SCORE = {"article": 10, "main": 8, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3,
                "address": -3, "th": -5}
+_CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 
@@ -199,7 +200,7 @@ def _best(order: list[Node]) -> Node | None:
     return max(scored, key=lambda n: n.score, default=None)
 
 
-def _kept(best: Node, root: Node) -> list[Node]:
+def _kept(best: Node) -> list[Node]:
     around = best
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
@@ -246,13 +247,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(_CUT_TAG.sub("", html))
     tree.close()
-    order = _measure(tree.root)
-    best = _best(order)
-    if best is None:
-        return ""
-    return "\n".join(_blocks(_kept(best, tree.root)))
+    best = _best(_measure(tree.root)) or tree.root
+    return "\n".join(_blocks(_kept(best)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
