@@ -1,16 +1,9 @@
-"""Pair similarity functions: built-in expressions where Spark has them, two
-Arrow-batched pandas UDFs (stdlib ``difflib`` / ``lzma``) where it has none."""
+"""Pair similarity functions as built-in expressions."""
 
 from __future__ import annotations
 
-import difflib
-import lzma
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType
 
 
 def _c(c) -> Column:
@@ -61,39 +54,3 @@ def char_ngrams(text, n_min: int = 1, n_max: int = 3) -> Column:
     parts = [F.when(L >= n, F.transform(F.sequence(F.lit(0), L - n), lambda i: F.substring(t, i + 1, n)))
              .otherwise(F.array().cast("array<string>")) for n in range(n_min, n_max + 1)]
     return F.concat(*parts)
-
-
-# -- Arrow-batched helpers (whole texts, one call per batch) -------------------
-
-def _longest(a: str, b: str) -> int:
-    if a is None or b is None:
-        return None
-    sm = difflib.SequenceMatcher(lambda x: x == " ", a, b)
-    return sm.find_longest_match(0, len(a), 0, len(b)).size
-
-
-@pandas_udf(IntegerType())
-def longest_match_size(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_longest(x, y) for x, y in zip(a, b)], dtype="Int32")
-
-
-def longest_match_ratio(a, b) -> Column:
-    m = F.least(F.length(_c(a)), F.length(_c(b)))
-    return F.coalesce(F.try_divide(longest_match_size(_c(a), _c(b)).cast("double"), m), F.lit(0.0))
-
-
-def _ncd(x: str, y: str) -> float:
-    if x is None or y is None:
-        return None
-    if x == y:
-        return 0.0
-    xb, yb = x.encode("utf-8"), y.encode("utf-8")
-    lx, ly = len(lzma.compress(xb)), len(lzma.compress(yb))
-    lxy, lyx = len(lzma.compress(xb + yb)), len(lzma.compress(yb + xb))
-    den = max(lx, ly)
-    return (min(lxy, lyx) - min(lx, ly)) / den if den else 0.0
-
-
-@pandas_udf(DoubleType())
-def compression_dist(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ncd(x, y) for x, y in zip(a, b)], dtype="float64")

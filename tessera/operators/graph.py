@@ -3,20 +3,17 @@
 Input: encoded tokens ``(doc_id, tpos, node)`` (node = word id, 0 = unknown).
 Graphs are never densified: nodes ``(doc_id, node)``, edges ``(doc_id, src, dst, w)``.
 Window pairs come from array-local slices (no range join), every shuffle is keyed
-by document (and node), and a document's size is bounded by the cleaning plan's
-truncation.
+by document and node, and hops are joins and sums of edges, so one long document is
+spread over tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import cut_lineage
 
@@ -102,90 +99,35 @@ def propagate(adj: DataFrame, h: DataFrame, hops: int, checkpoint_every: int = 2
     return cur
 
 
-def dense_layer(weights: np.ndarray, bias: np.ndarray):
-    """Arrow-batched ``x W + b`` for an array<double> column (weights are small and
-    travel inside the function closure)."""
-    w = np.asarray(weights, dtype="float64")
-    b = np.asarray(bias, dtype="float64")
+def hop_scalars(adj: DataFrame, x: DataFrame, hops: int, transposed: bool = False) -> DataFrame:
+    """``x (doc_id, node, s)`` after ``hops`` steps of s <- A s (or A^T s)."""
+    near, far = ("dst", "src") if transposed else ("src", "dst")
+    for _ in range(hops):
+        x = (adj.join(x.withColumnRenamed("node", far), ["doc_id", far]).groupBy("doc_id", near)
+             .agg(F.sum(F.col("w") * F.col("s")).alias("s")).withColumnRenamed(near, "node"))
+    return x
 
-    @pandas_udf(ArrayType(DoubleType()))
-    def layer(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        m = np.stack(x.to_numpy()) @ w + b
-        return pd.Series(list(m))
-    return layer
 
+def dot(vec, weights) -> F.Column:
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
-def attention_pool(h: DataFrame, weights: np.ndarray, bias: np.ndarray, att_w: np.ndarray,
+
+def attention_pool(adj: DataFrame, h: DataFrame, hops: int, weights: np.ndarray, bias: np.ndarray, att_w: np.ndarray,
                    att_b: float) -> DataFrame:
-    """Document vector = sum over nodes of softmax(relu(a . h' + c)) * h', h' = h W + b."""
-    hp = h.select("doc_id", "node", dense_layer(weights, bias)("vec").alias("hp"))
-    aw = F.array(*[F.lit(float(v)) for v in att_w])
-    score = F.greatest(F.lit(0.0), F.aggregate(F.zip_with("hp", aw, lambda x, y: x * y), F.lit(float(att_b)),
-                                                lambda acc, x: acc + x))
-    hp = hp.withColumn("s", score)
-    mx = hp.groupBy("doc_id").agg(F.max("s").alias("mx"))
-    hp = hp.join(mx, "doc_id").withColumn("e", F.exp(F.col("s") - F.col("mx")))
-    agg = hp.groupBy("doc_id").agg(Summarizer.sum(array_to_vector("hp"), F.col("e")).alias("num"),
-                                   F.sum("e").alias("den"))
-    return agg.select("doc_id", F.transform(vector_to_array("num"), lambda x: x / F.col("den")).alias("vec"))
-
-
-# ---------------------------------------------------------------------------
-# Per-document fast path: documents are bounded groups (the cleaning plan caps
-# their kept words), so K hops run inside one task per document in NumPy with
-# sparse accumulation (O(edges x dim) per hop, no dense n x n matrix), and no
-# shuffle is needed between hops.
-# ---------------------------------------------------------------------------
-
-def _hops_fn(hops: int, dim: int):
-    def run(adj_pdf: pd.DataFrame, h_pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(h_pdf) == 0:
-            return pd.DataFrame({"doc_id": [], "node": [], "vec": []})
-        doc = int(h_pdf["doc_id"].iloc[0])
-        node_ids = h_pdf["node"].to_numpy()
-        index = {int(n): i for i, n in enumerate(node_ids)}
-        h = np.stack(h_pdf["vec"].to_numpy()).astype("float64")
-        if len(adj_pdf):
-            src = np.fromiter((index[int(x)] for x in adj_pdf["src"]), dtype=np.int64, count=len(adj_pdf))
-            dst = np.fromiter((index[int(x)] for x in adj_pdf["dst"]), dtype=np.int64, count=len(adj_pdf))
-            w = adj_pdf["w"].to_numpy()[:, None]
-            for _ in range(hops):
-                out = np.zeros_like(h)
-                np.add.at(out, src, w * h[dst])
-                h = out
-        else:
-            h = np.zeros_like(h)
-        return pd.DataFrame({"doc_id": np.full(len(node_ids), doc), "node": node_ids, "vec": list(h)})
-    return run
-
-
-def propagate_by_document(adj: DataFrame, h: DataFrame, hops: int) -> DataFrame:
-    """Same result as :func:`propagate`, computed per document (cogrouped by doc_id)."""
-    dim_schema = "doc_id long, node int, vec array<double>"
-    # fresh column identities on both sides (they share ancestry)
-    a = adj.select(F.col("doc_id").alias("doc_id"), F.col("src").cast("int").alias("src"),
-                   F.col("dst").cast("int").alias("dst"), F.col("w").alias("w"))
-    b = h.select(F.col("doc_id").alias("doc_id"), F.col("node").cast("int").alias("node"), F.col("vec").alias("vec"))
-    return a.groupBy(a["doc_id"]).cogroup(b.groupBy(b["doc_id"])).applyInPandas(_hops_fn(hops, 0), dim_schema)
-
-
-def _pool_fn(weights, bias, att_w, att_b):
-    w = np.asarray(weights, dtype="float64")
-    b = np.asarray(bias, dtype="float64")
-    a = np.asarray(att_w, dtype="float64")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.stack(pdf["vec"].to_numpy()) @ w + b
-        s = np.maximum(h @ a + att_b, 0.0)
-        e = np.exp(s - s.max())
-        vec = (e[:, None] * h).sum(axis=0) / e.sum()
-        return pd.DataFrame({"doc_id": [int(pdf["doc_id"].iloc[0])], "vec": [vec]})
-    return run
-
-
-def attention_pool_by_document(h: DataFrame, weights, bias, att_w, att_b) -> DataFrame:
-    """Attention pooling per document in one grouped pass (NumPy inside the task)."""
-    return (h.select("doc_id", "vec").groupBy("doc_id")
-            .applyInPandas(_pool_fn(weights, bias, att_w, att_b), "doc_id long, vec array<double>"))
+    """Document vector = sum over nodes of softmax(relu(a . g + c)) g with g = (A^k h) W + b.
+
+    Everything is linear but the softmax, so only scalars travel along edges: node scores
+    are A^k (h W a), the pooled state is the sum over nodes of (A^T)^k softmax times h, and
+    W is applied once per document. ``h (doc_id, node, vec)`` are the node features."""
+    w, b, a = (np.asarray(x, dtype="float64") for x in (weights, bias, att_w))
+    score = hop_scalars(adj, h.select("doc_id", "node", dot("vec", w @ a).alias("s")), hops)
+    score = score.withColumn("s", F.greatest(F.lit(0.0), F.col("s") + F.lit(float(b @ a + att_b))))
+    top = score.groupBy("doc_id").agg(F.max("s").alias("top"))
+    e = score.join(top, "doc_id").withColumn("s", F.exp(F.col("s") - F.col("top"))).drop("top")
+    total = e.groupBy("doc_id").agg(F.sum("s").alias("total"))
+    share = e.join(total, "doc_id").select("doc_id", "node", (F.col("s") / F.col("total")).alias("s"))
+    back = hop_scalars(adj, share, hops, transposed=True)
+    pooled = (h.join(back, ["doc_id", "node"]).groupBy("doc_id").agg(Summarizer.sum(array_to_vector("vec"), F.col("s")).alias("m"))
+              .select("doc_id", vector_to_array("m").alias("m")))
+    return pooled.select("doc_id", F.array(*[dot("m", w[:, j]) + F.lit(float(b[j])) for j in range(w.shape[1])]).alias("vec"))

@@ -30,7 +30,10 @@ def neg_log_loss(df: DataFrame, y: str = "y", p: str = "p", by=None, eps: float
 
 
 def rmspe(df: DataFrame, y: str = "y", pred: str = "pred", by=None) -> DataFrame:
-    r = F.try_divide(F.col(y) - F.col(pred), F.col(y))
+    """Root mean square percentage error. A row with y = 0 counts 0 if it is predicted
+    exactly and makes the result infinite otherwise (division by zero, not left out)."""
+    d = F.col(y) - F.col(pred)
+    r = F.when(F.col(y) == 0, F.when(d == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(d, F.col(y)))
     return df.groupBy(*_by(by)).agg(F.sqrt(F.avg(r * r)).alias("rmspe"))
 
 

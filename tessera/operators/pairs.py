@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_dist
+from .tokens import salted_join
 
 
 def consecutive_pairs(df: DataFrame, group: str, order: str, cols) -> DataFrame:
@@ -80,7 +81,8 @@ def fuzzy_join(strings: DataFrame, col: str, threshold: float) -> DataFrame:
     q = q.select("s", "lr", "i", F.explode(F.sequence("a", "b")).alias("p"), "ln")
     q = q.select("s", "lr", "i", F.substring("s", F.col("p") + 1, F.col("ln")).alias("seg"))
 
-    cand = (r.join(q, ["seg", "i", "lr"]).filter(F.col("r") != F.col("s"))
+    # short common segments are hot keys: the longer strings' rows are salted
+    cand = (salted_join(q, r, ["seg", "i", "lr"], "inner", "s", salts=8).filter(F.col("r") != F.col("s"))
             .select(F.least("r", "s").alias("left"), F.greatest("r", "s").alias("right")).distinct())
     sim = F.lit(1.0) - edit_dist(F.col("left"), F.col("right"))
     return cand.withColumn("sim", sim).filter(F.col("sim") >= F.lit(float(threshold)))

@@ -31,7 +31,7 @@ def binarize(col, threshold: float = 0.0) -> Column:
 def shift_label(col) -> Column:
     """Drop the first character, read an int, subtract one."""
     c = F.col(col) if isinstance(col, str) else col
-    return (F.substring(c, 2, 1 << 20).try_cast("int") - 1).cast("int")
+    return (F.substring(c, F.lit(2), F.length(c)).try_cast("int") - 1).cast("int")
 
 
 def first_char_label(col) -> Column:
@@ -40,15 +40,10 @@ def first_char_label(col) -> Column:
     return (F.substring(c, 1, 1).try_cast("int") - 1).cast("int")
 
 
-def one_hot(df: DataFrame, col: str, categories=None, prefix: str | None = None) -> DataFrame:
-    """A 0/1 int column ``{prefix}_{value}`` per category (null -> all zero); other
-    columns pass through. Categories default to the sorted distinct values, which
-    are collected (a bounded list: one entry per category, checked)."""
-    if categories is None:
-        vals = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(10_001).collect()
-        if len(vals) > 10_000:
-            raise ValueError(f"{col}: too many categories for one column each; use an encoder vector")
-        categories = sorted(r[0] for r in vals)
+def one_hot(df: DataFrame, col: str, categories, prefix: str | None = None) -> DataFrame:
+    """A 0/1 int column ``{prefix}_{value}`` per listed category (null and unlisted values
+    are all zero); other columns pass through. The caller lists the categories, since they
+    become columns; for an open set use a hashed or indexed vector column instead."""
     prefix = prefix or col
     cols = [F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in categories]
     return df.select(*[c for c in df.columns if c != col], *cols)

@@ -20,25 +20,35 @@ def shuffle_rank(df: DataFrame, seed: int, key: str = "row_id", out: str = "sran
 
 
 def corrupt_label(df: DataFrame, rate: float, seed: int = 42, key: str = "row_id", y: str = "y",
-                  classes=None) -> DataFrame:
-    """Exactly ``int(n * rate)`` rows get a uniformly drawn *other* observed class.
+                  classes=None, max_classes: int = 10_000) -> DataFrame:
+    """Exactly ``int(n * rate)`` rows get a uniformly drawn *other* observed class, n being
+    the rows with a label.
 
-    Adds ``y_clean`` (original), ``is_noisy``; ``y`` holds the possibly flipped label.
-    The observed class list is a bounded aggregate (one entry per class).
+    Adds ``y_clean`` (original), ``is_noisy``; ``y`` holds the possibly flipped label. Rows
+    without a label are returned unchanged, and so are all rows when there is no other
+    class. Give narrow rows (key and label): all rows pass a range sort. ``classes`` is the
+    caller's list; by default the observed classes, ``max_classes`` at most.
     """
-    n = df.count()
-    n_noisy = int(n * rate)
     if classes is None:
-        classes = sorted(r[0] for r in df.select(y).distinct().collect())
-    ranked = shuffle_rank(df, seed, key)
+        found = df.select(y).filter(F.col(y).isNotNull()).distinct().limit(max_classes + 1).collect()
+        if len(found) > max_classes:
+            raise ValueError(f"{y} has more than {max_classes} values; give the list of classes")
+        classes = sorted(r[0] for r in found)
+    same = df.withColumn("y_clean", F.col(y)).withColumn("is_noisy", F.lit(False)).withColumn(y, F.col(y).cast("int"))
+    if len(classes) < 2:
+        return same
+    labelled = df.filter(F.col(y).isNotNull())
+    n_noisy = int(labelled.count() * rate)
+    ranked = shuffle_rank(labelled, seed, key)
     cls = F.array(*[F.lit(c) for c in classes])
     others = F.array_except(cls, F.array(F.col(y)))
-    pick = F.floor(uniform(seed + 1, key) * (len(classes) - 1)).cast("int")
+    pick = F.floor(uniform(seed + 1, key) * F.size(others)).cast("int")
     noisy = F.col("srank") < n_noisy
-    return (ranked.withColumn("y_clean", F.col(y))
-            .withColumn("is_noisy", noisy)
-            .withColumn(y, F.when(noisy, F.element_at(others, pick + 1)).otherwise(F.col(y)).cast("int"))
-            .drop("srank"))
+    out = (ranked.withColumn("y_clean", F.col(y))
+           .withColumn("is_noisy", noisy)
+           .withColumn(y, F.when(noisy, F.element_at(others, pick + 1)).otherwise(F.col(y)).cast("int"))
+           .drop("srank"))
+    return out.unionByName(same.filter(F.col(y).isNull()))
 
 
 def split_rates(u: Column, rates) -> Column:

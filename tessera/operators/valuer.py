@@ -107,36 +107,55 @@ def _stack(col) -> np.ndarray:
     return np.stack(col.to_numpy()) if len(col) else np.zeros((0, 0))
 
 
-def pass_function(params_flat: np.ndarray, like: dict, k: int, it: int, seed: int, with_grad: bool = True):
-    """mapInPandas body: per row (row_id, v, s, g_ll=None, g_v=None), then one partial
-    gradient row (row_id=-1) per partition."""
+def dense(i, v, d: int) -> np.ndarray:
+    """Sparse rows (index arrays, value arrays) as one matrix; made per Arrow batch."""
+    out = np.zeros((len(i), d))
+    row = np.repeat(np.arange(len(i)), [len(x) for x in i])
+    if len(row):
+        out[row, np.concatenate(i.to_numpy())] = np.concatenate(v.to_numpy())
+    return out
+
+
+def pass_function(params_flat: np.ndarray, like: dict, k: int, d: int, it: int, seed: int, with_grad: bool = True):
+    """mapInPandas body over (row_id, y, diff, i, v, n): per row (row_id, v, s), then one
+    row per task (row_id=-1) with its partial gradients and, for the selected rows, the
+    class counts followed by the class-term counts."""
     p = unflatten(params_flat, like)
 
     def run(batches):
-        g_ll = None
-        g_v = None
+        total = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = _stack(pdf["x"])
-            yoh = np.eye(k)[pdf["y"].to_numpy().astype(int)]
-            diff = _stack(pdf["diff"])
-            v, cache = forward(p, x, yoh, diff)
+            y = pdf["y"].to_numpy().astype(int)
+            v, cache = forward(p, dense(pdf["i"], pdf["v"], d), np.eye(k)[y], _stack(pdf["diff"]))
             ids = pdf["row_id"].to_numpy()
             s = (row_uniform(ids, it, seed) < v).astype(np.float64)
-            yield pd.DataFrame({"row_id": ids, "v": v, "s": s, "g_ll": [None] * len(ids), "g_v": [None] * len(ids)})
+            none = [None] * len(ids)
+            yield pd.DataFrame({"row_id": ids, "v": v, "s": s, "g_ll": none, "g_v": none, "stats": none})
             if with_grad:
-                a = flatten(backward(p, cache, s - v))
-                b = flatten(backward(p, cache, v * (1 - v)))
-                g_ll = a if g_ll is None else g_ll + a
-                g_v = b if g_v is None else g_v + b
-        if with_grad and g_ll is not None:
-            yield pd.DataFrame({"row_id": [-1], "v": [np.nan], "s": [np.nan], "g_ll": [g_ll.tolist()],
-                                "g_v": [g_v.tolist()]})
+                chosen = np.eye(k)[y] * s[:, None]
+                part = (flatten(backward(p, cache, s - v)), flatten(backward(p, cache, v * (1 - v))),
+                        np.concatenate([chosen.sum(0), (chosen.T @ dense(pdf["i"], pdf["n"], d)).ravel()]))
+                total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
+        if total is not None:
+            yield pd.DataFrame({"row_id": [-1], "v": [np.nan], "s": [np.nan], "g_ll": [total[0].tolist()],
+                                "g_v": [total[1].tolist()], "stats": [total[2].tolist()]})
     return run
 
 
-PASS_SCHEMA = "row_id long, v double, s double, g_ll array<double>, g_v array<double>"
+PASS_SCHEMA = "row_id long, v double, s double, g_ll array<double>, g_v array<double>, stats array<double>"
+
+
+def nb_function(prior: np.ndarray, term: np.ndarray):
+    """mapInPandas body over (row_id, y, i, v): class probabilities of a naive Bayes model."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                raw = dense(pdf["i"], pdf["v"], term.shape[1]) @ term.T + prior
+                e = np.exp(raw - raw.max(1, keepdims=True))
+                yield pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "p": list(e / e.sum(1, keepdims=True))})
+    return run
 
 
 class Adam:

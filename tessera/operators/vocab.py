@@ -1,9 +1,9 @@
 """Vocabularies, bag-of-words, document frequencies and id encoding.
 
 Token input is always the long table ``(doc_id, [sent,] pos, word)``. A vocabulary
-capped by ``max_features`` is a top-k report (TakeOrderedAndProject) and therefore
-has a proven size bound, which is what allows broadcasting it; an uncapped
-vocabulary is joined by shuffle and ranked with the distributed rank.
+capped by ``max_features`` is a top-k report (TakeOrderedAndProject); an uncapped one is
+ranked with the distributed rank. Joins of tokens with a vocabulary are salted, since few
+words hold most tokens, and carry no hint.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import global_rank
-from .tokens import word_freq
+from .tokens import salted_join, word_freq
 
 
 def build_vocab(tokens: DataFrame, max_features: int | None = None, word: str = "word",
@@ -30,17 +30,14 @@ def build_vocab(tokens: DataFrame, max_features: int | None = None, word: str =
     return ranked.withColumn("word_id", (F.col("word_id") + first_id).cast("int"))
 
 
-def bounded(vocab: DataFrame, max_features: int | None) -> DataFrame:
-    """Broadcast hint only when the vocabulary size is bounded by construction."""
-    return F.broadcast(vocab) if max_features is not None and max_features <= 1_000_000 else vocab
-
-
 def bow(tokens: DataFrame, vocab: DataFrame, max_features: int | None = None,
         key: str = "doc_id", word: str = "word") -> DataFrame:
-    """Sparse document x term counts ``(key, word_id, n)`` over a vocabulary."""
-    v = bounded(vocab.select(word, "word_id"), max_features)
-    return (tokens.join(v, word).groupBy(key, "word_id")
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Sparse document x term counts ``(key, word_id, n)`` over a vocabulary. Tokens are
+    counted by (document, word) first; the join with the vocabulary is salted and unhinted
+    (a small vocabulary is broadcast by the planner's own size check)."""
+    counts = tokens.groupBy(key, word).agg(F.count(F.lit(1)).alias("n"))
+    out = salted_join(counts, vocab.select(word, "word_id"), word, "inner", key)
+    return out.select(key, "word_id", "n")
 
 
 def doc_freq(tokens: DataFrame, key: str = "doc_id", word: str = "word") -> DataFrame:
@@ -64,12 +61,32 @@ def max_idf(idf_table: DataFrame) -> float:
     return float(row["m"]) if row and row["m"] is not None else 1.0 + math.log(1.0)
 
 
-def encode_ids(tokens: DataFrame, vocab: DataFrame, word: str = "word", oov: int = 0) -> DataFrame:
+def encode_ids(tokens: DataFrame, vocab: DataFrame, word: str = "word", oov: int = 0, key: str = "doc_id") -> DataFrame:
     """Word -> id (unknown words -> ``oov``), all token columns kept."""
-    return (tokens.join(vocab.select(word, "word_id"), word, "left")
+    return (salted_join(tokens, vocab.select(word, "word_id"), word, "left", key)
             .withColumn("word_id", F.coalesce(F.col("word_id"), F.lit(oov)).cast("int")))
 
 
+def nested_ids(encoded: DataFrame, key: str = "doc_id", sent: str = "sent", pos: str = "pos") -> DataFrame:
+    """``(key, ids array<array<int>>)``: each document's sentences as id lists, in order
+    (sentences without a kept word are left out)."""
+    by_sent = (encoded.groupBy(key, sent).agg(F.array_sort(F.collect_list(F.struct(pos, "word_id"))).alias("s"))
+               .select(key, sent, F.transform("s", lambda x: x["word_id"]).alias("s")))
+    return (by_sent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(sent, "s"))).alias("d"))
+            .select(key, F.transform("d", lambda x: x["s"]).alias("ids")))
+
+
+def printed(ids) -> F.Column:
+    """``[[1, 2], [3]]``: the stored text form of nested ids."""
+    one = F.transform(ids, lambda s: F.concat(F.lit("["), F.array_join(s.cast("array<string>"), ", "), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]"))
+
+
+def padded(ids, length: int, pad: int = 0) -> F.Column:
+    """An id list cut or filled up to ``length``."""
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(pad), length)), 1, length)
+
+
 def row_normalize(counts: DataFrame, key: str = "doc_id", value: str = "n") -> DataFrame:
     """Divide each entry by its row sum (zero-sum rows give 0)."""
     sums = counts.groupBy(key).agg(F.sum(value).alias("_s"))

@@ -3,21 +3,30 @@ cleaning plan's own truncation), window 4, node ids from the clean vocabulary.""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import vocab as V
+from ..session import cut_lineage
 from ..tables import spread, table
 from .documents import clean_document, clean_document_sql
 from .registry import register
-from .tasks import CORPUS_TOKENS_SQL, WORD_VECTORS_SQL, word_vectors
+from .tasks import CORPUS_TOKENS_SQL, LANG_TASK_SQL, WORD_VECTORS_SQL, lang_task, word_vectors
 
 WINDOW = 4
 HOPS = 2
+DIM = 64
+
+
+def hash_weight(*name) -> float:
+    """A fixed number in [-1/8, 1/8) from the md5 of its name."""
+    h = int(hashlib.md5("/".join(map(str, name)).encode()).hexdigest()[:8], 16)
+    return (h / 2.0 ** 31 - 1.0) / np.sqrt(DIM)
+
+
 CD = clean_document_sql()
 ENC_SQL = (f"{CD}, cv AS (SELECT word, CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS word_id "
            f"FROM (SELECT DISTINCT word FROM cd_tokens)), "
@@ -37,8 +46,8 @@ def _encoded(spark, sf_dir):
     cc = clean_document(docs)
     vocab = V.build_vocab(cc.tokens.select("word"), None, first_id=1)
     enc = V.encode_ids(cc.tokens, vocab).select("doc_id", "tpos", F.col("word_id").alias("node"))
-    # reused by nodes, edges, degrees and features: materialise once
-    return enc.persist(StorageLevel.MEMORY_AND_DISK), vocab
+    # reused by nodes, edges, degrees and features: written once, nothing stays cached
+    return cut_lineage(enc), cut_lineage(vocab)
 
 
 @register("graph_nodes", sql=f"WITH {ENC_SQL} SELECT DISTINCT doc_id, node FROM enc")
@@ -53,41 +62,39 @@ def graph_term_counts(spark, sf_dir):
     return G.term_counts(enc)
 
 
-@register("cooccur_join", sql=f"""WITH {ENC_SQL}, {PAIRS_SQL}
-SELECT doc_id, count(*) AS n_pairs, count(*) FILTER (WHERE src = dst) AS n_same FROM wp GROUP BY doc_id""")
+@register("cooccur_join", sql=f"WITH {ENC_SQL}, {PAIRS_SQL} SELECT doc_id, src, dst, count(*) AS n FROM wp GROUP BY 1, 2, 3")
 def cooccur_join(spark, sf_dir):
+    """Every pair of nodes within the window, with the number of position pairs (a node
+    with itself included)."""
     enc, _ = _encoded(spark, sf_dir)
-    p = G.window_pairs(G.sequences(enc), WINDOW)
-    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"),
-                                   F.sum((F.col("src") == F.col("dst")).cast("bigint")).alias("n_same"))
+    return (G.window_pairs(G.sequences(enc), WINDOW).groupBy("doc_id", "src", "dst").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _edge_summary(e):
-    return e.groupBy("doc_id", "src").agg(F.count(F.lit(1)).alias("n_nbrs"), F.round(F.sum("w"), 6).alias("w_sum"),
-                                          F.round(F.max("w"), 6).alias("w_max"))
+def _edges_out(e):
+    return e.select("doc_id", "src", "dst", F.round("w", 6).alias("w"))
 
 
-_EDGE_SUM = "SELECT doc_id, src, count(*) AS n_nbrs, round(sum(w), 6) AS w_sum, round(max(w), 6) AS w_max FROM {t} GROUP BY 1, 2"
+_EDGES_OUT = "SELECT doc_id, src, dst, round(w, 6) AS w FROM {t}"
 
 
-@register("graph_edges", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL} " + _EDGE_SUM.format(t="ed"))
+@register("graph_edges", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL} " + _EDGES_OUT.format(t="ed"))
 def graph_edges(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(G.edges(G.sequences(enc), WINDOW))
+    return _edges_out(G.edges(G.sequences(enc), WINDOW))
 
 
 @register("graph_symmetric", sql=f"""WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL},
 sy AS (SELECT doc_id, src, dst, max(w) AS w FROM (SELECT doc_id, src, dst, w FROM ed UNION ALL
-       SELECT doc_id, dst, src, w FROM ed) GROUP BY 1, 2, 3) """ + _EDGE_SUM.format(t="sy"))
+       SELECT doc_id, dst, src, w FROM ed) GROUP BY 1, 2, 3) """ + _EDGES_OUT.format(t="sy"))
 def graph_symmetric(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(G.symmetric(G.edges(G.sequences(enc), WINDOW)))
+    return _edges_out(G.symmetric(G.edges(G.sequences(enc), WINDOW)))
 
 
-@register("graph_normalized", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL}, {NORM_SQL} " + _EDGE_SUM.format(t="an"))
+@register("graph_normalized", sql=f"WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL}, {NORM_SQL} " + _EDGES_OUT.format(t="an"))
 def graph_normalized(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
-    return _edge_summary(adjacency(enc))
+    return _edges_out(adjacency(enc))
 
 
 def adjacency(enc):
@@ -109,37 +116,82 @@ def node_features(spark, sf_dir, vocab, node_table):
     return node_table.join(m, "node")
 
 
-@register("graph_propagate", sql=f"""WITH {ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL}, {NORM_SQL}, {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL},
-c1 AS (SELECT doc_id, dst AS node, sum(w) AS c FROM an GROUP BY 1, 2),
-c2 AS (SELECT an.doc_id, an.dst AS node, sum(an.w * c1.c) AS c FROM an JOIN c1 ON c1.doc_id = an.doc_id AND c1.node = an.src GROUP BY 1, 2),
-cvv AS (SELECT cv.word_id AS node, CAST(coalesce(wv.vec, (SELECT vec FROM wv WHERE word = 'the')) AS DOUBLE[]) AS vec FROM cv LEFT JOIN wv ON cv.word = wv.word),
-x AS (SELECT c2.doc_id, c2.c, generate_subscripts(cvv.vec, 1) - 1 AS dim, unnest(cvv.vec) AS v FROM c2 JOIN cvv ON cvv.node = c2.node)
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(sum(c * v), 4) AS v FROM x GROUP BY 1, 2""")
+_PROBE = [hash_weight("probe", i) for i in range(DIM)]
+_XV_SQL = f"""xv AS (SELECT cv.word_id AS node, CAST(coalesce(wv.vec, (SELECT vec FROM wv WHERE word = 'the'),
+  list_transform(range(0, {DIM}), lambda i: CAST(0.0 AS FLOAT))) AS DOUBLE[]) AS vec FROM cv LEFT JOIN wv ON cv.word = wv.word)"""
+
+
+def _list_dot(vec: str, weights) -> str:
+    return f"list_dot_product({vec}, [{', '.join(repr(float(x)) for x in weights)}])"
+
+
+def _hops_sql(name: str, x: str, hops: int, transposed: bool = False) -> str:
+    """CTEs ``{name}0`` .. ``{name}{hops}`` (doc_id, node, s) from ``x`` over the edges ``an``."""
+    near, far = ("dst", "src") if transposed else ("src", "dst")
+    out = f"{name}0 AS ({x})"
+    for k in range(hops):
+        out += (f", {name}{k + 1} AS (SELECT an.doc_id, an.{near} AS node, sum(an.w * x.s) AS s FROM an JOIN {name}{k} x "
+                f"ON x.doc_id = an.doc_id AND x.node = an.{far} GROUP BY 1, 2)")
+    return out
+
+
+_GRAPH_SQL = f"{ENC_SQL}, {PAIRS_SQL}, {EDGES_SQL}, {NORM_SQL}, {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL}, {_XV_SQL}"
+
+
+@register("graph_propagate", sql=f"""WITH {_GRAPH_SQL},
+{_hops_sql('u', 'SELECT nd.doc_id, nd.node, list_sum(xv.vec) AS s FROM nd JOIN xv ON xv.node = nd.node', HOPS)},
+{_hops_sql('v', f"SELECT nd.doc_id, nd.node, {_list_dot('xv.vec', _PROBE)} AS s FROM nd JOIN xv ON xv.node = nd.node", HOPS)}
+SELECT u.doc_id, u.node, round(u.s, 6) AS total, round(v.s, 6) AS probe FROM u{HOPS} u JOIN v{HOPS} v ON v.doc_id = u.doc_id AND v.node = u.node""")
 def graph_propagate(spark, sf_dir):
-    """Two hops of H <- A_norm H from word vectors; reported as the sum over each
-    document's nodes per dimension."""
+    """Two hops of H <- A_norm H from word vectors; every node's vector, reported as its sum
+    and its product with a fixed probe vector."""
     enc, vocab = _encoded(spark, sf_dir)
     nd = G.nodes(G.sequences(enc))
-    h = G.propagate_by_document(adjacency(enc), node_features(spark, sf_dir, vocab, nd), HOPS)
-    tot = h.groupBy("doc_id").agg(Summarizer.sum(array_to_vector("vec")).alias("m"))
-    return (tot.select("doc_id", F.posexplode(vector_to_array("m")).alias("dim", "v"))
-            .withColumn("v", F.round("v", 4)))
+    h = G.propagate(adjacency(enc), node_features(spark, sf_dir, vocab, nd), HOPS)
+    return h.select("doc_id", "node", F.round(G.dot("vec", [1.0] * DIM), 6).alias("total"), F.round(G.dot("vec", _PROBE), 6).alias("probe"))
 
 
-def pool_parameters(dim: int = 64, seed: int = 42):
-    """Fixed pooling parameters drawn once from a seeded generator (driver-side,
-    dim x dim numbers)."""
-    rng = np.random.default_rng(seed)
-    s = 1.0 / np.sqrt(dim)
-    return (rng.uniform(-s, s, (dim, dim)), rng.uniform(-s, s, dim), rng.uniform(-s, s, dim), float(rng.uniform(-s, s)))
+def pool_parameters(dim: int = DIM):
+    """Pooling parameters drawn from hashes of their names (a caller with fitted weights
+    passes those instead)."""
+    w = np.array([[hash_weight("W", i, j) for j in range(dim)] for i in range(dim)])
+    return (w, np.array([hash_weight("b", j) for j in range(dim)]), np.array([hash_weight("a", j) for j in range(dim)]),
+            hash_weight("c"))
 
 
-@register("graph_pool")
-def graph_pool(spark, sf_dir):
-    """Attention pooling of one-hop node states into a document vector."""
+def document_vectors(spark, sf_dir, hops: int = 1, parameters=None):
+    """``(doc_id, vec)``: attention pooling of ``hops``-hop node states."""
     enc, vocab = _encoded(spark, sf_dir)
     nd = G.nodes(G.sequences(enc))
-    h = G.propagate_by_document(adjacency(enc), node_features(spark, sf_dir, vocab, nd), 1)
-    w, b, aw, ab = pool_parameters()
-    d = G.attention_pool_by_document(h, w, b, aw, ab)
+    return G.attention_pool(adjacency(enc), node_features(spark, sf_dir, vocab, nd), hops, *(parameters or pool_parameters()))
+
+
+def _pool_sql() -> str:
+    w, b, a, c = pool_parameters()
+    out = ", ".join(f"{_list_dot('m', w[:, j])} + {float(b[j])!r}" for j in range(DIM))
+    return f"""{_GRAPH_SQL},
+{_hops_sql('t', f"SELECT nd.doc_id, nd.node, {_list_dot('xv.vec', w @ a)} AS s FROM nd JOIN xv ON xv.node = nd.node", 1)},
+sc AS (SELECT doc_id, node, greatest(0.0, s + {float(b @ a + c)!r}) AS s FROM t1),
+ex AS (SELECT doc_id, node, exp(s - max(s) OVER (PARTITION BY doc_id)) AS s FROM sc),
+{_hops_sql('r', 'SELECT doc_id, node, s / sum(s) OVER (PARTITION BY doc_id) AS s FROM ex', 1, True)},
+pl AS (SELECT r.doc_id, generate_subscripts(xv.vec, 1) AS d, r.s * unnest(xv.vec) AS x FROM r1 r JOIN xv ON xv.node = r.node),
+pm AS (SELECT doc_id, list(x ORDER BY d) AS m FROM (SELECT doc_id, d, sum(x) AS x FROM pl GROUP BY 1, 2) GROUP BY doc_id),
+pv AS (SELECT doc_id, [{out}] AS vec FROM pm)"""
+
+
+@register("graph_pool", sql=f"""WITH {_pool_sql()}
+SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) AS v FROM pv""")
+def graph_pool(spark, sf_dir):
+    """Attention pooling of one-hop node states into a document vector."""
+    d = document_vectors(spark, sf_dir)
     return d.select("doc_id", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
+
+
+@register("embed_documents", sql=f"""WITH {_pool_sql()}, {LANG_TASK_SQL}
+SELECT l.row_id, l.split, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) AS v
+FROM pv JOIN lang_task l ON l.row_id = pv.doc_id""")
+def embed_documents(spark, sf_dir):
+    """All splits in one pass: clean -> encode -> graph -> one hop -> attention pool."""
+    d = document_vectors(spark, sf_dir).withColumnRenamed("doc_id", "row_id")
+    out = lang_task(spark, sf_dir).select("row_id", "split").join(d, "row_id")
+    return out.select("row_id", "split", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))

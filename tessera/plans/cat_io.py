@@ -15,6 +15,7 @@ from ..sources import readers as RD
 from ..sources import writers as W
 from ..tables import spread, table
 from .registry import register
+from .cat_vocab import _NESTED_SQL
 from .documents import clean_document_sql
 from .tasks import CORPUS_TOKENS_SQL, LANG_TASK_SQL, WORD_VECTORS_SQL, lang_task, word_vectors
 
@@ -165,9 +166,10 @@ def read_matrix(spark, sf_dir):
 @register("read_corpus", sql=f"""WITH {clean_document_sql()}, {LANG_TASK_SQL},
 meta AS (SELECT l.row_id + 1 AS doc_id, l.split, d.lang FROM lang_task l JOIN documents d ON d.doc_id = l.row_id),
 lab AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS label_id FROM meta GROUP BY lang),
-per AS (SELECT doc_id + 1 AS doc_id, count(*) AS n FROM cd_tokens GROUP BY doc_id)
+av AS (SELECT word, CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS word_id FROM (SELECT DISTINCT word FROM cd_tokens)),
+ei AS (SELECT t.doc_id + 1 AS doc_id, t.sent, t.pos, av.word_id AS id FROM cd_tokens t JOIN av ON t.word = av.word), {_NESTED_SQL}
 SELECT m.doc_id, CASE WHEN instr(m.split, 'test') > 0 THEN 'test' WHEN instr(m.split, 'train') > 0 THEN 'train' ELSE 'other' END AS part,
-lab.label_id, coalesce(per.n, 0) AS n_ids FROM meta m JOIN lab ON lab.lang = m.lang LEFT JOIN per ON per.doc_id = m.doc_id""")
+lab.label_id, coalesce(dn.ids, '[]') AS ids FROM meta m JOIN lab ON lab.lang = m.lang LEFT JOIN dn ON dn.doc_id = m.doc_id""")
 def read_corpus(spark, sf_dir):
     """Corpus lines + meta lines (name, split, label): clean, build the vocabulary,
     encode; labels get ids by first appearance and 'test' wins over 'train'."""
@@ -187,11 +189,10 @@ def read_corpus(spark, sf_dir):
     enc = V.encode_ids(cc.tokens, vocab)
     first = al.groupBy("label").agg(F.min("doc_id").alias("f"))
     lab = global_rank(first, ["f"], out="label_id").select("label", F.col("label_id").cast("int"))
-    per = enc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_ids"))
+    nested = V.nested_ids(enc).select("doc_id", V.printed("ids").alias("ids"))
     part = F.when(F.instr("split", "test") > 0, "test").when(F.instr("split", "train") > 0, "train").otherwise("other")
-    # one row per label (the class set): bounded by the number of classes
-    return al.join(F.broadcast(lab), "label").join(per, "doc_id", "left").select(
-        "doc_id", part.alias("part"), "label_id", F.coalesce("n_ids", F.lit(0)).alias("n_ids"))
+    return al.join(lab, "label").join(nested, "doc_id", "left").select(
+        "doc_id", part.alias("part"), "label_id", F.coalesce("ids", F.lit("[]")).alias("ids"))
 
 
 @register("write_map_csv", sql="""WITH t AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY word)
@@ -212,11 +213,13 @@ def write_map_csv(spark, sf_dir):
 
 @register("write_matrix", sql="""SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem""")
 def write_matrix(spark, sf_dir):
-    """Rows written as comma-joined numbers (overwrite, then append of a second
-    column block) and parsed back."""
+    """Rows written as comma-joined numbers (overwrite with one block of rows, then append
+    of the other) and parsed back."""
     run = _run(spark, "wmatrix")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
-    W.write_matrix(li, ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"], run, mode="overwrite")
+    cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"]
+    li = table(spark, sf_dir, "lineitem").select(*cols)
+    W.write_matrix(li.filter("l_linenumber <= 2"), cols, run, mode="overwrite")
+    W.write_matrix(li.filter("l_linenumber > 2"), cols, run, mode="append")
     back = spark.read.text(run).select(F.split("value", ",").alias("a"))
     return back.select(F.col("a")[0].cast("bigint").alias("l_orderkey"), F.col("a")[1].cast("int").alias("l_linenumber"),
                        F.col("a")[2].cast("double").alias("l_quantity"), F.col("a")[3].cast("double").alias("l_discount"))

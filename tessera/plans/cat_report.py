@@ -10,7 +10,7 @@ from ..functions.hashing import uniform, uniform_sql
 from ..functions.rules import NUM_BINS
 from ..operators import metrics as MT
 from ..operators import recode as RC
-from ..operators.ranking import argmax_index, bin_of_rank, global_rank
+from ..operators.ranking import argmax_index, bin_of_rank, global_rank, prefix_sum
 from ..tables import table
 from .registry import register
 from .tasks import (K_LANG, LANG_TASK_SQL, NOISE_RATE, SEED, lang_task, noisy_train, noisy_train_sql,
@@ -37,16 +37,22 @@ def label_counts(spark, sf_dir):
 round(stddev_pop(l_quantity), 6) AS std, max(l_quantity) AS max, min(l_quantity) AS min, round(median(l_quantity), 6) AS median
 FROM lineitem GROUP BY l_returnflag""")
 def grouped_stats(spark, sf_dir):
-    """size/mean/std/max/min/median per group. The median is exact: values are first
-    counted per (group, value), then ``percentile`` weighs them by that count, so a
-    group's state holds its distinct values, not its rows."""
+    """size/mean/std/max/min/median per group. The median is exact: values are counted per
+    (group, value), a distributed prefix sum gives each value its place, and the values at
+    the two middle places are averaged, so no task holds a group."""
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
     a = li.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("size"), F.round(F.avg("l_quantity"), 6).alias("mean"),
         F.round(F.stddev_pop("l_quantity"), 6).alias("std"),
         F.coalesce(F.max("l_quantity"), F.lit(-1.0)).alias("max"), F.coalesce(F.min("l_quantity"), F.lit(-1.0)).alias("min"))
-    vc = li.groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("c"))
-    med = vc.groupBy("l_returnflag").agg(F.round(F.expr("percentile(l_quantity, 0.5, c)"), 6).alias("median"))
+    vc = (li.filter(F.col("l_quantity").isNotNull()).groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("c")))
+    cum = prefix_sum(vc, "l_returnflag", "l_quantity", "c")
+    n = vc.groupBy("l_returnflag").agg(F.sum("c").alias("n"))
+    at = cum.join(n, "l_returnflag")
+    holds = lambda place: (F.col("c_before") <= place) & (place < F.col("c_before") + F.col("c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    med = at.groupBy("l_returnflag").agg(F.round((F.max(F.when(holds(low), F.col("l_quantity"))) + F.max(
+        F.when(holds(high), F.col("l_quantity")))) / 2, 6).alias("median"))
     return a.join(med, "l_returnflag")
 
 
@@ -169,7 +175,7 @@ _RANKS_SQL = ("rk AS (SELECT row_id, is_noisy, y, y_clean, p, value, row_number(
 
 def _ranked(spark, sf_dir):
     """Ascending rank on (value, row_id); the descending order is its exact reverse."""
-    ns = _noisy_scored(spark, sf_dir)
+    ns = _noisy_scored(spark, sf_dir)  # ids, labels and scores; no text
     r = global_rank(ns, [F.col("value"), F.col("row_id")], out="rank_asc")
     n = r.count()
     return r.withColumn("rank_desc", F.lit(n - 1) - F.col("rank_asc"))

@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import vocab as V
+from ..operators.tokens import explode_tokens
 from ..sources.writers import run_dir
 from ..streaming import scoring as SS
+from ..tables import table
+from .cat_values import DATA_SQL, nb_sql
+from .cat_vocab import VOCAB_SIZE
 from .registry import register
 from .tasks import lang_task
 
@@ -24,12 +29,17 @@ def stream_clean_str(spark, sf_dir):
     return spark.read.parquet(f"{run}/out")
 
 
-@register("stream_predict")
+@register("stream_predict", sql=f"""WITH {DATA_SQL}, trc AS (SELECT row_id, y FROM lang_task WHERE split = 'train'),
+alld AS (SELECT doc_id AS row_id FROM documents), {nb_sql('s', 'trc', 'alld')}
+SELECT row_id AS doc_id, CAST(pred AS INTEGER) AS pred FROM s_y""")
 def stream_predict(spark, sf_dir):
-    """Fit tokens -> counts -> naive Bayes on the training split (batch), then score
-    the document stream with the fitted pipeline."""
+    """Fit counts -> naive Bayes on the training split (batch), then score the document
+    stream with the fitted pipeline."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokenize_en("text").alias("t"))
+    vocab = V.build_vocab(explode_tokens(docs, "doc_id", "t"), VOCAB_SIZE)
+    words = [r["word"] for r in vocab.orderBy("word_id").select("word").collect()]  # <= VOCAB_SIZE words
     lt = lang_task(spark, sf_dir).filter(F.col("split") == "train")
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=800),
+    pipe = Pipeline(stages=[CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features"),
                             NaiveBayes(featuresCol="features", labelCol="label")])
     model = pipe.fit(lt.withColumn("tokens", T.tokenize_en("text")).withColumn("label", F.col("y").cast("double")))
     run = run_dir(spark, "stream-" + uuid.uuid4().hex[:10])

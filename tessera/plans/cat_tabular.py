@@ -41,7 +41,7 @@ def project_cols(spark, sf_dir):
 CAST(p_size AS DOUBLE) AS size_d, TRY_CAST(CAST(p_retailprice AS VARCHAR) AS DOUBLE) AS price FROM part""")
 def cast_cols(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.substring("p_brand", 7, 100).try_cast("int").alias("brand_no"),
+    return p.select("p_partkey", F.expr("substring(p_brand, 7)").try_cast("int").alias("brand_no"),
                     F.col("p_size").cast("double").alias("size_d"),
                     F.col("p_retailprice").cast("string").try_cast("double").alias("price"))
 
@@ -91,7 +91,7 @@ def fill_null(spark, sf_dir):
 @register("one_hot", sql=f"""WITH {CUST_NULLS_SQL}
 SELECT c_custkey, c_nationkey, c_acctbal, {", ".join(f"CAST(coalesce(c_mktsegment = '{s}', false) AS INTEGER) AS c_mktsegment_{s}" for s in SEGMENTS)} FROM cn""")
 def one_hot(spark, sf_dir):
-    return RC.one_hot(_customer_nulls(spark, sf_dir), "c_mktsegment")
+    return RC.one_hot(_customer_nulls(spark, sf_dir), "c_mktsegment", SEGMENTS)
 
 
 @register("label_one_hot", sql=f"""WITH {LANG_TASK_SQL}
@@ -242,15 +242,18 @@ def split_three(spark, sf_dir):
                     .when(F.col("r") < N_SOURCE + N_VALID, "valid").otherwise("rest").alias("split"))
 
 
-@register("domain_value", sql=f"""WITH {CUST_NULLS_SQL},
+DOMAIN_SQL = f"""{CUST_NULLS_SQL},
 j AS (SELECT o.o_orderkey AS row_id, {_TARGET} AS y, coalesce(cn.c_acctbal, 0.0) AS c_acctbal, cn.c_nationkey,
       {", ".join(f"CAST(coalesce(cn.c_mktsegment = '{s}', false) AS INTEGER) AS seg_{s}" for s in SEGMENTS)},
       coalesce(cn.c_mktsegment, 'NONE') AS domain FROM orders o JOIN cn ON o.o_custkey = cn.c_custkey),
 op AS (SELECT * FROM j WHERE y <> 0),
-r AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(SEED, 'row_id')}, row_id) - 1 AS rk FROM op)
-SELECT row_id, y, c_acctbal, c_nationkey, {", ".join(f"seg_{s}" for s in SEGMENTS)}, domain,
+rr AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(SEED, 'row_id')}, row_id) - 1 AS rk FROM op),
+dv AS (SELECT row_id, y, c_acctbal, c_nationkey, {", ".join(f"seg_{s}" for s in SEGMENTS)}, domain,
 CASE WHEN rk < {N_SOURCE} THEN 'source' WHEN rk < {N_SOURCE + N_VALID} THEN 'valid' ELSE 'rest' END AS split
-FROM r WHERE NOT (rk < {N_SOURCE} AND domain = 'BUILDING')""")
+FROM rr WHERE NOT (rk < {N_SOURCE} AND domain = 'BUILDING'))"""
+
+
+@register("domain_value", sql=f"WITH {DOMAIN_SQL} SELECT * FROM dv")
 def domain_value(spark, sf_dir):
     """Domain-adaptation set-up: fill nulls, one-hot the segment, join, drop closed
     orders, split source/valid/rest, and keep the target domain out of the source."""
@@ -302,19 +305,18 @@ def map_labels(spark, sf_dir):
     first = meta.groupBy("lang").agg(F.min("row_id").alias("first"))
     ids = global_rank(first, ["first"], out="label_id").withColumn("label_id", F.col("label_id").cast("int"))
     part = F.when(F.instr("tag", "test") > 0, "test").when(F.instr("tag", "train") > 0, "train")
-    # one row per label (the class set): bounded by the number of classes
-    return meta.join(F.broadcast(ids.select("lang", "label_id")), "lang").select("row_id", part.alias("part"), "label_id")
+    # no hint: the planner knows the size of the label table when it runs
+    return meta.join(ids.select("lang", "label_id"), "lang").select("row_id", part.alias("part"), "label_id")
 
 
 @register("union_all", sql=f"""WITH {LANG_TASK_SQL}
-SELECT split, count(*) AS n FROM (SELECT row_id, split FROM lang_task WHERE split = 'train' UNION ALL
+SELECT row_id, split FROM lang_task WHERE split = 'train' UNION ALL
 SELECT row_id, split FROM lang_task WHERE split = 'valid' UNION ALL SELECT row_id, split FROM lang_task WHERE split = 'test'
-UNION ALL SELECT row_id, 'all' AS split FROM lang_task) GROUP BY split""")
+UNION ALL SELECT row_id, 'all' AS split FROM lang_task""")
 def union_all(spark, sf_dir):
     lt = lang_task(spark, sf_dir).select("row_id", "split")
     parts = [lt.filter(F.col("split") == s) for s in ("train", "valid", "test")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(lt.withColumn("split", F.lit("all")))
-    return u.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(lt.withColumn("split", F.lit("all")))
 
 
 @register("corrupt_label", sql=f"WITH {noisy_train_sql()} SELECT row_id, y_clean, y, is_noisy FROM noisy")

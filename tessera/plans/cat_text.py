@@ -126,14 +126,12 @@ lem AS (SELECT word AS token, substring(word, 1, length(word) - 1) AS lemma FROM
 SELECT t.doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(coalesce(lem.lemma, t.word), ' ' ORDER BY t.pos) AS text_out
 FROM t LEFT JOIN lem ON t.word = lem.token GROUP BY t.doc_id""")
 def normalize_tokens_q(spark, sf_dir):
-    from ..operators.tokens import explode_tokens
+    from ..operators.tokens import explode_tokens, lemmatise
     toks = explode_tokens(_docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
-    lem = lemma_table(toks)
-    mapped = (toks.join(lem.withColumnRenamed("token", "word"), "word", "left")
-              .withColumn("w2", F.coalesce("lemma", "word")))
+    mapped = lemmatise(toks, lemma_table(toks))
     return (mapped.groupBy("doc_id").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w2"))), lambda s: s["w2"]), " ")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ")
         .alias("text_out")))
 
 

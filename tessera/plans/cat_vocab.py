@@ -36,12 +36,14 @@ def word_freq_q(spark, sf_dir):
 SELECT (SELECT bar FROM cd_bar) AS bar,
        (SELECT count(DISTINCT word) FROM cd_kept) AS n_kept_words""")
 def high_bar_q(spark, sf_dir):
-    cc = clean_document(_docs(spark, sf_dir))
-    raw_kept = TK.keep_by_frequency(cc.raw_tokens, cc.freq, [], 5, cc.bar)
+    """The bar and the number of words that pass it, from the word counts alone."""
+    freq = TK.word_freq(_raw_tokens(spark, sf_dir))
+    from ..session import cut_lineage
+    freq = cut_lineage(freq)  # read twice
+    bar = TK.frequency_bar(freq, 10)
     stop = set(R.ENGLISH_STOP_WORDS) | set(R.NEWSGROUP_EXTRA_STOP_WORDS)
-    n = raw_kept.filter(~F.col("word").isin(sorted(stop))).select("word").distinct().count()
-    return table(spark, sf_dir, "region").limit(1).select(F.lit(cc.bar).cast("bigint").alias("bar"),
-                                                          F.lit(n).cast("bigint").alias("n_kept_words"))
+    return (TK.kept_words(freq, stop, 5, bar).agg(F.count(F.lit(1)).alias("n_kept_words"))
+            .select(F.lit(bar).cast("bigint").alias("bar"), "n_kept_words"))
 
 
 @register("truncate_doc", sql=f"""WITH {CD}
@@ -152,23 +154,26 @@ def term_counts_q(spark, sf_dir):
     return enc.groupBy("doc_id", "word_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NESTED_SQL = """sn AS (SELECT doc_id, sent, count(*) AS n, count(*) FILTER (WHERE id = 0) AS o, '[' || string_agg(CAST(id AS VARCHAR), ', ' ORDER BY pos) || ']' AS s
+  FROM ei GROUP BY doc_id, sent),
+dn AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(o) AS BIGINT) AS n_oov, '[' || string_agg(s, ', ' ORDER BY sent) || ']' AS ids FROM sn GROUP BY doc_id)"""
+
+
 @register("encode_ids", sql=f"""WITH {CD}, {LANG_TASK_SQL},
 tv AS (SELECT word, CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS word_id FROM
-       (SELECT DISTINCT t.word FROM cd_tokens t JOIN lang_task l ON t.doc_id = l.row_id WHERE l.split = 'train'))
-SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (WHERE tv.word_id IS NULL) AS BIGINT) AS n_oov,
-       string_agg(CAST(coalesce(tv.word_id, 0) AS VARCHAR), ' ' ORDER BY t.tpos) AS ids
-FROM cd_tokens t LEFT JOIN tv ON t.word = tv.word GROUP BY t.doc_id""")
+       (SELECT DISTINCT t.word FROM cd_tokens t JOIN lang_task l ON t.doc_id = l.row_id WHERE l.split = 'train')),
+ei AS (SELECT t.doc_id, t.sent, t.pos, coalesce(tv.word_id, 0) AS id FROM cd_tokens t LEFT JOIN tv ON t.word = tv.word), {_NESTED_SQL}
+SELECT * FROM dn""")
 def encode_ids_q(spark, sf_dir):
-    """Clean documents of every split encoded with the training-split vocabulary (OOV = 0)."""
+    """Clean documents of every split encoded with the training-split vocabulary (OOV = 0),
+    sentences kept apart and printed as nested lists."""
     cc = clean_document(_docs(spark, sf_dir))
     train = lang_task(spark, sf_dir).filter(F.col("split") == "train").select(F.col("row_id").alias("doc_id"))
     vocab = V.build_vocab(cc.tokens.join(train, "doc_id", "left_semi").select("word"), None, first_id=1)
-    enc = V.encode_ids(cc.tokens, vocab)
-    return enc.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.sum((F.col("word_id") == 0).cast("bigint")).alias("n_oov"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "word_id"))),
-                                 lambda s: s["word_id"].cast("string")), " ").alias("ids"))
+    nested = V.nested_ids(V.encode_ids(cc.tokens, vocab))
+    flat = F.flatten("ids")
+    return nested.select("doc_id", F.size(flat).cast("bigint").alias("n_tokens"),
+                         F.size(F.filter(flat, lambda x: x == 0)).cast("bigint").alias("n_oov"), V.printed("ids").alias("ids"))
 
 
 _PRE_TOKENS_SQL = (f"pt AS (SELECT doc_id, unnest(tt) AS word FROM "
@@ -195,20 +200,23 @@ tk AS (SELECT row_id, split, generate_subscripts(tt, 1) - 1 AS pos, unnest(tt) A
        FROM (SELECT row_id, split, string_split({T.clean_str_sql('text')}, ' ') AS tt FROM lang_task)),
 L AS (SELECT max(pos) + 1 AS maxlen FROM tk WHERE split = 'train'),
 fv AS (SELECT word, CAST(row_number() OVER (ORDER BY min(row_id * 1000000 + pos), word) AS INTEGER) AS word_id
-       FROM tk WHERE split = 'train' GROUP BY word)
-SELECT tk.row_id AS doc_id, CAST(tk.pos AS INTEGER) AS pos, coalesce(fv.word_id, 0) AS word_id
-FROM tk LEFT JOIN fv ON tk.word = fv.word WHERE tk.pos < (SELECT maxlen FROM L)""")
+       FROM tk WHERE split = 'train' GROUP BY word),
+id AS (SELECT tk.row_id, list(coalesce(fv.word_id, 0) ORDER BY tk.pos) AS l FROM tk LEFT JOIN fv ON tk.word = fv.word GROUP BY tk.row_id)
+SELECT row_id AS doc_id, CAST(maxlen AS INTEGER) AS length,
+       array_to_string(list_concat(l, list_transform(range(0, maxlen), lambda i: 0))[1:maxlen], ' ') AS ids FROM id, L""")
 def vocab_processor_q(spark, sf_dir):
-    """Ids by first appearance in the training split (0 = unknown), sequences cut to
-    the longest training document (the zero padding is implicit)."""
+    """Ids by first appearance in the training split (0 = unknown); every document becomes a
+    list of the longest training document's length, cut or filled with zeros."""
     lt = spread(lang_task(spark, sf_dir), "row_id")
     toks = lt.select(F.col("row_id").alias("doc_id"), "split",
                      F.posexplode(F.split(T.clean_str("text"), " ")).alias("pos", "word"))
     train = toks.filter(F.col("split") == "train")
-    maxlen = train.agg(F.max("pos")).first()[0] + 1
-    vocab = V.first_seen_vocab(train)
-    return (V.encode_ids(toks.filter(F.col("pos") < maxlen), vocab)
-            .select("doc_id", "pos", "word_id"))
+    maxlen = (train.agg(F.max("pos")).first()[0] or 0) + 1
+    # positions past the length of the result are dropped before documents are gathered
+    enc = V.encode_ids(toks.filter(F.col("pos") < maxlen), V.first_seen_vocab(train))
+    ids = (enc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("s"))
+           .select("doc_id", V.padded(F.transform("s", lambda x: x["word_id"]), maxlen).alias("ids")))
+    return ids.select("doc_id", F.lit(maxlen).cast("int").alias("length"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @register("anti_stopwords", sql=f"""WITH {_EN_TOKENS_SQL},
@@ -259,7 +267,7 @@ def avg_vector_q(spark, sf_dir):
     toks = _vec_tokens(spark, sf_dir)
     wv = word_vectors(spark, sf_dir)
     counts = toks.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    weighted = counts.join(wv.select("word", "vec"), "word")
+    weighted = TK.salted_join(counts, wv.select("word", "vec"), "word", "inner", "doc_id")
     out = _mean_vectors(weighted, _docs(spark, sf_dir))
     return out.select("doc_id", "dim", F.round("v", 6).alias("v"))
 
@@ -277,32 +285,36 @@ def tfidf_vector_q(spark, sf_dir):
     idf_t = _idf_table(spark, sf_dir)
     top = V.max_idf(idf_t)
     counts = toks.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    weighted = (counts.join(wv.select("word", "vec"), "word").join(idf_t.select("word", "idf"), "word", "left")
+    known = TK.salted_join(counts, wv.select("word", "vec"), "word", "inner", "doc_id")
+    weighted = (TK.salted_join(known, idf_t.select("word", "idf"), "word", "left", "doc_id")
                 .withColumn("vec", F.transform("vec", lambda x: x * F.coalesce(F.col("idf"), F.lit(top)))))
     out = _mean_vectors(weighted, _docs(spark, sf_dir))
     return out.select("doc_id", "dim", F.round("v", 6).alias("v"))
 
 
 @register("join_vectors", sql=f"""WITH {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL}
-SELECT ct.doc_id, count(*) AS n_known, count(DISTINCT ct.word) AS n_distinct
-FROM ct JOIN wv ON ct.word = wv.word WHERE instr({_PUNCT_SQL}, ct.word) = 0 GROUP BY ct.doc_id""")
+SELECT ct.doc_id, ct.word, wv.vec_id, count(*) AS n, round(any_value(list_sum(CAST(wv.vec AS DOUBLE[]))), 6) AS vec_sum
+FROM ct JOIN wv ON ct.word = wv.word WHERE instr({_PUNCT_SQL}, ct.word) = 0 GROUP BY ct.doc_id, ct.word, wv.vec_id""")
 def join_vectors_q(spark, sf_dir):
-    toks = _vec_tokens(spark, sf_dir)
-    k = toks.join(word_vectors(spark, sf_dir).select("word"), "word")
-    return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"), F.countDistinct("word").alias("n_distinct"))
+    """Every word of a document that has a vector, with its count and its vector (reported
+    as the vector's id and sum)."""
+    counts = _vec_tokens(spark, sf_dir).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    k = TK.salted_join(counts, word_vectors(spark, sf_dir).select("word", "vec_id", "vec"), "word", "inner", "doc_id")
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return k.select("doc_id", "word", "vec_id", "n", F.round(total, 6).alias("vec_sum"))
 
 
 def fallback_vector(wv, word: str = "the"):
     """The vector of the fallback word as a literal (one vector of fixed size reaches
     the driver)."""
     row = wv.filter(F.col("word") == word).select("vec").first()
-    if row is None:
-        return F.lit(None).cast("array<float>")
+    if row is None:  # no vector to fall back on: the zero vector
+        return F.array_repeat(F.lit(0.0).cast("float"), 64)
     return F.array(*[F.lit(float(x)).cast("float") for x in row["vec"]])
 
 
 @register("embedding_matrix", sql=f"""WITH {CD}, {_CLEAN_VOCAB_SQL}, {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL},
-m AS (SELECT cv.word_id, wv.vec IS NOT NULL AS found, coalesce(wv.vec, (SELECT vec FROM wv WHERE word = 'the')) AS vec
+m AS (SELECT cv.word_id, wv.vec IS NOT NULL AS found, coalesce(wv.vec, (SELECT vec FROM wv WHERE word = 'the'), list_transform(range(0, 64), lambda i: CAST(0.0 AS FLOAT))) AS vec
       FROM cv LEFT JOIN wv ON cv.word = wv.word
       UNION ALL SELECT 0 AS word_id, false AS found, list_transform(range(0, 64), lambda i: CAST(0.0 AS FLOAT)) AS vec)
 SELECT word_id, found, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(CAST(unnest(vec) AS DOUBLE), 6) AS v FROM m""")

@@ -1,8 +1,8 @@
 """Document cleaning plan: sentences -> tokens -> corpus counts -> frequency filter
 -> truncation -> flattened token table.
 
-Two passes over the corpus (counts, then filter), both distributed; the only
-driver values are the frequency bar and the short list of words at or above it.
+Two passes over the corpus (counts, then filter), both distributed; the only value
+that reaches the driver is the frequency bar.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import tokens as TK
+from ..session import cut_lineage
+from ..tables import spread
 
 
 def stop_words_for(dataset: str):
@@ -37,45 +39,38 @@ class CleanCorpus:
 def clean_document(docs: DataFrame, dataset: str = "20ng", key: str = "doc_id", text: str = "text",
                    lemma: DataFrame | None = None, min_freq: int = 5, top: int = 10,
                    max_words: int = 2000) -> CleanCorpus:
-    from pyspark import StorageLevel
-    from ..tables import spread
+    """``max_words``: a document keeps its sentences up to the one that passes this many
+    kept words (the recipe's own limit)."""
     sents = TK.sentence_table(spread(docs, key), key, text, collapse_whitespace=(dataset == "20ng"))
-    # One cached row per sentence holding its token array: both corpus passes
-    # (counts, then the filter) explode it again, which is cheaper than caching
-    # one row per token.
-    sent_toks = sents.select(key, "sent", T.split_ws(T.clean_str("sentence")).alias("t")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # One row per sentence holding its token array, written once: both corpus passes
+    # (counts, then the filter) explode it again and the regex chains run once.
+    sent_toks = cut_lineage(sents.select(key, "sent", T.split_ws(T.clean_str("sentence")).alias("t")))
     raw = TK.explode_tokens(sent_toks, [key, "sent"], "t")
     if lemma is not None:
-        raw = (raw.join(lemma.withColumnRenamed("token", "word"), "word", "left")
-               .withColumn("word", F.coalesce("lemma", "word")).drop("lemma"))
+        raw = TK.lemmatise(raw, lemma, key)
     sents = sent_toks.select(key, "sent")
-    freq = TK.word_freq(raw).persist(StorageLevel.MEMORY_AND_DISK)  # one row per distinct word
+    freq = cut_lineage(TK.word_freq(raw))  # one row per distinct word
     stop = stop_words_for(dataset)
     if dataset == "mr":
         kept = raw.filter(~F.col("word").isin(stop))
         bar = 0
     else:
         bar = TK.frequency_bar(freq, top)
-        kept = TK.keep_by_frequency(raw, freq, stop, min_freq, bar)
-    # Per-sentence table (lazy; only the statistics reports read it).
-    counts = (kept.groupBy(key, "sent").agg(F.count(F.lit(1)).alias("n_kept")))
-    sent_counts = (sents.select(key, "sent").join(counts, [key, "sent"], "left")
+        kept = TK.keep_by_frequency(raw, freq, stop, min_freq, bar, key=key)
+    kept = cut_lineage(kept)
+    counts = kept.groupBy(key, "sent").agg(F.count(F.lit(1)).alias("n_kept"))
+    sent_counts = (sents.join(counts, [key, "sent"], "left")
                    .withColumn("n_kept", F.coalesce("n_kept", F.lit(0)).cast("bigint")))
+    tokens = kept
     if dataset == "20ng":
+        # The cut is decided on one row per sentence; only tokens of kept sentences reach
+        # the numbering window, so its groups are bounded by max_words and one sentence.
+        cut = TK.truncate_sentences(counts, max_words, key).select(key, "sent")
+        tokens = kept.join(cut, [key, "sent"], "left_semi")
         sent_counts = TK.truncate_sentences(sent_counts, max_words, key)
-    # Kept tokens: truncation and flattened positions come from two windows that share
-    # one shuffle by document (kept words of all earlier sentences = a RANGE frame on
-    # the sentence number). Truncation drops whole trailing sentences, so positions
-    # numbered before the cut are the positions after it.
-    before = Window.partitionBy(key).orderBy("sent").rangeBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy(key).orderBy("sent", "pos")
-    tokens = (kept.withColumn("_before", F.count(F.lit(1)).over(before))
-              .withColumn("tpos", F.row_number().over(order) - 1))
-    if dataset == "20ng":
-        tokens = tokens.filter(F.col("_before") <= max_words)
-    tokens = tokens.drop("_before").persist(StorageLevel.MEMORY_AND_DISK)
-    return CleanCorpus(sents, raw, freq, bar, sent_counts, tokens)
+    tokens = tokens.withColumn("tpos", F.row_number().over(order) - 1)
+    return CleanCorpus(sents, raw, freq, bar, sent_counts, cut_lineage(tokens))
 
 
 # ---------------------------------------------------------------------------

@@ -36,15 +36,16 @@ def split_of_sql(u: str) -> str:
 def lang_task(spark, sf_dir) -> DataFrame:
     """``(row_id, text, y, split)``; y = 0..3 for en, de, es, fr."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("row_id"), "text",
-                    (F.array_position(F.array(*[F.lit(x) for x in R.LANG_LABELS]), F.col("lang")) - 1)
-                    .cast("int").alias("y"),
-                    split_of(uniform(SEED, "doc_id")).alias("split"))
+    known = F.array(*[F.lit(x) for x in R.LANG_LABELS])
+    # a language outside the list (or none) is no class of the task: its rows go
+    return d.filter(F.col("lang").isin(list(R.LANG_LABELS))).select(
+        F.col("doc_id").alias("row_id"), "text", (F.array_position(known, F.col("lang")) - 1).cast("int").alias("y"),
+        split_of(uniform(SEED, "doc_id")).alias("split"))
 
 
 LANG_TASK_SQL = (f"lang_task AS (SELECT doc_id AS row_id, text, "
                  f"CAST(list_position({LANGS_SQL}, lang) - 1 AS INTEGER) AS y, "
-                 f"{split_of_sql(uniform_sql(SEED, 'doc_id'))} AS split FROM documents)")
+                 f"{split_of_sql(uniform_sql(SEED, 'doc_id'))} AS split FROM documents WHERE list_contains({LANGS_SQL}, lang))")
 
 
 def corpus_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,9 +80,10 @@ NOISE_RATE = 0.2
 
 def noisy_train(spark, sf_dir, rate: float = NOISE_RATE) -> DataFrame:
     """Training rows of the lang task with ``int(n * rate)`` flipped labels:
-    ``(row_id, text, y, y_clean, is_noisy)``."""
+    ``(row_id, y, y_clean, is_noisy)``. Texts stay out of the global sort that draws the
+    labels; join them back by ``row_id`` where they are needed."""
     from ..operators.sampling import corrupt_label
-    tr = lang_task(spark, sf_dir).filter(F.col("split") == "train").drop("split")
+    tr = lang_task(spark, sf_dir).filter(F.col("split") == "train").select("row_id", "y")
     return corrupt_label(tr, rate, SEED)
 
 

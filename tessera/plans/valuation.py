@@ -1,21 +1,24 @@
 """Valuation plans: task features, predictors, the REINFORCE valuer, row values,
 removal curves and the text classifier.
 
-Predictors are Spark ML estimators (distributed fits); the valuer runs inside
-``mapInPandas`` tasks with its parameters in the closure; the only values that
-reach the driver are metrics, counts and parameter-sized gradient sums.
+Closed-form predictors (:mod:`tessera.operators.additive`) give the reports and the
+removal curves: all models of a curve come from one pass over the training rows. The
+valuer's predictor is any Spark ML classifier (logistic regression, naive Bayes, a
+multilayer perceptron). The valuer itself runs inside ``mapInPandas`` tasks with its
+parameters in the closure; the only values that reach the driver are metrics, counts and
+parameter-sized sums.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexTokenizer, SQLTransformer
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, Normalizer, RegexTokenizer, SQLTransformer,
+                                VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -24,16 +27,17 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.hashing import uniform
+from ..operators import additive as AD
 from ..operators import metrics as MT
 from ..operators import valuer as VL
 from ..operators import vocab as V
-from ..operators.ranking import argmax_index, global_rank
+from ..operators.ranking import argmax_index, bin_of_rank, global_rank
 from ..operators.tokens import explode_tokens
 from ..session import cut_lineage
-from ..tables import spread
+from ..tables import spread, table
 from .tasks import K_LANG, SEED, lang_task, noisy_train
 
-VOCAB_SIZE = 800
+VOCAB_SIZE = 800  # the run recipe's feature count; every entry point takes it as an argument
 
 
 @dataclass
@@ -43,6 +47,7 @@ class TaskData:
     test: DataFrame    # row_id, y, features (includes the valid rows, as the original does)
     k: int
     d: int
+    bow: DataFrame     # row_id, word_id, n: the same counts in long form
 
 
 def lang_features(spark, sf_dir, vocab_size: int = VOCAB_SIZE, noise: float = 0.2,
@@ -50,42 +55,65 @@ def lang_features(spark, sf_dir, vocab_size: int = VOCAB_SIZE, noise: float = 0.
     """Bag-of-words features (the vocab_size most frequent words of all documents)
     for the lang task, with planted noise on the training split."""
     lt = spread(lang_task(spark, sf_dir), "row_id").withColumn("tokens", T.tokenize_en("text")).drop("text")
-    lt = lt.persist(StorageLevel.MEMORY_AND_DISK)  # feeds the vocabulary pass and the count pass
-    toks = explode_tokens(lt.select(F.col("row_id").alias("doc_id"), "tokens"), "doc_id", "tokens")
-    vocab = V.build_vocab(toks, vocab_size)
+    # feeds the vocabulary pass and the count pass; written once, reread by both
+    lt = cut_lineage(lt)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokenize_en("text").alias("t"))
+    vocab = V.build_vocab(explode_tokens(spread(docs, "doc_id"), "doc_id", "t"), vocab_size)
     words = [r["word"] for r in vocab.orderBy("word_id").select("word").collect()]  # <= vocab_size words
     cvm = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
-    feats = cvm.transform(lt).select("row_id", "y", "split", "features")
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    nz = noisy_train(spark, sf_dir, noise).select("row_id", "y", "y_clean", "is_noisy")
+    feats = cut_lineage(cvm.transform(lt).select("row_id", "y", "split", "features"))
+    nz = noisy_train(spark, sf_dir, noise)
     train = nz.join(feats.select("row_id", "features"), "row_id")
+    return _task_data(train, feats, len(words), test_includes_valid)
+
+
+def _task_data(train: DataFrame, feats: DataFrame, d: int, test_includes_valid: bool) -> TaskData:
     valid = feats.filter(F.col("split") == "valid").select("row_id", "y", "features")
     test_parts = ["valid", "test"] if test_includes_valid else ["test"]
     test = feats.filter(F.col("split").isin(test_parts)).select("row_id", "y", "features")
-    return TaskData(train, valid, test, K_LANG, len(words))
+    return TaskData(train, valid, test, K_LANG, d, counts_of(feats))  # counts are read by closed-form predictors only
+
+
+def sparse_parts(vector: str = "features"):
+    """A vector column as two array columns ``(indices, values)``; a dense vector has all
+    indices."""
+    u = F.unwrap_udt(vector)
+    return F.coalesce(u["indices"], F.sequence(F.lit(0), F.size(u["values"]) - 1)), u["values"]
+
+
+def counts_of(feats: DataFrame) -> DataFrame:
+    """Sparse count vectors as rows ``(row_id, word_id, n)``."""
+    i, v = sparse_parts()
+    return (feats.select("row_id", F.explode(F.arrays_zip(i.alias("i"), v.alias("v"))).alias("x"))
+            .select("row_id", F.col("x.i").alias("word_id"), F.col("x.v").cast("bigint").alias("n")))
 
 
 PREDICTOR = "naive_bayes"
 
 
-def make_estimator(kind: str | None = None, max_iter: int = 30, reg: float = 0.01):
-    """Predictor of the valuation loop. Multinomial naive Bayes is fitted by one
-    aggregation job (counts per class and term), which keeps the 40-fit removal
-    curve and the valuer loop cheap; logistic regression is the iterative option."""
+def make_estimator(kind: str | None = None, max_iter: int = 30, reg: float = 0.01, layers=None):
+    """Predictor of the valuation loop: ``naive_bayes`` (one aggregation job per fit),
+    ``logistic`` (iterative) or ``mlp`` (``layers`` = sizes from inputs to classes)."""
     kind = kind or PREDICTOR
     if kind == "naive_bayes":
         return NaiveBayes(featuresCol="features", labelCol="y", smoothing=1.0, modelType="multinomial")
     if kind == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=reg,
                                   family="multinomial")
+    if kind == "mlp":
+        if not layers:
+            raise ValueError("mlp needs its layer sizes")
+        return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=list(layers), maxIter=max_iter,
+                                              seed=SEED)
     raise ValueError(kind)
 
 
-def fit(df: DataFrame, weight: str | None = None, max_iter: int = 30, reg: float = 0.01, kind: str | None = None):
-    est = make_estimator(kind, max_iter, reg)
+def fit(df: DataFrame, weight: str | None = None, max_iter: int = 30, reg: float = 0.01, kind: str | None = None,
+        layers=None):
+    est = make_estimator(kind, max_iter, reg, layers)
     if weight:
         est = est.setWeightCol(weight)
-    return est.fit(df.withColumn("y", F.col("y").cast("double")))
+    return est.fit(df.filter(F.col("y").isNotNull()).withColumn("y", F.col("y").cast("double")))
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -94,15 +122,35 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out.drop("rawPrediction", "probability", "prediction").withColumn("pred", argmax_index(F.col("p")))
 
 
+CLASS_METRICS = {"accuracy": lambda df, k, by: MT.accuracy(df, by=by), "auc": lambda df, k, by: MT.auc(df, k=k, by=by),
+                 "log_loss": lambda df, k, by: MT.neg_log_loss(df, by=by).withColumnRenamed("neg_log_loss", "log_loss")}
+REGRESSION_METRICS = {"rmspe": lambda df, by: MT.rmspe(df, by=by), "mae": lambda df, by: MT.mae_mse(df, by=by).drop("mse"),
+                      "mse": lambda df, by: MT.mae_mse(df, by=by).drop("mae")}
+
+
+def metric_table(scored: DataFrame, perf: str, k: int = K_LANG, by=()) -> DataFrame:
+    """``(by..., <perf>)``. Class metrics need ``y, p``, regression metrics ``y, pred``;
+    log_loss is the mean log probability (greater is better)."""
+    if perf in CLASS_METRICS:
+        return CLASS_METRICS[perf](scored, k, list(by))
+    if perf in REGRESSION_METRICS:
+        return REGRESSION_METRICS[perf](scored, list(by))
+    raise ValueError(f"unknown metric {perf}")
+
+
+def smaller_is_better(perf: str) -> bool:
+    if perf not in CLASS_METRICS and perf not in REGRESSION_METRICS:
+        raise ValueError(f"unknown metric {perf}")
+    return perf in REGRESSION_METRICS
+
+
 def metric(scored: DataFrame, perf: str = "accuracy", k: int = K_LANG) -> float:
-    if perf == "accuracy":
-        row = MT.accuracy(scored).first()
-        return float(row["accuracy"])
-    if perf == "auc":
-        return float(MT.auc(scored, k=k).first()["auc"])
-    if perf == "log_loss":
-        return float(MT.neg_log_loss(scored).first()["neg_log_loss"])
-    raise ValueError(perf)
+    return float(metric_table(scored, perf, k).first()[perf])
+
+
+def gain(value: float, base: float, perf: str) -> float:
+    """Improvement over the baseline, positive when better."""
+    return base - value if smaller_is_better(perf) else value - base
 
 
 def prediction_diff(scored: DataFrame, k: int) -> F.Column:
@@ -111,15 +159,21 @@ def prediction_diff(scored: DataFrame, k: int) -> F.Column:
 
 
 class ValuerTrainer:
-    """REINFORCE data valuation with a Spark ML predictor in the loop."""
+    """REINFORCE data valuation with a classifier in the loop.
+
+    ``predictor='naive_bayes'``: the valuer's own pass also sums the class-term counts of
+    the rows it selects, so a fit costs no further job; any other kind is a Spark ML
+    estimator fitted on the selected rows."""
 
     def __init__(self, data: TaskData, hidden: int = 100, comb: int = 10, batch_size: int = 2000,
                  lr: float = 0.01, seed: int = SEED, perf: str = "accuracy", predictor_iter: int = 30,
-                 predictor: str | None = None, moving_baseline: float | None = None):
-        """``moving_baseline`` (e.g. 0.9) subtracts an exponential moving average of
+                 predictor: str | None = None, layers=None, moving_baseline: float | None = None):
+        """``batch_size``: expected labelled rows of an iteration (a hash threshold picks
+        them). ``moving_baseline`` (e.g. 0.9) subtracts an exponential moving average of
         past rewards (variance reduction); None keeps the fixed baseline metric."""
-        self.data, self.seed, self.perf, self.predictor_iter = data, seed, perf, predictor_iter
-        self.predictor, self.moving_baseline, self._avg_reward = predictor, moving_baseline, None
+        smaller_is_better(perf)  # an unknown metric ends here
+        self.data, self.seed, self.perf, self.predictor_iter, self.layers = data, seed, perf, predictor_iter, layers
+        self.predictor, self.moving_baseline, self._avg_reward = predictor or PREDICTOR, moving_baseline, None
         self.params = VL.init_params(data.d, data.k, hidden, comb, seed)
         self.theta = VL.flatten(self.params)
         self.adam = VL.Adam(lr)
@@ -127,123 +181,189 @@ class ValuerTrainer:
         self.history = []
         self._prepared = False
 
+    def _fit(self, df: DataFrame):
+        return fit(df, max_iter=self.predictor_iter, kind=self.predictor, layers=self.layers)
+
     def prepare(self):
         d = self.data
-        self.base_model = fit(d.train, max_iter=self.predictor_iter, kind=self.predictor)
-        self.valid_model = fit(d.valid, max_iter=self.predictor_iter, kind=self.predictor)
-        self.base_metric = metric(predict(self.base_model, d.valid), self.perf, d.k)
-        scored = predict(self.valid_model, d.train)
-        x = vector_to_array("features")
-        tr = scored.select("row_id", "y", "features", F.transform(x, lambda v: v / F.greatest(
-            F.aggregate(x, F.lit(0.0), lambda a, b: a + b), F.lit(1.0))).alias("x"),
-            prediction_diff(scored, d.k).alias("diff"))
-        # reused by every iteration: one reliable materialisation
-        self.train_in = cut_lineage(tr)
+        self.valid = cut_lineage(d.valid.filter(F.col("y").isNotNull()))
+        self.base_model, self.valid_model = self._fit(d.train), self._fit(self.valid)
+        self.base_metric = metric(predict(self.base_model, self.valid), self.perf, d.k)
+        scored = predict(self.valid_model, d.train.filter(F.col("y").isNotNull()))
+        x = Normalizer(p=1.0, inputCol="features", outputCol="x").transform(scored)  # rows sum to 1 (counts) in absolute terms
+        # reused by every iteration: one reliable materialisation; vectors stay sparse and
+        # are made dense a batch at a time inside the pass
+        self.train_in = cut_lineage(x.select("row_id", "y", "features", "x", prediction_diff(scored, d.k).alias("diff")))
         self.n = self.train_in.count()
         self._prepared = True
 
     def _pass(self, df: DataFrame, it: int, with_grad: bool = True) -> DataFrame:
-        fn = VL.pass_function(self.theta, self.params, self.data.k, it, self.seed, with_grad)
-        return df.select("row_id", "x", "y", "diff").mapInPandas(fn, VL.PASS_SCHEMA)
+        """The valuer over ``df``: values and selections per row, sums per task."""
+        fn = VL.pass_function(self.theta, self.params, self.data.k, self.data.d, it, self.seed, with_grad)
+        i, v = sparse_parts("x")
+        counts = F.unwrap_udt("features")["values"]
+        return df.select("row_id", "y", "diff", i.alias("i"), v.alias("v"), counts.alias("n")).mapInPandas(fn, VL.PASS_SCHEMA)
 
     def step(self, it: int):
         if not self._prepared:
             self.prepare()
         src = self.train_in
-        if self.batch_size < self.n:  # a sample of exactly batch_size rows (top-k of a seeded hash)
-            src = src.orderBy(uniform(self.seed + it, "row_id"), "row_id").limit(self.batch_size)
+        if self.batch_size < self.n:  # batch_size rows in expectation, wherever they lie
+            src = src.filter(uniform(self.seed + it, "row_id") < F.lit(self.batch_size / self.n))
         out = self._pass(src, it).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = out.filter(F.col("row_id") >= 0)
-        st = rows.agg(F.avg("v").alias("mv"), F.sum("s").alias("ns"), F.count(F.lit(1)).alias("n")).first()
-        chosen = rows.filter(F.col("s") > 0).select("row_id")
-        if not st["ns"]:  # nothing selected: redraw every row with probability one half
-            chosen = rows.filter(uniform(self.seed + 10_000 + it, "row_id") < 0.5).select("row_id")
-        sel = src.join(chosen, "row_id", "left_semi").select("features", "y")
-        model = fit(sel, max_iter=self.predictor_iter, kind=self.predictor)
-        reward = metric(predict(model, self.data.valid), self.perf, self.data.k) - self.base_metric
+        st = out.filter(F.col("row_id") >= 0).agg(F.avg("v").alias("mv"), F.sum("s").alias("ns"),
+                                                  F.count(F.lit(1)).alias("n")).first()
+        g = out.filter(F.col("row_id") < 0).agg(*[Summarizer.sum(array_to_vector(c)).alias(c) for c in ("g_ll", "g_v", "stats")]).first()
+        reward = self._reward(src, out, it, st["ns"], g["stats"].toArray())
         signal = reward
         if self.moving_baseline is not None:
             if self._avg_reward is None:
                 self._avg_reward = reward
             signal = reward - self._avg_reward
             self._avg_reward = self.moving_baseline * self._avg_reward + (1 - self.moving_baseline) * reward
-        g = out.filter(F.col("row_id") < 0).agg(
-            Summarizer.sum(array_to_vector("g_ll")).alias("a"), Summarizer.sum(array_to_vector("g_v")).alias("b")
-        ).first()
-        grad = VL.loss_gradient(g["a"].toArray(), g["b"].toArray(), signal, st["mv"], st["n"])
+        grad = VL.loss_gradient(g["g_ll"].toArray(), g["g_v"].toArray(), signal, st["mv"], st["n"])
         self.theta = self.adam.step(self.theta, grad)
         out.unpersist()
         self.history.append((it, reward, st["mv"]))
         return reward
 
+    def _reward(self, src: DataFrame, out: DataFrame, it: int, selected: float, stats: np.ndarray) -> float:
+        k, d = self.data.k, self.data.d
+        if selected and self.predictor == "naive_bayes":
+            n, c = stats[:k], stats[k:].reshape(k, d)
+            models = AD.NaiveBayes.of(n[None], c[None])
+            scored = self._nb_scored(models)
+            return gain(metric(scored, self.perf, k), self.base_metric, self.perf)
+        if selected:
+            chosen = out.filter(F.col("s") > 0).select("row_id")
+            sel = src.join(chosen, "row_id", "left_semi").select("features", "y")
+        else:  # nothing selected: redraw every row with probability one half
+            sel = src.filter(uniform(self.seed + 10_000 + it, "row_id") < 0.5).select("features", "y")
+        return gain(metric(predict(self._fit(sel), self.valid), self.perf, k), self.base_metric, self.perf)
+
+    def _nb_scored(self, models) -> DataFrame:
+        """Validation rows scored by a counted model (parameters travel in the closure)."""
+        fn = VL.nb_function(models.prior[0], models.term[0])
+        i, v = sparse_parts()
+        return self.valid.select("row_id", "y", i.alias("i"), v.alias("v")).mapInPandas(fn, "row_id long, y int, p array<double>")
+
     def train(self, iterations: int):
         for it in range(iterations):
             self.step(it)
         return self
 
     def values(self) -> DataFrame:
-        """(row_id, data_value) for every training row (one forward pass, no gradients)."""
+        """(row_id, data_value) for every labelled training row (one forward pass)."""
         if not self._prepared:
             self.prepare()
         out = self._pass(self.train_in, -1, with_grad=False)
         return out.filter(F.col("row_id") >= 0).select("row_id", F.col("v").alias("data_value"))
 
 
-def simple_values(data: TaskData, max_iter: int = 30) -> DataFrame:
+def nb_fit(rows: DataFrame, data: TaskData) -> AD.NaiveBayes:
+    return AD.NaiveBayes.of(*AD.nb_statistics(rows, data.bow, data.k, data.d))
+
+
+def nb_scores(rows: DataFrame, data: TaskData, model: AD.NaiveBayes) -> DataFrame:
+    """``rows`` (row_id, y, ...) with the class probabilities of one counted model."""
+    return AD.nb_predict(rows, data.bow, model).drop("model")
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    return df.select("row_id", "y")
+
+
+def simple_values(data: TaskData) -> DataFrame:
     """Model-based value without training a valuer: the validation model's
-    probability of the observed label (1 - own-class prediction difference)."""
-    vm = fit(data.valid, max_iter=max_iter)
-    s = predict(vm, data.train)
-    return s.select("row_id", F.element_at("p", F.col("y") + 1).alias("data_value"))
+    probability of the observed label (1 - own-class prediction difference), to nine
+    digits so that saturated values tie and ties go by row id."""
+    s = nb_scores(labelled(data.train), data, nb_fit(labelled(data.valid), data))
+    return s.select("row_id", F.round(F.element_at("p", F.col("y") + 1), 9).alias("data_value"))
 
 
 def ranked_values(train: DataFrame, values: DataFrame) -> DataFrame:
-    """Ascending rank (value, row_id) and its exact reverse (value desc, row_id desc)."""
-    r = train.join(values, "row_id")
+    """Ascending rank (value, row_id) and its exact reverse (value desc, row_id desc) of
+    the train columns but ``features``, which stay out of the global sort."""
+    r = train.drop("features").join(values, "row_id")
     r = global_rank(r, [F.col("data_value"), F.col("row_id")], out="rank_asc")
     n = r.count()
     return r.withColumn("rank_desc", F.lit(n - 1) - F.col("rank_asc"))
 
 
-def remove_high_low(data: TaskData, values: DataFrame, perf: str = "accuracy", bins: int = R.NUM_BINS,
-                    parallelism: int = 8, max_iter: int = 30) -> DataFrame:
+MODES = (("low", "rank_asc"), ("high", "rank_desc"))
+
+
+def _evaluated(data: TaskData) -> DataFrame:
+    return (labelled(data.valid).withColumn("part", F.lit("valid"))
+            .unionByName(labelled(data.test).withColumn("part", F.lit("test"))))
+
+
+def _curve(spark, per_mode, perf: str, bins: int) -> DataFrame:
+    """One row per mode and bin from (mode, rows left of every bin, models usable, metric
+    table (model, part, <perf>))."""
+    out = None
+    for mode, left, usable, table_ in per_mode:
+        spine = spark.createDataFrame([(mode, b, int(left[b]), bool(usable[b])) for b in range(bins)],
+                                      "mode string, bin int, n_rows long, usable boolean")
+        wide = table_.groupBy("model").agg(*[F.max(F.when(F.col("part") == x, F.col(perf))).alias(f"{x}_metric")
+                                             for x in ("valid", "test")])
+        t = spine.join(wide, spine["bin"] == wide["model"], "left")
+        t = t.select("mode", "bin", "n_rows", *[F.when(F.col("usable"), F.col(f"{x}_metric")).otherwise(0.0).alias(f"{x}_metric")
+                                                for x in ("valid", "test")])  # null: no row to evaluate
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def remove_high_low(data: TaskData, values: DataFrame, perf: str = "accuracy", bins: int = R.NUM_BINS) -> DataFrame:
     """For each bin b and mode low/high, drop the floor(b*n/bins) lowest (highest)
-    valued rows, refit, and score on valid and test. Which subsets keep at least two
-    classes is known from one per-class aggregate (a class survives while its largest
-    rank reaches the cut); fits run concurrently from driver threads (as
-    CrossValidator does), and valid and test are scored in one job per fit. A subset
-    left with one class is skipped (metric 0)."""
+    valued rows, fit naive Bayes on the rest, and score it on valid and test.
+
+    Counts are taken once per (bin, class, term); suffix sums over the bins give the
+    models of all subsets, and one job scores them all: the number of jobs does not depend
+    on ``bins``. A subset left with one class is skipped (metric 0)."""
+    if perf not in CLASS_METRICS:
+        raise ValueError(f"unknown metric {perf}")
     spark = data.train.sparkSession
-    ranked = ranked_values(data.train, values).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = ranked_values(data.train.filter(F.col("y").isNotNull()), values)
     n = ranked.count()
-    top = {r["y"]: (r["a"], r["d"]) for r in
-           ranked.groupBy("y").agg(F.max("rank_asc").alias("a"), F.max("rank_desc").alias("d")).collect()}
-    evals = data.valid.withColumn("_part", F.lit("valid")).unionByName(data.test.withColumn("_part", F.lit("test")))
-    evals = evals.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(job):
-        mode, b = job
-        cut = int(b * n / bins)
-        rk = "rank_asc" if mode == "low" else "rank_desc"
-        alive = sum(1 for a, d in top.values() if (a if mode == "low" else d) >= cut)
-        if alive < 2:
-            return (mode, b, n - cut, 0.0, 0.0)
-        m = fit(ranked.filter(F.col(rk) >= cut), max_iter=max_iter)
-        sc = predict(m, evals)
-        if perf == "accuracy":
-            res = {r["_part"]: r["accuracy"] for r in MT.accuracy(sc, by="_part").collect()}
-        elif perf == "auc":
-            res = {r["_part"]: r["auc"] for r in MT.auc(sc, k=data.k, by="_part").collect()}
-        else:
-            res = {r["_part"]: r["neg_log_loss"] for r in MT.neg_log_loss(sc, by="_part").collect()}
-        return (mode, b, n - cut, float(res.get("valid", 0.0)), float(res.get("test", 0.0)))
-
-    jobs = [(m, b) for m in ("low", "high") for b in range(bins)]
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        rows = list(ex.map(one, jobs))
-    ranked.unpersist()
-    evals.unpersist()
-    return spark.createDataFrame(rows, "mode string, bin int, n_rows long, valid_metric double, test_metric double")
+    evals, per_mode = _evaluated(data), []
+    for mode, rank in MODES:
+        rows = ranked.select("row_id", "y", bin_of_rank(F.col(rank), n, bins).alias("b"))
+        counts = AD.nb_statistics(rows, data.bow, data.k, data.d, bins, "b")
+        models = AD.NaiveBayes.of(*map(AD.suffix_sums, counts))
+        scored = AD.nb_predict(evals, data.bow, models)
+        per_mode.append((mode, models.rows, models.classes > 1, metric_table(scored, perf, data.k, ["model", "part"])))
+    return _curve(spark, per_mode, perf, bins)
+
+
+def regression_curve(train: DataFrame, evals: DataFrame, values: DataFrame, column: str, groups: list, perf: str = "rmspe",
+                     bins: int = R.NUM_BINS) -> DataFrame:
+    """The removal curve of a regression task: group-mean predictor over ``column``,
+    metrics rmspe, mae or mse (smaller is better). ``evals``: (row_id, y, column, part)."""
+    if perf not in REGRESSION_METRICS:
+        raise ValueError(f"unknown metric {perf}")
+    ranked = ranked_values(train, values)
+    n, per_mode = ranked.count(), []
+    for mode, rank in MODES:
+        rows = ranked.select("row_id", "y", column, bin_of_rank(F.col(rank), n, bins).alias("b"))
+        counts = AD.mean_statistics(rows, column, groups, bins, "b")
+        models = AD.GroupMeans.of(groups, *map(AD.suffix_sums, counts))
+        scored = AD.mean_predict(evals, column, models)
+        per_mode.append((mode, models.rows, models.rows > 0, metric_table(scored, perf, by=["model", "part"])))
+    return _curve(train.sparkSession, per_mode, perf, bins)
+
+
+def regression_values(train: DataFrame, valid: DataFrame, column: str, groups: list) -> DataFrame:
+    """``1 / (1 + |y - p| / |y|)`` with p the validation rows' group mean, to nine digits;
+    a row with y = 0 has the value 0."""
+    model = AD.GroupMeans.of(groups, *AD.mean_statistics(valid, column, groups))
+    s = AD.mean_predict(train, column, model).withColumn("d", relative_diff(F.col("y"), F.col("pred")))
+    return s.select("row_id", F.round(F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.col("d")), F.lit(0.0)), 9).alias("data_value"))
+
+
+def relative_diff(y, p):
+    """|y - p| / |y|: the regression form of the prediction difference; null where y = 0."""
+    return F.try_divide(F.abs(y - p), F.abs(y))
 
 
 def learn_with_values(curve: DataFrame, minimize: bool = False) -> DataFrame:
@@ -252,21 +372,56 @@ def learn_with_values(curve: DataFrame, minimize: bool = False) -> DataFrame:
     return best_bin_of(curve, minimize=minimize)
 
 
-def learn_baseline(data: TaskData, perf: str = "accuracy", max_iter: int = 30) -> float:
-    m = fit(data.train, max_iter=max_iter)
-    return metric(predict(m, data.test), perf, data.k)
+def learn_baseline(data: TaskData, perf: str = "accuracy") -> float:
+    return metric(nb_scores(labelled(data.test), data, nb_fit(labelled(data.train), data)), perf, data.k)
+
+
+def two_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``title`` (the first line of the text) and ``description`` (the rest)."""
+    first = F.regexp_extract(text, "^([^\\n]*)", 1)
+    return df.withColumn("title", first).withColumn("description", F.substring(F.col(text), F.length(first) + 2, F.length(text)))
 
 
 def text_classifier_pipeline(vocab_size: int = VOCAB_SIZE, max_iter: int = 30) -> Pipeline:
     """Clean text (SQL regex chain) -> tokens -> counts -> logistic regression."""
-    clean_sql = "SELECT *, {} AS clean FROM __THIS__".format(_spark_sql_rules("text", R.CLEAN_STR_RULES))
-    return Pipeline(stages=[
-        SQLTransformer(statement=clean_sql),
-        RegexTokenizer(inputCol="clean", outputCol="tokens", pattern="\\s+", toLowercase=True),
-        CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size),
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01,
-                           family="multinomial"),
-    ])
+    return Pipeline(stages=[*_text_stages("text", "features", vocab_size), _classifier(max_iter)])
+
+
+def two_text_classifier_pipeline(vocab_size: int = VOCAB_SIZE, max_iter: int = 30) -> Pipeline:
+    """Title and description each with a cleaner and a vectoriser of its own, joined into one
+    feature vector."""
+    return Pipeline(stages=[*_text_stages("title", "title_counts", vocab_size), *_text_stages("description", "description_counts", vocab_size),
+                            VectorAssembler(inputCols=["title_counts", "description_counts"], outputCol="features"), _classifier(max_iter)])
+
+
+def _text_stages(text: str, out: str, vocab_size: int) -> list:
+    clean = "SELECT *, {} AS {}_clean FROM __THIS__".format(_spark_sql_rules(text, R.CLEAN_STR_RULES), text)
+    return [SQLTransformer(statement=clean),
+            RegexTokenizer(inputCol=f"{text}_clean", outputCol=f"{text}_tokens", pattern="\\s+", toLowercase=True),
+            CountVectorizer(inputCol=f"{text}_tokens", outputCol=out, vocabSize=vocab_size)]
+
+
+def _classifier(max_iter: int) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01, family="multinomial")
+
+
+GRAPH_DIM = 64
+
+
+def graph_features(spark, sf_dir) -> DataFrame:
+    """``(row_id, y, split, features)`` of the lang task with pooled document-graph vectors."""
+    from .cat_graph import document_vectors
+    v = cut_lineage(document_vectors(spark, sf_dir).select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("features")))
+    return lang_task(spark, sf_dir).select("row_id", "y", "split").join(v, "row_id")
+
+
+def graph_task(spark, sf_dir, noise: float = 0.2, test_includes_valid: bool = True) -> TaskData:
+    """The lang task with planted noise and graph vectors as the inputs of predictor and
+    valuer (dense vectors; there are no counts)."""
+    feats = graph_features(spark, sf_dir)
+    train = noisy_train(spark, sf_dir, noise).join(feats.select("row_id", "features"), "row_id")
+    data = _task_data(train, feats, GRAPH_DIM, test_includes_valid)
+    return data
 
 
 def _spark_sql_rules(expr: str, rules) -> str:

@@ -68,7 +68,7 @@ def read_word_vectors(spark: SparkSession, path: str, header: bool = False) -> D
         lines = lines.filter(F.col("line") > 1)
     toks = F.split(F.col("value"), " ")
     return lines.select(toks[0].alias("word"),
-                        F.transform(F.slice(toks, 2, 1 << 20), lambda x: x.cast("float")).alias("vec"))
+                        F.transform(F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))), lambda x: x.cast("float")).alias("vec"))
 
 
 def read_aligned(spark: SparkSession, paths: dict) -> DataFrame:

@@ -28,6 +28,23 @@ def write_values(values: DataFrame, path: str) -> None:
     values.write.mode("overwrite").parquet(path)
 
 
+CURVE_SCHEMA = "mode string, bin int, n_rows long, valid_metric double, test_metric double"
+
+
+def write_curve(curve: DataFrame, path: str) -> None:
+    """A value curve (a row per mode and bin) as CSV with a title line."""
+    curve.select("mode", "bin", "n_rows", "valid_metric", "test_metric").write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_curve(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CURVE_SCHEMA).option("header", True).csv(path)
+
+
+def write_ids(rows: DataFrame, order, path: str, key: str = "row_id") -> None:
+    """Row ids, one per line, in the given order (lowest-valued rows, noisy rows)."""
+    rows.orderBy(*order).select(F.col(key).cast("string")).write.mode("overwrite").text(path)
+
+
 def write_manifest(spark: SparkSession, path: str, entries: dict) -> None:
     """A one-row JSON table naming the stored artefacts of a run."""
     spark.createDataFrame([(json.dumps(entries, sort_keys=True),)], "manifest string") \

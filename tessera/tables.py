@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -14,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy row work (regex chains, array functions) at least one partition
-    per core. Large inputs already arrive in many file splits and are left alone;
-    small ones are hash-partitioned on ``key`` (deterministic under task retries)."""
+    """Give CPU-heavy row work (regex chains, array functions) a partition per core when the
+    planner's size estimate is below one full split per core; a larger input already arrives
+    in enough splits and is not shuffled. Changes no result; deterministic under retries."""
     spark = df.sparkSession
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * split:
+        return df.repartition(cores, F.col(key))
+    return df

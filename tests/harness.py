@@ -75,7 +75,7 @@ def compare(spark, con, key, fn, sql, sf_dir):
     if len(sr) != len(dr):
         problems.append(f"rows spark={len(sr)} duck={len(dr)}")
     elif sr != dr:
-        diff = [(a, b) for a, b in zip(sr, dr) if a != b][:3]
+        diff = [(a, b) for a, b in zip(sr, dr, strict=True) if a != b][:3]
         problems.append(f"values differ, e.g. {diff}")
     return problems, len(sr), t1 - t0, t2 - t1
 

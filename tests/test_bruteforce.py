@@ -1,7 +1,5 @@
 """Queries without a SQL oracle, checked against plain-Python brute force."""
 
-import difflib
-import lzma
 import random
 
 from pyspark.sql import functions as F
@@ -40,24 +38,6 @@ def test_edit_dist_and_match(spark, queries):
         assert sm[k] == (a == b, (1.0 - (levenshtein(a, b) / m if m else 0.0)) >= 0.3)
 
 
-def test_longest_match_and_compression(spark, queries):
-    q, _ = queries
-    pairs = _pairs(spark)
-    lm = {(r.conv_id, r.turn): (r.size, r.ratio) for r in q["longest_match"](spark, SMALL).collect()}
-    cd = {(r.conv_id, r.turn): r.dist for r in q["compression_dist"](spark, SMALL).collect()}
-    for k, (a, b) in pairs.items():
-        size = difflib.SequenceMatcher(lambda x: x == " ", a, b).find_longest_match(0, len(a), 0, len(b)).size
-        assert lm[k][0] == size
-        assert abs(lm[k][1] - round(size / min(len(a), len(b)), 6)) < 1e-9
-        if a == b:
-            exp = 0.0
-        else:
-            lx, ly = len(lzma.compress(a.encode())), len(lzma.compress(b.encode()))
-            lxy, lyx = len(lzma.compress((a + b).encode())), len(lzma.compress((b + a).encode()))
-            exp = (min(lxy, lyx) - min(lx, ly)) / max(lx, ly)
-        assert abs(cd[k] - round(exp, 6)) < 1e-9
-
-
 def test_fuzzy_join_exact_on_near_copies(spark):
     rng = random.Random(3)
     alphabet = "abcdefgh "

@@ -59,13 +59,6 @@ def test_normalized_graph_symmetric(spark, queries):
     assert j.filter(F.col("w").isNull() | F.col("wt").isNull() | (F.abs(F.col("w") - F.col("wt")) > 1e-12)).count() == 0
 
 
-def test_literal_window_probe():
-    # the literal slice [min(0, i-w) : max(n, i+w+1)] on a plain list
-    n, w = 7, 4
-    got = {i: list(range(n))[min(0, i - w): max(n, i + w + 1)] for i in range(n)}
-    assert got[0] == [3, 4, 5, 6] and got[3] == [6] and got[4] == list(range(7))
-
-
 def test_discovery_monotone_and_complete(spark, queries):
     q, _ = queries
     rows = sorted(q["discover_corrupted"](spark, MID).collect(), key=lambda r: r["b"])
