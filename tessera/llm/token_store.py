@@ -16,11 +16,11 @@ Plane p holds bit (top - p) of every id after the stable partition by the planes
 above. :class:`WaveletMatrix` gives access, rank, select and count on these columns, and
 :func:`count_token` and :func:`find_token` run them over all shards.
 
-The encoder splits a text at the borders of the tokenizer's own pre-tokens and encodes
-each distinct pre-token once with the library, as long as all characters belong to a
-fixed set for which both classify alike (see ``_SAFE``); any other text, any text with
-the string of an added token, and any tokenizer that is not byte-level goes to the
-library whole. The ids are the same either way.
+The encoder cuts a text at the borders of the tokenizer's own pre-tokens and encodes each
+distinct one once with the library, as long as all characters belong to a fixed set
+(``_SAFE``) whose classes are written out below; any other text, any text with the string
+of an added token, and any tokenizer that is not byte-level goes to the library whole. The
+ids are the same either way.
 
 Defined cases: null text is empty (its document is the end id alone); rows that repeat
 an id stay apart, in the order of their texts' hashes; null ids come first; an empty
@@ -33,6 +33,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from .common import col, scratch_path, slices
 SHARD_TOKENS = 1 << 19
 BLOCK = 512
 END_ID = 2
-MEMO = 400_000
+MEMO = 800_000  # pre-tokens an encoder keeps before it starts anew
 
 # The pre-token pattern of byte-level BPE tokenizers, with its letter,
 # number and space classes written out for the characters of _SAFE.
@@ -55,8 +56,37 @@ _SAFE = re.compile(f"[{_S}\x21-\x7e{_L}¡«»¿–—‘-”…€]*")
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+class _Memo:
+    """Ids of pre-tokens, in one growing array; ``place`` indexes it by pre-token."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.ends, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        """New pre-tokens with their ids end to end."""
+        had, used = self.n, int(self.ends[self.n])
+        for name, need in (("ids", used + len(ids)), ("ends", had + len(keys) + 1)):
+            x = getattr(self, name)
+            if need > len(x):
+                setattr(self, name, np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)]))
+        self.ids[used:used + len(ids)] = ids
+        self.n = had + len(keys)
+        self.ends[had + 1:self.n + 1] = used + np.cumsum(lens)
+        self.place.update(zip(keys, range(had, self.n), strict=True))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens end to end, and the number of ids of each."""
+        start = self.ends[places]
+        lens = self.ends[places + 1] - start
+        total = int(lens.sum())
+        at = np.repeat(start - (np.cumsum(lens) - lens), lens) + np.arange(total)
+        return self.ids[at], lens
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes."""
+    """Ids of whole texts. Texts of safe characters are cut into pre-tokens, each distinct one
+    is encoded once and kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,30 +97,56 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                       and spec.get("normalizer") is None)
-        self.memo: dict[str, bytes] = {}
-        self.bits = max(1, int(self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        #: bytes of each id: a byte-level token has one character per byte
+        self.id_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)])
+        self.bits = max(1, (size - 1).bit_length())
+        self.memo = _Memo()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode distinct pre-tokens. Those of a space and a word are encoded as one text:
+        its pre-tokens are these very parts, and the byte lengths of the ids tell them
+        apart. The rest go to the library one by one."""
+        words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        other = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
+        if words:
+            ids = self._whole(["".join(words)])[0]
+            ends = np.cumsum([len(w.encode()) for w in words])
+            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
+            self.memo.add(words, ids, np.diff(last, prepend=0))
+        if other:
+            got = self._whole(other)
+            self.memo.add(other, np.concatenate(got), np.array([len(x) for x in got]))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        split, whole, missing = {}, [], set()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if self.memo.n > MEMO:
+            self.memo = _Memo()
+        get = self.memo.place.get
+        cut, whole, missing = [], [], set()
         for i, t in enumerate(texts):
             if self.split and _SAFE.fullmatch(t) and not any(a in t for a in self.added):
-                split[i] = _PRETOKEN.findall(t)
-                missing.update(split[i])
+                parts = _PRETOKEN.findall(t)
+                at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
+                holes = np.flatnonzero(at < 0)
+                new = [parts[j] for j in holes.tolist()]
+                missing.update(new)
+                cut.append((i, at, holes, new))
             else:
                 whole.append(i)
-        new = [m for m in missing if m not in self.memo]
-        self.memo.update(zip(new, self._ids(new), strict=True))
-        get = self.memo.__getitem__
-        for i, parts in split.items():
-            out[i] = b"".join(map(get, parts))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        self._learn(list(missing))
+        for _, at, holes, new in cut:
+            at[holes] = [get(p) for p in new]
+        if cut:
+            ids, lens = self.memo.gather(np.concatenate([x[1] for x in cut]))
+            ends = np.concatenate(([0], np.cumsum(lens)))[np.cumsum([len(x[1]) for x in cut])]
+            for (i, *_), got in zip(cut, np.split(ids, ends[:-1]), strict=True):
+                out[i] = got
+        for i, got in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = got
         return out
 
 
@@ -212,20 +268,20 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer), np.asarray([end_id], "<u4")
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, held, size = [], [], 0
         bits = max(enc.bits, end_id.bit_length())
 
         def shard() -> pa.RecordBatch:
             nonlocal ids, held, size, seq, before
-            x = np.frombuffer(b"".join(ids), "<u4")
+            x = np.concatenate(ids)
             w = WaveletMatrix.build(x, bits)
             keys = pa.concat_arrays(held)
             one = lambda v, t: pa.array([v], t)
             out = pa.RecordBatch.from_arrays([
                 one(part, pa.int32()), one(seq, pa.int32()), one(before, pa.int64()), one(len(x), pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), one([len(i) // 4 for i in ids], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), one([len(i) for i in ids], pa.list_(pa.int64())),
                 one(w.zeros, pa.list_(pa.int64())), one([p.tobytes() for p in w.planes], pa.list_(pa.binary())),
                 one([r.tobytes() for r in w.ranks], pa.list_(pa.binary()))],
                 names=["part", "seq", "before", "n", "doc_ids", "lens", "zeros", "planes", "ranks"])
@@ -235,9 +291,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         for b in slices(batches, 1 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
             for i, got in enumerate(enc(texts)):
-                ids.append(got + end)
+                ids.append(np.append(got, end))
                 held.append(b.column(0).slice(i, 1))
-                size += len(got) // 4 + 1
+                size += len(got) + 1
                 if size >= shard_tokens:
                     yield shard()
         if ids:
