@@ -112,7 +112,7 @@ def dense(i, v, d: int) -> np.ndarray:
     out = np.zeros((len(i), d))
     row = np.repeat(np.arange(len(i)), [len(x) for x in i])
     if len(row):
-        out[row, np.concatenate(i.to_numpy())] = np.concatenate(v.to_numpy())
+        out[row, np.concatenate(i.to_numpy()).astype(int)] = np.concatenate(v.to_numpy())
     return out
 
 
