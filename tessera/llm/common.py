@@ -42,14 +42,24 @@ def written(df: DataFrame, tag: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables this application has written so far. Call it only
-    when every result that reads them has been written elsewhere."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """Scratch tables this application has written and not deleted, oldest first."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths=None) -> None:
+    """Delete these scratch tables (all by default). Call it only when every result that
+    reads them has been written elsewhere."""
+    own = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    for path in list(own if paths is None else paths):
+        if path in own:
+            own.remove(path)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def words(text: Column) -> Column:

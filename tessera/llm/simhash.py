@@ -33,6 +33,7 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TILE = 2048
+BROADCAST_BYTES = 64 << 20
 PARTS = 4
 _BITS = 64 // PARTS
 
@@ -172,18 +173,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-             radius: int = RADIUS) -> DataFrame:
+             radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` (all columns), one of each component: that with the smallest
     id. Rows that repeat an id are the same document, and one of them stays. Rows
-    without an id cannot be named by a decision; they all stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    per = written(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id")
-                  .agg(F.count(F.lit(1)).alias("n")), "representatives")
+    without an id cannot be named by a decision; they all stay.
+
+    Ids that go (and ids that repeat) are broadcast while they are below
+    ``broadcast_bytes``, so texts stay where they are; beyond that documents and decisions
+    are joined by a shuffle."""
+    found = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col("doc_id").isNotNull())
+    per = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c")), "decisions")
+    gone = per.filter((F.col("doc_id") != F.col("c")) | (F.col("n") > 1)).select("doc_id")
+    often = per.filter((F.col("doc_id") == F.col("c")) & (F.col("n") > 1)).select("doc_id")
+    small = lambda ids: F.broadcast(ids) if 16 * ids.count() <= broadcast_bytes else ids
     packed = docs.select(col(id_col).alias("i"), F.struct(*[col(c) for c in docs.columns]).alias("row"))
-    out = packed.join(per.filter(F.col("n") == 1), F.col("i") == F.col("doc_id"), "left_semi").select("row.*")
-    nameless = docs.filter(col(id_col).isNull())
-    often = per.filter(F.col("n") > 1)
+    out = packed.join(small(gone), F.col("i") == F.col("doc_id"), "left_anti").select("row.*")
     if not often.limit(1).count():
-        return out.unionByName(nameless)
-    again = packed.join(often, F.col("i") == F.col("doc_id"), "left_semi").groupBy("i").agg(F.first("row").alias("row"))
-    return out.unionByName(again.select("row.*")).unionByName(nameless)
+        return out
+    again = packed.join(small(often), F.col("i") == F.col("doc_id"), "left_semi").groupBy("i").agg(F.first("row").alias("row"))
+    return out.unionByName(again.select("row.*"))

@@ -67,8 +67,9 @@ def test_links_of_planted_chains(spark, seed, monkeypatch):
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == len(set(want.tolist()))
 
 
-def test_one_of_each_group_stays(docs):
-    kept = S.keep_one(docs)
+@pytest.mark.parametrize("bound", [S.BROADCAST_BYTES, -1])
+def test_one_of_each_group_stays(docs, bound):
+    kept = S.keep_one(docs, broadcast_bytes=bound)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     want = {r.component_id for r in S.near_duplicates(docs).filter("doc_id IS NOT NULL").collect()}
