@@ -172,14 +172,14 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for p in range(bits):
-            one = (x >> x.dtype.type(bits - 1 - p)) & x.dtype.type(1) != 0
+            one = (x & x.dtype.type(1 << (bits - 1 - p))) != 0
             packed = np.packbits(one, bitorder="little")
             ones = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(1, dtype=np.int64)
             planes.append(packed.tobytes())
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes())
-            left = x[~one]
+            left = np.compress(~one, x)
             zeros.append(len(left))
-            x = np.concatenate((left, x[one]))
+            x = np.concatenate((left, np.compress(one, x)))
         return cls(len(ids), zeros, planes, ranks)
 
     def _plane(self, p: int) -> np.ndarray:
@@ -192,8 +192,8 @@ class WaveletMatrix:
         for p in range(self.bits - 1, -1, -1):
             one, z = self._plane(p), self.zeros[p]
             y = np.empty(self.n, kind)
-            y[~one] = x[:z]
-            y[one] = x[z:] | kind(1 << (self.bits - 1 - p))
+            y[np.flatnonzero(~one)] = x[:z]
+            y[np.flatnonzero(one)] = x[z:] | kind(1 << (self.bits - 1 - p))
             x = y
         return x.astype("<u4")
 
