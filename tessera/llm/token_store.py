@@ -29,11 +29,11 @@ table gives an empty store; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +53,19 @@ MEMO = 800_000  # pre-tokens an encoder keeps before it starts anew
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 _S = " \t\n\r"
 _SAFE = re.compile(f"[{_S}\x21-\x7e{_L}¡«»¿–—‘-”…€]*")
-_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PRETOKEN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+class _Places(dict):
+    def __missing__(self, key):
+        return -1
 
 
 class _Memo:
     """Ids of pre-tokens, in one growing array; ``place`` indexes it by pre-token."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
+        self.place = _Places()  # -1: not known yet
         self.ids, self.ends, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0
 
     def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
@@ -125,12 +130,12 @@ class Encoder:
         out: list = [None] * len(texts)
         if self.memo.n > MEMO:
             self.memo = _Memo()
-        get = self.memo.place.get
+        get = self.memo.place.__getitem__
         cut, whole, missing = [], [], set()
         for i, t in enumerate(texts):
             if self.split and _SAFE.fullmatch(t) and not any(a in t for a in self.added):
                 parts = _PRETOKEN.findall(t)
-                at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
+                at = np.fromiter(map(get, parts), np.int64, len(parts))
                 holes = np.flatnonzero(at < 0)
                 new = [parts[j] for j in holes.tolist()]
                 missing.update(new)
@@ -290,7 +295,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         for b in slices(batches, 1 << 20):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, got in enumerate(enc(texts)):
+            gc.disable()  # millions of strings and no cycles: nothing to find
+            encoded = enc(texts)
+            gc.enable()
+            for i, got in enumerate(encoded):
                 ids.append(np.append(got, end))
                 held.append(b.column(0).slice(i, 1))
                 size += len(got) + 1
