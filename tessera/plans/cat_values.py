@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,7 +23,7 @@ from .cat_report import discovery_table
 from .cat_tabular import DOMAIN_SQL, domain_value
 from .cat_vocab import _BOW_SQL, _EN_TOKENS_SQL, _VOCAB_SQL
 from .registry import register
-from .tasks import LANG_TASK_SQL, NOISE_RATE, SEED, lang_task, noisy_train_sql
+from .tasks import LANG_TASK_SQL, NOISE_RATE, lang_task, noisy_train_sql
 
 #: Outer iterations of the registered runs. The original run recipe sets 400; a run of that
 #: length passes ``iterations=400`` (every iteration is a fit of the predictor in the loop).
@@ -165,7 +166,7 @@ def fit_predictor(spark, sf_dir):
     scored on valid and test; both models are scored in one job."""
     data = VA.lang_features(spark, sf_dir)
     pairs = [AD.nb_statistics(VA.labelled(x), data.bow, data.k, data.d) for x in (data.train, data.valid)]
-    models = AD.NaiveBayes.of(*(VA.np.concatenate(x) for x in zip(*pairs, strict=True)))
+    models = AD.NaiveBayes.of(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
     scored = AD.nb_predict(VA._evaluated(data), data.bow, models)
     t = VA.metric_table(scored, "accuracy", data.k, ["model", "part"])
     return t.select(F.element_at(F.array(F.lit("baseline"), F.lit("validation")), F.col("model") + 1).alias("model"),
@@ -195,7 +196,7 @@ def reward(spark, sf_dir):
     subsets = {"all": data.train, "clean_only": data.train.filter(~F.col("is_noisy")), "noisy_only": data.train.filter(F.col("is_noisy")),
                "half": data.train.filter(uniform(7, "row_id") < 0.5)}
     pairs = [AD.nb_statistics(VA.labelled(x), data.bow, data.k, data.d) for x in subsets.values()]
-    models = AD.NaiveBayes.of(*(VA.np.concatenate(x) for x in zip(*pairs, strict=True)))
+    models = AD.NaiveBayes.of(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
     t = VA.metric_table(AD.nb_predict(VA.labelled(data.valid), data.bow, models), "accuracy", data.k, ["model"])
     got = {r["model"]: r["accuracy"] for r in t.collect()}  # four numbers
     rows = []
@@ -373,7 +374,7 @@ def regression_reward(spark, sf_dir):
     ref = AD.GroupMeans.of(nations, *AD.mean_statistics(valid, GROUP, nations))
     near = AD.mean_predict(train, GROUP, ref).filter(VA.relative_diff(F.col("y"), F.col("pred")) < 0.5)
     pairs = [AD.mean_statistics(x, GROUP, nations) for x in (train, near)]
-    m = AD.GroupMeans.of(nations, *(VA.np.concatenate(x) for x in zip(*pairs, strict=True)))
+    m = AD.GroupMeans.of(nations, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
     got = {r["model"]: r["rmspe"] for r in VA.metric_table(AD.mean_predict(valid, GROUP, m), "rmspe", by=["model"]).collect()}
     return spark.createDataFrame([(round(got[1], 6), round(VA.gain(got[1], got[0], "rmspe"), 6))], "rmspe double, reward double")
 

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "tessera", extra: dict | None = None) -> SparkSession:

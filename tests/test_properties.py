@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tests.conftest import MID, SMALL
 from tessera.functions.hashing import uniform, uniform_sql
-from tessera.operators import graph as G
 from tessera.operators.ranking import global_rank, prefix_sum
 from tessera.operators.sampling import corrupt_label
 
