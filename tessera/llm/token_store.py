@@ -275,22 +275,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([end_id], "<u4")
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        ids, held, size = [], [], 0
         bits = max(enc.bits, end_id.bit_length())
+        ids, held, lens, size = [], [], [], 0  # of the shard that is being filled
 
         def shard() -> pa.RecordBatch:
-            nonlocal ids, held, size, seq, before
+            nonlocal ids, held, lens, size, seq, before
             x = np.concatenate(ids)
             w = WaveletMatrix.build(x, bits)
             keys = pa.concat_arrays(held)
             one = lambda v, t: pa.array([v], t)
             out = pa.RecordBatch.from_arrays([
                 one(part, pa.int32()), one(seq, pa.int32()), one(before, pa.int64()), one(len(x), pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), one([len(i) for i in ids], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), one(lens, pa.list_(pa.int64())),
                 one(w.zeros, pa.list_(pa.int64())), one([p.tobytes() for p in w.planes], pa.list_(pa.binary())),
                 one([r.tobytes() for r in w.ranks], pa.list_(pa.binary()))],
                 names=["part", "seq", "before", "n", "doc_ids", "lens", "zeros", "planes", "ranks"])
-            seq, before, ids, held, size = seq + 1, before + len(x), [], [], 0
+            seq, before, ids, held, lens, size = seq + 1, before + len(x), [], [], [], 0
             return out
 
         for b in slices(batches, 1 << 20):
@@ -298,12 +298,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             gc.disable()  # millions of strings and no cycles: nothing to find
             encoded = enc(texts)
             gc.enable()
-            for i, got in enumerate(encoded):
-                ids.append(np.append(got, end))
-                held.append(b.column(0).slice(i, 1))
+            first = 0
+            for i, got in enumerate(encoded, 1):
+                ids += (got, end)
+                lens.append(len(got) + 1)
                 size += len(got) + 1
                 if size >= shard_tokens:
+                    held.append(b.column(0).slice(first, i - first))
+                    first = i
                     yield shard()
+            if first < len(encoded):
+                held.append(b.column(0).slice(first))
         if ids:
             yield shard()
 
