@@ -46,7 +46,7 @@ from .common import col, scratch_path, slices
 SHARD_TOKENS = 1 << 19
 BLOCK = 512
 END_ID = 2
-MEMO = 800_000  # pre-tokens an encoder keeps before it starts anew
+MEMO = 1_500_000  # pre-tokens an encoder keeps before it starts anew
 
 # The pre-token pattern of byte-level BPE tokenizers, with its letter,
 # number and space classes written out for the characters of _SAFE.
