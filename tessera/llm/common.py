@@ -62,6 +62,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_side(df: DataFrame, row_bytes: int, bound: int = 64 << 20) -> DataFrame:
+    """The smaller side of a join: broadcast if its counted rows of ``row_bytes`` stay below
+    ``bound``, else a sort-merge join. (The planner alone would go by the size of the
+    compressed files.) ``df`` is a written table, so counting it is cheap."""
+    return F.broadcast(df) if df.count() * row_bytes <= bound else df.hint("merge")
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-white-space as an array; null and empty give no word."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS))

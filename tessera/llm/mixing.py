@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
-from .common import col, words, written
+from .common import col, join_side, words, written
 
 BINS = 4096
 MAX_REPEAT = 3
@@ -103,7 +103,7 @@ def plan(rows: DataFrame, share: float = 1.0, n_shards: int | None = None, seed:
     blocks = written(rows.groupBy("key", "bin").agg(F.sum("size").alias("words")), "blocks")
     goal = written(targets(blocks, share), "targets")
     w = Window.partitionBy("key").orderBy("bin")
-    at = (blocks.join(goal, "key")
+    at = (blocks.join(join_side(goal, 100), "key")
           .withColumn("rank", F.row_number().over(w) - 1)
           .withColumn("before", F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
           .withColumn("n_blocks", F.count(F.lit(1)).over(Window.partitionBy("key"))))
@@ -117,11 +117,12 @@ def plan(rows: DataFrame, share: float = 1.0, n_shards: int | None = None, seed:
     quotas = stream.groupBy("key").agg(F.count(F.lit(1)).alias("quota"))
     runs = split_quotas(quotas, total, n_shards, seed)
     dealt = runs.select("key", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("v"))
-    per = (stream.join(dealt, ["key", "v"]).groupBy("key", "bin")
+    per = (dealt.join(join_side(stream, 120), ["key", "v"]).groupBy("key", "bin")
            .agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("taken")))  # MAX_REPEAT entries at most
     table = written(at.select("key", "bin", "before", "source_size", "target").join(per, ["key", "bin"], "left"), "block-draws")
     inside = Window.partitionBy("key", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    both = (rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(table, ["key", "bin"]))
+    both = (rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            .join(join_side(table, 250), ["key", "bin"]))
     middle = F.col("before") + F.col("inside") + F.col("size") / 2
     return both.withColumn("draws", F.filter(F.coalesce("taken", F.array().cast("array<struct<epoch:int,shard:int>>")),
                                              lambda d: d["epoch"] * F.col("source_size") + middle <= F.col("target")))
