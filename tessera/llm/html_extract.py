@@ -2,7 +2,10 @@
 
 Each page becomes a light tree (implied end tags, void elements, character references
 decoded). Elements that are no article text are cut: by tag, by ARIA role, by hidden
-attributes, and by the words of class and id. Every paragraph then gives points for its
+attributes, and by the words of class and id. A form, or an element with such a word, may as
+well be the wrapper of the article: it is cut only if enough paragraphs are left without it
+(``_settle``; all elements with the same word are judged together), and stays if it holds
+the page's article or main element. Every paragraph then gives points for its
 length and commas to its parent, half to the grandparent and a third less to each ancestor
 beyond; containers lose points in proportion to the share of their text that is inside
 links. The best container is kept, or the ``article`` or ``main`` around it; siblings join
@@ -13,7 +16,8 @@ A page is one row and is worked on alone; walks over the tree use no recursion.
 
 Defined cases: null and empty html, and pages without text, give the empty text; markup
 that is cut off or wrongly nested is read as far as it goes; a page whose text is all
-boilerplate gives the empty text; repeated rows are returned again; an empty table gives an
+boilerplate by tag or role gives the empty text, one whose text is all in elements with a
+drop word gives that text if it has paragraphs enough; repeated rows are returned again; an empty table gives an
 empty result; columns other than page_id, url and html are not read.
 """
 
@@ -35,12 +39,12 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "thead tr ul caption option".split())
 CLOSES_P = BLOCK - frozenset("body html option td th tr tbody thead tfoot caption legend summary".split())
 #: start tag -> (open tags it ends, tags beyond which it does not look)
-ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
-DROP_TAGS = frozenset("script style noscript template nav footer aside form button select textarea input iframe object svg canvas "
+DROP_TAGS = frozenset("script style noscript template nav footer aside button select textarea input iframe object svg canvas "
                       "math dialog menu head title audio video map datalist".split())
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist "
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist "
                        "status tooltip".split())
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
                        "sidebar aside rail comment comments commentlist discussion disqus replies reply respond cookie cookies consent "
@@ -48,19 +52,33 @@ DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adse
                        "login share sharing social related recommend recommended recommendations breadcrumb breadcrumbs menu menus nav "
                        "navbar navigation footer masthead pagination pager toolbar widget widgets search skip hidden offscreen "
                        "outbrain taboola paywall trending popular toc".split())
+#: Words that rarely name a wrapper of the article.
+STRICT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
+                         "comment comments commentlist discussion disqus replies reply respond cookie cookies consent gdpr notice notices "
+                         "notification alert popup modal overlay lightbox newsletter subscribe subscription signup login related recommend "
+                         "recommended recommendations outbrain taboola trending popular".split())
+ARTICLE_DROP = frozenset("comment comments ad ads advert related promo sponsored".split())
 KEEP_TAGS = frozenset("html body article main".split())
 GOOD_WORDS = frozenset("article body content entry main page post text blog story".split())
 START_SCORE = {"article": 10, "main": 8, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3,
                "address": -3, "th": -5}
+#: Points of the elements with a drop word over those left without them, and least points, from which they stay.
+GOOD, DOUBTFUL, STRICT = (1, 1.0), (4, 1.0), (20, 10.0)
+_WRAPS = 0.8  # share of the points of all elements with a word from which one is their wrapper
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 
+def _names(text: str) -> list[frozenset]:
+    """The words of every class and id name."""
+    return [frozenset(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in text.split()]
+
+
 class Node:
-    __slots__ = ("tag", "words", "drop", "parent", "kids", "score", "chars", "link_chars")
+    __slots__ = ("tag", "words", "drop", "doubt", "parent", "kids", "score", "chars", "link_chars")
 
-    def __init__(self, tag: str, words: frozenset, drop: bool, parent: Node | None):
-        self.tag, self.words, self.drop, self.parent = tag, words, drop, parent
+    def __init__(self, tag: str, words: frozenset, drop: bool, doubt: tuple | None, parent: Node | None):
+        self.tag, self.words, self.drop, self.doubt, self.parent = tag, words, drop, doubt, parent
         self.kids: list = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
 
@@ -68,7 +86,7 @@ class Node:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", frozenset(), False, None)
+        self.root = Node("html", frozenset(), False, None, None)
         self.at = self.root
 
     def _close(self, tags, limit) -> None:
@@ -86,28 +104,44 @@ class _Tree(HTMLParser):
         if tag in ENDS:
             self._close(*ENDS[tag])
         a = dict(attrs)
-        words = frozenset(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class') or ''} {a.get('id') or ''}").lower())
-                          ) if "class" in a or "id" in a else frozenset()
-        n = Node(tag, words, self._dropped(tag, words, a), self.at)
+        names = _names(f"{a.get('class') or ''} {a.get('id') or ''}") if "class" in a or "id" in a else []
+        words = frozenset().union(*names)
+        drop = self._dropped(tag, a)
+        n = Node(tag, words, drop, None if drop else self._doubt(tag, names, words, a), self.at)
         self.at.kids.append(n)
         if tag not in VOID:
             self.at = n
 
-    def _dropped(self, tag: str, words: frozenset, a: dict) -> bool:
+    def _dropped(self, tag: str, a: dict) -> bool:
         if tag in DROP_TAGS:
             return True
         if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or ""):
             return True
         if tag in KEEP_TAGS:
-            return tag == "article" and bool(words & {"comment", "comments", "ad", "ads", "advert", "related", "promo", "sponsored"})
-        if (a.get("role") or "").lower() in DROP_ROLES or words & DROP_WORDS:
-            return True
-        if tag == "header" or "header" in words:  # of the site; an article's own heading stays
-            n = self.at
-            while n is not None and n.tag not in ("article", "main"):
-                n = n.parent
-            return n is None
-        return False
+            return False
+        return (a.get("role") or "").lower() in DROP_ROLES or tag == "header" and not self._inside()
+
+    def _doubt(self, tag: str, names: list[frozenset], words: frozenset, a: dict) -> tuple | None:
+        """What is judged together with the element: (ratio and least points to stay, word)."""
+        if tag in KEEP_TAGS:
+            bad = words & ARTICLE_DROP if tag == "article" else frozenset()
+        else:
+            bad = words & DROP_WORDS
+            if "header" in words and not self._inside():  # of the site; an article's own heading stays
+                bad |= {"header"}
+            if tag == "form" or (a.get("role") or "").lower() == "form":
+                bad |= {"form"}
+        if not bad:
+            return None
+        if any(w & GOOD_WORDS and not w & bad for w in names):
+            return GOOD, min(bad)
+        return (STRICT if bad & STRICT_WORDS else DOUBTFUL), min(bad)
+
+    def _inside(self) -> bool:
+        n = self.at
+        while n is not None and n.tag not in ("article", "main"):
+            n = n.parent
+        return n is not None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -117,7 +151,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag):
         n = self.at
         while n.parent is not None and n.tag != tag:
-            if n.tag in BLOCK and tag not in BLOCK:
+            if n.tag in BLOCK and tag not in BLOCK and tag not in DROP_TAGS:
                 return  # an inline end tag doesn't close a block
             n = n.parent
         if n.parent is not None:
@@ -159,6 +193,119 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _points(length: int, commas: int) -> float:
+    return min(1.0, length / 25) + commas + min(length / 100, 3.0)
+
+
+class _Doubt:
+    """An element that may be cut, with the points of the paragraphs that are in no other
+    such element inside it: all, those below an article or main inside it, and those below
+    any article or main."""
+    __slots__ = ("node", "up", "article_up", "points", "below", "anywhere", "stays", "cut")
+
+    def __init__(self, node: Node, up: int, article_up: bool):
+        self.node, self.up, self.article_up = node, up, article_up
+        self.points = self.below = self.anywhere = 0.0
+        self.stays = self.cut = False
+
+
+def _doubts(root: Node) -> list[_Doubt]:
+    """The elements in doubt, in page order; first one for all that is outside of them."""
+    out = [_Doubt(root, -1, False)]
+    out[0].stays = True
+    at, links, texts = [0], 0, []
+    articles, all_articles = [0], 0  # open article and main elements: inside each open element in doubt, and all
+    for x, leaving in _walk(root):
+        if isinstance(x, str):
+            t = " ".join(x.split())
+            if t:
+                p = texts[-1]
+                p[0] += len(t)
+                p[1] += t.count(",")
+                p[2] += len(t) if links else 0
+            continue
+        if not leaving:
+            if x.doubt:
+                out.append(_Doubt(x, at[-1], articles[-1] > 0))
+                at.append(len(out) - 1)
+                articles.append(0)
+            elif x.tag in ("article", "main"):
+                articles[-1] += 1
+                all_articles += 1
+            if x.doubt or x.tag in BLOCK:
+                texts.append([0, 0, 0])
+            links += x.tag == "a"
+            continue
+        links -= x.tag == "a"
+        if x.doubt or x.tag in BLOCK:
+            n, commas, linked = texts.pop()
+            if n:
+                p, d = _points(n, commas) * (1 - linked / n), out[at[-1]]
+                d.points += p
+                if articles[-1]:
+                    d.below += p
+                d.anywhere += p if all_articles else 0
+        if x.doubt:
+            at.pop()
+            articles.pop()
+        elif x.tag in ("article", "main"):
+            articles[-1] -= 1
+            all_articles -= 1
+    return out
+
+
+def _stay(doubts: list[_Doubt], group: list[int], ratio: float, least: float) -> list[int]:
+    """Those of the group that stay: none, its wrappers, or all."""
+    own = set(group)
+    REST, IN, OUT, CUT = range(4)  # OUT: not judged yet
+    kind, article = [REST] * len(doubts), [False] * len(doubts)
+    total = below = rest = rest_article = 0.0
+    for i, d in enumerate(doubts):
+        up = kind[d.up] if i else REST
+        if d.cut or up == CUT:
+            kind[i] = CUT
+        elif i in own or up == IN:
+            kind[i] = IN
+            article[i] = up == IN and (article[d.up] or d.article_up)
+            total += d.points
+            below += d.points if article[i] else d.below
+        elif d.stays and up == REST:
+            rest += d.points
+            rest_article += d.anywhere
+        else:
+            kind[i] = OUT
+    if not (below > rest_article and 2 * total >= rest or total >= least and total > ratio * rest):
+        return []
+    inside = [d.points if kind[i] == IN else 0.0 for i, d in enumerate(doubts)]
+    for i in range(len(doubts) - 1, 0, -1):
+        inside[doubts[i].up] += inside[i]
+    return [i for i in group if inside[i] >= _WRAPS * total] or group
+
+
+def _settle(root: Node) -> None:
+    """Cuts the elements in doubt whose paragraphs the page can spare, by word, those with
+    the most points first: an outer element comes before those inside it."""
+    doubts = _doubts(root)
+    if len(doubts) == 1:
+        return
+    inside = [d.points for d in doubts]
+    for i in range(len(doubts) - 1, 0, -1):
+        inside[doubts[i].up] += inside[i]
+    groups: dict[tuple, list[int]] = {}
+    for i, d in enumerate(doubts[1:], 1):
+        groups.setdefault(d.node.doubt, []).append(i)
+    for key in sorted(groups, key=lambda k: -max(inside[i] for i in groups[k])):
+        group = groups[key]
+        while group:
+            stay = _stay(doubts, group, *key[0])
+            for i in stay or group:
+                doubts[i].stays, doubts[i].cut = bool(stay), not stay
+            kept = set(stay or group)
+            group = [i for i in group if i not in kept]
+    for d in doubts[1:]:
+        d.node.drop = d.cut
+
+
 def _own_text(n: Node) -> str:
     """Text of a paragraph without that of the blocks inside it."""
     out, skip = [], 0
@@ -184,7 +331,7 @@ def _best(order: list[Node]) -> Node | None:
         direct = _own_text(n) if any(isinstance(k, str) or k.tag not in BLOCK for k in n.kids) else ""
         if not direct:
             continue
-        points = min(1.0, len(direct) / 25) + direct.count(",") + min(len(direct) / 100, 3.0)
+        points = _points(len(direct), direct.count(","))
         a, share, level = n.parent, 1.0, 0
         while a is not None and level < 5:
             if id(a) not in seen:
@@ -249,6 +396,7 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(_CUT_TAG.sub("", html))
     tree.close()
+    _settle(tree.root)
     best = _best(_measure(tree.root)) or tree.root
     return "\n".join(_blocks(_kept(best)))
 

@@ -23,6 +23,30 @@ PAGES = {
     "cut off": (f"<article><p>{LONG}</p><p class='x", LONG),
 }
 
+ARTICLE = f"<p>{LONG}</p><p>{LONG}</p>"
+SIDE = f"<div class=sidebar><p>{LONG}</p></div>"
+WRAPPED = {  # every one holds the same two paragraphs as its article
+    "has-sidebar": f"<body><div class='page has-sidebar'><article>{ARTICLE}</article>{SIDE}</div></body>",
+    "id": f"<body><div>We print news, every day.</div><div id='content-social'><article>{ARTICLE}</article></div></body>",
+    "widgets": f"<body><div class='elementor-widget'><p>{LONG}</p></div><div class='elementor-widget'><p>{LONG}</p></div></body>",
+    "nested": f"<body><div class=overflow-hidden><div class='wrap cookies-accepted'><main>{ARTICLE}</main></div>{SIDE}</div></body>",
+    "article's own class": f"<body><article class='post comments-open'>{ARTICLE}</article></body>",
+    "header word": f"<body><div class=has-header><div>{ARTICLE}</div></div></body>",
+    "form": f"<body><form action=x><input name=q><div>{ARTICLE}</div></form></body>",
+    "menu": f"<body><menu><li>Home<li>News</menu><article>{ARTICLE}</article></body>",
+    "select": f"<body><select><option>A</select><article>{ARTICLE}</article></body>",
+    "noscript": f"<body><noscript><p>x</noscript><article>{ARTICLE}</article></body>",
+    "button": f"<body><button><div>x</button><template><p>x</template><article>{ARTICLE}</article></body>",
+    "comments are longer": f"<body><div class=story>{ARTICLE}</div><div id=comments>" + f"<div class=comment><p>{LONG}</p></div>" * 30 + "</div></body>",
+    "consent is longer": f"<body><div class=story>{ARTICLE}</div><div class='cookie-consent'>" + f"<p>{LONG}</p>" * 30 + "</div></body>",
+    "teasers": f"<body><article>{ARTICLE}<div class=related><article><p>Read this, too.</p></article></div></article></body>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrappers_of_the_article_stay(name):
+    assert X.main_text(WRAPPED[name]) == f"{LONG}\n{LONG}"
+
 
 @pytest.mark.parametrize("name", PAGES)
 def test_pages(name):
