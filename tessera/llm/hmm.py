@@ -1,23 +1,26 @@
 """Hidden Markov language model, trained by Baum-Welch counts over all partitions.
 
 Tokens are the words of the text with A-Z lower-cased, then one end. A hidden state emits a
-symbol: each of the ``OWN`` most frequent tokens is a symbol of its own, every other token
-falls into one of ``BUCKETS`` symbols by its hash, and inside a bucket the token is drawn by
-its exact corpus count c among the bucket's tokens, (c + 0.5) / (C + 0.5 (V + 1)), where the
-half left over is for unseen tokens. So the state parameters are bounded by parameters
-while the word counts cover the whole vocabulary, and
+symbol: each of the ``OWN`` most frequent tokens and every token that occurs ``MIN_COUNT``
+times or more in the training documents is a symbol of its own, so emissions grow with the
+vocabulary. The rare tokens left fall into one of ``BUCKETS`` symbols by their hash, and
+inside a bucket the token is drawn by its exact corpus count c among the bucket's tokens,
+(c + 0.5) / (C + 0.5 (V + 1)), where the half left over is for unseen tokens, and
 
     log10 p(text) = log10 of the scaled forward recursion over the symbols
                     + sum of log10 (c + 0.5) / (C + 0.5 (V + 1)) over bucket tokens.
 
 Word counts: a partial count per task, summed by key. Tokens above a count that at most
-``HEAD`` tokens reach are broadcast with their counts; all others are few occurrences each
-and are joined by key, so no frequent word is ever shuffled and the join has no hot key.
+``HEAD`` tokens reach are broadcast with their counts and emissions; all others are few
+occurrences each and are joined by key, so no frequent word is ever shuffled and the join
+has no hot key.
 
 Training: every task runs forward and backward over its sequences in lockstep (documents
 cut into segments of ``SEGMENT`` tokens, for training only) and returns one row of expected
-counts per symbol; rows are summed by symbol and the next parameters computed from that
-table of fixed size. Scoring runs the forward recursion over whole documents.
+counts per symbol; rows are summed by symbol. Broadcast symbols go through the driver, a
+table of bounded size. The emissions of all other symbols stay a table (wid, s0, s1, ...)
+that every iteration joins to the documents' words and sums anew. Scoring runs the forward
+recursion over whole documents.
 
 Defined cases: null and empty text are the single end token; a null id is a training
 document; rows that repeat count again; with no training document all counts are 0; an
@@ -26,22 +29,25 @@ empty table gives an empty result; columns other than the id and the text are no
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, texts, written
+from .common import col, release, scratch_paths, slices, texts, written
 
 STATES = 8
 OWN = 8192
+MIN_COUNT = 10
 BUCKETS = 4096
 HEAD = 250_000
 ITERATIONS = 4
@@ -87,6 +93,8 @@ class Vocabulary:
     """Frequent tokens with their counts, and the sums of each bucket."""
     words: list[bytes]        # by (count desc, word)
     counts: np.ndarray
+    own: int                  # so many of them are symbols of their own
+    joined: int               # symbols of their own that aren't among ``words``
     bucket_c: np.ndarray
     bucket_v: np.ndarray
     total: int                # N
@@ -95,18 +103,27 @@ class Vocabulary:
     def __post_init__(self):
         self.index = None
 
+    @property
+    def symbols(self) -> int:
+        """Broadcast symbols; from here on a symbol is the place of the word in the row's ``tail``."""
+        return self.own + BUCKETS
+
+    @property
+    def dtype(self) -> str:
+        return "<u4" if self.joined or self.symbols > 1 << 16 else "<u2"
+
     def ready(self) -> Vocabulary:
         if self.index is None:
             self.index = {w: i for i, w in enumerate(self.words)}
             self.symbol = np.arange(len(self.words), dtype=np.int64)
-            for i in range(OWN, len(self.words)):
-                self.symbol[i] = OWN + bucket(self.words[i])
+            for i in range(self.own, len(self.words)):
+                self.symbol[i] = self.own + bucket(self.words[i])
             self.log_c = np.log10(self.counts + 0.5)
             self.log_z = np.log10(self.bucket_c + 0.5 * (self.bucket_v + 1))
         return self
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("words", "counts", "bucket_c", "bucket_v", "total", "distinct")}
+        return {k: getattr(self, k) for k in ("words", "counts", "own", "joined", "bucket_c", "bucket_v", "total", "distinct")}
 
     def __setstate__(self, s):
         self.__dict__.update(s)
@@ -121,7 +138,7 @@ def bucket(word: bytes) -> int:
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """The broadcast part of the vocabulary; ``counts`` stays whole for the join."""
     steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("s")).agg(  # a few hundred rows
-        F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).orderBy(F.col("s").desc()).collect()
+        F.count(F.lit(1)).alias("v"), F.sum("c").alias("c"), F.count_if(F.col("c") >= MIN_COUNT).alias("n")).orderBy(F.col("s").desc()).collect()
     total, distinct = sum(r["c"] for r in steps), sum(r["v"] for r in steps)
     cut, held = None, 0
     for r in steps:
@@ -131,27 +148,30 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         cut = r["s"]
     top = [] if cut is None else counts.filter(F.floor(F.log2("c") * 8).cast("int") >= cut).toPandas().itertuples(index=False)
     top = sorted(((r.word.encode(), r.c) for r in top), key=lambda x: (-x[1], x[0]))  # at most ``head`` rows
-    own = counts.sparkSession.createDataFrame(pd.DataFrame({"word": [w.decode() for w, _ in top[:OWN]]}), "word string")
-    rest = counts.join(F.broadcast(own), "word", "left_anti")
+    often = sum(x >= MIN_COUNT for _, x in top)
+    own = max(often, min(OWN, len(top)))
+    rare = counts.sparkSession.createDataFrame(pd.DataFrame({"word": [w.decode() for w, _ in top[often:own]]}), "word string")
+    rest = counts.filter(F.col("c") < MIN_COUNT).join(F.broadcast(rare), "word", "left_anti")
     sums = rest.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     c, v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums:
         c[r["b"]], v[r["b"]] = r["c"], r["v"]
-    return Vocabulary([w for w, _ in top], np.array([x for _, x in top], float), c, v, total, distinct)
+    return Vocabulary([w for w, _ in top], np.array([x for _, x in top], float), own, sum(r["n"] for r in steps) - often, c, v, total, distinct)
 
 
 _ENCODED = ("doc_id {}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, s_inside double, sym binary, "
-            "tail array<struct<w:string,n:long>>")
+            "tail array<struct<w:string,n:long>>, hashed binary")
 
 
 def encode(docs: DataFrame, vocab, id_type: str) -> DataFrame:
-    """Symbols of every row, sums over its broadcast tokens, and its other tokens."""
+    """Symbols of every row, sums over its broadcast tokens, and its other tokens with
+    their buckets. (The buckets are needed only if some of them have symbols of their own.)"""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value.ready()
         get = v.index.get
         tail_type = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
         for b in slices(batches, 4 << 20):
-            n, n_head, s_head, s_inside, syms, tails = [], [], [], [], [], []
+            n, n_head, s_head, s_inside, syms, tails, hashed = [], [], [], [], [], [], []
             for t in texts(b.column(3)):
                 w = tokens(t)
                 at = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
@@ -159,20 +179,24 @@ def encode(docs: DataFrame, vocab, id_type: str) -> DataFrame:
                 sym = v.symbol[at] if len(v.words) else np.zeros(len(w), np.int64)
                 tail: Counter = Counter()
                 for i in np.flatnonzero(~known).tolist():
-                    sym[i] = OWN + bucket(w[i])
                     tail[w[i]] += 1
-                inside = sym >= OWN
+                place = {x: v.symbols + j if v.joined else v.own + bucket(x) for j, x in enumerate(tail)}
+                for i in np.flatnonzero(~known).tolist():
+                    sym[i] = place[w[i]]
+                inside = (sym >= v.own) & (sym < v.symbols)
                 log_c = v.log_c[at[known]] if len(v.words) else np.zeros(0)
                 n.append(len(w))
                 n_head.append(int(known.sum()))
                 s_head.append(float(log_c.sum()))
-                s_inside.append(float(log_c[inside[known]].sum() - v.log_z[sym[inside] - OWN].sum()))
-                syms.append(sym.astype("<u2").tobytes())
+                s_inside.append(float(log_c[inside[known]].sum() - v.log_z[sym[inside] - v.own].sum()))
+                syms.append(sym.astype(v.dtype).tobytes())
                 tails.append([{"w": x.decode(), "n": c} for x, c in tail.items()])
+                hashed.append(np.fromiter(map(bucket, tail), "<u2", len(tail)).tobytes() if v.joined else b"")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(s_head, pa.float64()),
-                 pa.array(s_inside, pa.float64()), pa.array(syms, pa.binary()), pa.array(tails, tail_type)],
-                names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym", "tail"])
+                 pa.array(s_inside, pa.float64()), pa.array(syms, pa.binary()), pa.array(tails, tail_type),
+                 pa.array(hashed, pa.binary())],
+                names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym", "tail", "hashed"])
     return docs.select("doc_id", "held_out", "rid", "text").mapInArrow(run, _ENCODED.format(id_type))
 
 
@@ -180,26 +204,66 @@ def encode(docs: DataFrame, vocab, id_type: str) -> DataFrame:
 class Model:
     start: np.ndarray   # (K,)
     move: np.ndarray    # (K, K)
-    emit: np.ndarray    # (symbols, K)
+    emit: np.ndarray    # (broadcast symbols, K)
+    tail: DataFrame | None = None  # (wid, e): of the other symbols, as float32
+
+    def __getstate__(self):
+        return {"start": self.start, "move": self.move, "emit": self.emit, "tail": None}
 
     @classmethod
-    def first(cls, vocab: Vocabulary, states: int = STATES, seed: int = SEED) -> Model:
+    def first(cls, vocab: Vocabulary, states: int = STATES, seed: int = SEED, counts: DataFrame | None = None) -> Model:
         """Corpus frequencies with seeded noise per state, and states that tend to stay."""
-        freq = np.zeros(OWN + BUCKETS)
-        freq[:min(OWN, len(vocab.words))] = vocab.counts[:OWN]
-        freq[OWN:] = vocab.bucket_c
-        noise = np.exp(np.random.default_rng(seed).normal(0, 1.0, (OWN + BUCKETS, states)))
-        emit = (freq + 0.5)[:, None] * noise
+        freq = np.concatenate([vocab.counts[:vocab.own], vocab.bucket_c])
+        emit = (freq + 0.5)[:, None] * noise(vocab.words[:vocab.own] + [b"\n%d" % b for b in range(BUCKETS)], states, seed)
         move = np.full((states, states), 0.02 / max(1, states - 1))
         np.fill_diagonal(move, 0.98 if states > 1 else 1.0)
-        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
+        start = np.full(states, 1 / states)
+        return cls(start, move, *_shares(emit, None if counts is None else _first_tail(counts, states, seed), 0, states))
 
     @classmethod
-    def counted(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+    def counted(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, tail: DataFrame | None = None, joined: int = 0) -> Model:
         """From expected counts, with a small share for what was not seen."""
-        emit = emit + SMOOTH * (emit.sum(0) + 1) / len(emit)
         move, start = move + 0.1, start + 0.1
-        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), *_shares(emit, tail, SMOOTH, len(start), joined))
+
+
+def noise(words: list[bytes], states: int, seed: int) -> np.ndarray:
+    """Log-normal factors by the word alone, so they don't depend on where its row is kept."""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        z = h[:, None] + np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.exp(np.sqrt(-2 * np.log(1 - u[:, :states])) * np.cos(2 * np.pi * u[:, states:]))
+
+
+def _names(states: int) -> list[str]:
+    return [f"s{i}" for i in range(states)]
+
+
+def _first_tail(counts: DataFrame, states: int, seed: int) -> DataFrame:
+    names = _names(states)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = (b.column(2).to_numpy() + 0.5)[:, None] * noise([w.encode() for w in b.column(1).to_pylist()], states, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(states))], names=["wid", *names])
+    return written(counts.select("wid", "word", "c").mapInArrow(run, "wid long, " + ", ".join(f"{x} double" for x in names)), "emissions")
+
+
+def _shares(emit: np.ndarray, tail: DataFrame | None, smooth: float, states: int, joined: int = 0) -> tuple[np.ndarray, DataFrame | None]:
+    """Counts of both parts, plus a small share, as emissions: each state's sum to 1."""
+    names = _names(states)
+    both = np.zeros(states) if tail is None else np.array([x or 0.0 for x in tail.agg(*[F.sum(x) for x in names]).first()])
+    add = smooth * (emit.sum(0) + both + 1) / (len(emit) + joined)
+    z = emit.sum(0) + both + add * (len(emit) + joined)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = (np.stack([b.column(x).to_numpy() for x in names], 1) + add) / z
+            yield pa.RecordBatch.from_arrays([b.column("wid"), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["wid", "e"])
+    return (emit + add) / z, None if tail is None else tail.mapInArrow(run, "wid long, e binary")
 
 
 def _lockstep(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,42 +325,112 @@ def expected_counts(seqs: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.nd
     return start, xi * m.move, counts, ll
 
 
-def _symbols(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+def _symbols(column: pa.Array, dtype: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in column.to_pylist()]
+
+
+def joined_words(encoded: DataFrame, own: DataFrame) -> DataFrame:
+    """``(rid, j, wid)`` of the words in ``tail`` that have symbols of their own."""
+    at = encoded.select("rid", F.posexplode("tail").alias("j", "t")).select("rid", "j", F.col("t.w").alias("word"))
+    return written(at.join(own.select("word", "wid"), "word").select("rid", "j", "wid"), "joined")
+
+
+def _with_tail(rows: DataFrame, pairs: DataFrame, tail: DataFrame) -> DataFrame:
+    """``rows`` with the emissions of their joined words: lists j, wid, e."""
+    names = ["j", "wid", "e"]
+    by = pairs.join(tail, "wid").groupBy("rid").agg(F.collect_list(F.struct(*names)).alias("at"))
+    both = rows.join(by, "rid", "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col(f"at.{x}"), F.array()).alias(x) for x in names])
+
+
+def _freed(spark) -> None:
+    """Lets Spark delete the shuffle files of results that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _local(b: pa.RecordBatch, vocab: Vocabulary, m: Model) -> tuple[list[np.ndarray], Model, list[np.ndarray]]:
+    """Sequences of a batch, a model whose last rows are the words joined to it, and the
+    buckets of each row's tokens that had to be looked up and have none."""
+    base, states = vocab.symbols, len(m.start)
+    rows = np.frombuffer(b"".join(b.column("e").flatten().to_pylist()), np.float32).reshape(-1, states)
+    at, ends = b.column("j").flatten().to_numpy(), np.cumsum(pc.list_value_length(b.column("j")).to_numpy())
+    seqs, hashed, start = [], [], 0
+    for x, t, end in zip(_symbols(b.column("sym"), vocab.dtype), b.column("hashed").to_pylist(), ends, strict=True):
+        look = vocab.own + np.frombuffer(t, "<u2").astype(np.int64)
+        look[at[start:end]] = base + np.arange(start, end)
+        y = x.astype(np.int64)
+        asked = y >= base
+        y[asked] = got = look[y[asked] - base]
+        hashed.append(got[got < base] - vocab.own)
+        seqs.append(y)
+        start = end
+    return seqs, Model(m.start, m.move, np.concatenate([m.emit, rows])), hashed
 
 
 def baum_welch(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS,
-               seed: int = SEED) -> tuple[Model, list[float]]:
+               seed: int = SEED, own: DataFrame | None = None, pairs: DataFrame | None = None) -> tuple[Model, list[float]]:
     """Train on the rows of ``encoded`` that are not held out: (model, log likelihood of
-    the training symbols before each step)."""
-    m, trace = Model.first(vocab, states, seed), []
+    the training symbols before each step). With joined symbols, ``own`` are their
+    counts (wid, word, c) and ``pairs`` says where they stand."""
+    m, trace = Model.first(vocab, states, seed, own), []
     sc = encoded.sparkSession.sparkContext
-    train = encoded.filter(~F.col("held_out")).select("sym")
-    names = [f"s{i}" for i in range(states)]
-    schema = "sym int, " + ", ".join(f"{x} double" for x in names)
+    train = encoded.filter(~F.col("held_out")).select("rid", "sym", "hashed")
+    names, n = _names(states), vocab.symbols
+    facts = sc.broadcast(replace(vocab, words=[], counts=np.zeros(0)))
+    spark = encoded.sparkSession
+    schema = "sym long, " + ", ".join(f"{x} double" for x in names)
     for _ in range(iterations):
-        shared = sc.broadcast(m)  # (OWN + BUCKETS + states + 1) * states numbers
+        shared = sc.broadcast(m)  # (HEAD + BUCKETS + states + 1) * states numbers at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            got = None
-            for b in slices(batches, 1 << 20):
-                seqs = [x[i:i + SEGMENT] for x in _symbols(b.column(0)) for i in range(0, len(x), SEGMENT)]
-                start, move, emit, ll = expected_counts(seqs, shared.value)
-                part = np.vstack([emit, move, start, np.full(states, ll / states)])
+            got, v = None, facts.value
+
+            def out(at, x):
+                return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x[:, i]) for i in range(states))], names=["sym", *names])
+            for b in slices(batches, (1 << 20) * (2 if v.dtype == "<u4" else 1)):
+                model = shared.value
+                if v.joined:
+                    whole, model, _ = _local(b, v, model)
+                else:
+                    whole = _symbols(b.column("sym"), v.dtype)
+                seqs = [x[i:i + SEGMENT] for x in whole for i in range(0, len(x), SEGMENT)]
+                start, move, emit, ll = expected_counts(seqs, model)
+                if len(emit) > n:  # joined symbols come after those of ``part``
+                    wid, at = np.unique(b.column("wid").flatten().to_numpy(), return_inverse=True)
+                    x = np.stack([np.bincount(at, emit[n:, i]) for i in range(states)], 1)
+                    yield out(wid + n + states + 2, x.astype(np.float32).astype(float))
+                part = np.vstack([emit[:n], move, start, np.full(states, ll / states)])
                 got = part if got is None else got + part
             if got is not None:
                 at = np.flatnonzero(got.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(got[at, i]) for i in range(states))], names=["sym", *names])
-
-        sums = train.mapInArrow(run, schema).groupBy("sym").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
-        total = np.zeros((OWN + BUCKETS + states + 2, states))
+                yield out(at, got[at])
+
+        sums, tail = train.select("sym"), None
+        if vocab.joined:
+            sums = _with_tail(train, pairs, m.tail)
+        sums = sums.mapInArrow(run, schema).groupBy("sym").agg(*[F.sum(x).alias(x) for x in names])
+        if vocab.joined:
+            last = scratch_paths(spark)
+            sums = written(sums, "emissions")
+            tail = sums.filter(F.col("sym") >= n + states + 2).withColumn("wid", F.col("sym") - (n + states + 2))
+            sums = sums.filter(F.col("sym") < n + states + 2)
+        sums = sums.toPandas()
+        total = np.zeros((n + states + 2, states))
         total[sums["sym"].to_numpy()] = sums[names].to_numpy()
-        n = OWN + BUCKETS
         trace.append(float(total[n + states + 1].sum()))
-        m = Model.counted(total[n + states], total[n:n + states], total[:n])
+        m = Model.counted(total[n + states], total[n:n + states], total[:n], tail, vocab.joined)
+        if vocab.joined:
+            release(spark, [x for x in last if "/emissions-" in x])
+            _freed(spark)
     return m, trace
 
 
+def _not_in(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([w.encode() not in vocab.value.ready().index for w in b.column("word").to_pylist()], pa.bool_()))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS,
           head: int = HEAD, seed: int = SEED) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``."""
@@ -307,24 +441,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     counts = written(word_counts(rows.filter(~F.col("held_out"))), "word-counts")
     vocab = vocabulary(counts, head)
     encoded = written(encode(rows, sc.broadcast(vocab), id_type), "symbols", **{"parquet.block.size": 16 << 20})
-    model, _ = baum_welch(encoded, vocab, states, iterations, seed)
-    shared = sc.broadcast(model)
+    own = pairs = None
+    if vocab.joined:
+        known = sc.broadcast(vocab)
+        own = written(counts.filter(F.col("c") >= MIN_COUNT).mapInArrow(lambda batches: _not_in(batches, known), "word string, c long")
+                      .withColumn("wid", F.monotonically_increasing_id()), "joined-words")
+        pairs = joined_words(encoded, own)
+    model, _ = baum_welch(encoded, vocab, states, iterations, seed, own, pairs)
+    shared, facts = sc.broadcast(model), sc.broadcast(replace(vocab, words=[], counts=np.zeros(0)))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = facts.value.ready()
         for b in slices(batches):
-            ll = log_likelihood(_symbols(b.column("sym")), shared.value) / _LN10
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(ll + b.column("s_inside").to_numpy())],
+            if v.joined:
+                seqs, m, hashed = _local(b, v, shared.value)
+                inside = b.column("s_inside").to_numpy() - np.array([v.log_z[x].sum() for x in hashed])
+            else:
+                seqs, m, inside = _symbols(b.column("sym"), v.dtype), shared.value, b.column("s_inside").to_numpy()
+            ll = log_likelihood(seqs, m) / _LN10
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(ll + inside)],
                                              names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "fwd"])
 
-    scored = (encoded.select("doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym")
-              .mapInArrow(forward, f"doc_id {id_type}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, fwd double"))
+    scored = encoded.select("doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym", "hashed")
+    if vocab.joined:
+        scored = _with_tail(scored, pairs, model.tail)
+    scored = scored.mapInArrow(forward, f"doc_id {id_type}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, fwd double")
     rest = encoded.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.w").alias("word"), F.col("t.n").alias("n"))
     c = F.coalesce("c", F.lit(0))
     tail = (rest.join(counts, "word", "left").groupBy("rid")
-            .agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("s_tail"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_tail")))
-    both = scored.join(tail, "rid", "left").fillna(0, ["s_tail", "n_tail"])
+            .agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("s_tail"),
+                 F.sum(F.when(c < MIN_COUNT, F.col("n") * F.log10(c + 0.5)).otherwise(0)).alias("s_rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_tail")))
+    both = scored.join(tail, "rid", "left").fillna(0, ["s_tail", "s_rare", "n_tail"])
     z = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.col("n_tail")).alias("n_known"),
                        F.lit(vocab.total).cast("long").alias("train_tokens"),
                        (F.col("s_head") + F.col("s_tail") - F.col("n_tokens") * F.lit(z)).alias("base_score"),
-                       (F.col("fwd") + F.col("s_tail")).alias("score"))
+                       (F.col("fwd") + F.col("s_rare")).alias("score"))

@@ -117,5 +117,34 @@ def test_training_likelihood_rises_and_beats_the_base(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
 
 
+def test_emissions_grow_with_the_vocabulary(spark):
+    """Two topics with 40 frequent and 20,000 other words each: what topic one of the others
+    is of can be learned only if it has emissions of its own."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in (0, 1):
+        other = rng.permuted(np.tile(np.arange(100, 20_100), (20, 1)), axis=1).reshape(-1, 200)
+        rows += [(2 * i + k, " ".join(f"{'ab'[k]}{x}" for x in rng.permutation(np.concatenate([d, rng.zipf(1.5, 200) % 40])))) for i, d in enumerate(other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = [r for r in H.score(docs).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in out) > 0.25 * sum(r.n_tokens for r in out)
+
+
+def test_joined_emissions_score_as_broadcast_ones(spark):
+    """With no word below ``MIN_COUNT`` it makes no difference where emissions are kept."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.zipf(1.3, 100) % 60)) for i in range(300)]
+    c = Counter(x for r in rows if not is_out(r[0]) for x in toks(r[1]))
+    rows = [(i, " ".join(x for x in t.split() if c[x] >= 2 * H.MIN_COUNT)) for i, t in rows]
+    docs = spark.createDataFrame([*rows, (None, None), (1001, "")], "doc_id long, text string").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id)
+    want, *others = (sorted(H.score(docs, states=3, head=head).collect(), key=key) for head in (H.HEAD, 20, 0))
+    assert sum(r.score - r.base_score for r in want) > 0.1 * sum(r.n_tokens for r in want)
+    for got in others:
+        assert [(a.doc_id, a.n_tokens, a.n_known) for a in got] == [(a.doc_id, a.n_tokens, a.n_known) for a in want]
+        assert all(math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.score, b.score, rel_tol=1e-3)
+                   for a, b in zip(got, want, strict=True))
+
+
 def test_empty(empty):
     assert H.score(empty).count() == 0
