@@ -25,9 +25,9 @@ from .cat_vocab import _BOW_SQL, _EN_TOKENS_SQL, _VOCAB_SQL
 from .registry import register
 from .tasks import LANG_TASK_SQL, NOISE_RATE, lang_task, noisy_train_sql
 
-#: Outer iterations of the registered runs. The original run recipe sets 400; a run of that
-#: length passes ``iterations=400`` (every iteration is a fit of the predictor in the loop).
-ITERATIONS = 20
+#: Outer iterations of the registered runs, as the original run recipe sets them (every
+#: iteration is a fit of the predictor in the loop); a shorter run passes ``iterations``.
+ITERATIONS = 400
 
 
 # ---------------------------------------------------------------------------

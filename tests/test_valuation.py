@@ -178,3 +178,18 @@ def test_one_long_document_is_cut_before_it_is_numbered(spark):
 def test_a_cluster_needs_a_shared_folder():
     from tessera.session import is_local
     assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[3,2,1024]") and not is_local("spark://x:7077")
+
+
+@pytest.mark.parametrize("key", ["train_valuer", "value_rows", "predict_final"])
+def test_registered_valuer_runs_the_recipes_iterations(monkeypatch, key):
+    from tessera.plans.registry import load_all
+    asked = []
+
+    def train(self, iterations):
+        asked.append(iterations)
+        raise InterruptedError
+    monkeypatch.setattr(VA, "lang_features", lambda *_: VA.TaskData(None, None, None, k=2, d=3, bow=None))
+    monkeypatch.setattr(VA.ValuerTrainer, "train", train)
+    with pytest.raises(InterruptedError):
+        load_all()[0][key](None, SMALL)
+    assert asked == [400]
