@@ -413,11 +413,23 @@ def graph_classifier(spark, sf_dir):
     return s.groupBy("split").agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias("accuracy"))
 
 
+def _graph_layers():
+    return [VA.GRAPH_DIM, 16, VA.K_LANG]
+
+
 @register("graph_values")
-def graph_values(spark, sf_dir):
-    """Row values with graph vectors as the inputs: one minus the own-class difference of a
-    perceptron fitted on the clean validation rows."""
+def graph_values(spark, sf_dir, iterations: int = ITERATIONS):
+    """Row values of the main path: graph vectors are the inputs of the valuer and of the
+    perceptron in the loop."""
+    tr = VA.ValuerTrainer(VA.graph_task(spark, sf_dir), predictor="mlp", layers=_graph_layers(), moving_baseline=0.9)
+    return tr.train(iterations).values()
+
+
+@register("graph_own_class_values")
+def graph_own_class_values(spark, sf_dir):
+    """Row values without a valuer: one minus the own-class difference of a perceptron on
+    graph vectors, fitted on the clean validation rows."""
     data = VA.graph_task(spark, sf_dir)
-    m = VA.fit(data.valid, kind="mlp", layers=[VA.GRAPH_DIM, 16, VA.K_LANG], max_iter=60)
+    m = VA.fit(data.valid, kind="mlp", layers=_graph_layers(), max_iter=60)
     s = VA.predict(m, data.train)
     return s.select("row_id", F.element_at("p", F.col("y") + 1).alias("data_value"))

@@ -193,3 +193,16 @@ def test_registered_valuer_runs_the_recipes_iterations(monkeypatch, key):
     with pytest.raises(InterruptedError):
         load_all()[0][key](None, SMALL)
     assert asked == [400]
+
+
+def test_graph_values_come_from_a_valuer_on_graph_vectors(spark, monkeypatch):
+    from tessera.plans.registry import load_all
+    seen, step = [], VA.ValuerTrainer.step
+
+    def kept(self, it):
+        seen.append((self.predictor, self.data.d))
+        return step(self, it)
+    monkeypatch.setattr(VA.ValuerTrainer, "step", kept)
+    v = load_all()[0]["graph_values"](spark, SMALL, iterations=1).collect()
+    assert seen == [("mlp", VA.GRAPH_DIM)]
+    assert v and all(0 < r.data_value < 1 for r in v) and len({r.row_id for r in v}) == len(v)
