@@ -2,7 +2,8 @@
 
 A document is contaminated by an item if some run of its words is within
 ``floor((1 - similarity) n)`` word edits of the item's n words (words: runs of letters and
-digits, lower-cased).
+digits, lower-cased; in scripts that put no space between words, such as Chinese, Japanese,
+Thai, Lao, Khmer and Burmese, every letter is a word).
 
 1. Windows that cannot match are left out by the q-gram lemma, which loses nothing: n words
    with at most d edits keep n - q + 1 - q d of their q-grams, so a window needs that many
@@ -46,10 +47,14 @@ BITS = 2
 SEED = 4
 BLOCK_CHARS = 16 << 20
 _WORD = re.compile(r"\w+")
+#: Thai, Lao, Tibetan; Burmese; Khmer; ideographic signs, kana; Han; half-width kana; Han beyond the basic plane
+_UNSPACED = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+             "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_WORD_OR_LETTER = re.compile(rf"[^\W{_UNSPACED}]+|(?!\W)[{_UNSPACED}]")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return (_WORD if text.isascii() else _WORD_OR_LETTER).findall(text.lower()) if text else []
 
 
 def allowed(n: int, similarity: float) -> int:

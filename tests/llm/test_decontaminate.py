@@ -117,3 +117,21 @@ def test_blocks_and_stage(spark, docs, empty):
     assert D.find(d, empty.withColumnRenamed("doc_id", "item_id")).count() == 0 and D.find(empty, bench).count() == 0
     out = D.keep_clean(docs, bench)
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_scripts_without_spaces(spark):
+    """A passage without punctuation inside a longer run of letters, some letters changed."""
+    rng = random.Random(8)
+    letters = {"han": range(0x4E00, 0x5200), "kana": range(0x3041, 0x3091), "thai": range(0x0E01, 0x0E2F)}
+    items, docs = [], []
+    for k, (name, points) in enumerate(letters.items()):
+        text = lambda n: "".join(chr(rng.choice(points)) for _ in range(n))  # noqa: B023, E731
+        passage = text(60)
+        edited = "".join(chr(rng.choice(points)) if i % 20 == 7 else x for i, x in enumerate(passage))
+        items.append((k, passage))
+        docs += [(10 * k, text(150) + passage + text(90)), (10 * k + 1, text(80) + edited + text(200)), (10 * k + 2, text(300)),
+                 (10 * k + 3, f"{name} words, {name} 12 " + text(5))]
+    got = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 * k + j, k) for k in range(3) for j in (0, 1)}
+    assert {r.distance for r in got if r.doc_id % 10 == 0} == {0}
+    assert D.words("ab\u4e2d\u6587c1 \u30c6 \u00e9t\u00e9") == ["ab", "\u4e2d", "\u6587", "c1", "\u30c6", "\u00e9t\u00e9"]
