@@ -3,13 +3,17 @@ DuckDB statements. Each query applies its operator to its whole table."""
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import chat, decontaminate, hmm, html_extract, langid, line_dedup, mixing, quality, simhash, token_store
-from .common import written
+from . import (chat, chosen_path, decontaminate, hmm, html_extract, importance, langid, line_dedup, mixing, periodic, quality, simhash,
+               token_store)
+from .common import slices, texts, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -165,3 +169,46 @@ def op10(spark, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"))
     model = langid.train(docs.filter(~out))
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def plant_period(words: list[bytes], doc_id) -> list[bytes]:
+    """The contract's input: in one document of ten (by CRC-32 of its id) the words from a
+    place on come round with a fixed period. A null id plants nothing."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with :func:`plant_period` applied to every whole text."""
+    def run(batches):
+        for b in slices(batches):
+            out = [b" ".join(plant_period(t.split(), i)) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string")
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir: str) -> DataFrame:
+    found = periodic.detect(planted(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[F.col("best")[x].alias(x) for x in ("start", "length", "period")],
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+                        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_chosen_path")
+def op12(spark, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query("op13_importance_resampling")
+def op13(spark, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
