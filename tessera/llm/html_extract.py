@@ -11,11 +11,15 @@ beyond; containers lose points in proportion to the share of their text that is
 links. The best container is kept, or the ``article`` or ``main`` around it; siblings join
 it if they score alike or hold a paragraph with few links. Blocks of the kept elements are
 given in page order, white space inside a block as one space, blocks joined by one newline.
+Articles side by side are parts of one text if they have half the length of the one with the
+best container and few links. Points reach five ancestors of a paragraph, no further.
 
-A page is one row and is worked on alone; walks over the tree use no recursion.
+A page is one row and is worked on alone; walks over the tree use no recursion, and the time
+is in proportion to the length of the page however it is nested or broken.
 
 Defined cases: null and empty html, and pages without text, give the empty text; markup
-that is cut off or wrongly nested is read as far as it goes; a page whose text is all
+that is wrongly nested is read as far as it goes; a comment that is not closed, and a tag that
+is not finished, end the page; a page whose text is all
 boilerplate by tag or role gives the empty text, one whose text is all in elements with a
 drop word gives that text if it has paragraphs enough; repeated rows are returned again; an empty table gives an
 empty result; columns other than page_id, url and html are not read.
@@ -24,6 +28,7 @@ empty result; columns other than page_id, url and html are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,10 +43,14 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th "
                   "thead tr ul caption option".split())
 CLOSES_P = BLOCK - frozenset("body html option td th tr tbody thead tfoot caption legend summary".split())
-#: start tag -> (open tags it ends, tags beyond which it does not look)
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-        "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-        "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
+#: What a start tag may end: kind -> (open tags it ends, tags beyond which it does not look).
+KINDS = {"p": ({"p"}, {"td", "th", "table", "button", "object", "blockquote", "li", "div", "section", "article", "main"}),
+         "li": ({"li"}, {"ul", "ol", "menu"}), "term": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+         "row": ({"tr", "td", "th"}, {"table"}), "cell": ({"td", "th"}, {"tr", "table"}),
+         "rows": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "head": ({"head"}, set())}
+ENDS = {"li": "li", "dt": "term", "dd": "term", "option": "option", "tr": "row", "td": "cell", "th": "cell", "tbody": "rows", "body": "head"}
+_PLACE = {kind: i for i, kind in enumerate(KINDS)}
+_MARKS = frozenset().union(*(a | b for a, b in KINDS.values()))
 DROP_TAGS = frozenset("script style noscript template nav footer aside button select textarea input iframe object svg canvas "
                       "math dialog menu head title audio video map datalist".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist "
@@ -65,7 +74,7 @@ START_SCORE = {"article": 10, "main": 8, "section": 5, "div": 5, "pre": 3, "td":
 #: Points of the elements with a drop word over those left without them, and least points, from which they stay.
 GOOD, DOUBTFUL, STRICT = (1, 1.0), (4, 1.0), (20, 10.0)
 _WRAPS = 0.8  # share of the points of all elements with a word from which one is their wrapper
-_CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 
 
@@ -75,34 +84,62 @@ def _names(text: str) -> list[frozenset]:
 
 
 class Node:
-    __slots__ = ("tag", "words", "drop", "doubt", "parent", "kids", "score", "chars", "link_chars")
+    __slots__ = ("tag", "words", "drop", "doubt", "parent", "kids", "near", "own", "score", "chars", "link_chars")
 
     def __init__(self, tag: str, words: frozenset, drop: bool, doubt: tuple | None, parent: Node | None):
         self.tag, self.words, self.drop, self.doubt, self.parent = tag, words, drop, doubt, parent
         self.kids: list = []
+        self.own: list | str = []  # text that no block inside the element holds
         self.score, self.chars, self.link_chars = 0.0, 0, 0
+        #: per kind the nearest open element that a start tag of it ends
+        self.near = (None,) * len(KINDS) if parent is None else parent.near
+        if tag in _MARKS:
+            self.near = tuple(self if tag in ends else None if tag in limit else x for x, (ends, limit) in zip(self.near, KINDS.values(), strict=True))
 
 
 class _Tree(HTMLParser):
+    """Builds the tree. Open tags are counted, in all and since the innermost open block, so that
+    a tag that ends nothing costs nothing however deep it stands."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", frozenset(), False, None, None)
         self.at = self.root
+        self.open: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+
+    def _enter(self, n: Node) -> None:
+        self.at = n
+        self.open[n.tag] += 1
+        if n.tag in BLOCK:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][n.tag] += 1
+
+    def _leave(self, upto: Node) -> None:
+        """Close the open elements up to and with ``upto``."""
+        while True:
+            n = self.at
+            self.open[n.tag] -= 1
+            if n.tag in BLOCK:
+                self.inline.pop()
+            else:
+                self.inline[-1][n.tag] -= 1
+            self.at = n.parent
+            if n is upto:
+                return
 
-    def _close(self, tags, limit) -> None:
-        n = self.at
-        while n.parent is not None and n.tag not in limit:
-            if n.tag in tags:
-                self.at = n.parent
-            n = n.parent
+    def _close(self, kind: str) -> None:
+        while (n := self.at.near[_PLACE[kind]]) is not None:
+            self._leave(n)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
         if tag in CLOSES_P:
-            self._close({"p"}, {"td", "th", "table", "button", "object", "blockquote", "li", "div", "section", "article", "main"})
+            self._close("p")
         if tag in ENDS:
-            self._close(*ENDS[tag])
+            self._close(ENDS[tag])
         a = dict(attrs)
         names = _names(f"{a.get('class') or ''} {a.get('id') or ''}") if "class" in a or "id" in a else []
         words = frozenset().union(*names)
@@ -110,7 +147,7 @@ class _Tree(HTMLParser):
         n = Node(tag, words, drop, None if drop else self._doubt(tag, names, words, a), self.at)
         self.at.kids.append(n)
         if tag not in VOID:
-            self.at = n
+            self._enter(n)
 
     def _dropped(self, tag: str, a: dict) -> bool:
         if tag in DROP_TAGS:
@@ -138,24 +175,21 @@ class _Tree(HTMLParser):
         return (STRICT if bad & STRICT_WORDS else DOUBTFUL), min(bad)
 
     def _inside(self) -> bool:
-        n = self.at
-        while n is not None and n.tag not in ("article", "main"):
-            n = n.parent
-        return n is not None
+        return self.open["article"] + self.open["main"] > 0
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent or self.root
+        if tag not in VOID and self.at.tag == tag and self.at.parent is not None:
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
+        # an inline end tag doesn't close a block
+        if not (self.open if tag in BLOCK or tag in DROP_TAGS else self.inline[-1])[tag]:
+            return
         n = self.at
-        while n.parent is not None and n.tag != tag:
-            if n.tag in BLOCK and tag not in BLOCK and tag not in DROP_TAGS:
-                return  # an inline end tag doesn't close a block
+        while n.tag != tag:
             n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
+        self._leave(n)
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -173,16 +207,19 @@ def _walk(node: Node) -> Iterator[tuple[Node | str, bool]]:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Sets chars and link_chars of every element; the elements in page order."""
-    order, links, open_ = [], 0, []
+    """Sets chars, link_chars and own of every element; the elements in page order."""
+    order, links, open_, blocks = [], 0, [], []
     for x, leaving in _walk(root):
         if isinstance(x, str):
             n = len(" ".join(x.split()))
             open_[-1].chars += n
             open_[-1].link_chars += n if links else 0
+            blocks[-1].own.append(x)
         elif leaving:
             links -= x.tag == "a"
             open_.pop()
+            if x.tag in BLOCK:
+                blocks.pop().own = " ".join("".join(x.own).split())
             if open_:
                 open_[-1].chars += x.chars
                 open_[-1].link_chars += x.link_chars
@@ -190,6 +227,8 @@ def _measure(root: Node) -> list[Node]:
             links += x.tag == "a"
             open_.append(x)
             order.append(x)
+            if x.tag in BLOCK:
+                blocks.append(x)
     return order
 
 
@@ -306,18 +345,6 @@ def _settle(root: Node) -> None:
         d.node.drop = d.cut
 
 
-def _own_text(n: Node) -> str:
-    """Text of a paragraph without that of the blocks inside it."""
-    out, skip = [], 0
-    for x, leaving in _walk(n):
-        if isinstance(x, str):
-            if not skip:
-                out.append(x)
-        elif x is not n and x.tag in BLOCK:
-            skip += -1 if leaving else 1
-    return " ".join("".join(out).split())
-
-
 def _density(n: Node) -> float:
     return n.link_chars / n.chars if n.chars else 0.0
 
@@ -328,7 +355,7 @@ def _best(order: list[Node]) -> Node | None:
     for n in order:
         if n.tag not in PARAGRAPHS or n.parent is None:
             continue
-        direct = _own_text(n) if any(isinstance(k, str) or k.tag not in BLOCK for k in n.kids) else ""
+        direct = n.own  # all PARAGRAPHS are blocks
         if not direct:
             continue
         points = _points(len(direct), direct.count(","))
@@ -352,7 +379,8 @@ def _kept(best: Node) -> list[Node]:
     while around is not None and around.tag not in ("article", "main"):
         around = around.parent
     if around is not None:
-        return [around]
+        near = [k for k in around.parent.kids if isinstance(k, Node) and not k.drop and k.tag == around.tag] if around.tag == "article" else []
+        return [k for k in near if k is around or 2 * k.chars >= around.chars and _density(k) < 0.25] or [around]
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     least = max(10.0, best.score * 0.2)
@@ -362,7 +390,7 @@ def _kept(best: Node) -> list[Node]:
             continue
         alike = k is best or k.score + (best.score * 0.2 if k.words and k.words == best.words else 0) >= least
         if not alike and k.tag in ("p", "h1", "h2", "h3", "pre", "blockquote"):
-            alike = _density(k) < 0.25 and (k.chars > 80 or k.tag != "p" or re.search(r"[.!?]\s*$", _own_text(k)) is not None)
+            alike = _density(k) < 0.25 and (k.chars > 80 or k.tag != "p" or k.own[-1:] in (".", "!", "?"))
         if alike:
             out.append(k)
     return out
@@ -390,11 +418,26 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _finished(html: str) -> str:
+    """The page without what never ends: a comment that is not closed, and a tag after the
+    last ``>``. Each is cut once, from its first character on."""
+    at = html.find("<!--", html.rfind("-->") + 3 if "-->" in html else 0)
+    low = html.lower() if at >= 0 else ""
+    while at >= 0:
+        script = low.rfind("<script", 0, at)
+        if script < 0 or low.find("</script", script) < at:  # else it is the script's text
+            html = html[:at]
+            break
+        at = html.find("<!--", low.find("</script", script))
+    tag = _TAG_START.search(html, html.rfind(">") + 1)
+    return html[:tag.start()] if tag else html
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(_CUT_TAG.sub("", html))
+    tree.feed(_finished(html))
     tree.close()
     _settle(tree.root)
     best = _best(_measure(tree.root)) or tree.root

@@ -68,3 +68,111 @@ def test_operator(spark):
         assert got[r[0]] == (r[1], want, len(want))
     assert got[None][1] == "one twothree four"
     assert X.extract(df.limit(0)).count() == 0
+
+
+BROKEN = {  # (page, what is kept of it): each takes time in proportion to its length
+    "text at every level": ("<div>some text, " * 8_000, None),
+    "unfinished tags": (f"<article><p>{LONG}</p>" + "<a " * 100_000, LONG),
+    "unfinished declarations": (f"<p>{LONG}</p>" + "<!x <?y " * 50_000, LONG),
+    "unclosed comment": (f"<p>{LONG}</p><!-- x <p>The first paragraph, inside", LONG),
+    "many unclosed comments": (f"<p>{LONG}</p>" + "<!-- <p>x</p> " * 20_000, LONG),
+    "comment in a script": (f"<script>x = '<!--'</script><p>{LONG}</p>", LONG),
+    "inline tags that stay open": ("<span><p>some text, " * 10_000, None),
+    "stray end tags": (f"<p>{LONG}</p>" + "<span>" * 10_000 + "</section></p>" * 10_000, LONG),
+    "headers": ("<div class=header>x" * 5_000, None),
+    "lists": ("<ul>" + "<li><span>t" * 10_000, None),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_linear_time(name):
+    import time
+    html, want = BROKEN[name]
+    began = time.time()
+    got = X.main_text(html)
+    assert time.time() - began < 5
+    assert want is None or got == want
+
+
+def test_articles_side_by_side():
+    two = f"<body><article><p>{LONG}</p></article><article><p>{LONG} More.</p></article><article><p>Tiny.</p></article></body>"
+    assert X.main_text(two) == f"{LONG}\n{LONG} More."
+
+
+def brute_best(root):
+    """The best container, scored node by node from the definition: every paragraph's own text
+    is gathered again, and every ancestor found by walking up."""
+    def inside(n):
+        for k in n.kids:
+            if isinstance(k, str):
+                yield n, k
+            elif not k.drop:
+                yield from inside(k)
+
+    def block_of(n):
+        while n.tag not in X.BLOCK:
+            n = n.parent
+        return n
+
+    def linked(n):
+        while n is not None and n.tag != "a":
+            n = n.parent
+        return n is not None
+
+    pieces = list(inside(root))
+    size = lambda t: len(" ".join(t.split()))
+    paragraphs = []
+    for n, _ in pieces:
+        b = block_of(n)
+        if b not in paragraphs and b.tag in X.PARAGRAPHS and b.parent is not None:
+            paragraphs.append(b)
+    score = {}
+    for p in paragraphs:
+        own = " ".join("".join(t for n, t in pieces if block_of(n) is p).split())
+        if not own:
+            continue
+        points = min(1, len(own) / 25) + own.count(",") + min(len(own) / 100, 3)
+        a = p.parent
+        for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+            if a is None:
+                break
+            score[a] = score.get(a, X.START_SCORE.get(a.tag, 0) + (25 if a.words & X.GOOD_WORDS else 0)) + points * share
+            a = a.parent
+
+    def below(n, top):
+        while n is not None and n is not top:
+            n = n.parent
+        return n is top
+    out = {}
+    for a, s in score.items():
+        own = [(n, t) for n, t in pieces if below(n, a)]
+        chars = sum(size(t) for _, t in own)
+        out[a] = s * (1 - (sum(size(t) for n, t in own if linked(n)) / chars if chars else 0))
+    return out
+
+
+def random_page(rng):
+    def part(depth):
+        kind = rng.choice(["p", "p", "div", "div", "section", "ul", "td", "a", "b", "text", "text", "nav", "blockquote"])
+        if kind == "text" or depth > 6:
+            return " ".join(rng.choice(["word", "comma,", "x", "sentence."]) for _ in range(rng.randint(1, 40)))
+        cls = rng.choice(["", "", " class=content", " class='post body'", " class=box"])
+        return f"<{kind}{cls}>" + " ".join(part(depth + 1) for _ in range(rng.randint(1, 4))) + (f"</{kind}>" if rng.random() < 0.9 else "")
+    return "<body>" + "".join(part(0) for _ in range(rng.randint(1, 5))) + "</body>"
+
+
+def test_scores_against_brute_force():
+    import random
+    rng = random.Random(8)
+    for _ in range(200):
+        tree = X._Tree()
+        tree.feed(random_page(rng))
+        tree.close()
+        X._settle(tree.root)
+        want = brute_best(tree.root)
+        best = X._best(X._measure(tree.root))
+        if best is None:
+            assert not want
+            continue
+        assert all(n.score == pytest.approx(s) for n, s in want.items())
+        assert want[best] == pytest.approx(max(want.values()))
