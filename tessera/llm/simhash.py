@@ -13,7 +13,8 @@ large-star and small-star steps, whose lineage is cut by written tables.
 Defined cases: null and empty text have fingerprint 0 and link like any other; fewer
 words than the shingle length are one shingle; documents with equal fingerprints are
 one component; a null id never names a component that has other ids; repeated rows are
-returned again; an empty table gives an empty result; other columns are not read.
+returned again; an empty table gives an empty result; other columns are not read; a very long
+text is hashed whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -61,14 +62,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp long)`` of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **more) -> DataFrame:
+    """``(doc_id, fp long)`` of every row, and the columns ``more``."""
+    names = ["doc_id", "fp", *more]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in texts(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=names)
+    given = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), *[c.alias(n) for n, c in more.items()])
+    kinds = [f"doc_id {docs.schema[id_col].dataType.simpleString()}", "fp long", *[f"{n} {given.schema[n].dataType.simpleString()}" for n in more]]
+    return given.mapInArrow(run, ", ".join(kinds))
 
 
 def _near_keys(radius: int):
@@ -124,7 +128,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     to = to.filter(F.forall("q", lambda x: (x >= 0) & (x <= _BITS)))
     to = to.select(F.col("fps").alias("a"), F.col("key").alias("ka"), F.col("piece").alias("pa"),
                    _key([F.col("q")[i] for i in range(PARTS)]).alias("key"))
-    pairs = (to.join(pieces.select("key", F.col("piece").alias("pb"), F.col("fps").alias("b")), "key")
+    # a crowded tile's pieces are met in about as many groups as its pieces have square roots, so
+    # no task holds all pairs of a tile; there are at most (_BITS + 1) ** PARTS tiles
+    crowd = F.broadcast(pieces.groupBy("key").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("groups")))
+    to = to.join(crowd, "key").withColumn("group", F.pmod("pa", "groups"))
+    own_side = pieces.join(crowd, "key").select("key", F.col("piece").alias("pb"), F.col("fps").alias("b"),
+                                                F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    pairs = (to.join(own_side, ["key", "group"])
              .filter((F.col("ka") != F.col("key")) | (F.col("pa") <= F.col("pb"))))
 
     def compare(batches):
@@ -159,36 +169,53 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def roots(by_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, ..., root)`` of distinct fingerprints: the smallest that links lead to."""
+    comp = components(links(by_fp, radius))
+    return by_fp.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; component_id is the smallest doc_id
     that links lead to."""
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    by_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    comp = components(links(by_fp, radius))
-    joined = by_fp.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = roots(written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints"), radius)
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     label = written(joined.select("fp", "root").join(lows, "root").select("fp", "component_id"), "labels")
     return own.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_key(id_col: str, text_col: str) -> dict[str, F.Column]:
+    """128 bits ``(h1, h2)`` of a row's id and text: rows that agree in both are one document."""
+    i, t = col(id_col), col(text_col)
+    null = F.concat(i.isNull().cast("string"), t.isNull().cast("string"))
+    return {"h1": F.xxhash64(null, i, t), "h2": F.xxhash64(t, F.lit("\n"), i, null)}
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` (all columns), one of each component: that with the smallest
-    id. Rows that repeat an id are the same document, and one of them stays. Rows
-    without an id cannot be named by a decision; they all stay.
+    """The rows of ``docs`` (all columns), one of each component: that with the smallest id
+    (a null id comes last; ties go by a hash of id and text). Rows that agree in id and text
+    are one document, and one of them stays; rows that share an id but not the text are
+    documents of their own.
 
-    Ids that go (and ids that repeat) are broadcast while they are below
+    Documents that go (and those that come again) are broadcast while they are below
     ``broadcast_bytes``, so texts stay where they are; beyond that documents and decisions
     are joined by a shuffle."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col("doc_id").isNotNull())
-    per = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c")), "decisions")
-    gone = per.filter((F.col("doc_id") != F.col("c")) | (F.col("n") > 1)).select("doc_id")
-    often = per.filter((F.col("doc_id") == F.col("c")) & (F.col("n") > 1)).select("doc_id")
-    small = lambda ids: F.broadcast(ids) if 16 * ids.count() <= broadcast_bytes else ids
-    packed = docs.select(col(id_col).alias("i"), F.struct(*[col(c) for c in docs.columns]).alias("row"))
-    out = packed.join(small(gone), F.col("i") == F.col("doc_id"), "left_anti").select("row.*")
+    key = row_key(id_col, text_col)
+    own = fingerprints(docs, id_col, text_col, shingle, **key)
+    own = written(own.groupBy("doc_id", "fp", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    label = roots(written(own.groupBy("fp").agg(F.min(rank).alias("low")), "distinct-fingerprints"), radius)
+    first = written(label.groupBy("root").agg(F.min("low").alias("low")).select("low.h1", "low.h2").withColumn("stays", F.lit(True)), "first-rows")
+    per = written(own.join(first, ["h1", "h2"], "left").select("h1", "h2", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "decisions")
+    gone = per.filter(~F.col("stays") | (F.col("n") > 1)).select("h1", "h2")
+    often = per.filter(F.col("stays") & (F.col("n") > 1)).select("h1", "h2")
+    small = lambda keys: F.broadcast(keys) if 32 * keys.count() <= broadcast_bytes else keys
+    packed = docs.select(*[c.alias(n) for n, c in key.items()], F.struct(*[col(c) for c in docs.columns]).alias("row"))
+    out = packed.join(small(gone), ["h1", "h2"], "left_anti").select("row.*")
     if not often.limit(1).count():
         return out
-    again = packed.join(small(often), F.col("i") == F.col("doc_id"), "left_semi").groupBy("i").agg(F.first("row").alias("row"))
+    again = packed.join(small(often), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row"))
     return out.unionByName(again.select("row.*"))

@@ -84,3 +84,40 @@ def test_components_of_a_long_path(spark):
 
 def test_empty(empty):
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(empty).count() == 0
+
+
+def test_rows_not_ids_are_kept(spark):
+    """One row of each group stays, whatever ids the rows share."""
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue " * 9)
+    rows = [(7, a, "x"), (7, b, "y"), (3, a, "z"), (None, b, "u"), (None, c, "v"), (None, c, "v"), (5, c + "tail", "w"), (9, a, "x"), (9, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 string").repartition(3)
+    for bound in (S.BROADCAST_BYTES, -1):
+        kept = sorted(((r.doc_id, r.text) for r in S.keep_one(df, broadcast_bytes=bound).collect()), key=repr)
+        fps = [brute_fp(t) for _, t, _ in rows]
+        comp = brute_components(fps)
+        want = {}
+        for (i, t, _), k in zip(rows, comp.tolist(), strict=True):
+            want[k] = min(want.get(k, (2, 0, "")), (i is None, i or 0, t))
+        assert kept == sorted(((None if none else i, t) for none, i, t in want.values()), key=repr)
+        assert (7, b) in kept and (3, a) in kept
+
+
+def test_a_crowded_tile_is_compared_in_groups(spark, monkeypatch):
+    """Hundreds of fingerprints with the same bit counts, in pieces of four: no link is lost."""
+    monkeypatch.setattr(S, "TILE", 4)
+    rng = random.Random(2)
+    fps = sorted({sum(1 << (16 * p + b) for p in range(4) for b in rng.sample(range(16), 8)) for _ in range(150)})
+    for x in fps[:60]:
+        part, bits = rng.randrange(4), []
+        on = [b for b in range(16) if x >> (16 * part + b) & 1]
+        off = [b for b in range(16) if b not in on]
+        bits = [rng.choice(on), rng.choice(off)]
+        fps.append(x ^ sum(1 << (16 * part + b) for b in bits))
+    fps = sorted(set(fps))
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    comp = {r.node: r.root for r in S.components(S.links(df)).collect()}
+    groups = {}
+    for x, w in zip(fps, brute_components(fps).tolist(), strict=True):
+        groups.setdefault(comp.get(signed(x), signed(x)), set()).add(w)
+    assert all(len(v) == 1 for v in groups.values()) and len(groups) == len(set(brute_components(fps).tolist()))
