@@ -2,20 +2,20 @@
 
 Input: encoded tokens ``(doc_id, tpos, node)`` (node = word id, 0 = unknown).
 Graphs are never densified: nodes ``(doc_id, node)``, edges ``(doc_id, src, dst, w)``.
-Window pairs come from array-local slices (no range join), every shuffle is keyed
-by document and node, and hops are joins and sums of edges, so one long document is
-spread over tasks.
+Window pairs come from array-local slices (no range join) and hops are joins and sums of
+edges. All steps are clustered by document, whose length the cleaning plan bounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 
 def sequences(tokens: DataFrame) -> DataFrame:
@@ -82,6 +82,49 @@ def normalized(e: DataFrame, seq: DataFrame) -> DataFrame:
     return out.unionByName(lone)
 
 
+PART_TOKENS = 1 << 18
+
+
+def normalized_adjacency(seq: DataFrame, window: int) -> DataFrame:
+    """``normalized(edges(seq, window), seq)`` in one pass over the sequences, without sorting an
+    edge table: the pairs of a batch of documents are counted at once, and a node's degree is
+    its number of pairs with other nodes, plus one for its loop."""
+    kind = seq.schema["doc_id"].dataType.simpleString()
+
+    def parts(batches):  # of some hundred thousand tokens, or one document
+        for b in batches:
+            ends, i = np.cumsum(b.column(1).value_lengths().to_numpy()), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART_TOKENS, "right")))
+                yield b.slice(i, j - i)
+                i = j
+
+    def run(batches):
+        for b in parts(batches):
+            node = b.column(1).flatten().to_numpy().astype(np.int64)
+            if not len(node):
+                continue
+            size = b.column(1).value_lengths().to_numpy()
+            doc = np.repeat(np.arange(b.num_rows), size)
+            values, at = np.unique(node, return_inverse=True)
+            nodes, own = np.unique(doc * len(values) + at, return_inverse=True)  # a document's nodes, in order
+            pairs = []
+            for k in range(1, window + 1):
+                i = np.flatnonzero(doc[k:] == doc[:-k])
+                i = i[own[i] != own[i + k]]
+                pairs += [own[i] * len(nodes) + own[i + k], own[i + k] * len(nodes) + own[i]]
+            key, count = np.unique(np.concatenate(pairs), return_counts=True)
+            src, dst = key // len(nodes), key % len(nodes)
+            degree = np.bincount(src, count, len(nodes)) + 1.0
+            weight = np.concatenate([count / np.sqrt(degree[src] * degree[dst]), 1.0 / degree])
+            every = np.arange(len(nodes))
+            src, dst = np.concatenate([src, every]), np.concatenate([dst, every])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(nodes[src] // len(values))), pa.array(values[nodes[src] % len(values)].astype(np.int32)),
+                 pa.array(values[nodes[dst] % len(values)].astype(np.int32)), pa.array(weight)], names=["doc_id", "src", "dst", "w"])
+    return seq.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, src int, dst int, w double")
+
+
 def propagate(adj: DataFrame, h: DataFrame, hops: int, checkpoint_every: int = 2) -> DataFrame:
     """K hops ``H <- A H`` with node features ``h (doc_id, node, vec array<double>)``.
 
@@ -131,3 +174,39 @@ def attention_pool(adj: DataFrame, h: DataFrame, hops: int, weights: np.ndarray,
     pooled = (h.join(back, ["doc_id", "node"]).groupBy("doc_id").agg(Summarizer.sum(array_to_vector("vec"), F.col("s")).alias("m"))
               .select("doc_id", vector_to_array("m").alias("m")))
     return pooled.select("doc_id", F.array(*[dot("m", w[:, j]) + F.lit(float(b[j])) for j in range(w.shape[1])]).alias("vec"))
+
+
+def attention_pool_depths(adj: DataFrame, h: DataFrame, depths, weights: np.ndarray, bias: np.ndarray, att_w: np.ndarray,
+                          att_b: float) -> DataFrame:
+    """:func:`attention_pool` at several hop counts in one propagation: ``(doc_id, depth, vec)``.
+
+    Node scores are carried max(depths) hops and noted at every wanted depth; on the way back
+    the shares of a depth join the run when as many hops are left as it needs. ``adj`` and
+    ``h`` are read several times and should be stored tables."""
+    w, b, a = (np.asarray(x, dtype="float64") for x in (weights, bias, att_w))
+    depths = sorted(set(depths))
+    if not depths or depths[0] < 0:
+        raise ValueError("depths are hop counts")
+    cur, noted = h.select("doc_id", "node", dot("vec", w @ a).alias("s")), None
+    for k in range(depths[-1] + 1):
+        if k:
+            cur = stored(hop_scalars(adj, cur, 1), "hop")
+        if k in depths:
+            one = cur.withColumn("depth", F.lit(k))
+            noted = one if noted is None else noted.unionByName(one)
+    noted = noted.withColumn("s", F.greatest(F.lit(0.0), F.col("s") + F.lit(float(b @ a + att_b))))
+    top = noted.groupBy("doc_id", "depth").agg(F.max("s").alias("top"))
+    e = noted.join(top, ["doc_id", "depth"]).withColumn("s", F.exp(F.col("s") - F.col("top"))).drop("top")
+    total = e.groupBy("doc_id", "depth").agg(F.sum("s").alias("total"))
+    share = stored(e.join(total, ["doc_id", "depth"]).select("doc_id", "depth", "node", (F.col("s") / F.col("total")).alias("s")), "shares")
+    back = None
+    for left in range(depths[-1], -1, -1):
+        start = share.filter(F.col("depth") == left) if left in depths else None
+        if start is not None:
+            back = start if back is None else back.unionByName(start)
+        if left:
+            back = stored(adj.join(back.withColumnRenamed("node", "src"), ["doc_id", "src"]).groupBy("doc_id", "depth", "dst")
+                          .agg(F.sum(F.col("w") * F.col("s")).alias("s")).withColumnRenamed("dst", "node"), "back")
+    pooled = (h.join(back, ["doc_id", "node"]).groupBy("doc_id", "depth").agg(Summarizer.sum(array_to_vector("vec"), F.col("s")).alias("m"))
+              .select("doc_id", "depth", vector_to_array("m").alias("m")))
+    return pooled.select("doc_id", "depth", F.array(*[dot("m", w[:, j]) + F.lit(float(b[j])) for j in range(w.shape[1])]).alias("vec"))

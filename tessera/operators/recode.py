@@ -7,9 +7,14 @@ no join and no shuffle.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .ranking import global_rank
+from .tokens import salted_join
+
 
 def recode_map(col, mapping: dict) -> Column:
     """Dictionary recode; values missing from the map become null."""
@@ -72,6 +77,34 @@ def standard_scale(df: DataFrame, cols, fit_on: DataFrame | None = None) -> Data
     return out
 
 
+def category_index(df: DataFrame, cols) -> DataFrame:
+    """``(column, value, index)``: the distinct non-null values of all columns, numbered from 0 in
+    the order of the columns and, inside one, of the values as text. The numbering is a
+    distributed rank; no list of categories reaches the driver."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                         for k, c in enumerate(cols)])).alias("x")).select("x.*").filter(F.col("value").isNotNull())
+    return global_rank(each.distinct(), ["place", "value"], out="index").select("column", "value", "index")
+
+
+def one_hot_indices(df: DataFrame, key: str, cols, index: DataFrame) -> DataFrame:
+    """``(key, indices)`` of every row of ``df``: the sorted places of its ones. Values that the
+    index doesn't hold, and nulls, have none. A frequent value's rows are dealt over salts."""
+    each = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x"))
+    found = salted_join(each.select(key, "x.column", "x.value"), index, ["column", "value"], "left", key)
+    return found.groupBy(key).agg(F.array_sort(F.array_compact(F.collect_list("index"))).alias("indices"))
+
+
+def sparse_one_hot(df: DataFrame, key: str, cols, index: DataFrame | None = None) -> DataFrame:
+    """``(key, features)``: one-hot codes of all columns as one sparse vector; its length is the
+    number of categories of ``index`` (built from ``df`` by default)."""
+    index = stored(category_index(df, cols) if index is None else index, "categories")
+    size = index.count()
+
+    # Spark has no built-in that makes a sparse vector of an array
+    vector = F.udf(lambda i: Vectors.sparse(size, i, [1.0] * len(i)), VectorUDT())
+    return one_hot_indices(df, key, cols, index).select(key, vector("indices").alias("features"))
+
+
 def label_one_hot(y, k: int) -> Column:
     c = F.col(y) if isinstance(y, str) else y
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == c).cast("double"))

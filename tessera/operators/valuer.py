@@ -6,17 +6,20 @@ Network (per row): [x, onehot(y)] -> dense(h) ReLU -> dense(c) ReLU -> layer nor
 Training is REINFORCE: for a batch, every row gets value v and a selection
 s ~ Bernoulli(v) drawn from a row-keyed hash (so a re-run task draws the same s);
 a predictor is fitted on the selected rows and its validation gain is the reward.
-One ``mapInPandas`` pass per iteration returns (row_id, v, s) for every row plus
-one row per partition with two partial gradients (of sum log-likelihood and of
-sum v); the driver combines them with the reward and applies Adam. Parameters
-are a few thousand to a few hundred thousand floats and travel in the task
-closure.
+A training pass adds up, per task, two partial gradients (of sum log-likelihood and of
+sum v) and what the predictor in the loop needs of the selected rows; the driver combines
+them with the reward and applies Adam. Parameters are a few thousand to a few hundred
+thousand floats and travel in the task closure. For regression (k = 1) the label input is
+the target itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+from .network import metric_parts, unit
 
 EPS = 1e-8
 LN_EPS = 1e-12
@@ -117,9 +120,9 @@ def dense(i, v, d: int) -> np.ndarray:
 
 
 def pass_function(params_flat: np.ndarray, like: dict, k: int, d: int, it: int, seed: int, with_grad: bool = True):
-    """mapInPandas body over (row_id, y, diff, i, v, n): per row (row_id, v, s), then one
+    """mapInPandas body over (row_id, y, diff, i, v, j, n): per row (row_id, v, s), then one
     row per task (row_id=-1) with its partial gradients and, for the selected rows, the
-    class counts followed by the class-term counts."""
+    class counts followed by the class-term counts of the ``d`` predictor inputs."""
     p = unflatten(params_flat, like)
 
     def run(batches):
@@ -127,16 +130,16 @@ def pass_function(params_flat: np.ndarray, like: dict, k: int, d: int, it: int,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            y = pdf["y"].to_numpy().astype(int)
-            v, cache = forward(p, dense(pdf["i"], pdf["v"], d), np.eye(k)[y], _stack(pdf["diff"]))
+            y = pdf["y"].to_numpy()
+            v, cache = forward(p, dense(pdf["i"], pdf["v"], len(p["W1"]) - k), label_input(y, k), _stack(pdf["diff"]))
             ids = pdf["row_id"].to_numpy()
             s = (row_uniform(ids, it, seed) < v).astype(np.float64)
             none = [None] * len(ids)
             yield pd.DataFrame({"row_id": ids, "v": v, "s": s, "g_ll": none, "g_v": none, "stats": none})
             if with_grad:
-                chosen = np.eye(k)[y] * s[:, None]
+                chosen = label_input(y, k) * s[:, None]
                 part = (flatten(backward(p, cache, s - v)), flatten(backward(p, cache, v * (1 - v))),
-                        np.concatenate([chosen.sum(0), (chosen.T @ dense(pdf["i"], pdf["n"], d)).ravel()]))
+                        np.concatenate([chosen.sum(0), (chosen.T @ dense(pdf["j"], pdf["n"], d)).ravel()]))
                 total = part if total is None else tuple(a + b for a, b in zip(total, part, strict=True))
         if total is not None:
             yield pd.DataFrame({"row_id": [-1], "v": [np.nan], "s": [np.nan], "g_ll": [total[0].tolist()],
@@ -147,14 +150,101 @@ def pass_function(params_flat: np.ndarray, like: dict, k: int, d: int, it: int,
 PASS_SCHEMA = "row_id long, v double, s double, g_ll array<double>, g_v array<double>, stats array<double>"
 
 
-def nb_function(prior: np.ndarray, term: np.ndarray):
-    """mapInPandas body over (row_id, y, i, v): class probabilities of a naive Bayes model."""
+def label_input(y: np.ndarray, k: int) -> np.ndarray:
+    """One-hot classes, or the target itself when there is one output."""
+    return y.astype(float)[:, None] if k == 1 else np.eye(k)[y.astype(int)]
+
+
+def rows_of(i: pa.ListArray, v: pa.ListArray, d: int) -> np.ndarray:
+    """Sparse Arrow rows (index lists, value lists) as one matrix."""
+    out = np.zeros((len(i), d))
+    size = np.diff(i.offsets.to_numpy())
+    out[np.repeat(np.arange(len(i)), size), i.flatten().to_numpy()] = v.flatten().to_numpy()
+    return out
+
+
+def _inputs(b: pa.RecordBatch, d: int):
+    """Predictor inputs and targets of a batch with the columns y, j, n."""
+    return rows_of(b.column("j"), b.column("n"), d), b.column("y").to_numpy(zero_copy_only=False)
+
+
+SUMS = "sums binary"
+
+
+def _total(parts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["sums"])
+
+
+def selection_function(params_flat: np.ndarray | None, like: dict, k: int, d: int, it: int, seed: int, predictor, theta: np.ndarray,
+                       with_grad: bool, half: bool = False):
+    """mapInArrow body over (row_id, y, diff, i, v, j, n): one row per task with rows, summed values,
+    selected rows, with ``with_grad`` both gradients of the valuer, and the predictor's sums over
+    the selection. ``params_flat`` None selects every row; ``half`` selects each row with
+    probability one half (when the values selected none)."""
+    p = None if params_flat is None else unflatten(params_flat, like)
+
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                raw = dense(pdf["i"], pdf["v"], term.shape[1]) @ term.T + prior
-                e = np.exp(raw - raw.max(1, keepdims=True))
-                yield pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "p": list(e / e.sum(1, keepdims=True))})
+        total = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, y = _inputs(b, d)
+            parts = []
+            if p is None:
+                v = s = np.ones(len(y))
+            else:
+                size = b.column("diff").value_lengths().to_numpy()
+                diff = b.column("diff").flatten().to_numpy().reshape(len(size), -1)
+                ids = b.column("row_id").to_numpy()
+                x = rows_of(b.column("i"), b.column("v"), len(p["W1"]) - k)
+                v, cache = forward(p, x, label_input(y, k), diff)
+                s = (row_uniform(ids, it, seed) < (0.5 if half else v)).astype(np.float64)
+                if with_grad:
+                    parts = [flatten(backward(p, cache, s - v)), flatten(backward(p, cache, v * (1 - v)))]
+            on = s > 0
+            t = y[on] if k == 1 else y[on].astype(int)
+            part = predictor.partial(theta, unit(n[on]), n[on], t, s[on]) if on.any() else np.zeros(predictor.size())
+            parts = [np.array([len(y), v.sum(), s.sum()]), *parts, part]
+            total = parts if total is None else [a + c for a, c in zip(total, parts, strict=True)]
+        if total is not None:
+            yield _total(total)
+    return run
+
+
+BLOCK = 4096
+
+
+def in_blocks(fn):
+    """The same body with its sums cut into rows ``(block, part)``."""
+    def run(batches):
+        for b in fn(batches):
+            for r in b.column(0).to_pylist():
+                x = np.frombuffer(r, np.float64)
+                parts = [x[i:i + BLOCK] for i in range(0, len(x), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["block", "part"])
+    return run
+
+
+def metric_function(predictor, theta: np.ndarray, k: int, d: int, perf: str):
+    """mapInArrow body over (y, j, n): one row per task with its rows and summed metric."""
+    def run(batches):
+        total = np.zeros(2)
+        for b in batches:
+            if b.num_rows:
+                n, y = _inputs(b, d)
+                total += (len(y), metric_parts(perf, y if k == 1 else y.astype(int), predictor.predict(theta, unit(n), n)))
+        yield _total([total])
+    return run
+
+
+def score_function(predictor, theta: np.ndarray, d: int):
+    """mapInArrow body over (row_id, y, j, n): class probabilities of every row."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                n, _ = _inputs(b, d)
+                p = predictor.predict(theta, unit(n), n)
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("y"), pa.array(list(p), pa.list_(pa.float64()))], names=["row_id", "y", "p"])
     return run
 
 

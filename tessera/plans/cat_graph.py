@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import pooling as PL
 from ..operators import vocab as V
-from ..session import cut_lineage
+from ..operators.ranking import argmax_index
+from ..session import cut_lineage, stored
 from ..tables import spread, table
 from .documents import clean_document, clean_document_sql
 from .registry import register
-from .tasks import CORPUS_TOKENS_SQL, LANG_TASK_SQL, WORD_VECTORS_SQL, lang_task, word_vectors
+from .tasks import CORPUS_TOKENS_SQL, K_LANG, LANG_TASK_SQL, WORD_VECTORS_SQL, lang_task, word_vectors
 
 WINDOW = 4
 HOPS = 2
@@ -101,8 +103,7 @@ def adjacency(enc):
     """Normalised adjacency of the sliding-window graph. The sliding window is
     symmetric, so max(A, A^T) = A and the symmetrisation step is the identity here
     (graph_symmetric runs it explicitly)."""
-    seq = G.sequences(enc)
-    return G.normalized(G.edges(seq, WINDOW), seq)
+    return G.normalized_adjacency(G.sequences(enc), WINDOW)
 
 
 def node_features(spark, sf_dir, vocab, node_table):
@@ -166,6 +167,82 @@ def document_vectors(spark, sf_dir, hops: int = 1, parameters=None):
     return G.attention_pool(adjacency(enc), node_features(spark, sf_dir, vocab, nd), hops, *(parameters or pool_parameters()))
 
 
+PREDICTOR_HOPS, VALUER_HOPS = 1, 5  # of the original: one hop for the predictor, five for the valuer
+
+
+def graph_inputs(spark, sf_dir):
+    """Stored tables of the document graphs: normalised adjacency and node features."""
+    enc, vocab = _encoded(spark, sf_dir)
+    adj = stored(adjacency(enc), "adjacency")
+    h = stored(node_features(spark, sf_dir, vocab, G.nodes(G.sequences(enc))), "node-features")
+    return adj, h
+
+
+def depth_vectors(spark, sf_dir, depths=(PREDICTOR_HOPS, VALUER_HOPS), parameters=None, inputs=None):
+    """``(doc_id, depth, vec)``: pooled vectors of several depths from one propagation."""
+    adj, h = inputs or graph_inputs(spark, sf_dir)
+    return G.attention_pool_depths(adj, h, depths, *(parameters or pool_parameters()))
+
+
+def fitted_pooling(spark, sf_dir, labels, k: int, epochs: int = 30, hops: int = PREDICTOR_HOPS, inputs=None):
+    """Pooling weights fitted to ``labels (doc_id, y)``: ``(net, weights, trace, states)``, where
+    ``states`` are the stored node states of all documents."""
+    adj, h = inputs or graph_inputs(spark, sf_dir)
+    states = stored(PL.packed_states(G.propagate(adj, h, hops)), "node-states")
+    net = PL.Pooling(DIM, k)
+    train = stored(spread(states.join(labels, "doc_id"), "doc_id"), "pooling-train")
+    theta, trace = PL.fit(train, net, epochs)
+    return net, theta, trace, states
+
+
+def _labels(spark, sf_dir):
+    return lang_task(spark, sf_dir).select(F.col("row_id").alias("doc_id"), "y", "split")
+
+
+@register("pooling_fit")
+def pooling_fit(spark, sf_dir, epochs: int = 30):
+    """Attention pooling fitted to the training split: loss and accuracy of every epoch."""
+    train = _labels(spark, sf_dir).filter("split = 'train'").select("doc_id", "y")
+    _, _, trace, _ = fitted_pooling(spark, sf_dir, train, K_LANG, epochs)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(trace)], "epoch int, loss double, accuracy double")
+
+
+@register("embed_fitted")
+def embed_fitted(spark, sf_dir, epochs: int = 30):
+    """Document vectors of all splits by the fitted weights, with the predicted class."""
+    labels = _labels(spark, sf_dir)
+    net, theta, _, states = fitted_pooling(spark, sf_dir, labels.filter("split = 'train'").select("doc_id", "y"), K_LANG, epochs)
+    v = PL.vectors(states, net, theta)
+    out = labels.join(v, "doc_id").withColumn("pred", argmax_index(F.col("p")))
+    return out.select(F.col("doc_id").alias("row_id"), "split", "y", "pred", F.posexplode("vec").alias("dim", "v"))
+
+
+def _depths_sql(depths) -> str:
+    w, b, a, c = pool_parameters()
+    out = ", ".join(f"{_list_dot('m', w[:, j])} + {float(b[j])!r}" for j in range(DIM))
+    top = max(depths)
+    parts = []
+    for k in depths:
+        parts.append(f"""sc{k} AS (SELECT doc_id, node, greatest(0.0, s + {float(b @ a + c)!r}) AS s FROM t{k}),
+ex{k} AS (SELECT doc_id, node, exp(s - max(s) OVER (PARTITION BY doc_id)) AS s FROM sc{k}),
+{_hops_sql(f'r{k}x', f'SELECT doc_id, node, s / sum(s) OVER (PARTITION BY doc_id) AS s FROM ex{k}', k, True)},
+pl{k} AS (SELECT r.doc_id, generate_subscripts(xv.vec, 1) AS d, r.s * unnest(xv.vec) AS x FROM r{k}x{k} r JOIN xv ON xv.node = r.node),
+pm{k} AS (SELECT doc_id, list(x ORDER BY d) AS m FROM (SELECT doc_id, d, sum(x) AS x FROM pl{k} GROUP BY 1, 2) GROUP BY doc_id),
+pv{k} AS (SELECT doc_id, {k} AS depth, [{out}] AS vec FROM pm{k})""")
+    return f"""{_GRAPH_SQL},
+{_hops_sql('t', f"SELECT nd.doc_id, nd.node, {_list_dot('xv.vec', w @ a)} AS s FROM nd JOIN xv ON xv.node = nd.node", top)},
+{', '.join(parts)}, pv AS ({' UNION ALL '.join(f'SELECT * FROM pv{k}' for k in depths)})"""
+
+
+@register("graph_depths", sql=f"""WITH {_depths_sql((PREDICTOR_HOPS, VALUER_HOPS))}
+SELECT doc_id, depth, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) AS v FROM pv""")
+def graph_depths(spark, sf_dir):
+    """Pooled vectors at one and at five hops from one propagation: the predictor's and the
+    valuer's inputs."""
+    d = depth_vectors(spark, sf_dir)
+    return d.select("doc_id", "depth", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
+
+
 def _pool_sql() -> str:
     w, b, a, c = pool_parameters()
     out = ", ".join(f"{_list_dot('m', w[:, j])} + {float(b[j])!r}" for j in range(DIM))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import uniform, uniform_sql
 from ..operators import vocab as V
 from ..operators.tokens import explode_tokens
 from ..sources import readers as RD
@@ -244,10 +245,9 @@ def write_label_text(spark, sf_dir):
 
 
 @register("write_values", sql=f"""WITH {LANG_TASK_SQL}
-SELECT row_id, round({__import__('tessera.functions.hashing', fromlist=['u']).uniform_sql(7, 'row_id')}, 6) AS data_value FROM lang_task WHERE split = 'train'""")
+SELECT row_id, round({uniform_sql(7, 'row_id')}, 6) AS data_value FROM lang_task WHERE split = 'train'""")
 def write_values_q(spark, sf_dir):
     """Values stored as a table and read back (stored deterministic values)."""
-    from ..functions.hashing import uniform
     run = _run(spark, "values")
     tr = lang_task(spark, sf_dir).filter(F.col("split") == "train")
     W.write_values(tr.select("row_id", F.round(uniform(7, "row_id"), 6).alias("data_value")), run)

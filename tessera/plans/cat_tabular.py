@@ -10,6 +10,7 @@ from ..functions.hashing import uniform, uniform_sql
 from ..operators import recode as RC
 from ..operators import sampling as SM
 from ..operators.ranking import global_rank
+from ..session import stored
 from ..tables import table
 from .registry import register
 from .tasks import LANG_TASK_SQL, SEED, K_LANG, lang_task, noisy_train, noisy_train_sql
@@ -94,6 +95,22 @@ def one_hot(spark, sf_dir):
     return RC.one_hot(_customer_nulls(spark, sf_dir), "c_mktsegment", SEGMENTS)
 
 
+WIDE = ("o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@register("one_hot_wide", sql=f"""WITH e AS ({" UNION ALL ".join(f"SELECT o_orderkey, {k} AS place, CAST({c} AS VARCHAR) AS value FROM orders" for k, c in enumerate(WIDE))}),
+ix AS (SELECT place, value, row_number() OVER (ORDER BY place, value) - 1 AS i FROM (SELECT DISTINCT place, value FROM e WHERE value IS NOT NULL))
+SELECT e.o_orderkey, ix.i AS index, (SELECT count(*) FROM ix) AS size FROM e JOIN ix ON ix.place = e.place AND ix.value = e.value""")
+def one_hot_wide(spark, sf_dir):
+    """One-hot codes of columns with any number of categories: the places of the ones of every
+    row and the length of the vector."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *WIDE)
+    index = stored(RC.category_index(o, WIDE), "categories")
+    size = index.count()
+    out = RC.one_hot_indices(o, "o_orderkey", WIDE, index)
+    return out.select("o_orderkey", F.explode("indices").alias("index"), F.lit(size).cast("bigint").alias("size"))
+
+
 @register("label_one_hot", sql=f"""WITH {LANG_TASK_SQL}
 SELECT row_id, CAST(k AS INTEGER) AS k, CAST(k = y AS DOUBLE) AS v FROM lang_task, range(0, {K_LANG}) r(k)""")
 def label_one_hot(spark, sf_dir):

@@ -18,11 +18,13 @@ from ..functions.rules import NUM_BINS
 from ..operators import additive as AD
 from ..operators import vocab as V
 from ..tables import spread, table
+from . import cat_graph, cat_vocab  # their statements are used below
 from . import valuation as VA
 from .cat_report import discovery_table
 from .cat_tabular import DOMAIN_SQL, domain_value
 from .cat_vocab import _BOW_SQL, _EN_TOKENS_SQL, _VOCAB_SQL
-from .registry import register
+from .estimator_curve import estimator_curve
+from .registry import ORACLE, register
 from .tasks import LANG_TASK_SQL, NOISE_RATE, lang_task, noisy_train_sql
 
 #: Outer iterations of the registered runs, as the original run recipe sets them (every
@@ -89,8 +91,8 @@ cur AS (SELECT t.mode, t.bin, CAST(t.n AS BIGINT) AS n_rows,
 _CURVE_OUT = ("SELECT mode, bin, n_rows, round(valid_metric, 6) AS valid_metric, round(test_metric, 6) AS test_metric FROM {t}")
 
 
-def _rounded(curve):
-    return curve.withColumn("valid_metric", F.round("valid_metric", 6)).withColumn("test_metric", F.round("test_metric", 6))
+def _rounded(curve, digits: int = 6):
+    return curve.withColumn("valid_metric", F.round("valid_metric", digits)).withColumn("test_metric", F.round("test_metric", digits))
 
 
 @register("text_features", sql=f"""WITH {LANG_TASK_SQL}, {_EN_TOKENS_SQL}, {_VOCAB_SQL}, {_BOW_SQL}
@@ -106,7 +108,6 @@ def text_features(spark, sf_dir, method: str = "bow", vocab_size: int = VA.VOCAB
         toks = explode_tokens(d.select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
         b = V.bow(toks, V.build_vocab(toks, vocab_size))
         return lt.join(b.withColumnRenamed("doc_id", "row_id"), "row_id").select("row_id", "y", "split", "word_id", "n")
-    from . import cat_graph, cat_vocab
     if method == "word2vec":
         v = cat_vocab.avg_vector_q(spark, sf_dir)
     elif method == "tfidf_word2vec":
@@ -118,6 +119,28 @@ def text_features(spark, sf_dir, method: str = "bow", vocab_size: int = VA.VOCAB
     return lt.join(v.withColumnRenamed("doc_id", "row_id"), "row_id")
 
 
+def _mode_sql(key: str) -> str:
+    return (f"WITH {LANG_TASK_SQL}, f AS ({ORACLE[key]}) SELECT l.row_id, l.y, l.split, f.dim, f.v FROM lang_task l JOIN f ON f.doc_id = l.row_id")
+
+
+@register("text_features_word2vec", sql=_mode_sql("avg_vector"))
+def text_features_word2vec(spark, sf_dir):
+    """Mean word vectors of the lang task's texts."""
+    return text_features(spark, sf_dir, "word2vec")
+
+
+@register("text_features_tfidf", sql=_mode_sql("tfidf_vector"))
+def text_features_tfidf(spark, sf_dir):
+    """Mean word vectors weighted by inverse document frequency."""
+    return text_features(spark, sf_dir, "tfidf_word2vec")
+
+
+@register("text_features_graph", sql=_mode_sql("graph_pool"))
+def text_features_graph(spark, sf_dir):
+    """Pooled document-graph vectors."""
+    return text_features(spark, sf_dir, "graph")
+
+
 _TWO_TEXTS = ("regexp_extract(text, '^([^\\n]*)', 1)", "substring(text, length(regexp_extract(text, '^([^\\n]*)', 1)) + 2)")
 
 
@@ -211,8 +234,9 @@ def reward(spark, sf_dir):
 def _trained(spark, sf_dir, iterations: int):
     """Logistic regression in the loop and a moving reward baseline: naive Bayes in the
     loop is cheaper (its counts come out of the valuer's own pass) but reacts too little to
-    20 % noise to give the reward a signal."""
-    return VA.ValuerTrainer(VA.lang_features(spark, sf_dir), predictor="logistic", moving_baseline=0.9).train(iterations)
+    20 % noise to give the reward a signal. The three queries below train the same valuer:
+    each goes on from the state that a run on the same rows has stored, if there is one."""
+    return VA.ValuerTrainer(VA.lang_features(spark, sf_dir), predictor="logistic", perf="log_loss", moving_baseline=0.9, resume=True).train(iterations)
 
 
 @register("train_valuer")
@@ -228,6 +252,15 @@ def value_rows(spark, sf_dir, iterations: int = ITERATIONS):
     return _trained(spark, sf_dir, iterations).values()
 
 
+@register("valuer_discovery")
+def valuer_discovery(spark, sf_dir, iterations: int = ITERATIONS):
+    """The discovery table of the trained valuer's values: the share of the noisy rows found
+    among the lowest-valued rows."""
+    tr = _trained(spark, sf_dir, iterations)
+    ranked = VA.ranked_values(tr.data.train, tr.values())
+    return discovery_table(ranked, ranked.count(), NOISE_RATE)
+
+
 @register("predict_final")
 def predict_final(spark, sf_dir, iterations: int = ITERATIONS):
     """Predictor fitted with the data values as row weights, applied to the test rows."""
@@ -244,6 +277,14 @@ def remove_high_low(spark, sf_dir):
     return _rounded(VA.remove_high_low(data, VA.simple_values(data)))
 
 
+@register("curve_estimator", sql=f"WITH {DATA_SQL}, {CURVE_SQL} {_CURVE_OUT.format(t='cur')}")
+def curve_estimator(spark, sf_dir):
+    """The removal curve with a Spark ML estimator as the evaluation model: 40 fits, several at a
+    time. (With multinomial naive Bayes it is the curve of ``remove_high_low``.)"""
+    data = VA.lang_features(spark, sf_dir)
+    return _rounded(estimator_curve(data, VA.simple_values(data), lambda: VA.make_estimator("naive_bayes")))
+
+
 @register("learn_with_values", sql=f"""WITH {DATA_SQL}, {CURVE_SQL}, best AS (SELECT * FROM cur ORDER BY valid_metric DESC,
 CASE mode WHEN 'low' THEN 0 ELSE {NUM_BINS} END + bin LIMIT 1) {_CURVE_OUT.format(t='best')}""")
 def learn_with_values(spark, sf_dir):
@@ -421,7 +462,7 @@ def _graph_layers():
 def graph_values(spark, sf_dir, iterations: int = ITERATIONS):
     """Row values of the main path: graph vectors are the inputs of the valuer and of the
     perceptron in the loop."""
-    tr = VA.ValuerTrainer(VA.graph_task(spark, sf_dir), predictor="mlp", layers=_graph_layers(), moving_baseline=0.9)
+    tr = VA.ValuerTrainer(VA.graph_task(spark, sf_dir), predictor="mlp", layers=_graph_layers(), moving_baseline=0.9, resume=True)
     return tr.train(iterations).values()
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.hashing import uniform, uniform_sql
 from ..functions import text as T
 from ..operators import tokens as TK
 from ..operators import vocab as V
@@ -204,14 +205,16 @@ fv AS (SELECT word, CAST(row_number() OVER (ORDER BY min(row_id * 1000000 + pos)
 id AS (SELECT tk.row_id, list(coalesce(fv.word_id, 0) ORDER BY tk.pos) AS l FROM tk LEFT JOIN fv ON tk.word = fv.word GROUP BY tk.row_id)
 SELECT row_id AS doc_id, CAST(maxlen AS INTEGER) AS length,
        array_to_string(list_concat(l, list_transform(range(0, maxlen), lambda i: 0))[1:maxlen], ' ') AS ids FROM id, L""")
-def vocab_processor_q(spark, sf_dir):
+def vocab_processor_q(spark, sf_dir, length: int | None = None):
     """Ids by first appearance in the training split (0 = unknown); every document becomes a
-    list of the longest training document's length, cut or filled with zeros."""
+    list of ``length`` ids, cut or filled with zeros. The default is the longest training
+    document's length; over large corpora pass a length, so that one long document doesn't
+    widen all rows."""
     lt = spread(lang_task(spark, sf_dir), "row_id")
     toks = lt.select(F.col("row_id").alias("doc_id"), "split",
                      F.posexplode(F.split(T.clean_str("text"), " ")).alias("pos", "word"))
     train = toks.filter(F.col("split") == "train")
-    maxlen = (train.agg(F.max("pos")).first()[0] or 0) + 1
+    maxlen = length or (train.agg(F.max("pos")).first()[0] or 0) + 1
     # positions past the length of the result are dropped before documents are gathered
     enc = V.encode_ids(toks.filter(F.col("pos") < maxlen), V.first_seen_vocab(train))
     ids = (enc.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("s"))
@@ -336,10 +339,9 @@ def embedding_matrix_q(spark, sf_dir):
 @register("embedding_init", sql=f"""WITH {CD}, {_CLEAN_VOCAB_SQL}, {CORPUS_TOKENS_SQL}, {WORD_VECTORS_SQL},
 g AS (SELECT cv.word_id, wv.vec, d.dim FROM cv LEFT JOIN wv ON cv.word = wv.word CROSS JOIN range(0, 64) d(dim))
 SELECT word_id, CAST(dim AS INTEGER) AS dim, round(coalesce(CAST(vec[dim + 1] AS DOUBLE),
-       -0.25 + 0.5 * {__import__('tessera.functions.hashing', fromlist=['x']).uniform_sql(42, "CAST(word_id AS VARCHAR) || '/' || CAST(dim AS VARCHAR)")}), 6) AS v FROM g""")
+       -0.25 + 0.5 * {uniform_sql(42, "CAST(word_id AS VARCHAR) || '/' || CAST(dim AS VARCHAR)")}), 6) AS v FROM g""")
 def embedding_init_q(spark, sf_dir):
     """Vocabulary vectors; a missing word gets U(-0.25, 0.25) per dimension (row-keyed)."""
-    from ..functions.hashing import uniform
     cc = clean_document(_docs(spark, sf_dir))
     wv = word_vectors(spark, sf_dir)
     m = _clean_vocab(cc).join(wv.select("word", "vec"), "word", "left")

@@ -25,5 +25,5 @@ def register(key: str, sql: str | None = None):
 
 def load_all():
     """Import every catalogue module (they register on import)."""
-    from . import cat_graph, cat_io, cat_pairs, cat_report, cat_stream, cat_tabular, cat_text, cat_values, cat_vocab  # noqa: F401
+    from . import cat_graph, cat_io, cat_linear, cat_pairs, cat_report, cat_stream, cat_tabular, cat_text, cat_values, cat_vocab  # noqa: F401
     return QUERIES, ORACLE

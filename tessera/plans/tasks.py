@@ -35,11 +35,15 @@ def split_of_sql(u: str) -> str:
 
 def lang_task(spark, sf_dir) -> DataFrame:
     """``(row_id, text, y, split)``; y = 0..3 for en, de, es, fr."""
-    d = table(spark, sf_dir, "documents")
+    return lang_rows(table(spark, sf_dir, "documents"), "text")
+
+
+def lang_rows(docs: DataFrame, *columns) -> DataFrame:
+    """The lang task of ``docs (doc_id, lang, ...)``: row_id, the given columns, y and split."""
     known = F.array(*[F.lit(x) for x in R.LANG_LABELS])
     # a language outside the list (or none) is no class of the task: its rows go
-    return d.filter(F.col("lang").isin(list(R.LANG_LABELS))).select(
-        F.col("doc_id").alias("row_id"), "text", (F.array_position(known, F.col("lang")) - 1).cast("int").alias("y"),
+    return docs.filter(F.col("lang").isin(list(R.LANG_LABELS))).select(
+        F.col("doc_id").alias("row_id"), *columns, (F.array_position(known, F.col("lang")) - 1).cast("int").alias("y"),
         split_of(uniform(SEED, "doc_id")).alias("split"))
 
 

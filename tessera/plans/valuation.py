@@ -3,18 +3,19 @@ removal curves and the text classifier.
 
 Closed-form predictors (:mod:`tessera.operators.additive`) give the reports and the
 removal curves: all models of a curve come from one pass over the training rows. The
-valuer's predictor is any Spark ML classifier (logistic regression, naive Bayes, a
-multilayer perceptron). The valuer itself runs inside ``mapInPandas`` tasks with its
-parameters in the closure; the only values that reach the driver are metrics, counts and
-parameter-sized sums.
+valuer and the predictor in its loop (:mod:`tessera.operators.network`) run inside tasks with
+their parameters in the closure; the only values that reach the driver are metrics, counts
+and parameter-sized sums.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import uuid
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, Normalizer, RegexTokenizer, SQLTransformer,
@@ -28,14 +29,16 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.hashing import uniform
 from ..operators import additive as AD
+from ..operators import least_squares as LS
 from ..operators import metrics as MT
+from ..operators import network as NW
+from ..operators import pooling as PL
 from ..operators import valuer as VL
 from ..operators import vocab as V
 from ..operators.ranking import argmax_index, bin_of_rank, global_rank
-from ..operators.tokens import explode_tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir, stored
 from ..tables import spread, table
-from .tasks import K_LANG, SEED, lang_task, noisy_train
+from .tasks import K_LANG, SEED, lang_rows, lang_task, noisy_train
 
 VOCAB_SIZE = 800  # the run recipe's feature count; every entry point takes it as an argument
 
@@ -47,24 +50,25 @@ class TaskData:
     test: DataFrame    # row_id, y, features (includes the valid rows, as the original does)
     k: int
     d: int
-    bow: DataFrame     # row_id, word_id, n: the same counts in long form
+    bow: DataFrame | None  # row_id, word_id, n: the same counts in long form
+    d_valuer: int | None = None  # inputs of the valuer, if ``train`` has ``valuer_features`` of their own
+    words: list | None = None    # the vocabulary, in the order of the inputs
 
 
 def lang_features(spark, sf_dir, vocab_size: int = VOCAB_SIZE, noise: float = 0.2,
                   test_includes_valid: bool = True) -> TaskData:
     """Bag-of-words features (the vocab_size most frequent words of all documents)
     for the lang task, with planted noise on the training split."""
-    lt = spread(lang_task(spark, sf_dir), "row_id").withColumn("tokens", T.tokenize_en("text")).drop("text")
-    # feeds the vocabulary pass and the count pass; written once, reread by both
-    lt = cut_lineage(lt)
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.tokenize_en("text").alias("t"))
-    vocab = V.build_vocab(explode_tokens(spread(docs, "doc_id"), "doc_id", "t"), vocab_size)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    # tokenised once: the vocabulary and the counts read the stored tokens
+    docs = stored(docs.select("doc_id", "lang", T.tokenize_en("text").alias("tokens")), "tokens")
+    vocab = V.build_vocab(docs.select(F.explode("tokens").alias("word")), vocab_size)
     words = [r["word"] for r in vocab.orderBy("word_id").select("word").collect()]  # <= vocab_size words
     cvm = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
-    feats = cut_lineage(cvm.transform(lt).select("row_id", "y", "split", "features"))
+    feats = stored(cvm.transform(lang_rows(docs, "tokens")).select("row_id", "y", "split", "features"), "features")
     nz = noisy_train(spark, sf_dir, noise)
     train = nz.join(feats.select("row_id", "features"), "row_id")
-    return _task_data(train, feats, len(words), test_includes_valid)
+    return replace(_task_data(train, feats, len(words), test_includes_valid), words=words)
 
 
 def _task_data(train: DataFrame, feats: DataFrame, d: int, test_includes_valid: bool) -> TaskData:
@@ -153,103 +157,202 @@ def gain(value: float, base: float, perf: str) -> float:
     return base - value if smaller_is_better(perf) else value - base
 
 
-def prediction_diff(scored: DataFrame, k: int) -> F.Column:
-    onehot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("y")).cast("double"))
+def prediction_diff(y: F.Column, k: int) -> F.Column:
+    """Per class |one-hot label - p|."""
+    onehot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == y).cast("double"))
     return F.zip_with(onehot, F.col("p"), lambda a, b: F.abs(a - b))
 
 
+TASK_ROWS = 512      # rows of one task of a training pass
+TASKS = 64           # a batch has no more tasks than this
+WINDOW = 50          # iterations whose batches are drawn in one scan
+SAVE_EVERY = 50
+
+
 class ValuerTrainer:
-    """REINFORCE data valuation with a classifier in the loop.
+    """REINFORCE data valuation with a predictor in the loop.
+
+    One iteration is a handful of small jobs: one pass over the batch values and selects its
+    rows and adds up the valuer's gradients and the predictor's sums; a predictor trained by
+    gradients then takes ``epochs - 1`` more passes, starting every time from its fit to all
+    rows (``naive_bayes`` and ``linear`` are solved from the sums of the first pass); one job
+    over the validation rows gives the reward. Selections are drawn by row-keyed hashes, so a
+    repeated task selects the same rows.
+
+    ``batch_size`` rows in expectation make a batch. While it is below the number of rows,
+    the batches of ``WINDOW`` iterations are drawn in one scan and stored by iteration, so an
+    iteration never reads the whole training table.
 
-    ``predictor='naive_bayes'``: the valuer's own pass also sums the class-term counts of
-    the rows it selects, so a fit costs no further job; any other kind is a Spark ML
-    estimator fitted on the selected rows."""
+    With ``resume`` the valuer's parameters, moments and history are stored below the shared
+    checkpoint folder every ``SAVE_EVERY`` iterations, under a name made from the settings and
+    a digest of both input tables; a later run on the same data goes on from the latest state.
+
+    ``predictor``: ``logistic``, ``mlp`` (``layers``), ``naive_bayes`` or, for regression
+    (``data.k`` is 1), ``linear`` (ridge regression)."""
 
     def __init__(self, data: TaskData, hidden: int = 100, comb: int = 10, batch_size: int = 2000,
-                 lr: float = 0.01, seed: int = SEED, perf: str = "accuracy", predictor_iter: int = 30,
-                 predictor: str | None = None, layers=None, moving_baseline: float | None = None):
-        """``batch_size``: expected labelled rows of an iteration (a hash threshold picks
-        them). ``moving_baseline`` (e.g. 0.9) subtracts an exponential moving average of
-        past rewards (variance reduction); None keeps the fixed baseline metric."""
-        smaller_is_better(perf)  # an unknown metric ends here
+                 lr: float = 0.01, seed: int = SEED, perf: str | None = None, predictor_iter: int = 30,
+                 predictor: str | None = None, layers=None, moving_baseline: float | None = None,
+                 epochs: int = 5, inner_lr: float = 0.1, resume: bool = False):
+        """``predictor_iter``: passes of the fit to all rows. ``moving_baseline`` (e.g. 0.9)
+        subtracts an exponential moving average of past rewards (variance reduction); None
+        keeps the fixed baseline metric."""
+        regression = data.k == 1
+        perf = perf or ("rmspe" if regression else "accuracy")
+        if perf not in (REGRESSION_METRICS if regression else CLASS_METRICS):
+            raise ValueError(f"unknown metric {perf}")
         self.data, self.seed, self.perf, self.predictor_iter, self.layers = data, seed, perf, predictor_iter, layers
-        self.predictor, self.moving_baseline, self._avg_reward = predictor or PREDICTOR, moving_baseline, None
-        self.params = VL.init_params(data.d, data.k, hidden, comb, seed)
+        self.kind = predictor or ("linear" if regression else PREDICTOR)
+        if (self.kind == "linear") != regression:
+            raise ValueError(f"{self.kind} does not fit the task")
+        self.predictor, self.moving_baseline, self._avg_reward = self.kind, moving_baseline, None
+        self.net = in_loop(self.kind, data.k, data.d, layers, seed, inner_lr, epochs)
+        self.params = VL.init_params(data.d_valuer or data.d, data.k, hidden, comb, seed)
         self.theta = VL.flatten(self.params)
         self.adam = VL.Adam(lr)
         self.batch_size = batch_size
         self.history = []
-        self._prepared = False
-
-    def _fit(self, df: DataFrame):
-        return fit(df, max_iter=self.predictor_iter, kind=self.predictor, layers=self.layers)
+        self.resume = resume
+        self._settings = (hidden, comb, batch_size, lr, seed, perf, predictor_iter, self.kind, layers, moving_baseline, epochs, inner_lr, data.k, data.d, data.d_valuer)
+        self._prepared, self._window, self._folder = False, None, None
+
+    # -- inputs ---------------------------------------------------------------
+    def _columns(self, df: DataFrame, *names) -> DataFrame:
+        """``names`` with the predictor's inputs (j, n) and, where there is an ``x``, the
+        valuer's (i, v)."""
+        j, n = sparse_parts()
+        out = [*names, j.alias("j"), n.alias("n")]
+        if "x" in df.columns:
+            i, v = sparse_parts("x")
+            out += [i.alias("i"), v.alias("v")]
+        return df.select(*out)
 
     def prepare(self):
         d = self.data
-        self.valid = cut_lineage(d.valid.filter(F.col("y").isNotNull()))
-        self.base_model, self.valid_model = self._fit(d.train), self._fit(self.valid)
-        self.base_metric = metric(predict(self.base_model, self.valid), self.perf, d.k)
-        scored = predict(self.valid_model, d.train.filter(F.col("y").isNotNull()))
-        x = Normalizer(p=1.0, inputCol="features", outputCol="x").transform(scored)  # rows sum to 1 (counts) in absolute terms
-        # reused by every iteration: one reliable materialisation; vectors stay sparse and
-        # are made dense a batch at a time inside the pass
-        self.train_in = cut_lineage(x.select("row_id", "y", "features", "x", prediction_diff(scored, d.k).alias("diff")))
+        source = "valuer_features" if d.d_valuer else "features"
+        unit = Normalizer(p=1.0, inputCol=source, outputCol="x")  # rows sum to 1 (counts) in absolute terms
+        train, valid = (x.filter(F.col("y").isNotNull()) for x in (d.train, d.valid))
+        self.scale = 1.0
+        if d.k == 1:  # targets around one, as the network's inputs are
+            self.scale = float(train.agg(F.avg(F.abs("y")).alias("m")).first()["m"] or 1.0) or 1.0
+            train, valid = (x.withColumn("y", F.col("y") / self.scale) for x in (train, valid))
+        self.valid = stored(valid.select("row_id", "y", "features"), "valuer-valid")
+        if d.k == 1:
+            got = self.net.fit(self._sum(self._columns(self.valid, "row_id", "y"), None, None, False))
+            scored = train.withColumn("diff", F.array(F.coalesce(relative_diff(F.col("y"), linear_score(got)), F.lit(1.0))))
+        else:
+            self.reference = self._fit(self.valid)
+            scored = predict(self.reference, train).withColumn("diff", prediction_diff(F.col("y"), d.k))
+        # reused by every iteration: one materialisation; vectors stay sparse and are made dense
+        # a batch at a time inside the pass
+        self.train_in = stored(unit.transform(scored).select("row_id", "y", "features", "x", "diff"), "valuer-train")
         self.n = self.train_in.count()
+        self._rows = self._columns(self.train_in, "row_id", "y", "diff")
+        if self.batch_size >= self.n:
+            self._rows = stored(self._rows.repartition(max(1, min(TASKS, -(-self.n // TASK_ROWS))), "row_id"), "valuer-batch")
+        self._valid = self._columns(self.valid, "row_id", "y")
+        n_valid = self.valid.count()
+        if n_valid <= TASKS * TASK_ROWS:
+            self._valid = stored(self._valid.repartition(max(1, -(-n_valid // TASK_ROWS)), "row_id"), "valuer-valid-rows")
+        self.base = self._fit_all()
+        self.base_metric = self._metric(self.base)
         self._prepared = True
 
+    def _fit(self, df: DataFrame):
+        return fit(df, max_iter=self.predictor_iter, kind=self.kind, layers=self.layers)
+
+    def _fit_all(self) -> np.ndarray:
+        """The predictor fitted on all rows, from its initial parameters."""
+        if self.net.closed:
+            return self.net.fit(self._sum(self._rows, None, None, False))
+        theta, adam = self.net.initial(), VL.Adam(self.net.rate)
+        for _ in range(self.predictor_iter):
+            theta = self.net.step(theta, self._sum(self._rows, None, theta, False), adam)
+        return theta
+
+    def _sum(self, df: DataFrame, it: int | None, theta, with_grad: bool, half: bool = False, head: bool = False):
+        """The task sums of one pass over ``df``; without ``head`` only the predictor's."""
+        fn = VL.selection_function(None if it is None else self.theta, self.params, self.data.k, self.data.d, it or 0, self.seed, self.net, theta, with_grad, half)
+        total = add_up(df, fn, many=it is None)
+        if total is None:
+            total = np.zeros(3 + (2 * len(self.theta) if with_grad else 0) + self.net.size())
+        return total if head else total[-self.net.size():]
+
+    def _metric(self, theta) -> float:
+        if self.perf not in NW.ADDITIVE:
+            scored = self._valid.mapInArrow(VL.score_function(self.net, theta, self.data.d), "row_id long, y int, p array<double>")
+            return metric(scored, self.perf, self.data.k)
+        total = add_up(self._valid, VL.metric_function(self.net, theta, self.data.k, self.data.d, self.perf))  # two numbers a task
+        value = NW.metric_of(self.perf, float(total[1]), float(total[0])) if total is not None else float("nan")
+        return value * self.scale ** {"mae": 1, "mse": 2}.get(self.perf, 0)
+
     def _pass(self, df: DataFrame, it: int, with_grad: bool = True) -> DataFrame:
         """The valuer over ``df``: values and selections per row, sums per task."""
         fn = VL.pass_function(self.theta, self.params, self.data.k, self.data.d, it, self.seed, with_grad)
-        i, v = sparse_parts("x")
-        counts = F.unwrap_udt("features")["values"]
-        return df.select("row_id", "y", "diff", i.alias("i"), v.alias("v"), counts.alias("n")).mapInPandas(fn, VL.PASS_SCHEMA)
-
+        return self._columns(df, "row_id", "y", "diff").mapInPandas(fn, VL.PASS_SCHEMA)
+
+    def _batch(self, it: int) -> DataFrame:
+        """The rows of iteration ``it``: all, or about ``batch_size`` by hash."""
+        if self.batch_size >= self.n:
+            return self._rows
+        first = it - it % WINDOW
+        if self._window is None or self._window[0] != first:
+            share = F.lit(self.batch_size / self.n)
+            drawn = F.array_compact(F.array(*[F.when(uniform(self.seed + t, "row_id") < share, F.lit(t)) for t in range(first, first + WINDOW)]))
+            pieces = max(1, min(TASKS, -(-self.batch_size // TASK_ROWS)))
+            rows = self._rows.withColumn("it", F.explode(drawn)).withColumn("piece", F.pmod(F.xxhash64("row_id"), F.lit(pieces)))
+            folder = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/valuer-batches-{uuid.uuid4().hex}"
+            rows.repartition(WINDOW * pieces, "it", "piece").drop("piece").write.partitionBy("it").parquet(folder)
+            self._window = first, folder, self._rows.schema
+        _, folder, schema = self._window
+        spark = self._rows.sparkSession
+        try:
+            return spark.read.schema(schema).parquet(f"{folder}/it={it}")
+        except AnalysisException:  # no row was drawn
+            return spark.createDataFrame([], schema)
+
+    # -- the loop ---------------------------------------------------------------
     def step(self, it: int):
         if not self._prepared:
             self.prepare()
-        src = self.train_in
-        if self.batch_size < self.n:  # batch_size rows in expectation, wherever they lie
-            src = src.filter(uniform(self.seed + it, "row_id") < F.lit(self.batch_size / self.n))
-        out = self._pass(src, it).persist(StorageLevel.MEMORY_AND_DISK)
-        st = out.filter(F.col("row_id") >= 0).agg(F.avg("v").alias("mv"), F.sum("s").alias("ns"),
-                                                  F.count(F.lit(1)).alias("n")).first()
-        g = out.filter(F.col("row_id") < 0).agg(*[Summarizer.sum(array_to_vector(c)).alias(c) for c in ("g_ll", "g_v", "stats")]).first()
-        reward = self._reward(src, out, it, st["ns"], g["stats"].toArray())
+        src, g = self._batch(it), len(self.theta)
+        theta, adam = (None, None) if self.net.closed else (self.base, VL.Adam(self.net.rate))
+        got, half = self._sum(src, it, theta, True, head=True), False
+        if not got[0]:  # an empty batch teaches nothing
+            self.history.append((it, 0.0, float("nan")))
+            return 0.0
+        if not got[2]:  # nothing selected: redraw every row with probability one half
+            half, mean_v = True, got[1] / got[0]
+            got = self._sum(src, it + 10_000, theta, True, half, head=True)
+        n, mean_v = got[0], got[1] / got[0]
+        if got[2]:
+            if self.net.closed:
+                theta = self.net.fit(got[-self.net.size():])
+            else:
+                theta = self.net.step(theta, got[-self.net.size():], adam)
+                for _ in range(self.net.epochs - 1):
+                    theta = self.net.step(theta, self._sum(src, it + 10_000 * half, theta, False, half), adam)
+            reward = gain(self._metric(theta), self.base_metric, self.perf)
+            reward = reward if np.isfinite(reward) else 0.0
+        else:
+            reward = 0.0
         signal = reward
         if self.moving_baseline is not None:
             if self._avg_reward is None:
                 self._avg_reward = reward
             signal = reward - self._avg_reward
             self._avg_reward = self.moving_baseline * self._avg_reward + (1 - self.moving_baseline) * reward
-        grad = VL.loss_gradient(g["g_ll"].toArray(), g["g_v"].toArray(), signal, st["mv"], st["n"])
+        grad = VL.loss_gradient(got[3:3 + g], got[3 + g:3 + 2 * g], signal, mean_v, n)
         self.theta = self.adam.step(self.theta, grad)
-        out.unpersist()
-        self.history.append((it, reward, st["mv"]))
+        self.history.append((it, reward, mean_v))
         return reward
 
-    def _reward(self, src: DataFrame, out: DataFrame, it: int, selected: float, stats: np.ndarray) -> float:
-        k, d = self.data.k, self.data.d
-        if selected and self.predictor == "naive_bayes":
-            n, c = stats[:k], stats[k:].reshape(k, d)
-            models = AD.NaiveBayes.of(n[None], c[None])
-            scored = self._nb_scored(models)
-            return gain(metric(scored, self.perf, k), self.base_metric, self.perf)
-        if selected:
-            chosen = out.filter(F.col("s") > 0).select("row_id")
-            sel = src.join(chosen, "row_id", "left_semi").select("features", "y")
-        else:  # nothing selected: redraw every row with probability one half
-            sel = src.filter(uniform(self.seed + 10_000 + it, "row_id") < 0.5).select("features", "y")
-        return gain(metric(predict(self._fit(sel), self.valid), self.perf, k), self.base_metric, self.perf)
-
-    def _nb_scored(self, models) -> DataFrame:
-        """Validation rows scored by a counted model (parameters travel in the closure)."""
-        fn = VL.nb_function(models.prior[0], models.term[0])
-        i, v = sparse_parts()
-        return self.valid.select("row_id", "y", i.alias("i"), v.alias("v")).mapInPandas(fn, "row_id long, y int, p array<double>")
-
     def train(self, iterations: int):
-        for it in range(iterations):
+        at = self._take_up(iterations) if self.resume else 0
+        for it in range(at, iterations):
             self.step(it)
+            if self.resume and ((it + 1) % SAVE_EVERY == 0 or it + 1 == iterations):
+                self._save(it + 1)
         return self
 
     def values(self) -> DataFrame:
@@ -259,6 +362,78 @@ class ValuerTrainer:
         out = self._pass(self.train_in, -1, with_grad=False)
         return out.filter(F.col("row_id") >= 0).select("row_id", F.col("v").alias("data_value"))
 
+    # -- stored state -------------------------------------------------------------
+    def _state_folder(self) -> str:
+        """A name that changes with the settings and with any row of the inputs."""
+        if self._folder is None:
+            digest = [repr(self._settings)]
+            rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))  # noqa: E731  sums of floats may differ in their last digits
+            for df in (self._columns(self.train_in, "row_id", "y", "diff"), self._columns(self.valid, "row_id", "y")):
+                parts = ["row_id", F.round("y", 6), "j", rounded("n"), *([rounded("diff"), "i", rounded("v")] if "diff" in df.columns else [])]
+                digest.append(repr(tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))).first())))
+            base = ensure_checkpoint_dir(self.train_in.sparkSession).rstrip("/")
+            self._folder = f"{base}/valuer-state/{hashlib.md5(repr(digest).encode()).hexdigest()}"
+        return self._folder
+
+    def _save(self, iterations: int) -> None:
+        spark = self.train_in.sparkSession
+        row = (iterations, self.theta.tolist(), self.adam.m.tolist(), self.adam.v.tolist(), self.adam.t, self._avg_reward,
+               [(int(i), float(r), float(m)) for i, r, m in self.history])
+        spark.createDataFrame([row], STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self._state_folder()}/{iterations:08d}")
+
+    def _take_up(self, iterations: int) -> int:
+        """Take up the latest stored state that is not past ``iterations``."""
+        if not self._prepared:
+            self.prepare()
+        spark = self.train_in.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._state_folder()}/*/_SUCCESS")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        done = [k for k in (int(f.getPath().getParent().getName()) for f in found) if k <= iterations]
+        if not done:
+            return 0
+        r = spark.read.schema(STATE_SCHEMA).parquet(f"{self._state_folder()}/{max(done):08d}").first()
+        self.theta, self.adam.m, self.adam.v, self.adam.t = np.array(r.theta), np.array(r.m), np.array(r.v), r.t
+        self._avg_reward, self.history = r.avg_reward, [tuple(x) for x in r.history]
+        return r.iterations
+
+
+STATE_SCHEMA = ("iterations long, theta array<double>, m array<double>, v array<double>, t long, avg_reward double, "
+                "history array<struct<iteration: long, reward: double, mean_value: double>>")
+
+
+def in_loop(kind: str, k: int, d: int, layers, seed: int, rate: float, epochs: int):
+    """The predictor inside the loop, see :mod:`tessera.operators.network`."""
+    if kind == "naive_bayes":
+        return NW.CountedBayes(k, d)
+    if kind == "linear":
+        return NW.Ridge(d)
+    if kind == "mlp" and not layers:
+        raise ValueError("mlp needs its layer sizes")
+    if kind not in ("logistic", "mlp"):
+        raise ValueError(kind)
+    return NW.Network([d, k] if kind == "logistic" else list(layers), seed, rate, epochs)
+
+
+def add_up(df: DataFrame, fn, many: bool = False) -> np.ndarray | None:
+    """The sum of the one row that each task returns. A batch has ``TASKS`` tasks at most, and
+    the driver adds up their rows; sums of ``many`` tasks are cut into blocks that Spark adds."""
+    if many:
+        got = (df.mapInArrow(VL.in_blocks(fn), "block int, part array<double>").groupBy("block")
+               .agg(Summarizer.sum(array_to_vector("part")).alias("s")).orderBy("block").collect())  # one total
+        return np.concatenate([r["s"].toArray() for r in got]) if got else None
+    total = None
+    for r in df.mapInArrow(fn, VL.SUMS).collect():
+        part = np.frombuffer(r[0], np.float64)
+        total = part.copy() if total is None else total + part
+    return total
+
+
+def linear_score(theta: np.ndarray) -> F.Column:
+    """A linear model's prediction from a vector column ``features``."""
+    weights = F.array(*[F.lit(float(x)) for x in theta[:-1]])
+    x = vector_to_array("features")
+    return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(theta[-1])), lambda a, b: a + b)
+
 
 def nb_fit(rows: DataFrame, data: TaskData) -> AD.NaiveBayes:
     return AD.NaiveBayes.of(*AD.nb_statistics(rows, data.bow, data.k, data.d))
@@ -353,6 +528,23 @@ def regression_curve(train: DataFrame, evals: DataFrame, values: DataFrame, colu
     return _curve(train.sparkSession, per_mode, perf, bins)
 
 
+def linear_curve(train: DataFrame, evals: DataFrame, values: DataFrame, d: int, perf: str = "rmspe", penalty: float = 1.0,
+                 bins: int = R.NUM_BINS) -> DataFrame:
+    """The removal curve of ridge regression on ``x``: Gram matrices are added up once per bin,
+    and their suffix sums give the models of all subsets. ``evals``: (row_id, y, x, part)."""
+    if perf not in REGRESSION_METRICS:
+        raise ValueError(f"unknown metric {perf}")
+    ranked = ranked_values(train.select("row_id", "y"), values).select("row_id", "rank_asc", "rank_desc")
+    ranked = stored(ranked.join(train, "row_id"), "ranked-rows")
+    n, per_mode = ranked.count(), []
+    for mode, rank in MODES:
+        rows = ranked.select("x", "y", bin_of_rank(F.col(rank), n, bins).alias("b"))
+        models = LS.LinearModels.nested(LS.gram_statistics(rows, d, bins, "b"), penalty)
+        scored = LS.linear_predict(evals, models)
+        per_mode.append((mode, models.rows, models.rows > 0, metric_table(scored, perf, by=["model", "part"])))
+    return _curve(train.sparkSession, per_mode, perf, bins)
+
+
 def regression_values(train: DataFrame, valid: DataFrame, column: str, groups: list) -> DataFrame:
     """``1 / (1 + |y - p| / |y|)`` with p the validation rows' group mean, to nine digits;
     a row with y = 0 has the value 0."""
@@ -415,13 +607,21 @@ def graph_features(spark, sf_dir) -> DataFrame:
     return lang_task(spark, sf_dir).select("row_id", "y", "split").join(v, "row_id")
 
 
-def graph_task(spark, sf_dir, noise: float = 0.2, test_includes_valid: bool = True) -> TaskData:
-    """The lang task with planted noise and graph vectors as the inputs of predictor and
-    valuer (dense vectors; there are no counts)."""
-    feats = graph_features(spark, sf_dir)
-    train = noisy_train(spark, sf_dir, noise).join(feats.select("row_id", "features"), "row_id")
+def graph_task(spark, sf_dir, noise: float = 0.2, test_includes_valid: bool = True, epochs: int = 30) -> TaskData:
+    """The lang task with planted noise on document-graph vectors (dense; there are no counts):
+    the predictor's inputs are one-hop states pooled by weights fitted to the noisy training
+    rows, the valuer's are five-hop states."""
+    from . import cat_graph as CG
+    inputs = CG.graph_inputs(spark, sf_dir)
+    noisy = noisy_train(spark, sf_dir, noise)
+    labels = noisy.filter(F.col("y").isNotNull()).select(F.col("row_id").alias("doc_id"), "y")
+    net, theta, _, states = CG.fitted_pooling(spark, sf_dir, labels, K_LANG, epochs, inputs=inputs)
+    near = PL.vectors(states, net, theta).select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("features"))
+    far = CG.depth_vectors(spark, sf_dir, [CG.VALUER_HOPS], inputs=inputs).select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("valuer_features"))
+    feats = lang_task(spark, sf_dir).select("row_id", "y", "split").join(stored(near.join(far, "row_id"), "graph-vectors"), "row_id")
+    train = noisy.join(feats.select("row_id", "features", "valuer_features"), "row_id")
     data = _task_data(train, feats, GRAPH_DIM, test_includes_valid)
-    return data
+    return replace(data, bow=None, d_valuer=GRAPH_DIM)
 
 
 def _spark_sql_rules(expr: str, rules) -> str:

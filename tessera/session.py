@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +38,8 @@ _CHECKPOINTED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (once per application):
-    the package is zipped next to its source and registered with ``addPyFile``, which
-    is how Spark distributes Python code to executors."""
+    the package is zipped in the driver's scratch folder and registered with ``addPyFile``,
+    which is how Spark distributes Python code to executors."""
     import zipfile
     from pathlib import Path
     sc = spark.sparkContext
@@ -79,6 +80,14 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as a table into the shared folder and read back: nothing upstream is
+    computed again, also after a lost executor, and later reads keep column pruning."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

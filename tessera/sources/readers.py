@@ -2,17 +2,18 @@
 as a column, TAB and multi-character separators, vocabularies and word vectors
 (line number = id), line-aligned files, matrices and stored split tables.
 
-Line numbers are computed on the JVM: rows get ``monotonically_increasing_id``
-(increasing in file order, one range per file split) and the distributed rank
-turns that into consecutive numbers, so no file is pulled through one task.
+Line numbers come from line counts per file split and places inside a split, so no file is
+pulled through one task and no line is sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..operators.ranking import global_rank
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def read_tabular(spark: SparkSession, path: str, schema: str, skip_first_line: bool = False) -> DataFrame:
@@ -42,13 +43,30 @@ def read_multisep(spark: SparkSession, path: str, schema: str, sep: str = '","')
 
 
 def numbered_lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
-    """``(line, value)``: every line of a text file or folder with its number."""
-    raw = spark.read.text(path).withColumn("_mid", F.monotonically_increasing_id())
-    # order of part files is their name order, as written by Spark
-    raw = raw.withColumn("_file", F.col("_metadata.file_path")) \
-             .withColumn("_start", F.col("_metadata.file_block_start"))
-    r = global_rank(raw, [F.col("_file"), F.col("_start"), F.col("_mid")], out="line")
-    return r.select((F.col("line") + first).alias("line"), "value")
+    """``(line, value)``: every line of a text file or folder with its number, in the order of the
+    part files' names. Lines are counted per file split; a line's number is the lines of all
+    splits before plus its place inside its own, which the task counts as it reads. Lines are
+    neither sorted nor shuffled."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    sizes = raw.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", "_start", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per file split
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at = None, 0  # the open split and its lines so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file, start = b.column(1).dictionary_encode(), b.column(2).to_numpy()
+            same = (file.indices.to_numpy()[1:] == file.indices.to_numpy()[:-1]) & (start[1:] == start[:-1])
+            begins = np.concatenate(([0], np.flatnonzero(~same) + 1))
+            n = np.arange(b.num_rows) - np.repeat(begins, np.diff(np.append(begins, b.num_rows)))
+            if (b.column(1)[0].as_py(), start[0]) == split:
+                n[:begins[1] if len(begins) > 1 else None] += at
+            split, at = (b.column(1)[-1].as_py(), start[-1]), int(n[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=["value", "_file", "_start", "_at"])
+    numbered = raw.mapInArrow(place, "value string, _file string, _start long, _at long").join(F.broadcast(offsets), ["_file", "_start"])
+    return numbered.select((F.col("_before") + F.col("_at") + first).cast("bigint").alias("line"), "value")
 
 
 def read_vocab(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

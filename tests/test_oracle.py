@@ -14,7 +14,7 @@ def _keys():
 
 
 #: Tasks whose fixed split sizes leave no validation rows in the smallest tables.
-LARGER = ("regression_",)
+LARGER = ("regression_", "linear_")
 
 
 @pytest.fixture(scope="module")

@@ -67,7 +67,7 @@ def test_discovery_monotone_and_complete(spark, queries):
 
 def test_values_in_open_interval(spark, queries):
     q, _ = queries
-    v = q["value_rows"](spark, SMALL)
+    v = q["value_rows"](spark, SMALL, iterations=3)
     r = v.agg(F.min("data_value").alias("lo"), F.max("data_value").alias("hi"), F.count("*").alias("n")).first()
     assert r["n"] > 0 and 0.0 < r["lo"] and r["hi"] < 1.0
 
