@@ -16,11 +16,12 @@ Plane p holds bit (top - p) of every id after the stable partition by the planes
 above. :class:`WaveletMatrix` gives access, rank, select and count on these columns, and
 :func:`count_token` and :func:`find_token` run them over all shards.
 
-The encoder cuts a text at the borders of the tokenizer's own pre-tokens and encodes each
-distinct one once with the library, as long as all characters belong to a fixed set
-(``_SAFE``) whose classes are written out below; any other text, any text with the string
-of an added token, and any tokenizer that is not byte-level goes to the library whole. The
-ids are the same either way.
+The encoder cuts texts at the borders of the tokenizer's own pre-tokens and encodes each
+distinct one once with the library, as long as all characters belong to a fixed set whose
+classes are written out below; any other text, any text with the string of an added token,
+and any tokenizer that is not byte-level goes to the library whole. The ids are the same
+either way. Borders are found in numpy over the characters of a whole batch; pre-tokens are
+known by 128 bits of two polynomial hashes, and only those not met before become strings.
 
 Defined cases: null text is empty (its document is the end id alone); rows that repeat
 an id stay apart, in the order of their texts' hashes; null ids come first; an empty
@@ -47,38 +48,109 @@ SHARD_TOKENS = 1 << 19
 BLOCK = 512
 END_ID = 2
 MEMO = 1_500_000  # pre-tokens an encoder keeps before it starts anew
+CHUNK = 1 << 20  # characters cut at once
+
+# Classes of characters in the pre-token pattern of byte-level BPE tokenizers
+#   's|'t|'re|'ve|'m|'ll|'d| ?letters| ?digits| ?others|spaces not before a word|spaces
+_LETTERS, _DIGITS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", "\x21-\x7e¡«»¿–—‘-”…€"
+BAD, LETTER, DIGIT, OTHER, BLANK, LINE, STOP = range(7)  # unknown, ..., a blank, other white space, end of text
+_ONE, _TWO = "stmd", ("re", "ve", "ll")
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(0x2100, np.uint8)
+    for kind, some in ((OTHER, _OTHERS), (DIGIT, _DIGITS), (LETTER, _LETTERS)):
+        match = re.compile(f"[{some}]").match
+        out[[c for c in range(len(out)) if match(chr(c))]] = kind
+    out[ord(" ")], out[0] = BLANK, STOP
+    out[[ord(c) for c in "\t\n\r"]] = LINE
+    return out
+
+
+_CLASS = _classes()
+
+
+def borders(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places where pre-tokens begin, ends of texts (STOP) counting as pre-tokens."""
+    group = np.where(kind == LINE, np.uint8(BLANK), kind)
+    first = np.ones(len(kind), bool)
+    first[1:] = (group[1:] != group[:-1]) | (group[1:] == STOP)
+    # white space before a word: its last character stands alone, a blank goes with the word
+    last = np.flatnonzero((group[:-1] == BLANK) & (group[1:] != BLANK) & (group[1:] != STOP))
+    first[last] = True
+    first[last[kind[last] == BLANK] + 1] = False
+    at = np.flatnonzero(codes == ord("'"))
+    at = at[first[at]]
+    if len(at):
+        one, two = codes[at + 1], codes[np.minimum(at + 2, len(codes) - 1)]
+        short = np.isin(one, [ord(c) for c in _ONE])
+        long = np.zeros(len(at), bool)
+        for a, b in _TWO:
+            long |= (one == ord(a)) & (two == ord(b))
+        first[at[short | long] + 1] = False
+        first[at[short] + 2] = True
+        first[at[long] + 3] = True
+    return np.flatnonzero(first)
+
+
+class _Powers:
+    """Powers of two odd numbers and of their inverses, modulo 2 ** 64."""
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-# The pre-token pattern of byte-level BPE tokenizers, with its letter,
-# number and space classes written out for the characters of _SAFE.
-_L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_S = " \t\n\r"
-_SAFE = re.compile(f"[{_S}\x21-\x7e{_L}¡«»¿–—‘-”…€]*")
-_PRETOKEN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+    def __init__(self):
+        self.n, self.up, self.down = 0, [], []
+
+    def upto(self, n: int) -> _Powers:
+        if n > self.n:
+            self.n = n + n // 4
+            table = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.n, b, np.uint64)]), dtype=np.uint64)
+            self.up = [table(b) for b in self.BASES]
+            self.down = [table(pow(b, -1, 1 << 64)) for b in self.BASES]
+        return self
+
+
+_POWERS = _Powers()
 
 
-class _Places(dict):
-    def __missing__(self, key):
-        return -1
+def piece_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the characters in each [start, end)."""
+    p, c, out = _POWERS.upto(len(codes)), codes.astype(np.uint64) + np.uint64(1), []
+    for up, down in zip(p.up, p.down, strict=True):
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(c * up[:len(codes)], out=total[1:])
+        out.append((total[end] - total[start]) * down[start])
+    return out
 
 
 class _Memo:
-    """Ids of pre-tokens, in one growing array; ``place`` indexes it by pre-token."""
+    """Ids of pre-tokens in one growing array. ``key`` holds their first hashes in order, with
+    the second hash and the place of each."""
 
     def __init__(self):
-        self.place = _Places()  # -1: not known yet
+        self.key, self.check, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends, self.n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0
 
-    def add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        """New pre-tokens with their ids end to end."""
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Places of pre-tokens, -1 for those not known."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), self.place[at], -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """New pre-tokens, with their ids end to end."""
         had, used = self.n, int(self.ends[self.n])
-        for name, need in (("ids", used + len(ids)), ("ends", had + len(keys) + 1)):
+        for name, need in (("ids", used + len(ids)), ("ends", had + len(key) + 1)):
             x = getattr(self, name)
             if need > len(x):
                 setattr(self, name, np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)]))
         self.ids[used:used + len(ids)] = ids
-        self.n = had + len(keys)
+        self.n = had + len(key)
         self.ends[had + 1:self.n + 1] = used + np.cumsum(lens)
-        self.place.update(zip(keys, range(had, self.n), strict=True))
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
+        self.key, self.check = np.insert(self.key, at, key[order]), np.insert(self.check, at, check[order])
+        self.place = np.insert(self.place, at, had + order)
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pre-tokens end to end, and the number of ids of each."""
@@ -111,50 +183,102 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode distinct pre-tokens. Those of a space and a word are encoded as one text:
-        its pre-tokens are these very parts, and the byte lengths of the ids tell them
-        apart. The rest go to the library one by one."""
-        words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
-        other = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens, end to end: (order of the parts, ids, ids of each). Those of
+        a blank and a word are encoded some hundred at a time as one text: its pre-tokens are
+        these very parts, and the byte lengths of the ids tell them apart."""
+        words = [k for k, p in enumerate(parts) if p[0] == " " and p[1:].isalpha()]
+        other = sorted(set(range(len(parts))).difference(words))
+        ids, lens = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         if words:
-            ids = self._whole(["".join(words)])[0]
-            ends = np.cumsum([len(w.encode()) for w in words])
-            last = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
-            self.memo.add(words, ids, np.diff(last, prepend=0))
+            got = np.concatenate(self._whole(["".join([parts[k] for k in words[i:i + 256]]) for i in range(0, len(words), 256)]))
+            ends = np.cumsum([len(parts[k].encode()) for k in words])
+            ids.append(got)
+            lens.append(np.diff(np.searchsorted(np.cumsum(self.id_bytes[got]), ends) + 1, prepend=0))
         if other:
-            got = self._whole(other)
-            self.memo.add(other, np.concatenate(got), np.array([len(x) for x in got]))
+            got = self._whole([parts[k] for k in other])
+            ids.append(np.concatenate(got))
+            lens.append(np.array([len(x) for x in got]))
+        return np.array(words + other), np.concatenate(ids), np.concatenate(lens)
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray] | None:
+        """Ids of texts without characters of class BAD or STOP; None if two pre-tokens share
+        a hash."""
+        joined = "\0".join(texts) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = _CLASS[codes]
+        start = borders(codes, kind)
+        stop = kind[start] == STOP
+        end = np.append(start[1:], len(codes))
+        key, check = piece_hashes(codes, start[~stop], end[~stop])
+        each, first, at = np.unique(key, return_index=True, return_inverse=True)
+        if (check[first][at] != check).any():
+            return None
+        if self.memo.n > MEMO:
+            self.memo = _Memo()
+        place = self.memo.find(each, check[first])
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            a, b = start[~stop][first[new]], end[~stop][first[new]]
+            order, ids, lens = self._learn([joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+            self.memo.add(each[new][order], check[first][new][order], ids, lens)
+            place = self.memo.find(each, check[first])
+            if (place < 0).any():
+                return None
+        ids, lens = self.memo.gather(place[at])
+        upto = np.concatenate(([0], np.cumsum(lens)))[np.cumsum(~stop)[stop]]
+        return np.split(ids, upto[:-1])
+
+    def _known(self, texts: list[str]) -> list[bool]:
+        """Which texts can be cut: all characters are known and none is an added token's string."""
+        out = [self.split and "\0" not in t and not any(a in t for a in self.added) for t in texts]
+        codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), "<u4")
+        bad = np.flatnonzero(_CLASS[np.minimum(codes, len(_CLASS) - 1)] == BAD)
+        if len(bad):
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            for i in np.unique(np.searchsorted(ends, bad, "right")).tolist():
+                out[i] = False
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        if self.memo.n > MEMO:
-            self.memo = _Memo()
-        get = self.memo.place.__getitem__
-        cut, whole, missing = [], [], set()
-        for i, t in enumerate(texts):
-            if self.split and _SAFE.fullmatch(t) and not any(a in t for a in self.added):
-                parts = _PRETOKEN.findall(t)
-                at = np.fromiter(map(get, parts), np.int64, len(parts))
-                holes = np.flatnonzero(at < 0)
-                new = [parts[j] for j in holes.tolist()]
-                missing.update(new)
-                cut.append((i, at, holes, new))
-            else:
+        cut, size = [], 0
+
+        def flush():
+            nonlocal cut, size
+            got = self._cut([x for _, x in cut]) if cut else []
+            if got is None:
+                got = self._whole([x for _, x in cut])
+            for (i, _), x in zip(cut, got, strict=True):
+                out[i] = x if out[i] is None else np.concatenate([out[i], x])
+            cut, size = [], 0
+        whole = []
+        for i, (t, known) in enumerate(zip(texts, self._known(texts), strict=True)):
+            if not known:
                 whole.append(i)
-        self._learn(list(missing))
-        for _, at, holes, new in cut:
-            at[holes] = [get(p) for p in new]
-        if cut:
-            ids, lens = self.memo.gather(np.concatenate([x[1] for x in cut]))
-            ends = np.concatenate(([0], np.cumsum(lens)))[np.cumsum([len(x[1]) for x in cut])]
-            for (i, *_), got in zip(cut, np.split(ids, ends[:-1]), strict=True):
-                out[i] = got
+                continue
+            for part in _chunks(t):
+                cut.append((i, part))
+                size += len(part)
+                if size >= CHUNK:
+                    flush()
+        flush()
         for i, got in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = got
         return out
 
 
+_BETWEEN = re.compile("(?<=[^ \t\n\r])(?= [^ \t\n\r])")
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """A long text in pieces, cut before blanks between words (always borders)."""
+    while len(text) > 2 * CHUNK and (m := _BETWEEN.search(text, CHUNK)):
+        yield text[:m.start()]
+        text = text[m.start():]
+    yield text
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
