@@ -15,13 +15,16 @@ documents and deleting them again gives the earlier decisions back.
 Applying the state probes the filters first. Every key that passes by accident is
 known, because the reference counts list all keys: probing the keys below the threshold
 gives an exact list of exceptions, and filter minus exceptions is the exact drop set.
-Filters and exceptions are broadcast while they are below ``broadcast_bytes``; beyond
-that, lines are joined with the counts on salted keys.
+While filters and exceptions are below ``broadcast_bytes`` they are broadcast at once. Beyond
+that the digests of the documents' lines are written once, cut by groups of filter shards, and
+each group is probed in a pass of its own with its filters broadcast: filters decide at every
+size, a pass holds ``broadcast_bytes`` of them, and a line that most documents hold is never
+gathered in one task.
 
 Defined cases: null and empty text are one empty line; an empty key is never dropped;
 a document whose lines are all dropped keeps the empty text; every row is a document of
 its own (repeated rows count again); an empty table gives an empty result; columns other
-than the id and the text are not read.
+than the id and the text are not read; a very long text is split into its lines in one task.
 """
 
 from __future__ import annotations
@@ -35,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, texts, written
+from .common import col, join_side, scratch_path, slices, texts, written
 
 BROADCAST_BYTES = 64 << 20
 SHARD_KEYS = 50_000
-SALTS = 32
 SLOTS = 4
 _KICKS = 500
 
@@ -215,25 +217,24 @@ class LineIndex:
         return LineIndex(counts, filters, k, self.n_shards)
 
     def _drop_set(self, bound: int):
-        """(filters by shard, exceptions) as a broadcast, or None if they exceed the bound."""
+        """(filters by shard, exceptions) as broadcasts, or None if they exceed the bound."""
         size = self.filters.agg(F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()[0]
         if size > bound:
             return None
         sc = self.counts.sparkSession.sparkContext
         tables = sc.broadcast({r["shard"]: bytes(r["payload"]) for r in self.filters.collect()})  # <= bound bytes
-        probe, n_shards = _prober(tables, self.n_shards), self.n_shards
-
-        def accidental(batches):
-            for b in batches:
-                hi, lo = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-                yield b.filter(pa.array(probe(hi, lo)))
-
-        wrong = (self.counts.filter(F.col("n") < self.min_docs).select("hi", "lo")
-                 .mapInArrow(accidental, "hi long, lo long").limit(bound // 16 + 1).collect())
+        wrong = self._accidental(tables).limit(bound // 16 + 1).collect()
         if len(wrong) > bound // 16:
             return None
         exceptions = sc.broadcast({(r["hi"] & (2**64 - 1), r["lo"] & (2**64 - 1)) for r in wrong})
-        return tables, exceptions, n_shards
+        return tables, exceptions
+
+    def _accidental(self, tables, group=None) -> DataFrame:
+        """Keys below the threshold that pass the broadcast filters (of one group of shards)."""
+        light = self.counts.filter(F.col("n") < self.min_docs)
+        if group is not None:
+            light = light.filter(group)
+        return light.select("hi", "lo").mapInArrow(_passing(_prober(tables, self.n_shards)), "hi long, lo long")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -242,26 +243,52 @@ class LineIndex:
         rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
         found = self._drop_set(broadcast_bytes)
         if found is not None:
-            tables, exceptions, n_shards = found
-            probe = _prober(tables, n_shards)
+            tables, exceptions = found
+            probe = _prober(tables, self.n_shards)
 
             def run(batches):
                 for b in slices(batches):
                     yield _kept(b, lambda h: probe(h[:, 0], h[:, 1]), exceptions.value)
             return rows.mapInArrow(run, out)
-        # beyond the bound: lines meet the exact counts on salted keys
-        lines = rows.mapInArrow(_digest_batches, f"doc_id {docs.schema[id_col].dataType.simpleString()}, hi long, lo long, salt int")
-        heavy = (self.counts.filter(F.col("n") >= self.min_docs)
-                 .select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-        drops = (lines.join(heavy, ["hi", "lo", "salt"]).groupBy("doc_id")
-                 .agg(F.collect_set(F.struct("hi", "lo")).alias("drops")))
-        both = rows.join(drops.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+        return self._in_passes(rows, broadcast_bytes).mapInArrow(_kept_exactly, out)
+
+    def _in_passes(self, rows: DataFrame, bound: int) -> DataFrame:
+        """``(doc_id, text, drops)``: the keys of each row that its filters keep out, found group
+        of shards by group of shards."""
+        spark = rows.sparkSession
+        rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "line-rows")  # fixes the row numbers
+        sizes = self.filters.agg(F.max(F.length("payload")).alias("most")).first()
+        per_pass = max(1, bound // max(1, sizes["most"] or 1))
+        of = F.floor(F.pmod(F.shiftright("lo", 32), F.lit(self.n_shards)) / per_pass).cast("int")
+        path = scratch_path(spark, "line-digests")
+        (rows.select("rid", "text").mapInArrow(_digest_batches, "rid long, hi long, lo long").withColumn("pass", of)
+         .write.partitionBy("pass").parquet(path))
+        found = None
+        for k in range(-(-self.n_shards // per_pass)):
+            own = self.filters.filter(F.floor(F.col("shard") / per_pass) == k)
+            tables = spark.sparkContext.broadcast({r["shard"]: bytes(r["payload"]) for r in own.collect()})  # <= bound bytes, or one filter
+            lines = spark.read.schema("rid long, hi long, lo long, pass int").parquet(path).filter(F.col("pass") == k).drop("pass")
+            passed = lines.mapInArrow(_passing(_prober(tables, self.n_shards)), "rid long, hi long, lo long")
+            wrong = written(self._accidental(tables, of == k), "line-exceptions")
+            passed = written(passed.join(join_side(wrong, 32), ["hi", "lo"], "left_anti"), "line-drops")
+            found = passed if found is None else found.unionByName(passed)
+        drops = found.groupBy("rid").agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))  # at most the lines of a text
+        return rows.join(drops, "rid", "left").select("doc_id", "text", "drops")
+
+
+def _passing(probe):
+    """Rows whose digest (hi, lo) passes the filters."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(probe(*(b.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("hi", "lo")))))
+    return run
+
 
-        def run_exact(batches):
-            for b in slices(batches):
-                sets = [{(x["hi"] & (2**64 - 1), x["lo"] & (2**64 - 1)) for x in (r or [])} for r in b.column(2).to_pylist()]
-                yield _kept(b, None, None, sets)
-        return both.select("doc_id", "text", "drops").mapInArrow(run_exact, out)
+def _kept_exactly(batches):
+    for b in slices(batches):
+        sets = [{(x["hi"] & (2**64 - 1), x["lo"] & (2**64 - 1)) for x in (r or [])} for r in b.column(2).to_pylist()]
+        yield _kept(b, None, None, sets)
 
 
 def _prober(tables, n_shards: int):
@@ -283,6 +310,7 @@ def _prober(tables, n_shards: int):
 
 
 def _digest_batches(batches):
+    """``(rid, hi, lo)`` of the distinct lines of every text."""
     for b in slices(batches):
         rows, found = [], []
         for i, t in enumerate(texts(b.column(1))):
@@ -291,9 +319,7 @@ def _digest_batches(batches):
             rows += [i] * len(keys)
             found += map(digest, keys)
         h = _halves(found).view(np.int64) if found else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(rows, pa.int64())), pa.array(h[:, 0]), pa.array(h[:, 1]),
-             pa.array(np.asarray(rows, np.int32) % SALTS, pa.int32())], names=["doc_id", "hi", "lo", "salt"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["rid", "hi", "lo"])
 
 
 def _kept(b: pa.RecordBatch, probe, exceptions, sets=None) -> pa.RecordBatch:

@@ -70,3 +70,18 @@ def test_key_is_ascii_only():
     for x in (" \x0bA  ", "É\x1f", "\x85ab\r"):
         assert L.line_key(x.encode()).decode() == key(x)
     assert re.fullmatch(r"[\x20\x09-\x0D]*", "".join(map(chr, [*range(9, 14), 32])))
+
+
+@pytest.mark.parametrize("bound", [0, 40])
+def test_filters_are_probed_in_passes(spark, docs, rows, monkeypatch, bound):
+    """Many small filter shards: beyond the bound each group of shards is probed on its own."""
+    monkeypatch.setattr(L, "SHARD_KEYS", 1)
+    many = [(i, "\n".join(f"common line {j}" for j in range(9)) + f"\nown {i}", *r[2:]) for i, r in enumerate(rows[:30])]
+    both = docs.unionByName(spark.createDataFrame(many, docs.schema))
+    index = L.LineIndex.build(both)
+    assert index.n_shards > 3
+    passes = []
+    probe = L._prober
+    monkeypatch.setattr(L, "_prober", lambda tables, n: (passes.append(len(tables.value)), probe(tables, n))[1])
+    assert result(index.apply(both, broadcast_bytes=bound)) == brute(rows + many)
+    assert len(passes) > 3 and max(passes) < index.n_shards
