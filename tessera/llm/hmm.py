@@ -1,36 +1,40 @@
 """Hidden Markov language model, trained by Baum-Welch counts over all partitions.
 
-Tokens are the words of the text with A-Z lower-cased, then one end. A hidden state emits a
-symbol: each of the ``OWN`` most frequent tokens and every token that occurs ``MIN_COUNT``
-times or more in the training documents is a symbol of its own, so emissions grow with the
-vocabulary. The rare tokens left fall into one of ``BUCKETS`` symbols by their hash, and
-inside a bucket the token is drawn by its exact corpus count c among the bucket's tokens,
-(c + 0.5) / (C + 0.5 (V + 1)), where the half left over is for unseen tokens, and
-
-    log10 p(text) = log10 of the scaled forward recursion over the symbols
-                    + sum of log10 (c + 0.5) / (C + 0.5 (V + 1)) over bucket tokens.
-
-Word counts: a partial count per task, summed by key. Tokens above a count that at most
-``HEAD`` tokens reach are broadcast with their counts and emissions; all others are few
-occurrences each and are joined by key, so no frequent word is ever shuffled and the join
-has no hot key.
-
-Training: every task runs forward and backward over its sequences in lockstep (documents
-cut into segments of ``SEGMENT`` tokens, for training only) and returns one row of expected
-counts per symbol; rows are summed by symbol. Broadcast symbols go through the driver, a
-table of bounded size. The emissions of all other symbols stay a table (wid, s0, s1, ...)
-that every iteration joins to the documents' words and sums anew. Scoring runs the forward
-recursion over whole documents.
+Tokens are the words of the text with A-Z lower-cased, then one end. The most frequent tokens
+(at most ``HEAD``, those that occur ``MIN_COUNT`` times or are among the first ``OWN``) are
+symbols of their own; every other token emits one of ``BUCKETS`` symbols by its hash. Training
+runs over these symbols alone, so its parameters are broadcast and no iteration joins
+anything: every task runs forward and backward over its sequences in lockstep (documents cut
+into segments of ``SEGMENT`` tokens, for training only) and returns one row of expected counts
+per symbol, summed by symbol.
+
+The last iteration also returns, per task, the expected state counts of every token that stands
+behind a bucket symbol; summed by token they are a table that grows with the vocabulary. With
+n(w, s) these counts, c the corpus counts in bucket b, share(w) = (c + 0.5) / (C + 0.5 (V + 1)) and
+the bucket's emission B(b | s), a token w with c >= ``MIN_COUNT`` has an emission of its own,
+
+    B(b | s) * (n(w, s) / n(b, s) + KEEP * share(w)) / (1 + KEEP),
+
+what is left of the bucket belongs to its rare tokens together, and among these a token is drawn
+by its exact corpus count: (c + 0.5) / (C' + 0.5 (V' + 1)) over the rare tokens, where the half left
+over is for unseen tokens. So all tokens of a bucket and one unseen token sum to B(b | s). Scoring
+joins the documents' own tokens to this table once and runs the scaled forward recursion over
+whole documents.
+
+Word counts: a partial count per task, summed by key. No token outside the broadcast ones can
+hold more than one in ``HEAD`` of the training tokens, so the join has no hot key among known
+tokens; a token that only held-out documents have may be split by Spark's skew join. There is
+one path at every size.
 
 Defined cases: null and empty text are the single end token; a null id is a training
 document; rows that repeat count again; with no training document all counts are 0; an
-empty table gives an empty result; columns other than the id and the text are not read.
+empty table gives an empty result; columns other than the id and the text are not read; a very
+long text is one row of a task, with memory in proportion to its tokens times the states.
 """
 
 from __future__ import annotations
 
-import gc
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
@@ -38,22 +42,23 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, release, scratch_paths, slices, texts, written
+from .common import col, slices, texts, written
 
 STATES = 8
 OWN = 8192
 MIN_COUNT = 10
 BUCKETS = 4096
-HEAD = 250_000
+HEAD = 61_440  # with the buckets, symbols fit 16 bits
 ITERATIONS = 4
 SEGMENT = 512
 SEED = 3
 SMOOTH = 0.02
+KEEP = 0.1
+PARTS = 1024
 END = b"\n"  # no word holds white space
 _FLUSH = 200_000
 _LN10 = np.log(10.0)
@@ -90,12 +95,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Frequent tokens with their counts, and the sums of each bucket."""
-    words: list[bytes]        # by (count desc, word)
+    """The broadcast tokens with their counts, and the sums of each bucket."""
+    words: list[bytes]        # symbols of their own, by (count desc, word)
     counts: np.ndarray
-    own: int                  # so many of them are symbols of their own
-    joined: int               # symbols of their own that aren't among ``words``
-    bucket_c: np.ndarray
+    own: int                  # their number
+    tail_c: np.ndarray        # per bucket: tokens of all its words
+    tail_v: np.ndarray        # and its words
+    bucket_c: np.ndarray      # the same of its rare words
     bucket_v: np.ndarray
     total: int                # N
     distinct: int             # V
@@ -105,40 +111,72 @@ class Vocabulary:
 
     @property
     def symbols(self) -> int:
-        """Broadcast symbols; from here on a symbol is the place of the word in the row's ``tail``."""
         return self.own + BUCKETS
 
     @property
     def dtype(self) -> str:
-        return "<u4" if self.joined or self.symbols > 1 << 16 else "<u2"
+        return "<u4" if self.symbols > 1 << 16 else "<u2"
 
     def ready(self) -> Vocabulary:
         if self.index is None:
             self.index = {w: i for i, w in enumerate(self.words)}
-            self.symbol = np.arange(len(self.words), dtype=np.int64)
-            for i in range(self.own, len(self.words)):
-                self.symbol[i] = self.own + bucket(self.words[i])
             self.log_c = np.log10(self.counts + 0.5)
             self.log_z = np.log10(self.bucket_c + 0.5 * (self.bucket_v + 1))
         return self
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("words", "counts", "own", "joined", "bucket_c", "bucket_v", "total", "distinct")}
+        return {k: getattr(self, k) for k in ("words", "counts", "own", "tail_c", "tail_v", "bucket_c", "bucket_v", "total", "distinct")}
 
     def __setstate__(self, s):
         self.__dict__.update(s)
         self.index = None
 
+    def share(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Shares of words with counts ``c`` in their buckets ``b``."""
+        return (c + 0.5) / (self.tail_c[b] + 0.5 * (self.tail_v[b] + 1))
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
+
 
 def bucket(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS  # as pmod(xxhash64(word), BUCKETS)
+    return int(hashes([word])[0] % BUCKETS)  # as pmod(xxhash64(word), BUCKETS)
+
+
+BLOOM_SLOTS = 1 << 19  # of 64 bits: 4 MB at every size of the vocabulary
+
+
+def _slot_and_bits(h):
+    """A word's slot of the Bloom filter and its two bits there, from its hash (numpy or column)."""
+    if isinstance(h, np.ndarray):
+        one = np.int64(1)
+        return h % BLOOM_SLOTS, (one << ((h >> 40) & 63)) | (one << ((h >> 50) & 63))
+    one = F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, F.shiftright(h, k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(h, F.lit(BLOOM_SLOTS)), bit(40).bitwiseOR(bit(50))
+
+
+def bloom(words: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``words (word)``. Its size is fixed; it keeps words from being sent in
+    vain, and a word that passes by accident changes nothing."""
+    slot, bits = _slot_and_bits(F.xxhash64("word"))
+    got = words.select(slot.alias("slot"), bits.alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()  # <= BLOOM_SLOTS rows
+    out = np.zeros(BLOOM_SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def passes(filter_: np.ndarray, words: list[bytes]) -> np.ndarray:
+    slot, bits = _slot_and_bits(hashes(words))
+    return (filter_[slot] & bits) == bits
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The broadcast part of the vocabulary; ``counts`` stays whole for the join."""
+def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, DataFrame]:
+    """The broadcast part of the vocabulary and the counts ``(word, c)`` of all other tokens."""
     steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("s")).agg(  # a few hundred rows
-        F.count(F.lit(1)).alias("v"), F.sum("c").alias("c"), F.count_if(F.col("c") >= MIN_COUNT).alias("n")).orderBy(F.col("s").desc()).collect()
+        F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).orderBy(F.col("s").desc()).collect()
     total, distinct = sum(r["c"] for r in steps), sum(r["v"] for r in steps)
     cut, held = None, 0
     for r in steps:
@@ -148,55 +186,56 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         cut = r["s"]
     top = [] if cut is None else counts.filter(F.floor(F.log2("c") * 8).cast("int") >= cut).toPandas().itertuples(index=False)
     top = sorted(((r.word.encode(), r.c) for r in top), key=lambda x: (-x[1], x[0]))  # at most ``head`` rows
-    often = sum(x >= MIN_COUNT for _, x in top)
-    own = max(often, min(OWN, len(top)))
-    rare = counts.sparkSession.createDataFrame(pd.DataFrame({"word": [w.decode() for w, _ in top[often:own]]}), "word string")
-    rest = counts.filter(F.col("c") < MIN_COUNT).join(F.broadcast(rare), "word", "left_anti")
-    sums = rest.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    c, v = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    own = max(sum(x >= MIN_COUNT for _, x in top), min(OWN, len(top)))
+    names = counts.sparkSession.createDataFrame(pd.DataFrame({"word": [w.decode() for w, _ in top[:own]]}), "word string")
+    rest = counts.join(F.broadcast(names), "word", "left_anti")
+    rare = F.col("c") < MIN_COUNT
+    sums = rest.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).agg(
+        F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum(F.when(rare, F.col("c")).otherwise(0)).alias("rc"), F.count_if(rare).alias("rv")).collect()
+    per = np.zeros((4, BUCKETS))
     for r in sums:
-        c[r["b"]], v[r["b"]] = r["c"], r["v"]
-    return Vocabulary([w for w, _ in top], np.array([x for _, x in top], float), own, sum(r["n"] for r in steps) - often, c, v, total, distinct)
+        per[:, r["b"]] = r["c"], r["v"], r["rc"], r["rv"]
+    return Vocabulary([w for w, _ in top[:own]], np.array([x for _, x in top[:own]], float), own, *per, total, distinct), rest
 
 
-_ENCODED = ("doc_id {}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, s_inside double, sym binary, "
-            "tail array<struct<w:string,n:long>>, hashed binary")
+_ENCODED = ("doc_id {}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, sym binary, place binary, "
+            "tail array<string>")
 
 
 def encode(docs: DataFrame, vocab, id_type: str) -> DataFrame:
-    """Symbols of every row, sums over its broadcast tokens, and its other tokens with
-    their buckets. (The buckets are needed only if some of them have symbols of their own.)"""
+    """Symbols of every row, sums over its broadcast tokens, its other tokens (distinct) and, for
+    every bucket symbol in order, which of them it stands for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value.ready()
-        get = v.index.get
-        tail_type = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
         for b in slices(batches, 4 << 20):
-            n, n_head, s_head, s_inside, syms, tails, hashed = [], [], [], [], [], [], []
-            for t in texts(b.column(3)):
-                w = tokens(t)
-                at = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-                known = at >= 0
-                sym = v.symbol[at] if len(v.words) else np.zeros(len(w), np.int64)
-                tail: Counter = Counter()
-                for i in np.flatnonzero(~known).tolist():
-                    tail[w[i]] += 1
-                place = {x: v.symbols + j if v.joined else v.own + bucket(x) for j, x in enumerate(tail)}
-                for i in np.flatnonzero(~known).tolist():
-                    sym[i] = place[w[i]]
-                inside = (sym >= v.own) & (sym < v.symbols)
-                log_c = v.log_c[at[known]] if len(v.words) else np.zeros(0)
-                n.append(len(w))
-                n_head.append(int(known.sum()))
-                s_head.append(float(log_c.sum()))
-                s_inside.append(float(log_c[inside[known]].sum() - v.log_z[sym[inside] - v.own].sum()))
-                syms.append(sym.astype(v.dtype).tobytes())
-                tails.append([{"w": x.decode(), "n": c} for x, c in tail.items()])
-                hashed.append(np.fromiter(map(bucket, tail), "<u2", len(tail)).tobytes() if v.joined else b"")
+            number: dict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            rows = [tokens(t) for t in texts(b.column(3))]
+            size = np.array([len(w) for w in rows])
+            local = np.concatenate([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in rows])
+            doc = np.repeat(np.arange(len(rows)), size)
+            del rows
+            words = list(number)
+            head = np.fromiter(map(v.index.get, words, repeat(-1)), np.int64, len(words))
+            other = np.flatnonzero(head < 0)
+            own = np.zeros(len(words), np.int64)
+            own[other] = v.own + hashes([words[k] for k in other.tolist()]) % BUCKETS
+            sym = np.where(head >= 0, head, own)[local]
+            log_c = np.where(head >= 0, v.log_c[head] if len(v.words) else 0.0, 0.0)
+            tail = np.flatnonzero(head[local] < 0)
+            # the distinct other tokens of each row, and which of them each bucket symbol stands for
+            pairs, at = np.unique(doc[tail] * len(words) + local[tail], return_inverse=True)
+            first = np.searchsorted(pairs, np.arange(b.num_rows + 1) * len(words))
+            place = (at - first[doc[tail]]).astype("<u4")
+            ends = np.cumsum(np.bincount(doc[tail], minlength=b.num_rows))[:-1]
+            listed = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(pairs % max(1, len(words))))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(s_head, pa.float64()),
-                 pa.array(s_inside, pa.float64()), pa.array(syms, pa.binary()), pa.array(tails, tail_type),
-                 pa.array(hashed, pa.binary())],
-                names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym", "tail", "hashed"])
+                [b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(size - np.bincount(doc[tail], minlength=b.num_rows), pa.int64()),
+                 pa.array(np.bincount(doc, log_c[local], b.num_rows)),
+                 pa.array([x.tobytes() for x in np.split(sym.astype(v.dtype), np.cumsum(size)[:-1])], pa.binary()),
+                 pa.array([x.tobytes() for x in np.split(place, ends)], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(first, pa.int32()), listed)],
+                names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "sym", "place", "tail"])
     return docs.select("doc_id", "held_out", "rid", "text").mapInArrow(run, _ENCODED.format(id_type))
 
 
@@ -204,27 +243,23 @@ def encode(docs: DataFrame, vocab, id_type: str) -> DataFrame:
 class Model:
     start: np.ndarray   # (K,)
     move: np.ndarray    # (K, K)
-    emit: np.ndarray    # (broadcast symbols, K)
-    tail: DataFrame | None = None  # (wid, e): of the other symbols, as float32
-
-    def __getstate__(self):
-        return {"start": self.start, "move": self.move, "emit": self.emit, "tail": None}
+    emit: np.ndarray    # (symbols, K)
 
     @classmethod
-    def first(cls, vocab: Vocabulary, states: int = STATES, seed: int = SEED, counts: DataFrame | None = None) -> Model:
+    def first(cls, vocab: Vocabulary, states: int = STATES, seed: int = SEED) -> Model:
         """Corpus frequencies with seeded noise per state, and states that tend to stay."""
-        freq = np.concatenate([vocab.counts[:vocab.own], vocab.bucket_c])
-        emit = (freq + 0.5)[:, None] * noise(vocab.words[:vocab.own] + [b"\n%d" % b for b in range(BUCKETS)], states, seed)
+        freq = np.concatenate([vocab.counts, vocab.tail_c])
+        emit = (freq + 0.5)[:, None] * noise(vocab.words + [b"\n%d" % b for b in range(BUCKETS)], states, seed)
         move = np.full((states, states), 0.02 / max(1, states - 1))
         np.fill_diagonal(move, 0.98 if states > 1 else 1.0)
-        start = np.full(states, 1 / states)
-        return cls(start, move, *_shares(emit, None if counts is None else _first_tail(counts, states, seed), 0, states))
+        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @classmethod
-    def counted(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, tail: DataFrame | None = None, joined: int = 0) -> Model:
+    def counted(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         """From expected counts, with a small share for what was not seen."""
         move, start = move + 0.1, start + 0.1
-        return cls(start / start.sum(), move / move.sum(1, keepdims=True), *_shares(emit, tail, SMOOTH, len(start), joined))
+        emit = emit + SMOOTH * (emit.sum(0) + 1) / len(emit)
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def noise(words: list[bytes], states: int, seed: int) -> np.ndarray:
@@ -242,30 +277,6 @@ def _names(states: int) -> list[str]:
     return [f"s{i}" for i in range(states)]
 
 
-def _first_tail(counts: DataFrame, states: int, seed: int) -> DataFrame:
-    names = _names(states)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = (b.column(2).to_numpy() + 0.5)[:, None] * noise([w.encode() for w in b.column(1).to_pylist()], states, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(states))], names=["wid", *names])
-    return written(counts.select("wid", "word", "c").mapInArrow(run, "wid long, " + ", ".join(f"{x} double" for x in names)), "emissions")
-
-
-def _shares(emit: np.ndarray, tail: DataFrame | None, smooth: float, states: int, joined: int = 0) -> tuple[np.ndarray, DataFrame | None]:
-    """Counts of both parts, plus a small share, as emissions: each state's sum to 1."""
-    names = _names(states)
-    both = np.zeros(states) if tail is None else np.array([x or 0.0 for x in tail.agg(*[F.sum(x) for x in names]).first()])
-    add = smooth * (emit.sum(0) + both + 1) / (len(emit) + joined)
-    z = emit.sum(0) + both + add * (len(emit) + joined)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = (np.stack([b.column(x).to_numpy() for x in names], 1) + add) / z
-            yield pa.RecordBatch.from_arrays([b.column("wid"), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["wid", "e"])
-    return (emit + add) / z, None if tail is None else tail.mapInArrow(run, "wid long, e binary")
-
-
 def _lockstep(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences, longest first, laid out step by step: (order, symbols, bounds of steps)."""
     lens = np.fromiter(map(len, seqs), np.int64, len(seqs))
@@ -297,9 +308,9 @@ def log_likelihood(seqs: list[np.ndarray], m: Model) -> np.ndarray:
     return out
 
 
-def expected_counts(seqs: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, move, emit) of some sequences and their log likelihood."""
-    _, sym, bounds = _lockstep(seqs)
+def _posteriors(seqs: list[np.ndarray], m: Model):
+    """``(order, symbols, bounds, state posteriors, pair sums, log likelihood)`` in lockstep."""
+    order, sym, bounds = _lockstep(seqs)
     k, steps = len(m.start), len(bounds) - 1
     emit, move, start_p = m.emit.astype(np.float32), m.move.astype(np.float32), m.start.astype(np.float32)
     e = emit[sym]
@@ -320,115 +331,138 @@ def expected_counts(seqs: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.nd
             now[:len(v)] = v @ move.T
         beta = now
         alpha[i:j] *= beta  # the step's state posteriors
-    start = alpha[:bounds[1]].sum(0, dtype=np.float64) if steps else np.zeros(k)
-    counts = np.stack([np.bincount(sym, weights=alpha[:, s], minlength=len(emit)) for s in range(k)], 1)
-    return start, xi * m.move, counts, ll
-
-
-def _symbols(column: pa.Array, dtype: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    return order, sym, bounds, alpha, xi * m.move, ll
 
 
-def joined_words(encoded: DataFrame, own: DataFrame) -> DataFrame:
-    """``(rid, j, wid)`` of the words in ``tail`` that have symbols of their own."""
-    at = encoded.select("rid", F.posexplode("tail").alias("j", "t")).select("rid", "j", F.col("t.w").alias("word"))
-    return written(at.join(own.select("word", "wid"), "word").select("rid", "j", "wid"), "joined")
+def _counts(sym: np.ndarray, posterior: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(sym, weights=posterior[:, s], minlength=n) for s in range(posterior.shape[1])], 1)
 
 
-def _with_tail(rows: DataFrame, pairs: DataFrame, tail: DataFrame) -> DataFrame:
-    """``rows`` with the emissions of their joined words: lists j, wid, e."""
-    names = ["j", "wid", "e"]
-    by = pairs.join(tail, "wid").groupBy("rid").agg(F.collect_list(F.struct(*names)).alias("at"))
-    both = rows.join(by, "rid", "left")
-    return both.select(*rows.columns, *[F.coalesce(F.col(f"at.{x}"), F.array()).alias(x) for x in names])
+def expected_counts(seqs: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, move, emit) of some sequences and their log likelihood."""
+    _, sym, bounds, posterior, xi, ll = _posteriors(seqs, m)
+    start = posterior[:bounds[1]].sum(0, dtype=np.float64) if len(bounds) > 1 else np.zeros(len(m.start))
+    return start, xi, _counts(sym, posterior, len(m.emit)), ll
 
 
-def _freed(spark) -> None:
-    """Lets Spark delete the shuffle files of results that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def in_order(seqs: list[np.ndarray], order: np.ndarray, bounds: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows laid out in lockstep, back in the order of the sequences, one after the other."""
+    lens = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    rank = np.empty(len(seqs), np.int64)
+    rank[order] = np.arange(len(seqs))
+    step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    return x[bounds[step] + np.repeat(rank, lens)]
 
 
-def _local(b: pa.RecordBatch, vocab: Vocabulary, m: Model) -> tuple[list[np.ndarray], Model, list[np.ndarray]]:
-    """Sequences of a batch, a model whose last rows are the words joined to it, and the
-    buckets of each row's tokens that had to be looked up and have none."""
-    base, states = vocab.symbols, len(m.start)
-    rows = np.frombuffer(b"".join(b.column("e").flatten().to_pylist()), np.float32).reshape(-1, states)
-    at, ends = b.column("j").flatten().to_numpy(), np.cumsum(pc.list_value_length(b.column("j")).to_numpy())
-    seqs, hashed, start = [], [], 0
-    for x, t, end in zip(_symbols(b.column("sym"), vocab.dtype), b.column("hashed").to_pylist(), ends, strict=True):
-        look = vocab.own + np.frombuffer(t, "<u2").astype(np.int64)
-        look[at[start:end]] = base + np.arange(start, end)
-        y = x.astype(np.int64)
-        asked = y >= base
-        y[asked] = got = look[y[asked] - base]
-        hashed.append(got[got < base] - vocab.own)
-        seqs.append(y)
-        start = end
-    return seqs, Model(m.start, m.move, np.concatenate([m.emit, rows])), hashed
+def _symbols(column: pa.Array, dtype: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
 def baum_welch(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS,
-               seed: int = SEED, own: DataFrame | None = None, pairs: DataFrame | None = None) -> tuple[Model, list[float]]:
-    """Train on the rows of ``encoded`` that are not held out: (model, log likelihood of
-    the training symbols before each step). With joined symbols, ``own`` are their
-    counts (wid, word, c) and ``pairs`` says where they stand."""
-    m, trace = Model.first(vocab, states, seed, own), []
+               seed: int = SEED, wanted: np.ndarray | None = None) -> tuple[Model, list[float], DataFrame, np.ndarray]:
+    """Train on the rows of ``encoded`` that are not held out: the model, the log likelihood of
+    the training symbols before each step, the expected state counts ``(word, s0, s1, ...)`` of
+    the tokens behind bucket symbols in the last step (of those that pass the Bloom filter
+    ``wanted``, if there is one), and those of the buckets."""
+    m, trace = Model.first(vocab, states, seed), []
     sc = encoded.sparkSession.sparkContext
-    train = encoded.filter(~F.col("held_out")).select("rid", "sym", "hashed")
-    names, n = _names(states), vocab.symbols
-    facts = sc.broadcast(replace(vocab, words=[], counts=np.zeros(0)))
-    spark = encoded.sparkSession
-    schema = "sym long, " + ", ".join(f"{x} double" for x in names)
-    for _ in range(iterations):
-        shared = sc.broadcast(m)  # (HEAD + BUCKETS + states + 1) * states numbers at most
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            got, v = None, facts.value
-
-            def out(at, x):
-                return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x[:, i]) for i in range(states))], names=["sym", *names])
-            for b in slices(batches, (1 << 20) * (2 if v.dtype == "<u4" else 1)):
-                model = shared.value
-                if v.joined:
-                    whole, model, _ = _local(b, v, model)
-                else:
-                    whole = _symbols(b.column("sym"), v.dtype)
-                seqs = [x[i:i + SEGMENT] for x in whole for i in range(0, len(x), SEGMENT)]
-                start, move, emit, ll = expected_counts(seqs, model)
-                if len(emit) > n:  # joined symbols come after those of ``part``
-                    wid, at = np.unique(b.column("wid").flatten().to_numpy(), return_inverse=True)
-                    x = np.stack([np.bincount(at, emit[n:, i]) for i in range(states)], 1)
-                    yield out(wid + n + states + 2, x.astype(np.float32).astype(float))
-                part = np.vstack([emit[:n], move, start, np.full(states, ll / states)])
+    train = encoded.filter(~F.col("held_out")).select("sym", "place", "tail")
+    names, n, own, dtype = _names(states), vocab.symbols, vocab.own, vocab.dtype
+    # expected counts travel in whole parts of 1 / PARTS: short on the wire, and their sums do not
+    # depend on the order of the tasks
+    schema = "sym int, word string, " + ", ".join(f"{x} long" for x in names)
+    held = None if wanted is None else sc.broadcast(wanted)
+    for it in range(iterations):
+        shared, last = sc.broadcast(m), it == iterations - 1  # (HEAD + BUCKETS + states + 1) * states numbers at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            got = None
+
+            def out(at, words, x):
+                x = np.rint(x * PARTS).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), words, *(pa.array(x[:, i]) for i in range(states))], names=["sym", "word", *names])
+            for b in slices(batches, (2 if last else 1) << 20):
+                seqs = [x[i:i + SEGMENT] for x in _symbols(b.column("sym"), dtype) for i in range(0, len(x), SEGMENT)]
+                order, sym, bounds, posterior, move, ll = _posteriors(seqs, shared.value)
+                start = posterior[:bounds[1]].sum(0, dtype=np.float64) if len(bounds) > 1 else np.zeros(states)
+                part = np.vstack([_counts(sym, posterior, n), move, start, np.full(states, ll / states)])
                 got = part if got is None else got + part
+                if last:
+                    behind = in_order(seqs, order, bounds, posterior)[np.concatenate(seqs) >= own]
+                    at, words = _tail_words(b)
+                    x = _counts(at, behind, len(words))
+                    if held is not None and len(words):
+                        on = passes(held.value, words.cast(pa.binary()).to_pylist())
+                        words, x = words.filter(pa.array(on)), x[on]
+                    if len(words):
+                        yield out(np.full(len(words), -1), words, x)
             if got is not None:
                 at = np.flatnonzero(got.any(1))
-                yield out(at, got[at])
-
-        sums, tail = train.select("sym"), None
-        if vocab.joined:
-            sums = _with_tail(train, pairs, m.tail)
-        sums = sums.mapInArrow(run, schema).groupBy("sym").agg(*[F.sum(x).alias(x) for x in names])
-        if vocab.joined:
-            last = scratch_paths(spark)
-            sums = written(sums, "emissions")
-            tail = sums.filter(F.col("sym") >= n + states + 2).withColumn("wid", F.col("sym") - (n + states + 2))
-            sums = sums.filter(F.col("sym") < n + states + 2)
-        sums = sums.toPandas()
+                yield out(at, pa.nulls(len(at), pa.string()), got[at])
+
+        given = train if last else train.select("sym")
+        sums = given.mapInArrow(run, schema).groupBy("sym", "word").agg(*[F.sum(x).alias(x) for x in names])
+        if last:
+            sums = written(sums, "expected")
+        few = sums.filter(F.col("sym") >= 0).toPandas()  # a row per broadcast symbol
         total = np.zeros((n + states + 2, states))
-        total[sums["sym"].to_numpy()] = sums[names].to_numpy()
+        total[few["sym"].to_numpy()] = few[names].to_numpy() / PARTS
         trace.append(float(total[n + states + 1].sum()))
-        m = Model.counted(total[n + states], total[n:n + states], total[:n], tail, vocab.joined)
-        if vocab.joined:
-            release(spark, [x for x in last if "/emissions-" in x])
-            _freed(spark)
-    return m, trace
+        m = Model.counted(total[n + states], total[n:n + states], total[:n])
+    return m, trace, sums.filter(F.col("sym") < 0).select("word", *[(F.col(x) / PARTS).alias(x) for x in names]), total[own:n]
+
+
+def _tail_words(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """For every bucket symbol of a batch, in order, its token's place in the list of the
+    batch's tokens, and this list."""
+    words = b.column("tail").flatten().dictionary_encode()
+    size = b.column("tail").value_lengths().to_numpy()
+    start = np.cumsum(size) - size
+    place = [np.frombuffer(x, "<u4") for x in b.column("place").to_pylist()]
+    at = np.concatenate([*(x + s for x, s in zip(place, start.tolist(), strict=True)), np.zeros(0, np.int64)]).astype(np.int64)
+    return words.indices.to_numpy().astype(np.int64)[at], words.dictionary
+
+
+def packed(e: np.ndarray) -> np.ndarray:
+    """Emissions as 16-bit logarithms, good to 0.04 %."""
+    return np.minimum(np.rint(-1024 * np.log2(np.maximum(e, 1e-19))), 65535).astype("<u2")
+
 
+def unpacked(x: np.ndarray) -> np.ndarray:
+    return np.exp2(x / -1024.0)
 
-def _not_in(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.filter(pa.array([w.encode() not in vocab.value.ready().index for w in b.column("word").to_pylist()], pa.bool_()))
+
+def tail_table(rest: DataFrame, expected: DataFrame, m: Model, of_bucket: np.ndarray, vocab: Vocabulary) -> tuple[DataFrame, Model]:
+    """``(word, c, e)`` of all tokens that are not broadcast, e being the :func:`packed` emissions of
+    those with ``MIN_COUNT`` occurrences, and the model whose bucket symbols stand for the rare
+    tokens only."""
+    states = len(m.start)
+    names = _names(states)
+    both = written(rest.join(expected, "word", "left").fillna(0.0, names), "tail-words")
+    often = both.filter(F.col("c") >= MIN_COUNT).withColumn("b", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    have = np.zeros((BUCKETS, states))
+    for r in often.groupBy("b").agg(*[F.sum(x).alias(x) for x in names]).collect():  # a row per bucket
+        have[r["b"]] = [r[x] for x in names]
+    seen = of_bucket > 0
+    safe = np.where(seen, of_bucket, 1.0)
+    left = (vocab.bucket_c + 0.5 * (vocab.bucket_v + 1)) / (vocab.tail_c + 0.5 * (vocab.tail_v + 1))
+    rare = np.where(seen, (np.maximum(of_bucket - have, 0) / safe + KEEP * left[:, None]) / (1 + KEEP), left[:, None])
+    emit = m.emit.copy()
+    base = emit[vocab.own:].copy()
+    emit[vocab.own:] *= rare
+    facts = rest.sparkSession.sparkContext.broadcast((replace(vocab, words=[], counts=np.zeros(0)), base, seen, safe))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, base, seen, safe = facts.value
+        for x in batches:
+            c = x.column("c").to_numpy()
+            b = hashes(x.column("word").cast(pa.binary()).to_pylist()) % BUCKETS
+            n = np.stack([x.column(s).to_numpy() for s in names], 1)
+            share = v.share(b, c)[:, None]
+            e = packed(base[b] * np.where(seen[b], (n / safe[b] + KEEP * share) / (1 + KEEP), share))
+            yield pa.RecordBatch.from_arrays([x.column("word"), x.column("c"), pa.array([r.tobytes() if k >= MIN_COUNT else None for r, k in zip(e, c.tolist(), strict=True)], pa.binary())],
+                                             names=["word", "c", "e"])
+    return both.mapInArrow(run, "word string, c long, e binary"), Model(m.start, m.move, emit)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS,
@@ -439,41 +473,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     rows = docs.select(col(id_col).alias("doc_id"), held_out(col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("rid"),
                        col(text_col).alias("text"))
     counts = written(word_counts(rows.filter(~F.col("held_out"))), "word-counts")
-    vocab = vocabulary(counts, head)
+    vocab, rest = vocabulary(counts, head)
     encoded = written(encode(rows, sc.broadcast(vocab), id_type), "symbols", **{"parquet.block.size": 16 << 20})
-    own = pairs = None
-    if vocab.joined:
-        known = sc.broadcast(vocab)
-        own = written(counts.filter(F.col("c") >= MIN_COUNT).mapInArrow(lambda batches: _not_in(batches, known), "word string, c long")
-                      .withColumn("wid", F.monotonically_increasing_id()), "joined-words")
-        pairs = joined_words(encoded, own)
-    model, _ = baum_welch(encoded, vocab, states, iterations, seed, own, pairs)
+    wanted = bloom(rest.filter(F.col("c") >= MIN_COUNT).select("word"))
+    model, _, expected, of_bucket = baum_welch(encoded, vocab, states, iterations, seed, wanted)
+    table, model = tail_table(rest, expected, model, of_bucket, vocab)
+    asked = encoded.select("rid", F.posexplode("tail").alias("j", "word"))
+    # place and count in one number: c is below 2 ** 31, as no such word is among the HEAD most frequent
+    spot = F.call_function("shiftleft", F.coalesce("c", F.lit(0)).cast("long"), F.lit(32)).bitwiseOR(F.col("j").cast("long"))
+    found = asked.join(table, "word", "left").select("rid", F.struct(spot.alias("jc"), "e").alias("x"))
+    found = found.groupBy("rid").agg(F.collect_list("x").alias("found"))
+    both = encoded.select("doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "sym", "place").join(found, "rid", "left")
     shared, facts = sc.broadcast(model), sc.broadcast(replace(vocab, words=[], counts=np.zeros(0)))
+    z = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = facts.value.ready()
+        v, m = facts.value.ready(), shared.value
         for b in slices(batches):
-            if v.joined:
-                seqs, m, hashed = _local(b, v, shared.value)
-                inside = b.column("s_inside").to_numpy() - np.array([v.log_z[x].sum() for x in hashed])
-            else:
-                seqs, m, inside = _symbols(b.column("sym"), v.dtype), shared.value, b.column("s_inside").to_numpy()
-            ll = log_likelihood(seqs, m) / _LN10
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(ll + inside)],
-                                             names=["doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "fwd"])
-
-    scored = encoded.select("doc_id", "held_out", "rid", "n_tokens", "n_head", "s_head", "s_inside", "sym", "hashed")
-    if vocab.joined:
-        scored = _with_tail(scored, pairs, model.tail)
-    scored = scored.mapInArrow(forward, f"doc_id {id_type}, held_out boolean, rid long, n_tokens long, n_head long, s_head double, fwd double")
-    rest = encoded.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.w").alias("word"), F.col("t.n").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    tail = (rest.join(counts, "word", "left").groupBy("rid")
-            .agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("s_tail"),
-                 F.sum(F.when(c < MIN_COUNT, F.col("n") * F.log10(c + 0.5)).otherwise(0)).alias("s_rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_tail")))
-    both = scored.join(tail, "rid", "left").fillna(0, ["s_tail", "s_rare", "n_tail"])
-    z = float(np.log10(vocab.total + 0.5 * (vocab.distinct + 1)))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.col("n_tail")).alias("n_known"),
-                       F.lit(vocab.total).cast("long").alias("train_tokens"),
-                       (F.col("s_head") + F.col("s_tail") - F.col("n_tokens") * F.lit(z)).alias("base_score"),
-                       (F.col("fwd") + F.col("s_rare")).alias("score"))
+            found = b.column("found")
+            entries = found.flatten()
+            size = found.fill_null([]).value_lengths().to_numpy()
+            start = np.cumsum(size) - size
+            jc, e = entries.field("jc").to_numpy(), entries.field("e")
+            doc = np.repeat(np.arange(b.num_rows), size)
+            at, c = start[doc] + (jc & 0xFFFFFFFF), jc >> 32  # by document and place
+            own = np.flatnonzero(e.is_valid().to_numpy(zero_copy_only=False))
+            look = np.full(len(jc), -1)
+            look[at[own]] = v.symbols + np.arange(len(own))
+            rows = unpacked(np.frombuffer(b"".join(e.drop_null().to_pylist()), "<u2")).reshape(len(own), -1) if len(own) else np.zeros((0, m.emit.shape[1]))
+            count = np.zeros(len(jc), np.int64)
+            count[at] = c
+            sym = np.frombuffer(b"".join(b.column("sym").to_pylist()), v.dtype).astype(np.int64)
+            n = b.column("n_tokens").to_numpy()
+            behind = np.flatnonzero(sym >= v.own)
+            of = np.repeat(np.arange(b.num_rows), n)[behind]
+            spot = start[of] + np.frombuffer(b"".join(b.column("place").to_pylist()), "<u4")
+            lg, symbol = np.log10(count[spot] + 0.5), look[spot]
+            rare = symbol < 0
+            add = lambda x, of=of: np.bincount(of, x, b.num_rows)
+            inside = add(np.where(rare, lg - v.log_z[sym[behind] - v.own], 0.0))
+            known = b.column("n_head").to_numpy() + add((count[spot] > 0).astype(float)).astype(np.int64)
+            base = b.column("s_head").to_numpy() + add(lg) - n * z
+            sym[behind[~rare]] = symbol[~rare]
+            ll = log_likelihood(np.split(sym, np.cumsum(n)[:-1]), Model(m.start, m.move, np.concatenate([m.emit, rows]))) / _LN10
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(known, pa.int64()),
+                                              pa.array(base, pa.float64()), pa.array(ll + inside)],
+                                             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    scored = both.mapInArrow(forward, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -82,17 +82,42 @@ def test_base_against_brute_force(docs, rows, head):
     assert all(math.isfinite(g.score) and g.score < 0 for g in got)
 
 
-def test_scores_are_a_distribution_over_symbols_and_buckets(spark, docs):
-    """Inside a bucket all known tokens and one unseen token share exactly 1."""
+@pytest.mark.parametrize("head", [H.HEAD, 20, 0])
+def test_emissions_are_a_distribution(spark, docs, head):
+    """In every state the broadcast tokens, the joined ones, the rare ones and one unseen token of
+    each bucket sum to 1."""
+    src = docs.select("doc_id", F.lit(False).alias("held_out"), F.monotonically_increasing_id().alias("rid"), "text")
+    counts = written(H.word_counts(docs.select("text")), "t")
+    v, rest = H.vocabulary(counts, head)
+    assert v.total == counts.agg(F.sum("c")).first()[0] and v.distinct == counts.count() and len(v.words) <= head
+    enc = written(H.encode(src, spark.sparkContext.broadcast(v), "bigint"), "t")
+    m, _, expected, of_bucket = H.baum_welch(enc, v, states=3, iterations=2)
+    table, scoring = H.tail_table(rest, expected, m, of_bucket, v)
+    assert np.allclose(m.emit.sum(0), 1)
+    rows = table.collect()
+    assert {r.word for r in rows} == {r.word for r in counts.collect()} - {w.decode() for w in v.words}
+    assert all((r.e is not None) == (r.c >= H.MIN_COUNT) for r in rows)
+    joined = sum((H.unpacked(np.frombuffer(r.e, "<u2")) for r in rows if r.e is not None), np.zeros(3))
+    assert np.allclose(scoring.emit.sum(0) + joined, 1, atol=5e-4)  # of 16-bit emissions
+    z = 10 ** v.ready().log_z  # rare tokens and one unseen token of a bucket share its symbol
+    rare = Counter()
+    for r in rows:
+        if r.e is None:
+            rare[H.bucket(r.word.encode())] += r.c + 0.5
+    assert all(math.isclose(s + 0.5, z[b]) for b, s in rare.items())
+
+
+def test_counts_behind_buckets_are_the_buckets_counts(spark, docs):
+    src = docs.select("doc_id", F.lit(False).alias("held_out"), F.monotonically_increasing_id().alias("rid"), "text")
     counts = written(H.word_counts(docs.select("text")), "t")
-    v = H.vocabulary(counts)
-    assert v.total == counts.agg(F.sum("c")).first()[0] and v.distinct == counts.count()
-    by = Counter()
-    v.ready()
-    for w, c in zip(v.words[H.OWN:], v.counts[H.OWN:].tolist(), strict=True):
-        by[H.bucket(w)] += c + 0.5
-    for b, s in by.items():
-        assert math.isclose(s + 0.5, v.bucket_c[b] + 0.5 * (v.bucket_v[b] + 1))
+    v, _ = H.vocabulary(counts, 10)
+    enc = written(H.encode(src, spark.sparkContext.broadcast(v), "bigint"), "t")
+    _, _, expected, of_bucket = H.baum_welch(enc, v, states=2, iterations=1)
+    have, c = np.zeros((H.BUCKETS, 2)), {r.word: r.c for r in counts.collect()}
+    for r in expected.collect():
+        have[H.bucket(r.word.encode())] += (r.s0, r.s1)
+        assert math.isclose(r.s0 + r.s1, c[r.word], rel_tol=2e-3)
+    assert np.allclose(have, of_bucket, rtol=2e-3, atol=1e-2)
 
 
 def test_bucket_is_sparks_hash(spark):
@@ -108,10 +133,10 @@ def test_training_likelihood_rises_and_beats_the_base(spark):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.zipf(1.5, 120) % 40)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = written(H.word_counts(docs.select("text")), "t")
-    v = H.vocabulary(counts)
+    v, _ = H.vocabulary(counts)
     src = docs.select("doc_id", F.lit(False).alias("held_out"), F.col("doc_id").alias("rid"), "text")
     enc = written(H.encode(src, spark.sparkContext.broadcast(v), "bigint"), "t")
-    _, trace = H.baum_welch(enc, v, states=4, iterations=6)
+    _, trace, *_ = H.baum_welch(enc, v, states=4, iterations=6)
     assert all(b > a for a, b in itertools.pairwise(trace))
     out = [r for r in H.score(docs).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
@@ -130,20 +155,20 @@ def test_emissions_grow_with_the_vocabulary(spark):
     assert sum(r.score - r.base_score for r in out) > 0.25 * sum(r.n_tokens for r in out)
 
 
-def test_joined_emissions_score_as_broadcast_ones(spark):
-    """With no word below ``MIN_COUNT`` it makes no difference where emissions are kept."""
+def test_joined_emissions_keep_the_gain(spark):
+    """Emissions learned behind the buckets, in the last step only, give most of what broadcast
+    ones give over the base, and the base does not depend on where they are kept."""
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.zipf(1.3, 100) % 60)) for i in range(300)]
-    c = Counter(x for r in rows if not is_out(r[0]) for x in toks(r[1]))
-    rows = [(i, " ".join(x for x in t.split() if c[x] >= 2 * H.MIN_COUNT)) for i, t in rows]
     docs = spark.createDataFrame([*rows, (None, None), (1001, "")], "doc_id long, text string").repartition(3)
     key = lambda r: (r.doc_id is None, r.doc_id)
     want, *others = (sorted(H.score(docs, states=3, head=head).collect(), key=key) for head in (H.HEAD, 20, 0))
-    assert sum(r.score - r.base_score for r in want) > 0.1 * sum(r.n_tokens for r in want)
+    gain = lambda rows: sum(r.score - r.base_score for r in rows if r.held_out)
+    assert gain(want) > 0.1 * sum(r.n_tokens for r in want if r.held_out)
     for got in others:
         assert [(a.doc_id, a.n_tokens, a.n_known) for a in got] == [(a.doc_id, a.n_tokens, a.n_known) for a in want]
-        assert all(math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.score, b.score, rel_tol=1e-3)
-                   for a, b in zip(got, want, strict=True))
+        assert all(math.isclose(a.base_score, b.base_score, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+        assert gain(got) > 0.8 * gain(want)
 
 
 def test_empty(empty):
