@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def size_in_bytes(setting: str) -> int:
+    """A size as Spark's settings write it: ``134217728``, ``134217728b``, ``128m``, ``128MB``, ``1g``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy row work (regex chains, array functions) a partition per core when the
     planner's size estimate is below one full split per core; a larger input already arrives
     in enough splits and is not shuffled. Changes no result; deterministic under retries."""
     spark = df.sparkSession
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     cores = spark.sparkContext.defaultParallelism
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * split:
         return df.repartition(cores, F.col(key))

@@ -74,3 +74,8 @@ def test_graph_pool_rows(spark, queries):
     docs = g.select("doc_id").distinct().count()
     assert g.count() == docs * 64
     assert g.filter(F.isnan("v") | F.col("v").isNull()).count() == 0
+
+
+def test_sizes_of_settings():
+    from tessera.tables import size_in_bytes
+    assert [size_in_bytes(x) for x in ("134217728", "5b", "16m", "128MB", "1g", "2k", "64kb")] == [134217728, 5, 16 << 20, 128 << 20, 1 << 30, 2048, 65536]
