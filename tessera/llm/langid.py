@@ -5,7 +5,8 @@ language contains the 4-grams found in ``MIN_RATE`` of its documents or more (an
 least). A share of documents, not a number, decides, so a filter holds at most (4-grams of
 a mean document) / MIN_RATE entries at any corpus size.
 
-All languages share one bit-sliced Bloom filter: slot -> bitmask of languages. The AND of a
+Up to ``MAX_LANGUAGES`` languages share one bit-sliced Bloom filter (further ones have filters of
+their own, asked in further passes): slot -> bitmask of languages. The AND of a
 4-gram's ``HASHES`` slots gives every language that contains it in one probe. A document's
 hits are counted per language; with f = (filled share of the language's bits) ** HASHES, the
 expected accidental hits are taken away, (hits - f n) / (1 - f), and the largest count
@@ -19,13 +20,14 @@ three after.
 Defined cases: null text, text without a letter, and a model without languages give ``und``
 and score 0; null languages and null texts are not learned from; rows that repeat count
 again; a null id is never held out; an empty table gives an empty result; columns other than
-the id, the text and (in training) the language are not read.
+the id, the text and (in training) the language are not read; a very long text is one row of a
+task, with memory in proportion to its characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -38,7 +40,7 @@ from .common import col, slices, written
 N = 4
 HASHES = 3
 MIN_RATE = 0.005
-MAX_LANGUAGES = 1024
+MAX_LANGUAGES = 1024  # of one filter
 _PAD = 3
 
 
@@ -87,6 +89,8 @@ class Model:
     default: int              # index of the language of most training documents
     slots: np.ndarray         # (slots, words) uint64 bitmasks
     accidental: np.ndarray    # per language: chance that a 4-gram hits by accident
+    learned: int = 0          # training documents of the default language
+    rest: list = field(default_factory=list)  # models of the languages after the first MAX_LANGUAGES
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
@@ -96,11 +100,11 @@ class Model:
             out = out & self.slots[((a + np.uint64(k) * b) & m).astype(np.int64)]
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def best(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: the language with most corrected hits, these hits, its 4-grams, and whether it
+        has a letter."""
         h, own, has = grams(texts)
         n = np.bincount(own, minlength=len(texts)).astype(float)
-        if not self.languages or not len(texts):
-            return ["und"] * len(texts), np.zeros(len(texts))
         masks = self.masks(h)
         found = np.empty((len(texts), len(self.languages)))
         for i, f in enumerate(self.accidental):
@@ -108,7 +112,12 @@ class Model:
             hits = np.bincount(own, weights=bit.astype(float), minlength=len(texts))
             found[:, i] = np.maximum(0, (hits - f * n) / (1 - f)) if f < 1 else 0
         best = found.argmax(1)
-        top = found[np.arange(len(texts)), best]
+        return best, found[np.arange(len(texts)), best], n, has
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.languages or not len(texts):
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best, top, n, has = self.best(texts)
         best[top <= 0] = self.default
         score = np.clip(top / np.maximum(n, 1), 0, 1)
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, score, 0.0)
@@ -136,13 +145,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     counts = written(rows.mapInArrow(count, "lang string, h long, n long, docs long").groupBy("lang", "h")
                      .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "gram-counts")
-    sizes = counts.groupBy("lang").agg(F.sum("docs").alias("docs")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [r["lang"] for r in sizes]
-    if not names:
+    sizes = counts.groupBy("lang").agg(F.sum("docs").alias("docs")).orderBy("lang").collect()  # a row per language
+    if not sizes:
         return Model([], 0, np.zeros((1, 1), np.uint64), np.zeros(0))
-    spark = docs.sparkSession
+    models = [_filter_of(counts, sizes[i:i + MAX_LANGUAGES]) for i in range(0, len(sizes), MAX_LANGUAGES)]
+    models[0].rest = models[1:]
+    return models[0]
+
+
+def _filter_of(counts: DataFrame, sizes: list) -> Model:
+    """The model of some languages, given by their rows (lang, docs)."""
+    names = [r["lang"] for r in sizes]
+    spark = counts.sparkSession
     need = spark.createDataFrame([(r["lang"], i, float(max(2, MIN_RATE * r["docs"])) if r["docs"] > 1 else 1.0) for i, r in enumerate(sizes)],
                                  "lang string, i int, least double")
     kept = written(counts.join(F.broadcast(need), "lang").filter("n >= least").select("i", "h"), "grams")
@@ -158,11 +172,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     slots[filled["slot"].to_numpy(), filled["word"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
     fill = np.array([((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
     default = max(range(len(names)), key=lambda i: (sizes[i]["docs"], -i))
-    return Model(names, default, slots, fill ** HASHES)
+    return Model(names, default, slots, fill ** HASHES, sizes[default]["docs"])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row."""
+    """``(doc_id, lang_pred, score)`` of every row. With more than MAX_LANGUAGES languages every
+    group of them is asked in a pass of its own, with its filter broadcast."""
+    if model.rest:
+        return _in_passes(docs, [model, *model.rest], id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MIN_RATE, see above
 
     def run(batches):
@@ -171,3 +188,30 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def _in_passes(docs: DataFrame, models: list[Model], id_col: str, text_col: str) -> DataFrame:
+    sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("top"))
+    for m in models:
+        shared = sc.broadcast(Model(m.languages, m.default, m.slots, m.accidental))
+
+        def ask(batches, shared=shared):
+            m = shared.value
+            for b in slices(batches):
+                best, top, n, has = m.best(b.column(1).to_pylist())
+                share = np.where(has, np.clip(top / np.maximum(n, 1), 0, 1), 0.0)
+                lang, had = b.column(2).to_pylist(), b.column(3).to_numpy()
+                lang = [m.languages[k] if s > h else x for x, k, s, h in zip(lang, best.tolist(), share, had, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(np.maximum(share, had))],
+                                                 names=["doc_id", "text", "lang", "top"])
+        rows = written(rows.mapInArrow(ask, f"doc_id {kind}, text string, lang string, top double"), "language-pass")
+    usual = max(models, key=lambda m: m.learned)  # the first of those with most documents
+    fallback = usual.languages[usual.default]
+
+    def named(batches):
+        for b in slices(batches):
+            letter = grams(b.column(1).to_pylist())[2]
+            lang = ["und" if not ok else x or fallback for x, ok in zip(b.column(2).to_pylist(), letter, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), b.column(3)], names=["doc_id", "lang_pred", "score"])
+    return rows.mapInArrow(named, f"doc_id {kind}, lang_pred string, score double")

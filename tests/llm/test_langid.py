@@ -70,3 +70,42 @@ def test_awkward_rows(docs, rows, empty):
 def test_short_texts_have_grams(text):
     h, own, has = L.grams([text, "", None, "12"])
     assert has.tolist() == [True, False, False, False] and len(h) > 0 and set(own.tolist()) == {0}
+
+
+def test_votes_against_plain_sets(spark):
+    """With a set of grams per language in place of the filter: the same language, and scores
+    that differ by the corrected accidental hits only."""
+    docs = corpus(spark)
+    model = L.train(docs)
+    rows = docs.collect()
+    known = {}
+    for lang in model.languages:
+        texts = [r.text for r in rows if r.lang == lang]
+        h, own, _ = L.grams(texts)
+        n = {}
+        for g, _ in {(int(a), int(b)) for a, b in zip(h, own, strict=True)}:
+            n[g] = n.get(g, 0) + 1
+        known[lang] = {g for g, c in n.items() if c >= max(2, L.MIN_RATE * len(texts))}
+    for r in L.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        h, _, has = L.grams([r.text])
+        hits = [sum(int(x) in known[lang] for x in h) for lang in model.languages]
+        best = max(hits, default=0)
+        if not has[0]:
+            assert r.lang_pred == "und"
+        elif best and hits.count(best) == 1 and sorted(hits)[-2] < 0.9 * best:
+            assert r.lang_pred == model.languages[hits.index(best)]
+            assert abs(r.score - best / len(h)) < 0.02
+
+
+def test_more_languages_than_one_filter_holds(spark, monkeypatch, docs):
+    """Asking group by group gives what one filter with all languages gives."""
+    letters = [chr(0x4E00 + i) for i in range(40)]
+    rows = [(k * 10 + j, (letters[2 * k] + letters[2 * k + 1]) * 9 + " " + letters[2 * k], f"l{k:03}") for k in range(20) for j in range(5)]
+    own = spark.createDataFrame([*rows, (900, None, "l001"), (901, "12", None), (902, "zzz", None)], "doc_id long, text string, lang string")
+    key = lambda df: sorted(((r.doc_id, r.lang_pred, round(r.score, 6)) for r in df.collect()), key=repr)
+    want = key(L.predict(own, L.train(own)))
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 6)
+    model = L.train(own)
+    assert len(model.rest) == 3
+    got = key(L.predict(own, model))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 0.02 for a, b in zip(got, want, strict=True))
