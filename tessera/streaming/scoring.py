@@ -17,10 +17,15 @@ from ..functions import text as T
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def document_stream(spark: SparkSession, folder: str, file_glob: str = "documents*.parquet",
-                    max_files_per_trigger: int = 64) -> DataFrame:
-    return (spark.readStream.schema(DOCUMENT_SCHEMA).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+def document_stream(spark: SparkSession, folder: str, name: str = "documents", max_files_per_trigger: int = 64) -> DataFrame:
+    """The table ``name`` below ``folder`` as a stream of its files: a folder of part files, or one
+    file (then every file of this name)."""
+    table = f"{folder.rstrip('/')}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    reader = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
 def run_to_parquet(df: DataFrame, sink: str, checkpoint: str) -> None:

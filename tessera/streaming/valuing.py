@@ -42,11 +42,18 @@ def read_vocabulary(spark: SparkSession, root: str, version: int) -> DataFrame:
 
 def by_batch(stream: DataFrame, transform, sink: str, checkpoint: str) -> None:
     """Run ``transform`` on every micro-batch of what is there, then stop. Batch k is written to
-    ``sink/batch=k``; a replay overwrites it."""
+    ``sink/batch=k``; a replay overwrites it. A stream without rows leaves one empty batch."""
+    seen = []
+
     def write(batch: DataFrame, number: int) -> None:
+        seen.append(number)
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    spark = stream.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    if not seen and not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        transform(spark.createDataFrame([], stream.schema)).write.parquet(f"{sink}/batch=0")
 
 
 def encode_documents(docs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -189,3 +189,15 @@ def test_adjacency_of_sequences_is_that_of_edges(spark, monkeypatch):
         want = {(r.doc_id, r.src, r.dst): r.w for r in G.normalized(G.edges(seq, window), seq).collect()}
         got = {(r.doc_id, r.src, r.dst): r.w for r in G.normalized_adjacency(seq, window).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_a_table_of_part_files_is_streamed(spark, tmp_path):
+    from tessera.streaming.scoring import document_stream
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    vocab = spark.createDataFrame([("the", 1)], "word string, word_id int")
+    SV.by_batch(document_stream(spark, str(tmp_path)), lambda d: SV.encode_documents(d, vocab), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    SV.by_batch(document_stream(spark, f"{tmp_path}/none"), lambda d: SV.encode_documents(d, vocab), f"{tmp_path}/none/out", f"{tmp_path}/ckpt2")
+    assert spark.read.parquet(f"{tmp_path}/none/out").count() == 0
