@@ -31,8 +31,10 @@ def brute_pairs(rows, t):
     return sets, out
 
 
-@pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 1.0])
-def test_similar_sets_against_brute_force(spark, t):
+@pytest.mark.parametrize("t,head", [(0.3, 1 << 16), (0.5, 3), (0.8, 1 << 16), (0.8, 0), (1.0, 5)])
+def test_similar_sets_against_brute_force(spark, monkeypatch, t, head):
+    order = SJ.prefixes
+    monkeypatch.setattr(SJ, "prefixes", lambda sets, threshold: order(sets, threshold, head))
     rng = random.Random(int(t * 10))
     rows = [(0, None), (1, []), (2, [None]), (3, ["a", "a", None]), (4, ["a"])]
     for i in range(5, 150):
@@ -51,6 +53,7 @@ def test_join_without_all_pairs(spark):
     """Thousands of sets that share their frequent tokens only: few candidates."""
     rows = [(i, ["the", "of", "and", f"r{i}", f"s{i}", f"t{i}"]) for i in range(2000)]
     of = SJ.classes(spark.createDataFrame(rows, "id long, tokens array<string>"))[1]
+    assert SJ.candidates(SJ.prefixes(of, 0.8, most=2), 0.8).count() == 0
     assert SJ.candidates(SJ.prefixes(of, 0.8), 0.8).count() == 0
     with pytest.raises(ValueError):
         SJ.similar_sets(of, 0.0)
