@@ -54,6 +54,7 @@ def clean_document_q(spark, sf_dir):
 # Row-wise cleaners and tokenisers on whole document texts.
 # ---------------------------------------------------------------------------
 from ..functions import text as T  # noqa: E402
+from ..operators import tokens as TK  # noqa: E402
 from ..tables import spread  # noqa: E402
 
 
@@ -147,15 +148,27 @@ def _gram_counts_sql(list_sql_by_n: dict, source_sql: str, key: str = "doc_id")
     return f"SELECT {key}, CAST(n AS INTEGER) AS n, gram, count(*) AS cnt FROM ({body}) GROUP BY {key}, n, gram"
 
 
+def _gram_counts(docs, lists):
+    """``(doc_id, n, gram, cnt)`` of ``docs (doc_id, t)``; ``lists`` has a column of grams for each
+    ``n``. A document's grams are counted where its row lies; only documents that share an id
+    are put together by a shuffle of their counts."""
+    g = F.array(*[F.struct(F.lit(n).alias("n"), grams.alias("g")) for n, grams in lists.items()])
+
+    def counted(d):
+        each = d.select("doc_id", T.tokenize_en("text").alias("t")).select("doc_id", F.explode(g).alias("s"))
+        return TK.item_counts(each.select("doc_id", "s.n", "s.g"), "g", "gram")
+    once, again = TK.parted_by_repeats(docs)
+    if again is None:
+        return counted(once)
+    return counted(once).unionByName(counted(again).groupBy("doc_id", "n", "gram").agg(F.sum("cnt").alias("cnt")))
+
+
 _TOK_SRC = f"SELECT doc_id, {T.tokenize_en_sql('text')} AS t FROM documents"
 
 
 @register("ngrams", sql=_gram_counts_sql({n: T.ngrams_sql("t", n, "_") for n in (1, 2, 3, 4)}, _TOK_SRC))
 def ngrams_q(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
-    g = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams("t", n, "_").alias("g")) for n in (1, 2, 3, 4)])
-    ex = d.select("doc_id", F.explode(g).alias("s")).select("doc_id", "s.n", F.explode("s.g").alias("gram"))
-    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return _gram_counts(_docs(spark, sf_dir), {n: T.ngrams("t", n, "_") for n in (1, 2, 3, 4)})
 
 
 @register("ngrams_skip", sql=f"""
@@ -166,17 +179,12 @@ SELECT doc_id, CAST(n AS INTEGER) AS n, gram, count(*) AS cnt FROM (
      ELSE t END) AS gram FROM ({_TOK_SRC}))
 GROUP BY doc_id, n, gram""")
 def ngrams_skip_q(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
-    ex = d.select("doc_id", F.lit(2).alias("n"), F.explode(T.ngrams("t", 2, "_", skip=1)).alias("gram"))
-    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return _gram_counts(_docs(spark, sf_dir), {2: T.ngrams("t", 2, "_", skip=1)})
 
 
 @register("ngrams_multi", sql=_gram_counts_sql({c: T.ngrams_multi_sql("t", c, " ") for c in (12, 123)}, _TOK_SRC))
 def ngrams_multi_q(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", T.tokenize_en("text").alias("t"))
-    g = F.array(*[F.struct(F.lit(c).alias("n"), T.ngrams_multi("t", c, " ").alias("g")) for c in (12, 123)])
-    ex = d.select("doc_id", F.explode(g).alias("s")).select("doc_id", "s.n", F.explode("s.g").alias("gram"))
-    return ex.groupBy("doc_id", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return _gram_counts(_docs(spark, sf_dir), {c: T.ngrams_multi("t", c, " ") for c in (12, 123)})
 
 
 _NAME_SRC = f"SELECT p_partkey, {T.split_ws_sql('p_name')} AS t FROM part"
