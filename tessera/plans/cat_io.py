@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import uniform, uniform_sql
 from ..operators import vocab as V
-from ..operators.tokens import explode_tokens
+from ..operators.tokens import explode_tokens, nested_lists
 from ..sources import readers as RD
 from ..sources import writers as W
 from ..tables import spread, table
@@ -175,7 +175,7 @@ def read_corpus(spark, sf_dir):
     """Corpus lines + meta lines (name, split, label): clean, build the vocabulary,
     encode; labels get ids by first appearance and 'test' wins over 'train'."""
     from ..operators.ranking import global_rank
-    from .documents import clean_document
+    from .documents import clean_document, clean_vocab, encoded_documents
     run = _run(spark, "corpus")
     lt = lang_task(spark, sf_dir).orderBy("row_id")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang")
@@ -186,11 +186,10 @@ def read_corpus(spark, sf_dir):
     m = F.split("meta", "\t")
     al = al.select(F.col("line").alias("doc_id"), "text", m[1].alias("split"), m[2].alias("label"))
     cc = clean_document(al.select("doc_id", "text"))
-    vocab = V.build_vocab(cc.tokens.select("word"), None, first_id=1)
-    enc = V.encode_ids(cc.tokens, vocab)
+    enc = encoded_documents(cc, clean_vocab(cc)).filter(F.size("ids") > 0)
     first = al.groupBy("label").agg(F.min("doc_id").alias("f"))
     lab = global_rank(first, ["f"], out="label_id").select("label", F.col("label_id").cast("int"))
-    nested = V.nested_ids(enc).select("doc_id", V.printed("ids").alias("ids"))
+    nested = nested_lists(enc).select("doc_id", V.printed("ids").alias("ids"))
     part = F.when(F.instr("split", "test") > 0, "test").when(F.instr("split", "train") > 0, "train").otherwise("other")
     return al.join(lab, "label").join(nested, "doc_id", "left").select(
         "doc_id", part.alias("part"), "label_id", F.coalesce("ids", F.lit("[]")).alias("ids"))

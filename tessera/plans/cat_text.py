@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import tokens as TK
 from ..tables import table
 from .documents import clean_document, clean_document_sql
 from .registry import register
@@ -24,13 +25,22 @@ WHERE rnk <= {TOP_WORDS}
 def top_words_by_lang(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     cc = clean_document(docs.select("doc_id", "text"))
-    counts = (cc.tokens.join(docs.select("doc_id", "lang"), "doc_id")
-              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = (cc.documents.select("doc_id", "id").join(docs.select("doc_id", "lang"), "doc_id")
+              .select("lang", F.explode("id").alias("id")).groupBy("lang", "id").agg(F.count(F.lit(1)).alias("n"))
+              .join(cc.words, "id").select("lang", "word", "n"))
     w = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("word"))
     return (counts.withColumn("rnk", F.row_number().over(w))
             .filter(F.col("rnk") <= TOP_WORDS).select("lang", "word", "n", "rnk"))
 
 
+def _clean_rows(cc):
+    """Every document that has a sentence, with its kept sentences, words and text."""
+    rows = TK.looked_up(cc.documents.filter(F.size("sents") > 0), "id", cc.words, "id", "word", "word")
+    words = F.aggregate("n_kept", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("sents").cast("bigint").alias("n_sent"), words.alias("n_words"),
+                       F.when(F.col("doc_id").isNotNull(), F.array_join("word", " ")).otherwise("").alias("text_out"))
+
+
 @register("clean_document", sql=f"""
 WITH {clean_document_sql()}
 SELECT s.doc_id, CAST(count(DISTINCT s.sent) AS BIGINT) AS n_sent,
@@ -41,20 +51,13 @@ FROM cd_sent s GROUP BY s.doc_id
 def clean_document_q(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cc = clean_document(docs)
-    per_doc = (cc.tokens.groupBy("doc_id")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "word"))),
-                                             lambda s: s["word"]), " ").alias("text_out")))
-    sents = cc.sent_counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sent"),
-                                                 F.sum("n_kept").cast("bigint").alias("n_words"))
-    return (sents.join(per_doc, "doc_id", "left")
-            .select("doc_id", "n_sent", "n_words", F.coalesce("text_out", F.lit("")).alias("text_out")))
+    return _clean_rows(cc)
 
 
 # ---------------------------------------------------------------------------
 # Row-wise cleaners and tokenisers on whole document texts.
 # ---------------------------------------------------------------------------
 from ..functions import text as T  # noqa: E402
-from ..operators import tokens as TK  # noqa: E402
 from ..tables import spread  # noqa: E402
 
 
@@ -213,10 +216,4 @@ def clean_document_mr(spark, sf_dir):
     no truncation, whitespace kept for sentence splitting)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cc = clean_document(docs, dataset="mr")
-    per_doc = (cc.tokens.groupBy("doc_id")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "word"))),
-                                             lambda s: s["word"]), " ").alias("text_out")))
-    sents = cc.sent_counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sent"),
-                                                 F.sum("n_kept").cast("bigint").alias("n_words"))
-    return (sents.join(per_doc, "doc_id", "left")
-            .select("doc_id", "n_sent", "n_words", F.coalesce("text_out", F.lit("")).alias("text_out")))
+    return _clean_rows(cc)

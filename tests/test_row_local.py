@@ -14,9 +14,10 @@ def exchanges(df) -> int:
     return plan.split("== Initial Plan ==")[-1].count("Exchange")
 
 
-@pytest.mark.parametrize("lists", [{1: T.ngrams("t", 1), 2: T.ngrams("t", 2)}, {2: T.ngrams("t", 2, "_", skip=1)}])
-def test_grams_are_counted_in_their_row(spark, monkeypatch, lists):
+@pytest.mark.parametrize("kinds", [((1, 0), (2, 0)), ((2, 1),)])
+def test_grams_are_counted_in_their_row(spark, monkeypatch, kinds):
     monkeypatch.setattr(TK, "PART_ITEMS", 7)
+    lists = {n: T.ngrams("t", n, "_", skip) for n, skip in kinds}
     rows = [(1, "aa bb aa bb aa"), (2, ""), (3, None), (4, "cc"), (5, "dd ee dd ff ee dd")]
     once = cat_text._gram_counts(spark.createDataFrame(rows, "doc_id long, text string"), lists)
     assert exchanges(once) == 0
@@ -31,3 +32,56 @@ def test_grams_are_counted_in_their_row(spark, monkeypatch, lists):
         assert (r.doc_id, r.gram) not in got
         got[r.doc_id, r.gram] = r.cnt
     assert got == {(1, "aa"): 2, (1, "bb"): 2, (None, "aa"): 1, (None, "bb"): 2, (2, "aa"): 1, (2, "bb"): 1}
+
+
+def plain_clean(rows, min_freq, top, max_words, stop):
+    """Kept tokens (doc, sent, pos, word) and sentence rows (doc, sent, n), token by token."""
+    toks = [(d, i, j, w) for d, text in rows for i, s in enumerate(text.split(". ")) for j, w in enumerate(s.replace(".", " .").split())]
+    freq = Counter(w for *_, w in toks)
+    bar = sorted(freq.values(), reverse=True)[:top][-1]
+    kept = sorted(t for t in toks if min_freq <= freq[t[3]] < bar and t[3] not in stop)
+    counts, tokens, sents = Counter((d, i) for d, i, *_ in kept), [], []
+    for t in kept:
+        if sum(n for (d, i), n in counts.items() if d == t[0] and i < t[1]) <= max_words:
+            tokens.append(t)
+    every = sorted((d, i) for d, text in rows for i, _ in enumerate(text.split(". ")))
+    for k, (d, i) in enumerate(every):
+        if sum(counts[x] for x in every[:k] if x[0] == d) <= max_words:
+            sents.append((d, i, counts[d, i]))
+    return tokens, sents
+
+
+def test_the_cleaning_plan_moves_no_token(spark, monkeypatch):
+    from tessera.functions import rules as R
+    from tessera.plans import documents as D
+    monkeypatch.setattr(TK, "LOOKUP_ROWS", 5)  # several passes over the vocabulary
+    words = [f"word{i}" for i in range(23)]
+    def text(k):
+        return ". ".join(" ".join(words[(k * i + j * j) % 23] for j in range(1 + (i + k) % 5)) for i in range(k))
+    rows = [(k, text(k)) for k in range(1, 14)] + [(7, text(7)), (7, text(7)), (9, text(4))]
+    monkeypatch.setattr(D, "spread", lambda d, key: d)
+    cc = D.clean_document(spark.createDataFrame(rows, "doc_id long, text string"), min_freq=3, top=3, max_words=6)
+    tokens, sents = plain_clean(rows, 3, 3, 6, set(R.ENGLISH_STOP_WORDS))
+    assert tokens and sorted((r.doc_id, r.sent, r.pos, r.word) for r in cc.tokens.collect()) == sorted(tokens)
+    assert sorted((r.doc_id, r.sent, r.n_kept) for r in cc.sent_counts.collect()) == sorted(sents)
+    assert exchanges(cc.tokens) == exchanges(cc.sent_counts) == exchanges(cc.raw_tokens) == 0
+    vocab = D.clean_vocab(cc)
+    assert [r.word for r in vocab.orderBy("word_id").collect()] == sorted({t[3] for t in tokens})
+    enc = D.encoded_documents(cc, vocab)
+    assert exchanges(enc) == 0
+    lists = {r.doc_id: r.ids for r in TK.nested_lists(enc).collect()}
+    assert [len(x) for x in lists[5]] == [n for d, i, n in sorted(sents) if d == 5 and n]
+
+
+def test_edges_are_counted_in_their_row(spark, monkeypatch):
+    from tessera.operators import graph as G
+    monkeypatch.setattr(G, "PART_TOKENS", 9)
+    seqs = [(1, [3, 4, 3, 5, 3]), (2, [7]), (3, [2, 2, 9, 2]), (4, [])]
+    seq = spark.createDataFrame(seqs, "doc_id long, ids array<int>")
+    want = Counter((d, x, y) for d, s in seqs for i, x in enumerate(s) for j, y in enumerate(s) if i != j and abs(i - j) <= 2)
+    assert exchanges(G.pair_counts(seq, 2)) == exchanges(G.symmetric(seq, 2)) == exchanges(G.term_counts(seq)) == 0
+    assert {(r.doc_id, r.src, r.dst): r.n for r in G.pair_counts(seq, 2).collect()} == want
+    want = {k: n for k, n in want.items() if k[1] != k[2]}
+    for e in (G.edges(seq, 2), G.symmetric(seq, 2)):
+        assert {(r.doc_id, r.src, r.dst): r.w for r in e.collect()} == want
+    assert {(r.doc_id, r.node): r.tf for r in G.term_counts(seq).collect()} == Counter((d, x) for d, s in seqs for x in s)
