@@ -1,8 +1,8 @@
 """Attention pooling of node states with fitted weights.
 
 Node states are the word vectors after k hops over a document's normalised graph; the weights
-act after the hops, so states are propagated once and stored, one row per document (its nodes
-are bounded by the cleaning plan's cut). For a document with states G (nodes x d):
+act after the hops. There is one row of states per document (its nodes are bounded by the
+cleaning plan's cut); callers may store them or have each pass compute them again. For a document with states G (nodes x d):
 
     g = G W + b,  u = relu(g a + c),  alpha = softmax(u),  z = sum alpha g,  p = softmax(z V + e)
 
@@ -56,7 +56,9 @@ class Pooling:
         e = np.exp(u - top[doc])
         alpha = e / np.bincount(doc, e, len(sizes))[doc]
         z = np.zeros((len(sizes), self.d))
-        np.add.at(z, doc, alpha[:, None] * g)
+        if len(doc):
+            start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            z[doc[start]] = np.add.reduceat(alpha[:, None] * g, start)
         z[sizes == 0] = p["b"]
         return z, (p, doc, g, u, alpha)
 
@@ -95,6 +97,18 @@ def packed_states(h: DataFrame) -> DataFrame:
     return each.mapInArrow(run, f"doc_id {kind}, states binary")
 
 
+PART_BYTES = 1 << 24
+
+
+def _parts(batch: pa.RecordBatch):
+    """The batch in slices of some 16 MB of states, or one document."""
+    ends, i = np.cumsum([len(x or b"") for x in batch.column("states").to_pylist()]), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _unpack(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.frombuffer(x or b"", "<f4").reshape(-1, d) for x in column.to_pylist()]
     sizes = np.array([len(x) for x in parts], np.int64)
@@ -106,8 +120,8 @@ def pass_gradient(docs: DataFrame, net: Pooling, theta: np.ndarray) -> np.ndarra
     the rows; a task returns one row."""
     def run(batches):
         total = None
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in _parts(batch):
                 part = net.gradient(theta, *_unpack(b.column("states"), net.d), b.column("y").to_numpy().astype(int))
                 total = part if total is None else total + part
         if total is not None:
@@ -136,7 +150,7 @@ def fit(docs: DataFrame, net: Pooling, epochs: int = 30, rate: float = 0.05, see
 def vectors(docs: DataFrame, net: Pooling, theta: np.ndarray) -> DataFrame:
     """``(doc_id, vec, p)``: pooled vectors and class probabilities of ``docs(doc_id, states)``."""
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in _parts(batch)):
             z, (parts, *_) = net.forward(theta, *_unpack(b.column("states"), net.d))
             p = softmax(z @ parts["V"] + parts["e"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(list(x), pa.list_(pa.float64())) for x in (z, p)]], names=["doc_id", "vec", "p"])

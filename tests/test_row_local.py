@@ -85,3 +85,38 @@ def test_edges_are_counted_in_their_row(spark, monkeypatch):
     for e in (G.edges(seq, 2), G.symmetric(seq, 2)):
         assert {(r.doc_id, r.src, r.dst): r.w for r in e.collect()} == want
     assert {(r.doc_id, r.node): r.tf for r in G.term_counts(seq).collect()} == Counter((d, x) for d, s in seqs for x in s)
+
+
+def test_states_and_pooled_vectors_of_sequences(spark, monkeypatch):
+    """The same as the operators on edge and feature tables, over several groups of vectors."""
+    import numpy as np
+
+    from tessera.operators import graph as G
+    from tessera.operators import pooling as PL
+    monkeypatch.setattr(G, "VECTOR_ROWS", 2)
+    monkeypatch.setattr(G, "STATE_TOKENS", 11)
+    monkeypatch.setattr(G, "PART_TOKENS", 17)
+    monkeypatch.setattr(TK, "LOOKUP_ROWS", 3)
+    rng = np.random.default_rng(5)
+    seqs = [(d, [int(x) for x in rng.integers(0, 9, rng.integers(1, 14))]) for d in range(20)]
+    seq = spark.createDataFrame(seqs, "doc_id long, ids array<int>")
+    rest, vec = rng.normal(size=4), {n: rng.normal(size=4).astype("f4").tolist() for n in (0, 1, 3, 4, 6)}
+    vectors = spark.createDataFrame(list(vec.items()), "node int, vec array<float>")
+    h = spark.createDataFrame([(n, [float(x) for x in vec.get(n, rest)]) for n in range(9)], "node int, vec array<double>")
+    inputs = G.Inputs(seq, vectors, rest)
+    adj, h = G.normalized_adjacency(seq, 2), G.nodes(seq).join(h, "node")
+    probes = rng.normal(size=(4, 3))
+    want = {(r.doc_id, r.node): np.array(r.vec) @ probes for r in G.propagate(adj, h, 2).collect()}
+    rows = G.propagated(inputs, 2, 2, probes)
+    assert exchanges(rows) == 0
+    got = {(r.doc_id, r.node): r.out for r in rows.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    want = {r.doc_id: np.frombuffer(r.states, "<f4") for r in PL.packed_states(G.propagate(adj, h, 1)).collect()}
+    got = {r.doc_id: np.frombuffer(r.states, "<f4") for r in G.state_rows(inputs, 2, 1).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+    net = (rng.normal(size=(4, 4)), rng.normal(size=4), rng.normal(size=4), 0.1)
+    want = {(r.doc_id, r.depth): r.vec for r in G.attention_pool_depths(adj, h, [0, 1, 3], *net).collect()}
+    rows = G.pooled(inputs, 2, [0, 1, 3], *net)
+    assert exchanges(rows) == 0
+    got = {(r.doc_id, r.depth): r.vec for r in rows.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
