@@ -120,3 +120,18 @@ def test_states_and_pooled_vectors_of_sequences(spark, monkeypatch):
     assert exchanges(rows) == 0
     got = {(r.doc_id, r.depth): r.vec for r in rows.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_repeated_and_missing_vectors_of_a_word(spark, monkeypatch):
+    """A word whose embedding comes twice counts both; a null one is that of 'the'."""
+    import numpy as np
+
+    from tessera.plans import cat_graph as CG
+    seq = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, ids array<int>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("the", 3)], "word string, word_id int")
+    wv = spark.createDataFrame([("a", [1.0] * 64), ("a", [1.0] * 64), ("b", None), ("the", [2.0] * 64)], "word string, vec array<float>")
+    monkeypatch.setattr(CG, "_encoded", lambda *_: (seq, vocab))
+    monkeypatch.setattr(CG, "word_vectors", lambda *_: wv)
+    inputs = CG.graph_inputs(spark, "")
+    assert np.allclose(inputs.rest, 2)
+    assert {r.node: r.vec[0] for r in inputs.vectors.collect()} == {1: 2.0, 2: 2.0, 3: 2.0}
