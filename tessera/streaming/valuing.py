@@ -20,7 +20,6 @@ from ..functions import text as T
 from ..operators import valuer as VL
 from ..operators import vocab as V
 from ..operators.network import softmax
-from ..operators.tokens import explode_tokens
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -58,11 +57,10 @@ def by_batch(stream: DataFrame, transform, sink: str, checkpoint: str) -> None:
 
 def encode_documents(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(doc_id, ids)``: token ids in order, 0 for words outside the vocabulary; a document
-    without tokens has an empty list."""
-    toks = explode_tokens(docs.select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
-    ids = (V.encode_ids(toks, vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("s"))
-           .select("doc_id", F.transform("s", lambda x: x["word_id"]).alias("ids")))
-    return docs.select("doc_id").distinct().join(ids, "doc_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    without tokens has an empty list. Encoded in the document's row; rows that share an id are
+    one document, their tokens by position. Rows without an id have no tokens."""
+    ids = V.encoded_lists(docs.select("doc_id", T.tokenize_en("text").alias("t")), vocab)
+    return ids.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("ids")).otherwise(F.array().cast("array<int>")).alias("ids"))
 
 
 @dataclass

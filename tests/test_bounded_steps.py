@@ -27,3 +27,16 @@ def test_a_broadcast_side_is_not_repeated_per_salt(spark, tmp_path):
         assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plan.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_streamed_documents_are_encoded_in_their_row(spark, monkeypatch, tmp_path):
+    from tessera.streaming import valuing as SV
+    monkeypatch.setattr(TK, "LOOKUP_ROWS", 2)  # several passes over the vocabulary
+    vocab = spark.createDataFrame([("alpha", 1), ("beta", 2), ("delta", 3), ("eps", 4), ("zeta", 5)], "word string, word_id int")
+    rows = [(1, "beta alpha nn beta"), (2, ""), (3, None), (4, "zeta")]
+    once = SV.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocab)
+    assert exchanges(once) == 0
+    assert {r.doc_id: r.ids for r in once.collect()} == {1: [2, 1, 0, 2], 2: [], 3: [], 4: [5]}
+    rows += [(1, "alpha eps"), (None, "alpha"), (None, "beta"), (3, "delta")]
+    got = [(r.doc_id, r.ids) for r in SV.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocab).collect()]
+    assert sorted(got, key=str) == sorted([(1, [1, 2, 1, 4, 0, 2]), (2, []), (3, [3]), (4, [5]), (None, [])], key=str)
