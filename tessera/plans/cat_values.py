@@ -108,15 +108,15 @@ def text_features(spark, sf_dir, method: str = "bow", vocab_size: int = VA.VOCAB
         toks = explode_tokens(d.select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
         b = V.bow(toks, V.build_vocab(toks, vocab_size))
         return lt.join(b.withColumnRenamed("doc_id", "row_id"), "row_id").select("row_id", "y", "split", "word_id", "n")
-    if method == "word2vec":
-        v = cat_vocab.avg_vector_q(spark, sf_dir)
-    elif method == "tfidf_word2vec":
-        v = cat_vocab.tfidf_vector_q(spark, sf_dir)
+    if method in ("word2vec", "tfidf_word2vec"):
+        v = cat_vocab.document_means(spark, sf_dir, weighted=method == "tfidf_word2vec")
     elif method == "graph":
-        v = cat_graph.graph_pool(spark, sf_dir)
+        v = cat_graph.document_vectors(spark, sf_dir)
     else:
         raise ValueError(method)
-    return lt.join(v.withColumnRenamed("doc_id", "row_id"), "row_id")
+    # joined as vectors: a row per dimension would be shuffled 64 times as often
+    v = lt.join(v.withColumnRenamed("doc_id", "row_id"), "row_id")
+    return v.select("row_id", "y", "split", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
 def _mode_sql(key: str) -> str:

@@ -40,3 +40,36 @@ def test_streamed_documents_are_encoded_in_their_row(spark, monkeypatch, tmp_pat
     rows += [(1, "alpha eps"), (None, "alpha"), (None, "beta"), (3, "delta")]
     got = [(r.doc_id, r.ids) for r in SV.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocab).collect()]
     assert sorted(got, key=str) == sorted([(1, [1, 2, 1, 4, 0, 2]), (2, []), (3, [3]), (4, [5]), (None, [])], key=str)
+
+
+def test_mean_vectors_move_no_token(spark, monkeypatch):
+    monkeypatch.setattr(V, "VECTOR_ROWS", 2)  # several passes over the vectors
+    monkeypatch.setattr(V, "VECTOR_TOKENS", 5)
+    rng = np.random.default_rng(3)
+    vec = [(f"w{i}", i, rng.normal(size=4).tolist()) for i in range(9)] + [("w3", 3, [1.0, 2.0, 3.0, 4.0]), ("w8", 8, None)]
+    vectors = spark.createDataFrame(vec, "word string, vec_id long, vec array<double>")
+    rows = [(i, [f"w{int(x)}" for x in rng.integers(0, 14, i)]) for i in range(12)] + [(50, None)]
+    repeated = rows + [(3, ["w1", "w3"]), (3, []), (None, ["w1"]), (None, ["w2"])]
+
+    def plain(rows):
+        by, out = {}, []
+        for d, t in rows:
+            by.setdefault(d, []).extend(np.array(v) for w in t or () for x, _, v in vec if x == w and v is not None)
+        for d, _ in rows:
+            out.append((d, np.mean(by[d], 0) if d is not None and by[d] else np.zeros(4)))
+        return sorted(out, key=lambda x: str(x[0]))
+    for data in (rows, repeated):
+        df = V.mean_vectors(spark.createDataFrame(data, "doc_id long, t array<string>"), vectors, 4)
+        if data is rows:
+            assert exchanges(df) == 0
+        got = sorted(((r.doc_id, r.vec) for r in df.collect()), key=lambda x: str(x[0]))
+        want = plain(data)
+        assert [d for d, _ in got] == [d for d, _ in want] and all(np.allclose(a, b) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_document_frequencies_of_lists(spark):
+    rows = [(1, ["a", "a", "b"]), (2, ["a"]), (3, []), (4, None)]
+    for data in (rows, rows + [(1, ["a", "c"]), (2, ["a"]), (None, ["c"]), (None, ["c"])]):
+        df = spark.createDataFrame(data, "doc_id long, t array<string>")
+        want = {r.word: r.df for r in V.doc_freq(df.select("doc_id", F.explode("t").alias("word"))).collect()}
+        assert {r.word: r.df for r in V.list_doc_freq(df).collect()} == want
