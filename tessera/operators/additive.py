@@ -12,12 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import list_parts, parted_by_repeats
+
 NEVER = -1e300  # log probability of a class without a row
+SCORE_ROWS = 512
 
 
 @dataclass
@@ -40,17 +42,48 @@ class NaiveBayes:
         return cls(prior, term, n.sum(1), present)
 
 
+def count_lists(bow: DataFrame) -> DataFrame:
+    """``(row_id, j, n)``: term ids and counts of a row as lists, one row per row_id. ``bow`` has this
+    form already, or a row per term ``(row_id, word_id, n)``."""
+    if "word_id" not in bow.columns:
+        return bow
+    each = bow.groupBy("row_id").agg(F.collect_list(F.struct(F.col("word_id").cast("int").alias("j"), F.col("n").cast("double").alias("n"))).alias("x"))
+    return each.select("row_id", F.col("x.j").alias("j"), F.col("x.n").alias("n"))
+
+
+def one_row_each(lists: DataFrame) -> DataFrame:
+    """``lists (row_id, j, n)`` with the terms of rows that share a row_id in one row."""
+    once, again = parted_by_repeats(lists, "row_id")
+    if again is None:
+        return once
+    gathered = again.groupBy("row_id").agg(F.collect_list(F.struct("j", "n")).alias("x"))
+    return once.unionByName(gathered.select("row_id", F.flatten("x.j").alias("j"), F.flatten("x.n").alias("n")))
+
+
 def nb_statistics(rows: DataFrame, bow: DataFrame, k: int, d: int, groups: int = 1,
                   group: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Class counts (groups, k) and class-term counts (groups, k, d) of ``rows(row_id, y
-    [, group])`` over the counts ``bow(row_id, word_id, n)``."""
+    [, group])`` over the counts ``bow`` (see :func:`count_lists`). Terms are added up inside the
+    tasks; a task returns at most one row per group, class and term."""
     g = F.col(group).cast("int") if group else F.lit(0)
-    rows = rows.select("row_id", "y", g.alias("g")).filter(F.col("y").isNotNull())
+    rows = rows.select("row_id", F.col("y").cast("int").alias("y"), g.alias("g")).filter(F.col("y").isNotNull())
     n, c = np.zeros((groups, k)), np.zeros((groups, k, d))
     for r in rows.groupBy("g", "y").agg(F.count(F.lit(1)).alias("n")).collect():  # groups x k rows
         n[r["g"], r["y"]] = r["n"]
-    counts = (rows.join(bow, "row_id").groupBy("g", "y", "word_id").agg(F.sum("n").alias("n")).toPandas())
-    c[counts["g"], counts["y"], counts["word_id"]] = counts["n"]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for b in list_parts(batch, 2):
+                at = np.repeat((b.column(0).to_numpy().astype(np.int64) * k + b.column(1).to_numpy()) * d, b.column(2).value_lengths().to_numpy())
+                part = np.bincount(at + b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy(), groups * k * d)
+                total = part if total is None else total + part
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+    each = rows.join(count_lists(bow), "row_id").select("g", "y", "j", "n").mapInArrow(run, "at long, n double")
+    counts = each.groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # groups x k x d rows at most
+    c.ravel()[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
     return n, c
 
 
@@ -60,14 +93,24 @@ def suffix_sums(x: np.ndarray) -> np.ndarray:
 
 
 def nb_predict(rows: DataFrame, bow: DataFrame, models: NaiveBayes) -> DataFrame:
-    """``rows`` once per model with ``model`` and class probabilities ``p``."""
-    spark = rows.sparkSession
+    """``rows`` once per model with ``model`` and class probabilities ``p``. All models score a
+    row's counts ``bow`` (see :func:`count_lists`) where they lie; no term is shuffled."""
     m, k = models.prior.shape
-    flat = models.term.reshape(m * k, -1).T.tolist()  # d rows of m * k numbers
-    theta = spark.createDataFrame([(i, v) for i, v in enumerate(flat)], "word_id int, t array<double>")
-    score = (bow.join(F.broadcast(theta), "word_id").groupBy("row_id")
-             .agg(Summarizer.sum(array_to_vector("t"), F.col("n").cast("double")).alias("s"))
-             .select("row_id", vector_to_array("s").alias("s")))
+    term = np.ascontiguousarray(models.term.reshape(m * k, -1).T)  # d rows of m * k numbers
+    d, lists = len(term), count_lists(bow)
+    shared = rows.sparkSession.sparkContext.broadcast(term)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORE_ROWS):
+                b = batch.slice(at, SCORE_ROWS)
+                row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                n = np.bincount(row * d + b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), b.num_rows * d)
+                s = n.reshape(b.num_rows, d) @ shared.value
+                ends = pa.array(np.arange(0, s.size + 1, m * k, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(s.ravel()))], names=["row_id", "s"])
+    kind = lists.schema["row_id"].dataType.simpleString()
+    score = lists.select("row_id", "j", "n").mapInArrow(run, f"row_id {kind}, s array<double>")
     prior = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in models.prior])
     out = rows.join(score, "row_id", "left")
     out = out.select(*rows.columns, "s", F.posexplode(prior).alias("model", "_pi"))

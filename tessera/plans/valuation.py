@@ -50,7 +50,7 @@ class TaskData:
     test: DataFrame    # row_id, y, features (includes the valid rows, as the original does)
     k: int
     d: int
-    bow: DataFrame | None  # row_id, word_id, n: the same counts in long form
+    bow: DataFrame | None  # row_id, j, n: the same counts as lists, one row per row_id
     d_valuer: int | None = None  # inputs of the valuer, if ``train`` has ``valuer_features`` of their own
     words: list | None = None    # the vocabulary, in the order of the inputs
 
@@ -68,14 +68,14 @@ def lang_features(spark, sf_dir, vocab_size: int = VOCAB_SIZE, noise: float = 0.
     feats = stored(cvm.transform(lang_rows(docs, "tokens")).select("row_id", "y", "split", "features"), "features")
     nz = noisy_train(spark, sf_dir, noise)
     train = nz.join(feats.select("row_id", "features"), "row_id")
-    return replace(_task_data(train, feats, len(words), test_includes_valid), words=words)
+    return replace(_task_data(train, feats, len(words), test_includes_valid), words=words, bow=counts_of(feats))
 
 
 def _task_data(train: DataFrame, feats: DataFrame, d: int, test_includes_valid: bool) -> TaskData:
     valid = feats.filter(F.col("split") == "valid").select("row_id", "y", "features")
     test_parts = ["valid", "test"] if test_includes_valid else ["test"]
     test = feats.filter(F.col("split").isin(test_parts)).select("row_id", "y", "features")
-    return TaskData(train, valid, test, K_LANG, d, counts_of(feats))  # counts are read by closed-form predictors only
+    return TaskData(train, valid, test, K_LANG, d, None)
 
 
 def sparse_parts(vector: str = "features"):
@@ -86,10 +86,9 @@ def sparse_parts(vector: str = "features"):
 
 
 def counts_of(feats: DataFrame) -> DataFrame:
-    """Sparse count vectors as rows ``(row_id, word_id, n)``."""
-    i, v = sparse_parts()
-    return (feats.select("row_id", F.explode(F.arrays_zip(i.alias("i"), v.alias("v"))).alias("x"))
-            .select("row_id", F.col("x.i").alias("word_id"), F.col("x.v").cast("bigint").alias("n")))
+    """Sparse count vectors as lists ``(row_id, j, n)``, one row per row_id."""
+    j, n = sparse_parts()
+    return AD.one_row_each(feats.select("row_id", j.alias("j"), n.alias("n")))
 
 
 PREDICTOR = "naive_bayes"
@@ -621,7 +620,7 @@ def graph_task(spark, sf_dir, noise: float = 0.2, test_includes_valid: bool = Tr
     feats = lang_task(spark, sf_dir).select("row_id", "y", "split").join(stored(near.join(far, "row_id"), "graph-vectors"), "row_id")
     train = noisy.join(feats.select("row_id", "features", "valuer_features"), "row_id")
     data = _task_data(train, feats, GRAPH_DIM, test_includes_valid)
-    return replace(data, bow=None, d_valuer=GRAPH_DIM)
+    return replace(data, d_valuer=GRAPH_DIM)
 
 
 def _spark_sql_rules(expr: str, rules) -> str:

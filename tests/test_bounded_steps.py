@@ -73,3 +73,36 @@ def test_document_frequencies_of_lists(spark):
         df = spark.createDataFrame(data, "doc_id long, t array<string>")
         want = {r.word: r.df for r in V.doc_freq(df.select("doc_id", F.explode("t").alias("word"))).collect()}
         assert {r.word: r.df for r in V.list_doc_freq(df).collect()} == want
+
+
+def test_models_count_and_score_in_the_row(spark, monkeypatch):
+    from tessera.operators import additive as AD
+    monkeypatch.setattr(AD, "SCORE_ROWS", 3)
+    rng = np.random.default_rng(5)
+    k, d, groups = 3, 7, 4
+    lists = [(i, sorted(rng.choice(d, rng.integers(0, d), replace=False).tolist())) for i in range(40)]
+    lists = [(i, j, [float(x) for x in rng.integers(1, 5, len(j))]) for i, j in lists] + [(7, [0, 2], [1.0, 4.0]), (None, [1], [1.0])]
+    bow = AD.one_row_each(spark.createDataFrame(lists, "row_id long, j array<int>, n array<double>"))
+    rows = [(i, int(rng.integers(0, k)), int(rng.integers(0, groups))) for i in range(45)] + [(3, 1, 2), (None, 0, 0)]
+    df = spark.createDataFrame(rows, "row_id long, y int, b int")
+    n, c = AD.nb_statistics(df, bow, k, d, groups, "b")
+    want_n, want_c = np.zeros((groups, k)), np.zeros((groups, k, d))
+    for i, y, b in rows:
+        want_n[b, y] += 1
+        for r, j, m in lists:
+            if i is not None and r == i:
+                np.add.at(want_c[b, y], j, m)
+    assert np.array_equal(n, want_n) and np.array_equal(c, want_c)
+    long = spark.createDataFrame([(i, w, int(x)) for i, j, m in lists for w, x in zip(j, m, strict=True)], "row_id long, word_id int, n long")
+    assert np.array_equal(AD.nb_statistics(df, long, k, d, groups, "b")[1], want_c)
+    models = AD.NaiveBayes.of(n, c)
+    got = AD.nb_predict(df.select("row_id", "y"), bow, models).collect()
+    assert len(got) == len(rows) * groups
+    for r in got:
+        counts = np.zeros(d)
+        for i, j, m in lists:
+            if i is not None and r.row_id == i:
+                np.add.at(counts, j, m)
+        raw = models.prior[r.model] + models.term[r.model] @ counts
+        e = np.exp(raw - raw.max())
+        assert np.allclose(r.p, e / e.sum())
