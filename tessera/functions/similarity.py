@@ -47,9 +47,14 @@ def cosine(u, v) -> Column:
             .otherwise(dot / (nu * nv)))
 
 
+def gram_text(text) -> Column:
+    """The lower-cased text with its whitespace runs collapsed, of which n-grams are taken."""
+    return F.regexp_replace(F.lower(_c(text)), r"\s\s+", " ")
+
+
 def char_ngrams(text, n_min: int = 1, n_max: int = 3) -> Column:
     """Character n-grams of a lower-cased text whose whitespace runs are collapsed."""
-    t = F.regexp_replace(F.lower(_c(text)), r"\s\s+", " ")
+    t = gram_text(text)
     L = F.length(t)
     parts = [F.when(L >= n, F.transform(F.sequence(F.lit(0), L - n), lambda i: F.substring(t, i + 1, n)))
              .otherwise(F.array().cast("array<string>")) for n in range(n_min, n_max + 1)]
