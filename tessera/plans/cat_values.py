@@ -103,10 +103,7 @@ def text_features(spark, sf_dir, method: str = "bow", vocab_size: int = VA.VOCAB
     document-graph vectors. Long output (row_id, y, split, index, value)."""
     lt = lang_task(spark, sf_dir).select("row_id", "y", "split")
     if method == "bow":
-        d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-        from ..operators.tokens import explode_tokens
-        toks = explode_tokens(d.select("doc_id", T.tokenize_en("text").alias("t")), "doc_id", "t")
-        b = V.bow(toks, V.build_vocab(toks, vocab_size))
+        b = V.list_bow(*cat_vocab._en_lists(spark, sf_dir, vocab_size)).drop("total")
         return lt.join(b.withColumnRenamed("doc_id", "row_id"), "row_id").select("row_id", "y", "split", "word_id", "n")
     if method in ("word2vec", "tfidf_word2vec"):
         v = cat_vocab.document_means(spark, sf_dir, weighted=method == "tfidf_word2vec")

@@ -106,3 +106,45 @@ def test_models_count_and_score_in_the_row(spark, monkeypatch):
         raw = models.prior[r.model] + models.term[r.model] @ counts
         e = np.exp(raw - raw.max())
         assert np.allclose(r.p, e / e.sum())
+
+
+def test_bags_of_words_are_counted_in_their_row(spark):
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "word string, word_id int")
+    rows = [(1, ["a", "b", "a", "x"]), (2, []), (3, None), (4, ["x"])]
+    once = V.list_bow(spark.createDataFrame(rows, "doc_id long, t array<string>"), vocab)
+    assert exchanges(once) == 0
+    assert sorted(map(tuple, once.collect())) == [(1, 0, 2, 3), (1, 1, 1, 3)]
+    df = spark.createDataFrame(rows + [(1, ["a", "c"]), (None, ["a"]), (None, ["b"])], "doc_id long, t array<string>")
+    toks = df.select("doc_id", F.explode("t").alias("word"))
+    old, new = V.bow(toks, vocab), V.list_bow(df, vocab)
+    assert sorted(map(tuple, old.collect()), key=str) == sorted(map(tuple, new.drop("total").collect()), key=str)
+    a, b = V.row_normalize(old), V.row_normalize(new, total="total")
+    cols = ["doc_id", "word_id", "n", "v"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_padding_is_one_string(spark):
+    df = spark.createDataFrame([([1, 22],), ([],), ([1, 2, 3, 4, 5],)], "ids array<int>")
+    for length in (1, 2, 4):
+        got = df.select(V.padded_text("ids", length).alias("a"), F.array_join(V.padded("ids", length).cast("array<string>"), " ").alias("b")).collect()
+        assert all(r.a == r.b for r in got)
+
+
+def test_char_grams_are_taken_in_their_row(spark, monkeypatch):
+    from tessera.functions import similarity as S
+    from tessera.operators import char_grams as CG
+    monkeypatch.setattr(CG, "PART_CHARS", 7)
+    monkeypatch.setattr(CG, "COUNTED", 5)
+    rows = [(1, "Abc  ab", "abd"), (2, "", None), (3, "\U0001F600ä\u0000x", "ä\U0001F600"), (4, "aaaa", "a"), (5, "long  " * 9, "x")]
+    df = spark.createDataFrame(rows, "pair long, a string, b string")
+    each = df.select("pair", F.explode(F.array(F.struct(F.array_distinct(S.char_ngrams("a")).alias("g")),
+                                               F.struct(F.array_distinct(S.char_ngrams("b")).alias("g")))).alias("x")).select("pair", F.explode("x.g").alias("gram"))
+    want = {r.gram: r.n for r in each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    p = df.select("pair", S.gram_text("a").alias("a"), S.gram_text("b").alias("b"))
+    assert {r.gram: r.n for r in CG.frequencies(p, ["a", "b"]).groupBy("gram").agg(F.sum("df").alias("n")).collect()} == want
+    places = {g: i for i, g in enumerate(sorted(want)[::2])}
+    held = CG.held(p, ["a", "b"], places)
+    assert exchanges(held) == 0
+    by = {(r.pair, r.gram): r.n for r in each.groupBy("pair", "gram").agg(F.count(F.lit(1)).alias("n")).collect() if r.gram in places}
+    assert {(r.pair, r.gram_id): r.c for r in held.collect()} == {(k, places[g]): n for (k, g), n in by.items()}
+    assert CG.held(p, ["a", "b"], {}).count() == 0
