@@ -12,13 +12,16 @@ gradients per task; the driver applies Adam. Documents without nodes pool to b.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph as G
 from .network import softmax
 from .valuer import Adam
 
@@ -117,7 +120,7 @@ def _unpack(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pass_gradient(docs: DataFrame, net: Pooling, theta: np.ndarray) -> np.ndarray:
     """Summed loss and gradient over ``docs(states, y)``. The number of sums does not depend on
-    the rows; a task returns one row."""
+    the rows; a task returns one row, and all tasks run at once."""
     def run(batches):
         total = None
         for batch in batches:
@@ -125,20 +128,84 @@ def pass_gradient(docs: DataFrame, net: Pooling, theta: np.ndarray) -> np.ndarra
                 part = net.gradient(theta, *_unpack(b.column("states"), net.d), b.column("y").to_numpy().astype(int))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-    total = None
-    for r in docs.select("states", "y").mapInArrow(run, "sums binary").toLocalIterator():
-        part = np.frombuffer(r[0], np.float64)
-        total = part.copy() if total is None else total + part
-    return total
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+    return _added(docs.select("states", "y").mapInArrow(run, "sums array<double>"))
+
+
+FIT_VECTORS = 1 << 19  # up to so many vectors, every task holds all of them (128 MB at 64 numbers)
+FIT_TOKENS = 1 << 16
+
+
+def fit_sequences(inputs: G.Inputs, window: int, hops: int, net: Pooling, epochs: int = 30, rate: float = 0.05, seed: int = 0):
+    """:func:`fit` of the states of ``inputs`` (``seq`` has a column ``y``) without computing them: all
+    but the softmax is linear, so only scalars take hops, there and back, and a state never
+    leaves its task. More than ``FIT_VECTORS`` vectors do not fit a task: then every pass
+    computes the states in groups of vectors."""
+    rows = inputs.seq.filter(F.col("y").isNotNull()).select("doc_id", "ids", "y")
+    if inputs.vectors.count() > FIT_VECTORS:
+        return fit(G.state_rows(replace(inputs, seq=rows), window, hops), net, epochs, rate, seed)
+    shared, rest = next(iter(G.shared_groups(inputs.vectors, "node", "vec", FIT_VECTORS))), np.asarray(inputs.rest, float)
+
+    def of_theta(theta):
+        def run(batches):
+            total = None
+            for batch in batches:
+                for b in G.small_batches(batch, FIT_TOKENS):
+                    walk = G.Walk(b, window)
+                    part = _sequence_gradient(net, theta, walk, G.node_vectors(walk, shared, rest), hops, b.column("y").to_numpy().astype(int))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+        return run
+    return _descent(lambda theta: _added(rows.mapInArrow(of_theta(theta), "sums array<double>")), net, epochs, rate, seed)
+
+
+def _added(sums: DataFrame) -> np.ndarray | None:
+    """The sum of the tasks' rows, added up by Spark."""
+    got = sums.groupBy(F.lit(0).alias("all")).agg(Summarizer.sum(array_to_vector("sums")).alias("s")).first()  # no row, no total
+    return got["s"].toArray() if got else None
+
+
+def _sequence_gradient(net: Pooling, theta: np.ndarray, walk: G.Walk, h: np.ndarray, hops: int, y: np.ndarray) -> np.ndarray:
+    """:meth:`Pooling.gradient` for the states A^hops h: g x = A^hops (h (W x)) + b x for a vector x, and
+    sums of g over nodes are sums of h, weighted by A^hops of the weights."""
+    p, m = net.parts(theta), len(y)
+
+    def walked(x):
+        for _ in range(hops):
+            x = walk.hop(x)
+        return x
+    first = np.flatnonzero(np.concatenate([[True], walk.doc[1:] != walk.doc[:-1]])) if walk.n else np.zeros(0, int)
+    has = walk.doc[first]
+    u = np.maximum(walked(h @ (p["W"] @ p["a"])) + p["b"] @ p["a"] + p["c"][0], 0)
+    alpha = walk.shares(u, m)
+    bar = np.zeros((m, net.d))
+    if walk.n:
+        bar[has] = np.add.reduceat(walked(alpha)[:, None] * h, first)
+    z = bar @ p["W"] + p["b"]
+    prob = softmax(z @ p["V"] + p["e"])
+    rows = np.arange(m)
+    loss, right = -np.log(np.maximum(prob[rows, y], 1e-300)).sum(), (prob.argmax(1) == y).sum()
+    out = prob.copy()
+    out[rows, y] -= 1
+    dz = out @ p["V"].T
+    da = walked(np.einsum("ij,ij->i", h, (dz @ p["W"].T)[walk.doc])) + (dz @ p["b"])[walk.doc]
+    du = alpha * (da - np.bincount(walk.doc, alpha * da, m)[walk.doc]) * (u > 0)
+    back = walked(du) @ h
+    return np.concatenate([[m, loss, right], (bar.T @ dz + np.outer(back, p["a"])).ravel(), dz.sum(0) + du.sum() * p["a"],
+                           back @ p["W"] + du.sum() * p["b"], [du.sum()], (z.T @ out).ravel(), out.sum(0)])
 
 
 def fit(docs: DataFrame, net: Pooling, epochs: int = 30, rate: float = 0.05, seed: int = 0) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """Weights fitted to the labelled rows, and (mean loss, accuracy) before each epoch."""
-    theta, adam, trace = net.initial(seed), Adam(rate), []
     rows = docs.filter(F.col("y").isNotNull())
+    return _descent(lambda theta: pass_gradient(rows, net, theta), net, epochs, rate, seed)
+
+
+def _descent(gradient, net: Pooling, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    theta, adam, trace = net.initial(seed), Adam(rate), []
     for _ in range(epochs):
-        total = pass_gradient(rows, net, theta)
+        total = gradient(theta)
         if total is None:
             break
         n = max(total[0], 1.0)

@@ -32,7 +32,6 @@ from ..operators import additive as AD
 from ..operators import least_squares as LS
 from ..operators import metrics as MT
 from ..operators import network as NW
-from ..operators import pooling as PL
 from ..operators import valuer as VL
 from ..operators import vocab as V
 from ..operators.ranking import argmax_index, bin_of_rank, global_rank
@@ -614,8 +613,8 @@ def graph_task(spark, sf_dir, noise: float = 0.2, test_includes_valid: bool = Tr
     inputs = CG.graph_inputs(spark, sf_dir)
     noisy = noisy_train(spark, sf_dir, noise)
     labels = noisy.filter(F.col("y").isNotNull()).select(F.col("row_id").alias("doc_id"), "y")
-    net, theta, _, states = CG.fitted_pooling(spark, sf_dir, labels, K_LANG, epochs, inputs=inputs)
-    near = PL.vectors(states, net, theta).select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("features"))
+    *_, near = CG.fitted_pooling(spark, sf_dir, labels, K_LANG, epochs, inputs=inputs)
+    near = near.select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("features"))
     far = CG.depth_vectors(spark, sf_dir, [CG.VALUER_HOPS], inputs=inputs).select(F.col("doc_id").alias("row_id"), array_to_vector("vec").alias("valuer_features"))
     feats = lang_task(spark, sf_dir).select("row_id", "y", "split").join(stored(near.join(far, "row_id"), "graph-vectors"), "row_id")
     train = noisy.join(feats.select("row_id", "features", "valuer_features"), "row_id")

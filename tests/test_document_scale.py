@@ -3,6 +3,7 @@
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,30 @@ def test_ranks_are_read_from_a_table(spark):
     assert [r["rank"] for r in ranked.orderBy("word").collect()] == list(range(300))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("most", [1 << 19, 3])
+def test_pooling_is_fitted_without_states(spark, monkeypatch, most):
+    """The same weights as from stored states; no pass runs its tasks one after another."""
+    from tessera.operators import graph as G
+    from tessera.operators import pooling as PL
+    monkeypatch.setattr(PL, "FIT_VECTORS", most)
+    monkeypatch.setattr(PL, "FIT_TOKENS", 20)
+    rng = np.random.default_rng(3)
+    docs = [(d, [int(x) for x in rng.integers(0, 9, rng.integers(1, 14))], int(d % 3)) for d in range(30)] + [(30, [], 1), (31, [4, 4], None)]
+    seq = spark.createDataFrame(docs, "doc_id long, ids array<int>, y int").repartition(4, "doc_id")
+    rest, vec = rng.normal(size=4), {n: rng.normal(size=4).astype("f4").tolist() for n in (0, 1, 3, 4, 6)}
+    inputs = G.Inputs(seq, spark.createDataFrame(list(vec.items()), "node int, vec array<float>"), rest)
+    for hops in (1, 2):
+        net = PL.Pooling(4, 3)
+        states = G.state_rows(inputs, 2, hops)
+        theta, trace = PL.fit(states, net, 6)
+        if most > 3:
+            monkeypatch.setattr(G, "state_rows", None)
+        got, mine = PL.fit_sequences(inputs, 2, hops, net, 6)
+        monkeypatch.undo()
+        monkeypatch.setattr(PL, "FIT_VECTORS", most)
+        assert np.allclose(got, theta, atol=1e-4) and np.allclose(mine, trace, atol=1e-5)
+    monkeypatch.setattr(type(seq), "toLocalIterator", None)
+    assert PL.pass_gradient(states.filter("y is not null"), net, theta)[0] == 31
+    assert PL.pass_gradient(states.filter("doc_id < 0"), net, theta) is None
