@@ -69,6 +69,29 @@ class Network:
     def predict(self, theta: np.ndarray, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self._forward(theta, x)[1][-1]
 
+    def predict_sparse(self, theta: np.ndarray, size: np.ndarray, j: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """:meth:`predict` of sparse rows scaled to unit length; their ``size`` inputs ``j`` have the
+        values ``v``. Few inputs are not spread over a dense matrix."""
+        (w, b), *more = self._parts(theta)
+        has = np.flatnonzero(size)
+        start = (np.cumsum(size) - size)[has]
+        length = np.ones(len(size))
+        if len(has):
+            length[has] = np.sqrt(np.add.reduceat(v * v, start))
+        length[length == 0] = 1.0
+        if len(v) * w.shape[1] >= 3 * len(size) * len(w):
+            x = np.zeros((len(size), len(w)))
+            x[np.repeat(np.arange(len(size)), size), j] = v
+            z = x @ w
+        else:
+            z = np.zeros((len(size), w.shape[1]))
+            for c in range(w.shape[1] if len(has) else 0):  # a column at a time: no row of numbers per input
+                z[has, c] = np.add.reduceat(w[:, c].take(j) * v, start)
+        z = z / length[:, None] + b
+        for w, b in more:
+            z = np.maximum(z, 0) @ w + b
+        return softmax(z)
+
     def partial(self, theta: np.ndarray, x, n, y, w) -> np.ndarray:
         """Weight, loss and gradient summed over these rows."""
         parts, kept = self._forward(theta, x)

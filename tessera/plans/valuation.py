@@ -252,6 +252,9 @@ class ValuerTrainer:
         n_valid = self.valid.count()
         if n_valid <= TASKS * TASK_ROWS:
             self._valid = stored(self._valid.repartition(max(1, -(-n_valid // TASK_ROWS)), "row_id"), "valuer-valid-rows")
+        self._packed = None
+        if self.perf in NW.ADDITIVE and isinstance(self.net, NW.Network):  # every iteration reads all of them
+            self._packed = stored(self._valid.select("y", "j", "n").mapInArrow(VL.pack_function(), VL.PACKED), "valuer-valid-packed")
         self.base = self._fit_all()
         self.base_metric = self._metric(self.base)
         self._prepared = True
@@ -280,7 +283,10 @@ class ValuerTrainer:
         if self.perf not in NW.ADDITIVE:
             scored = self._valid.mapInArrow(VL.score_function(self.net, theta, self.data.d), "row_id long, y int, p array<double>")
             return metric(scored, self.perf, self.data.k)
-        total = add_up(self._valid, VL.metric_function(self.net, theta, self.data.k, self.data.d, self.perf))  # two numbers a task
+        if self._packed is not None:
+            total = add_up(self._packed, VL.packed_metric_function(self.net, theta, self.perf))  # two numbers a task
+        else:
+            total = add_up(self._valid, VL.metric_function(self.net, theta, self.data.k, self.data.d, self.perf))
         value = NW.metric_of(self.perf, float(total[1]), float(total[0])) if total is not None else float("nan")
         return value * self.scale ** {"mae": 1, "mse": 2}.get(self.perf, 0)
 

@@ -71,3 +71,26 @@ def test_pooling_is_fitted_without_states(spark, monkeypatch, most):
     monkeypatch.setattr(type(seq), "toLocalIterator", None)
     assert PL.pass_gradient(states.filter("y is not null"), net, theta)[0] == 31
     assert PL.pass_gradient(states.filter("doc_id < 0"), net, theta) is None
+
+
+@pytest.mark.parametrize("kind,layers,d", [("logistic", None, 40), ("mlp", [40, 5, 3], 40), ("mlp", [3, 5, 3], 3)])
+def test_rewards_read_packed_rows(spark, monkeypatch, kind, layers, d):
+    """The metric of an iteration is that of the lists, and makes no dense row per document."""
+    from tessera.operators import network as NW
+    from tessera.operators import valuer as VL
+    from tessera.plans import valuation as VA
+    monkeypatch.setattr(VL, "PACK_ROWS", 7)
+    rng = np.random.default_rng(1)
+    net = VA.in_loop(kind, 3, d, layers, 0, 0.1, 5)
+    theta = rng.normal(size=net.size() - 2)
+    rows = [(int(rng.integers(0, 3)), sorted(rng.choice(d, min(d, int(rng.integers(0, 5))), replace=False).tolist())) for _ in range(60)]
+    rows = [(i, y, j, [float(x) for x in rng.integers(1, 9, len(j))]) for i, (y, j) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "row_id long, y int, j array<int>, n array<double>").repartition(3, "row_id")
+    packed = df.select("y", "j", "n").mapInArrow(VL.pack_function(), VL.PACKED).cache()
+    for perf in NW.ADDITIVE:
+        if perf in VA.CLASS_METRICS:
+            want = VA.add_up(df, VL.metric_function(net, theta, 3, d, perf))
+            with monkeypatch.context() as m:
+                m.setattr(VL, "rows_of", None)
+                got = VA.add_up(packed, VL.packed_metric_function(net, theta, perf))
+            assert got[0] == 60 and np.allclose(got, want)
