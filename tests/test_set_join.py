@@ -60,6 +60,34 @@ def test_join_without_all_pairs(spark):
     assert SJ.similar_sets(spark.createDataFrame([], "id long, tokens array<string>"), 0.5)[1].count() == 0
 
 
+def test_sets_that_share_a_token_are_not_stored_as_pairs(spark):
+    """Sets that share one token of many are compared where they meet; no pair of them leaves."""
+    rows = [(i, ["aaa"] + [f"r{i}x{k}" for k in range(20)]) for i in range(400)]
+    of = SJ.classes(spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3))[1]
+    assert SJ.candidates(SJ.prefixes(of, 0.7, most=0), 0.7).count() < 40  # 79,800 before
+
+
+def test_large_sets_crowds_and_hot_tokens_against_brute_force(spark, monkeypatch):
+    """Bitmaps longer than a bucket's, groups of near copies over several blocks and buckets, and
+    frequent tokens in prefixes, with ids that are no numbers."""
+    monkeypatch.setattr(SJ, "BLOCK", 3000)
+    monkeypatch.setattr(SJ, "LINKS", 50)
+    monkeypatch.setattr(SJ, "BUCKET", 1000)
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(4000)}" for _ in range(n)] for n in (3, 40, 90, 400, 900, 2500)]
+    rows = []
+    for i in range(180):
+        base = bases[i % 6]
+        own = [w for w in base if rng.random() > 0.12] + [f"u{i}_{k}" for k in range(rng.randrange(1 + len(base) // 10))]
+        rows.append((f"d{i:03}", own))
+    rows += [("z", None), ("y", list(reversed(rows[7][1])))]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>").repartition(4)
+    sets, want = brute_pairs(rows, 0.7)
+    members, pairs = SJ.similar_sets(df, 0.7)
+    assert {(r.a_id, r.b_id, round(r.similarity, 9)) for r in pairs.collect()} == want and len(want) > 300
+    assert {r.id: r.class_id for r in members.collect()} == {i: sets[frozenset(s)] for i, s in rows if s}
+
+
 def test_sparse_one_hot(spark):
     rows = [(1, "x", 10), (2, None, 20), (3, "y", None), (4, "x", 20)]
     df = spark.createDataFrame(rows, "id long, a string, b int")
