@@ -25,6 +25,7 @@ EPS = 1e-8
 LN_EPS = 1e-12
 EXPLORE = 0.9      # mean value is pushed into [1 - EXPLORE, EXPLORE]
 PENALTY = 1e3
+REDRAWN = 10_000   # added to the iteration whose rows are drawn again
 
 _SHAPES = ("W1", "b1", "W2", "b2", "gamma", "beta", "W3", "b3", "W4", "b4")
 
@@ -211,6 +212,36 @@ def selection_function(params_flat: np.ndarray | None, like: dict, k: int, d: in
     return run
 
 
+def loop_function(params_flat: np.ndarray, like: dict, k: int, d: int, it: int, seed: int, predictor, theta: np.ndarray):
+    """mapInArrow body over all rows of a batch in one task: rows, summed values, selected rows, both
+    gradients of the valuer and the predictor's parameters after all its epochs from ``theta`` on.
+    The same selections and steps as those of :func:`selection_function`, a pass for each epoch;
+    where the values select no row, each is drawn again with probability one half."""
+    p = unflatten(params_flat, like)
+
+    def run(batches):
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        b = pa.concat_batches(some) if len(some) > 1 else some[0]
+        n, y = _inputs(b, d)
+        diff = b.column("diff").flatten().to_numpy().reshape(b.num_rows, -1)
+        ids = b.column("row_id").to_numpy()
+        v, cache = forward(p, rows_of(b.column("i"), b.column("v"), len(p["W1"]) - k), label_input(y, k), diff)
+        s = (row_uniform(ids, it, seed) < v).astype(np.float64)
+        if not s.any():
+            s = (row_uniform(ids, it + REDRAWN, seed) < 0.5).astype(np.float64)
+        head = [np.array([len(y), v.sum(), s.sum()]), flatten(backward(p, cache, s - v)), flatten(backward(p, cache, v * (1 - v)))]
+        on, new, adam = s > 0, theta, Adam(predictor.rate)
+        if on.any():
+            n, t = n[on], y[on] if k == 1 else y[on].astype(int)
+            x = unit(n)
+            for _ in range(predictor.epochs):
+                new = predictor.step(new, predictor.partial(new, x, n, t, s[on]), adam)
+        yield _total([*head, new])
+    return run
+
+
 BLOCK = 4096
 
 

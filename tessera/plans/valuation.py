@@ -163,6 +163,8 @@ def prediction_diff(y: F.Column, k: int) -> F.Column:
 
 TASK_ROWS = 512      # rows of one task of a training pass
 TASKS = 64           # a batch has no more tasks than this
+ONE_TASK = 4096      # a batch of up to so many rows is one task, with all epochs of the predictor
+REWARD_ROWS = 8192   # packed validation rows of one task
 WINDOW = 50          # iterations whose batches are drawn in one scan
 SAVE_EVERY = 50
 
@@ -173,7 +175,8 @@ class ValuerTrainer:
     One iteration is a handful of small jobs: one pass over the batch values and selects its
     rows and adds up the valuer's gradients and the predictor's sums; a predictor trained by
     gradients then takes ``epochs - 1`` more passes, starting every time from its fit to all
-    rows (``naive_bayes`` and ``linear`` are solved from the sums of the first pass); one job
+    rows (``naive_bayes`` and ``linear`` are solved from the sums of the first pass); a batch of
+    ``ONE_TASK`` rows or fewer is one task, which makes these passes itself, in one job. One job
     over the validation rows gives the reward. Selections are drawn by row-keyed hashes, so a
     repeated task selects the same rows.
 
@@ -246,19 +249,27 @@ class ValuerTrainer:
         self.train_in = stored(unit.transform(scored).select("row_id", "y", "features", "x", "diff"), "valuer-train")
         self.n = self.train_in.count()
         self._rows = self._columns(self.train_in, "row_id", "y", "diff")
+        self._one_task = isinstance(self.net, NW.Network) and min(self.batch_size, self.n) <= ONE_TASK
         if self.batch_size >= self.n:
-            self._rows = stored(self._rows.repartition(max(1, min(TASKS, -(-self.n // TASK_ROWS))), "row_id"), "valuer-batch")
+            self._rows = stored(self._rows.repartition(self._pieces(self.n), "row_id"), "valuer-batch")
         self._valid = self._columns(self.valid, "row_id", "y")
         n_valid = self.valid.count()
         if n_valid <= TASKS * TASK_ROWS:
             self._valid = stored(self._valid.repartition(max(1, -(-n_valid // TASK_ROWS)), "row_id"), "valuer-valid-rows")
         self._packed = None
         if self.perf in NW.ADDITIVE and isinstance(self.net, NW.Network):  # every iteration reads all of them
-            self._packed = stored(self._valid.select("y", "j", "n").mapInArrow(VL.pack_function(), VL.PACKED), "valuer-valid-packed")
+            packed = self._columns(self.valid, "row_id", "y")
+            if n_valid <= TASKS * REWARD_ROWS:
+                packed = packed.repartition(max(1, -(-n_valid // REWARD_ROWS)), "row_id")
+            self._packed = stored(packed.select("y", "j", "n").mapInArrow(VL.pack_function(), VL.PACKED), "valuer-valid-packed")
         self.base = self._fit_all()
         self.base_metric = self._metric(self.base)
         self._prepared = True
 
+    def _pieces(self, rows: int) -> int:
+        """Tasks of a batch of ``rows`` rows."""
+        return 1 if self._one_task else max(1, min(TASKS, -(-rows // TASK_ROWS)))
+
     def _fit(self, df: DataFrame):
         return fit(df, max_iter=self.predictor_iter, kind=self.kind, layers=self.layers)
 
@@ -303,7 +314,7 @@ class ValuerTrainer:
         if self._window is None or self._window[0] != first:
             share = F.lit(self.batch_size / self.n)
             drawn = F.array_compact(F.array(*[F.when(uniform(self.seed + t, "row_id") < share, F.lit(t)) for t in range(first, first + WINDOW)]))
-            pieces = max(1, min(TASKS, -(-self.batch_size // TASK_ROWS)))
+            pieces = self._pieces(self.batch_size)
             rows = self._rows.withColumn("it", F.explode(drawn)).withColumn("piece", F.pmod(F.xxhash64("row_id"), F.lit(pieces)))
             folder = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/valuer-batches-{uuid.uuid4().hex}"
             rows.repartition(WINDOW * pieces, "it", "piece").drop("piece").write.partitionBy("it").parquet(folder)
@@ -316,30 +327,42 @@ class ValuerTrainer:
             return spark.createDataFrame([], schema)
 
     # -- the loop ---------------------------------------------------------------
+    def _one_pass(self, it: int):
+        """What :meth:`_passes` gives, by one job with one task."""
+        fn = VL.loop_function(self.theta, self.params, self.data.k, self.data.d, it, self.seed, self.net, self.base)
+        got = add_up(self._batch(it).coalesce(1), fn)
+        return None if got is None else (got, got[-len(self.base):])
+
+    def _passes(self, it: int):
+        """Rows, summed values, selected rows and the valuer's gradients of the batch, and the
+        parameters of the predictor trained on its selected rows; None if it is empty."""
+        src = self._batch(it)
+        theta, adam = (None, None) if self.net.closed else (self.base, VL.Adam(self.net.rate))
+        got, half = self._sum(src, it, theta, True, head=True), False
+        if not got[0]:
+            return None
+        if not got[2]:  # nothing selected: redraw every row with probability one half
+            half = True
+            got = self._sum(src, it + VL.REDRAWN, theta, True, half, head=True)
+        if got[2] and self.net.closed:
+            theta = self.net.fit(got[-self.net.size():])
+        elif got[2]:
+            theta = self.net.step(theta, got[-self.net.size():], adam)
+            for _ in range(self.net.epochs - 1):
+                theta = self.net.step(theta, self._sum(src, it + VL.REDRAWN * half, theta, False, half), adam)
+        return got, theta
+
     def step(self, it: int):
         if not self._prepared:
             self.prepare()
-        src, g = self._batch(it), len(self.theta)
-        theta, adam = (None, None) if self.net.closed else (self.base, VL.Adam(self.net.rate))
-        got, half = self._sum(src, it, theta, True, head=True), False
-        if not got[0]:  # an empty batch teaches nothing
+        g, got = len(self.theta), self._one_pass(it) if self._one_task else self._passes(it)
+        if got is None:  # an empty batch teaches nothing
             self.history.append((it, 0.0, float("nan")))
             return 0.0
-        if not got[2]:  # nothing selected: redraw every row with probability one half
-            half, mean_v = True, got[1] / got[0]
-            got = self._sum(src, it + 10_000, theta, True, half, head=True)
+        got, theta = got
         n, mean_v = got[0], got[1] / got[0]
-        if got[2]:
-            if self.net.closed:
-                theta = self.net.fit(got[-self.net.size():])
-            else:
-                theta = self.net.step(theta, got[-self.net.size():], adam)
-                for _ in range(self.net.epochs - 1):
-                    theta = self.net.step(theta, self._sum(src, it + 10_000 * half, theta, False, half), adam)
-            reward = gain(self._metric(theta), self.base_metric, self.perf)
-            reward = reward if np.isfinite(reward) else 0.0
-        else:
-            reward = 0.0
+        reward = gain(self._metric(theta), self.base_metric, self.perf) if got[2] else 0.0
+        reward = reward if np.isfinite(reward) else 0.0
         signal = reward
         if self.moving_baseline is not None:
             if self._avg_reward is None:
